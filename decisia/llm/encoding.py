@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterable, Iterator
 
@@ -15,14 +16,46 @@ CHUNK_CHARS, CACHED_PIECES = 1_000_000, 500_000
 #: Splits a text as byte-level BPE with its usual pattern does; ids of a text are the ids of its parts in turn.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-UNCUT = regex.compile(r"\s\x20|\x20\s|\x00")
+#: White space but the plain space and the line feed, for which a text is cut by PARTS alone.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+UNCUT = ("  ", " \n", "\n ", "\0", *OTHER_SPACE)
+
+
+class Pieces(dict):
+    """Ids of pieces met so far, as little-endian unsigned 32-bit bytes; a new piece is put together from its parts, a new part encoded."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.model = tokenizer.model
+        self.ids = [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) or piece in ".,":
+            found = self._part(piece)
+        elif piece[-1] in ".,!" and piece[1:-1].isalpha() and piece[0] == " ":
+            found = self[piece[:-1]] + self[piece[-1]]
+        elif len(parts := PARTS.findall(piece)) > 1:
+            found = b"".join([self[p] for p in parts])
+        else:
+            found = self._part(piece)
+        self[piece] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
 
 
 class Encoder:
-    """Encodes with the tokenizers library. Pieces of texts repeat, so ids of a piece are kept, as unsigned 32-bit little-endian bytes.
+    """Encodes with the tokenizers library, strings of special tokens being ordinary text.
 
-    Strings of special tokens in a text are ordinary text. Parts are used only where the file asks for nothing beyond
-    byte-level BPE; any other tokenizer encodes the texts whole.
+    Where the file asks for byte-level BPE and nothing beyond, texts are cut before spaces, where no part of PARTS goes on,
+    and pieces that come again cost one look-up. Any other tokenizer encodes the texts whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -31,65 +64,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.by_parts = self._is_byte_level()
-        self.cache: dict[str, bytes] = {}
-
-    def _is_byte_level(self) -> bool:
-        import json
+        self.pieces = Pieces(self.tokenizer) if self._by_pieces() else None
 
+    def _by_pieces(self) -> bool:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        return (
-            spec["model"]["type"] == "BPE"
-            and spec.get("normalizer") is None
-            and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space", False)
-        )
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of new parts. Words after a space are encoded as one running text and told apart by their word numbers."""
-        words, rest = [], []
-        for p in parts:
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        for lo in range(0, len(words), 512):
-            some = words[lo : lo + 512]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            first = np.flatnonzero(np.diff(np.asarray(e.word_ids))) + 1
-            if len(first) + 1 != len(some):  # the library splits one of them otherwise
-                rest += some
-                continue
-            data, start = np.asarray(e.ids, dtype="<u4").tobytes(), 0
-            for part, end in zip(some, [*(first * 4).tolist(), 4 * len(e.ids)], strict=True):
-                self.cache[part] = data[start:end]
-                start = end
-        for lo in range(0, len(rest), 4096):
-            self.cache.update(zip(rest[lo : lo + 4096], self._whole(rest[lo : lo + 4096]), strict=True))
-
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut before spaces, where no part goes on; a text with other white space beside a space is cut by PARTS only."""
-        if not self.by_parts:
-            return self._whole(texts)
-        split = [PARTS.findall(t) if UNCUT.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        seen: set[str] = set()
-        for pieces in split:
-            seen.update(pieces)
-        seen.discard("")
-        new = [p for p in seen if p not in self.cache]
-        if len(self.cache) + len(new) > CACHED_PIECES:
-            self.cache = {p: self.cache[p] for p in seen if p in self.cache}
-        made = [(p, PARTS.findall(p)) for p in new if not p[1:].isalpha()]
-        parts = {p for p in new if p[1:].isalpha()}
-        parts.update(x for _, xs in made for x in xs)
-        self._learn([p for p in parts if p not in self.cache])
-        self.cache[""] = b""
-        get = self.cache.__getitem__
-        for piece, xs in made:
-            self.cache[piece] = b"".join(map(get, xs))
-        return [b"".join(map(get, pieces)) for pieces in split]
+        plain = spec["model"]["type"] == "BPE" and not spec["model"].get("byte_fallback") and spec.get("normalizer") is None
+        return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        if self.pieces is None:
+            return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        get, out = self.pieces.__getitem__, []
+        for text in texts:
+            cut = PARTS.findall(text) if any(x in text for x in UNCUT) else text.replace(" ", "\0 ").split("\0")
+            out.append(np.frombuffer(b"".join(map(get, filter(None, cut))), dtype="<u4"))
+        return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn."""
@@ -99,10 +89,10 @@ class Encoder:
             waiting.append(text)
             size += len(text)
             if size >= CHUNK_CHARS:
-                yield from (np.frombuffer(b, dtype="<u4") for b in self._chunk(waiting))
+                yield from self._chunk(waiting)
                 waiting, size = [], 0
         if waiting:
-            yield from (np.frombuffer(b, dtype="<u4") for b in self._chunk(waiting))
+            yield from self._chunk(waiting)
 
 
 @functools.lru_cache(maxsize=2)
