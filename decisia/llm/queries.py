@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisia.llm import exact, mixing, packing, pii, quality, substrings, token_files
+from decisia.llm import ann, exact, mixing, packing, pii, quality, substrings, token_files
 from decisia.llm.common import table, work_path
 from decisia.llm.encoding import tokenizer_path
 
@@ -36,6 +36,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
