@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisia.llm import ann, exact, jaccard, mixing, packing, pii, quality, substrings, token_files
+from decisia.llm import ann, exact, html, jaccard, mixing, packing, pii, quality, substrings, token_files
 from decisia.llm.common import table, work_path
 from decisia.llm.encoding import tokenizer_path
 
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_page_text": op6_page_text,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
