@@ -1,6 +1,6 @@
 """Substring dedup by super-k-mer partitioning of words.
 
-A window is 20 consecutive words. Its minimiser is the 4-word run in it with the least hash; consecutive windows that share a
+A window is 20 consecutive words. Its minimiser is the 3-word run in it with the least hash; consecutive windows that share a
 minimiser travel as one packed string (a super-k-mer, about nine windows) to the minimiser's bucket. Equal windows have equal
 minimisers and so meet in one bucket, where windows are sorted by hash, document and start; hashes are 64 bits and every
 match is compared word by word. A window that isn't the first of its run of equals covers its words; the covers go back to
@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisia.llm.common import partitions, text_of
+from decisia.llm.common import partitions, text_of, written
 from decisia.llm.words import Words, mixed, runs, sliding_min, within_texts
 
-WINDOW, MINIMISER = 20, 4
+WINDOW, MINIMISER = 20, 3
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 5_000_000
 NO_ID = -(2**63)
 
@@ -121,7 +121,7 @@ def hot_minimisers(rows: DataFrame, share: float) -> np.ndarray:
                 often = n > max(8, share / 2 * len(least))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array([0] * int(often.sum()) + [len(least)])], names=["m", "n", "total"])
 
-    found = rows.mapInArrow(count, "m long, n long, total long").groupBy("m").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = written(rows.mapInArrow(count, "m long, n long, total long").groupBy("m").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "minimisers")
     total = found.agg(F.sum("total")).first()[0] or 0
     return np.array([r["m"] for r in found.where(F.col("n") > share / 2 * total).select("m").collect()], np.int64).view(np.uint64)
 
@@ -132,7 +132,7 @@ def repeated_covers(rows: DataFrame, buckets: int) -> DataFrame:
     hot = np.sort(hot_minimisers(rows, share))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         for chunk in chunked(batches):
             if not len(chunk.at):
                 continue
