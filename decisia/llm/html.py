@@ -171,9 +171,9 @@ def unpack(data: bytes | None) -> list[int]:
 
 
 def gone(own: bytes, open_lines: bytes, *neighbours: bytes | None) -> list[int]:
-    """Numbers of the lines in the open that some neighbour shares."""
+    """Numbers of the lines in the open that some neighbour shares; one with all the same lines is a copy and tells nothing."""
     lines = unpack(own)
-    hit = set().union(*(shared(lines, unpack(n)) for n in neighbours if n))
+    hit = set().union(*(shared(lines, unpack(n)) for n in neighbours if n and n != own))
     return sorted(hit & set(unpack(open_lines)))
 
 
