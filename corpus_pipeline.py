@@ -1,8 +1,52 @@
-"""A corpus in stages: quality, exact copies, near copies, the mix of sources, packed sequences."""
+"""A training corpus in five stages: quality, exact copies, near copies, the mix of sources, packed sequences.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) that works on all that the stage before kept; run() writes each result as
+Parquet to the shared folder and reads it again as the next stage's documents. All but the last return the columns of
+documents. SQL can't express the classifier, so tests/llm compares run() with a plain version of the stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from decisia.llm import exact, jaccard, mixing, packing, quality
+from decisia.llm.common import table, written
+from decisia.llm.encoding import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the least id."""
+    return exact.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links join, the document with the least id."""
+    return jaccard.drop_near(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the words, by the target weights of domains, languages and sources."""
+    return mixing.mix_documents(docs, budget_share=0.8)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 ids."""
+    return packing.pack(docs, tokenizer_path(), end_id=1)
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("source mixing", mix_stage), ("packing", pack_stage)]
+
+#: SQL can express none of the stages that rest on the classifier's decisions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

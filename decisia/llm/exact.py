@@ -18,6 +18,7 @@ text are passed through by drop_copies and may bear any names.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,17 +141,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_mb: int = 64, **filters: int) -> DataFrame:
     """The documents that stay, with all their columns. Dropped ids are broadcast only if their number is within broadcast_mb, else joined."""
     groups = written(exact_groups(docs, id_col, text_col, **filters), "groups")
-    digest = F.sha2(normalised(text_col), 256)
-    lost = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = groups.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 and kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")) if groups.where("group_size > 1").limit(1).count() else None
-    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_sha", digest)
-    same = marked["_id"].eqNullSafe(F.col("l._id")) & (marked["_sha"] == F.col("l._sha"))
-    some = lost.distinct()
-    n = lost.count()
-    some = F.broadcast(some) if n * 96 <= broadcast_mb << 20 else some
-    stay = marked.join(some.alias("l"), same, "left_anti")
-    if again is not None and (again := written(again, "again")).limit(1).count():
-        # rows repeated as a whole: their ids are lost above as well as kept, and one of each comes back
-        back = marked.join(again.alias("l"), same, "left_semi").dropDuplicates(["_id", "_sha"])
-        stay = stay.unionByName(back)
-    return stay.drop("_id", "_sha")
+    row, sha = f"_id_{uuid.uuid4().hex}", f"_sha_{uuid.uuid4().hex}"  # no name that docs may have
+    marked = docs.withColumn(row, F.col(id_col).cast("long")).withColumn(sha, F.sha2(normalised(text_col), 256))
+
+    def joined(some: DataFrame, how: str) -> DataFrame:
+        return marked.join(some, marked[row].eqNullSafe(some["doc_id"]) & (marked[sha] == some["text_sha256"]), how)
+
+    lost = groups.where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    stay = joined(F.broadcast(lost) if lost.count() * 96 <= broadcast_mb << 20 else lost, "left_anti")
+    again = groups.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 and kept").select("doc_id", "text_sha256")
+    if again.limit(1).count():  # rows repeated as a whole are both lost and kept: one of each comes back
+        stay = stay.unionByName(joined(again, "left_semi").dropDuplicates([row, sha]))
+    return stay.drop(row, sha)

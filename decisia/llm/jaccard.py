@@ -361,3 +361,11 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 100_0
     of = points.join(labels, points["id"] == labels["v"], "left").select("sig", F.coalesce("label", "id").alias("component"))
     with_id = first.where("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     return with_id.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, per_cent: int = 80, broadcast_mb: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay: of each component that with the least id, and those without an id, with all their columns."""
+    found = written(near_components(docs, per_cent, id_col=id_col, text_col=text_col), "components")
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    lost = F.broadcast(lost) if lost.count() * 16 <= broadcast_mb << 20 else lost
+    return docs.join(lost, docs[id_col].cast("long") == lost["_id"], "left_anti")
