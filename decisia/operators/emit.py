@@ -73,8 +73,9 @@ def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
         answer(F.map_from_arrays(levels, F.transform(F.sequence(F.lit(0), F.size("options") - 1), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0)))).alias("gold"),
     )
     noul = candidates.where(F.col("kind") == "noul")
-    keys = F.array(F.lit("false"), F.lit("true"))
-    nouls = noul.select(*head, json_of(F.col("state")).alias("state"), question(F.col("kind"), F.col("instructions"), F.map_from_arrays(keys, "options")).alias("questions"), answer(F.map_from_arrays(keys, F.array(1 - F.col("p"), F.col("p")))).alias("gold"))
+    pair = lambda no, yes: F.create_map(F.lit("false"), no, F.lit("true"), yes)
+    criteria = pair(F.try_element_at("options", F.lit(1)), F.try_element_at("options", F.lit(2)))
+    nouls = noul.select(*head, json_of(F.col("state")).alias("state"), question(F.col("kind"), F.col("instructions"), criteria).alias("questions"), answer(pair(1 - F.col("p"), F.col("p"))).alias("gold"))
     return choices.unionByName(scores).unionByName(nouls).where(~text.has_leak(F.col("state")))
 
 

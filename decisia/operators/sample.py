@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decisia.functions import rand
+from decisia.sources.shared import durable
 
 
 def reservoir(df: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
@@ -48,7 +49,8 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds row_number (from 0) over the whole order without one task for all rows: range partitions, counts of each, prefix sums."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # kept as a table, since ranges drawn anew for a second reading could differ
+    ranged = durable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     bases = counts.withColumn("_base", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).select("_part", "_base")
     within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
