@@ -15,17 +15,22 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "
 
 def first_seen(events: DataFrame, key: str, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return _timed(events, time, late).dropDuplicatesWithinWatermark([key])
+
+
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Event time as an instant, with its watermark."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
 def windowed(events: DataFrame, value: str, kind: str, size: str = "1 hour", slide: str | None = None, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Counts and sums by time window and kind: tumbling, or sliding where slide is given."""
     spans = F.window(time, size, slide) if slide else F.window(time, size)
-    return events.withWatermark(time, late).groupBy(spans.alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "total")
+    return _timed(events, time, late).groupBy(spans.alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "total")
 
 
 def sessions(events: DataFrame, user: str, gap: str = "30 minutes", time: str = "ts", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
+    return _timed(events, time, late).groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
 
 
 def grow_keys(rows: DataFrame, keys_path: str, accept: Callable[[DataFrame, int], None], key: str = "key"):
