@@ -218,3 +218,51 @@ def suite(df: DataFrame, config: Column, branches: dict[str, Callable[[DataFrame
         made = branch(df.where(config == name))
         out = made if out is None else out.unionByName(made)
     return out
+
+
+@adapter("graded")
+def graded(df, guid, workflow, language, first, second, score, levels, instructions="How alike are the texts?"):
+    """A real score to the nearest level, halves to the even one, clamped to the list."""
+    level = F.least(F.lit(len(levels) - 1), F.greatest(F.lit(0), F.bround(score.cast("double")).cast("int")))
+    return candidates(df, guid, workflow, "score", instructions, state_of(language, text=clean(first), text_2=clean(second)), texts(levels), level, ok=score.isNotNull())
+
+
+def soft_values(soft: Column, keys: Column) -> Column:
+    """A soft label, JSON of a map or a list over keys, as values that sum to one in the order of keys; null where it doesn't fit or sums to zero."""
+    fields, items = F.from_json(soft, "map<string,double>"), F.from_json(soft, "array<double>")
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json(soft)), F.lit(""))
+    values = F.when(kind.startswith("OBJECT"), F.transform(keys, lambda k: F.coalesce(F.try_element_at(fields, k), F.lit(0.0)))).when(kind.startswith("ARRAY") & (F.size(items) == F.size(keys)), items)
+    sums = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.when(sums > 0, F.transform(values, lambda v: v / sums))
+
+
+def soft_truth(soft: Column, label: Column) -> Column:
+    """The share of true from a boolean, a number or a map with true; 'None' and null leave the label's own."""
+    text = F.lower(F.trim(soft))
+    number = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(F.coalesce(text.try_cast("double"), F.try_element_at(F.from_json(soft, "map<string,double>"), F.lit("true"))))
+    return F.coalesce(F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))), F.when(F.lower(label).isin("true", "yes", "1"), 1.0).when(F.lower(label).isin("false", "no", "0"), 0.0))
+
+
+def typed_corpus(df: DataFrame, most_options: int = 32, most_levels: int = 8, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, source, primitive, state, instructions, options, label, soft_label) of a corpus that has the three types already.
+
+    Gives guid, workflow, kind, instructions, state, options and probs: soft where soft_label reads as a distribution, else one-hot. Rows
+    with too many options or levels, of skipped sources, or without a usable gold go.
+    """
+    rows = df.where(~F.col("source").isin(*skip)) if skip else df
+    keys = F.when(F.col("primitive") == "score", F.transform(F.sequence(F.lit(0), F.size("options") - 1), lambda i: i.cast("string"))).otherwise(F.col("options"))
+    at = F.when(F.col("primitive") == "score", F.coalesce(F.col("label").try_cast("int"), F.array_position("options", F.col("label")).cast("int") - 1)).otherwise(F.array_position("options", F.col("label")).cast("int") - 1)
+    hot = F.when(at.between(0, F.size("options") - 1), F.transform(F.sequence(F.lit(0), F.size("options") - 1), lambda i: F.when(i == at, 1.0).otherwise(0.0)))
+    truth = soft_truth(F.col("soft_label"), F.col("label"))
+    probs = F.when(F.col("primitive") == "noul", F.when(truth.isNotNull(), F.array(1 - truth, truth))).otherwise(F.coalesce(soft_values(F.col("soft_label"), keys), hot))
+    fits = F.when(F.col("primitive") == "choice", F.size("options").between(2, most_options)).when(F.col("primitive") == "score", F.size("options").between(2, most_levels)).otherwise(F.col("primitive") == "noul")
+    made = rows.where(fits).select(F.col("id").cast("string").alias("guid"), F.col("source").alias("workflow"), F.col("primitive").alias("kind"), "instructions", "state", "options", probs.alias("probs"))
+    return made.where("probs is not null")
+
+
+def guid(name: str, config: Column, split: Column, number: Column) -> Column:
+    return F.concat_ws("/", F.lit(name), config, split, number.cast("string"))
+
+
+def workflow_of(template: str, config: Column) -> Column:
+    return F.replace(F.lit(template), F.lit("{config}"), config)

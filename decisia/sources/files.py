@@ -185,3 +185,35 @@ def spec_json(specs: list[SourceSpec]) -> str:
 
 def local_files(root: str, pattern: str) -> list[str]:
     return [str(p) for p in sorted(Path(root).glob(pattern))]
+
+
+PREDICTIONS = (
+    "predictions array<struct<id string, workflow string, latency_ms double, questions map<string,struct<type string>>, "
+    "pred map<string,struct<probabilities map<string,double>, distribution map<string,double>, noul double>>, gold map<string,struct<probabilities map<string,double>>>>>"
+)
+RESULTS = "task_id string, correct boolean, ok boolean, latency_s double, usage struct<input_tokens bigint>, probs map<string,double>"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """A prediction document to one row a question: id, workflow, qid, qtype, keys and g in the gold's order, p beside it (null without a prediction), latency_ms."""
+    each = spark.read.schema(PREDICTIONS).option("multiLine", "true").json(path).select(F.explode("predictions").alias("r")).select("r.*")
+    asked = each.select("id", "workflow", "latency_ms", "questions", "pred", F.explode("gold").alias("qid", "gold"))
+    said = F.try_element_at("pred", "qid")
+    p = F.coalesce(said["probabilities"], said["distribution"], F.when(said["noul"].isNotNull(), F.create_map(F.lit("false"), 1 - said["noul"], F.lit("true"), said["noul"])))
+    keys = F.map_keys("gold.probabilities")
+    return asked.select("id", "workflow", "qid", F.try_element_at("questions", "qid")["type"].alias("qtype"), keys.alias("keys"), F.map_values("gold.probabilities").alias("g"), F.when(p.isNotNull(), F.transform(keys, lambda k: F.coalesce(F.try_element_at(p, k), F.lit(0.0)))).alias("p"), "latency_ms")
+
+
+def read_results(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame:
+    """Benchmark results with their tasks (task_id, tier, gold_probs); a result without a task is an error."""
+    results = spark.read.schema(RESULTS).json(path)
+    lost = results.join(tasks, "task_id", "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} results have no task")
+    return results.join(tasks, "task_id")
+
+
+def write_evaluation(spark: SparkSession, rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """The raw predictions as a table and the summary's one row as a document beside it."""
+    rows.write.mode("overwrite").parquet(path)
+    write_sidecar(spark, f"{path}.summary.json", summary.first().asDict(recursive=True))

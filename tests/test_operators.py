@@ -218,3 +218,35 @@ def test_streams(spark, sf, tmp_path):
     assert sorted(accepted) == ["click", "error", "purchase", "signup"]
 
 
+
+
+def test_typed_corpus(spark):
+    rows = [
+        ("1", "s", "choice", "st", "i", ["a", "b"], "b", None), ("2", "s", "choice", "st", "i", ["a", "b"], "b", '{"a":1,"b":3}'), ("3", "s", "choice", "st", "i", ["a", "b"], "z", "[0,0]"),
+        ("4", "s", "score", "st", "i", ["lo", "hi"], "1", "[1, 1]"), ("5", "s", "noul", "st", "i", None, "yes", "None"), ("6", "s", "noul", "st", "i", None, "no", "0.7"), ("7", "s", "noul", "st", "i", None, "", "true"),
+        ("8", "big", "choice", "st", "i", ["a", "b"], "b", None), ("9", "s", "score", "st", "i", [str(i) for i in range(9)], "1", None),
+    ]
+    df = spark.createDataFrame(rows, "id string, source string, primitive string, state string, instructions string, options array<string>, label string, soft_label string")
+    got = {r["guid"]: [round(p, 2) for p in r["probs"]] for r in shapes.typed_corpus(df, skip=("big",)).collect()}
+    assert got == {"1": [0, 1], "2": [0.25, 0.75], "4": [0.5, 0.5], "5": [0, 1], "6": [0.3, 0.7], "7": [0, 1]}
+    level = shapes.graded(spark.createDataFrame([(2.5,), (9.0,), (-1.0,), (None,)], "s double"), F.lit("g"), F.lit("w"), F.lit("ko"), F.lit("a"), F.lit("b"), F.col("s"), [str(i) for i in range(6)])
+    assert [r["label"] for r in level.collect()] == [2, 5, 0]
+    name = spark.range(1).select(shapes.guid("n", F.lit("c"), F.lit("train"), F.col("id")).alias("g"), shapes.workflow_of("w-{config}", F.lit("c")).alias("w")).first()
+    assert tuple(name) == ("n/c/train/0", "w-c")
+
+
+def test_predictions_and_results(spark, tmp_path):
+    doc = {"predictions": [{"id": "a", "workflow": "w", "latency_ms": 5.0, "questions": {"q": {"type": "choice"}}, "pred": {"q": {"probabilities": {"B": 0.75, "A": 0.25}}}, "gold": {"q": {"probabilities": {"A": 1.0, "B": 0.0}}}},
+                           {"id": "b", "workflow": "w", "latency_ms": 7.0, "questions": {"q": {"type": "noul"}}, "pred": {"q": {"noul": 0.9}}, "gold": {"q": {"probabilities": {"false": 0.0, "true": 1.0}}, "r": {"probabilities": {"A": 1.0}}}}]}
+    (tmp_path / "p.json").write_text(json.dumps(doc))
+    rows = files.read_predictions(spark, str(tmp_path / "p.json"))
+    assert {(r["id"], r["qid"]): r["p"] and [round(x, 2) for x in r["p"]] for r in rows.collect()} == {("a", "q"): [0.25, 0.75], ("b", "q"): [0.1, 0.9], ("b", "r"): None}
+    summary = metrics.summary(rows, (F.array_position("g", F.array_max("g")) - 1).cast("int"))
+    assert summary.first()["skipped"] == 1 and summary.first()["accuracy"] == 0.5
+    files.write_evaluation(spark, rows, summary, str(tmp_path / "out"))
+    assert files.read_sidecar(spark, f"{tmp_path}/out.summary.json")["decisions"] == 2
+    (tmp_path / "r.jsonl").write_text('{"task_id":"t1","correct":true,"latency_s":0.5,"usage":{"input_tokens":3},"probs":{"a":1.0}}\n')
+    tasks = spark.createDataFrame([("t1", "easy")], "task_id string, tier string")
+    assert files.read_results(spark, str(tmp_path / "r.jsonl"), tasks).first()["tier"] == "easy"
+    with pytest.raises(ValueError):
+        files.read_results(spark, str(tmp_path / "r.jsonl"), tasks.limit(0))
