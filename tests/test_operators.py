@@ -250,3 +250,11 @@ def test_predictions_and_results(spark, tmp_path):
     assert files.read_results(spark, str(tmp_path / "r.jsonl"), tasks).first()["tier"] == "easy"
     with pytest.raises(ValueError):
         files.read_results(spark, str(tmp_path / "r.jsonl"), tasks.limit(0))
+
+
+def test_catalog_of_sources():
+    from decisia.sources.specs import catalog
+
+    specs = catalog()
+    assert len(specs) == len({s.name for s in specs}) == 99
+    assert all(s.shape in shapes.ADAPTERS or s.shape == "suite" for s in specs)
