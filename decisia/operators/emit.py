@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decisia.functions import rand, text
+from decisia.functions.once import once
 from decisia.operators.shapes import LETTERS
 
 MOST_SHOWN, FEWEST, MOST = 6, 2, 16
@@ -33,14 +34,14 @@ def distractors(options: Column, label: Column, state_text: Column, guid: Column
 def shown(candidates: DataFrame, seed: int = 7, low: int = 3, high: int = 5, bucket: bool = False) -> DataFrame:
     """Adds shown (options in display order) and gold (display place, from 0) to choice rows; rows without enough distractors go."""
     tidy = F.transform("options", lambda o: text.clean(o))
-    rows = candidates.where(F.col("kind") == "choice").withColumn("options", tidy)
+    rows = once(candidates.where(F.col("kind") == "choice"), options=tidy)
     rows = rows.where(~F.array_contains("options", "") & (F.size(F.array_distinct("options")) == F.size("options")))
     guid, label = F.col("guid"), F.col("label")
     others = distractors(F.col("options"), label, F.array_join(F.map_values("state"), " "), guid, low, high, seed, bucket)
     every = F.sequence(F.lit(0), F.size("options") - 1)
     places = F.when(F.size("options") <= MOST_SHOWN, every).otherwise(F.concat(F.array(label), others))
-    rows = rows.withColumn("places", F.transform(rand.permuted(places, guid, seed), lambda x: x["item"])).where(F.col("places").isNotNull())
-    return rows.withColumn("shown", F.transform("places", lambda i: F.element_at("options", i + 1))).withColumn("gold", (F.array_position("places", label) - 1).cast("int")).drop("places")
+    rows = once(rows, places=F.transform(rand.permuted(places, guid, seed), lambda x: x["item"])).where(F.col("places").isNotNull())
+    return once(rows, shown=F.transform("places", lambda i: F.element_at("options", i + 1)), gold=(F.array_position("places", label) - 1).cast("int")).drop("places")
 
 
 def lettered(options: Column) -> Column:
@@ -62,7 +63,8 @@ def answer(probabilities: Column) -> Column:
 def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
     """Rows that leak their answer, or whose choices aren't 2 to 16, go."""
     choice = shown(candidates, seed, **draw)
-    criteria = lettered(F.col("shown"))
+    choice = once(choice, criteria=lettered(F.col("shown")))
+    criteria = F.col("criteria")
     one_hot = F.map_from_arrays(F.map_keys(criteria), F.transform(F.sequence(F.lit(0), F.size("shown") - 1), lambda i: F.when(i == F.col("gold"), 1.0).otherwise(0.0)))
     head = ["guid", "workflow"]
     choices = choice.where(F.size("shown").between(FEWEST, MOST)).select(*head, json_of(F.struct(F.col("state"), criteria.alias("choices"))).alias("state"), question(F.col("kind"), F.col("instructions"), criteria).alias("questions"), answer(one_hot).alias("gold"))
@@ -76,7 +78,8 @@ def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
     pair = lambda no, yes: F.create_map(F.lit("false"), no, F.lit("true"), yes)
     criteria = pair(F.try_element_at("options", F.lit(1)), F.try_element_at("options", F.lit(2)))
     nouls = noul.select(*head, json_of(F.col("state")).alias("state"), question(F.col("kind"), F.col("instructions"), criteria).alias("questions"), answer(pair(1 - F.col("p"), F.col("p"))).alias("gold"))
-    return choices.unionByName(scores).unionByName(nouls).where(~text.has_leak(F.col("state")))
+    made = once(choices.unionByName(scores).unionByName(nouls), leaky=text.has_leak(F.col("state")))
+    return made.where("not leaky").drop("leaky")
 
 
 def hard_negatives(labels: DataFrame, name: str = "label", most: int = 30, separator: str = "_") -> DataFrame:

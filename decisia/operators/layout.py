@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decisia.functions import rand
+from decisia.functions.once import once
 from decisia.functions.vectors import total
 from decisia.operators.sample import numbered
 
@@ -154,9 +155,10 @@ def training_items(rows: DataFrame, most: int = 4096, head: int = 256) -> DataFr
     word_ids = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[^ \t\n\r\f]+"), 0), lambda w: (F.crc32(w) % 50000 + 3).cast("int"))
     texts = F.transform(F.arrays_zip("keys", F.coalesce("texts", "keys").alias("texts")), lambda z: F.concat_ws(" ", z["keys"], z["texts"]))
     options = F.transform(texts, lambda t: F.concat(F.array(F.lit(1)), word_ids(t)))
-    sizes = F.transform(options, F.size)
-    markers = F.transform(F.sequence(F.lit(0), F.size(options) - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    made = rows.withColumn("head", F.flatten(options)).withColumn("markers", markers).where(F.size("head") <= head)
+    rows = once(rows, _options=options)
+    sizes = F.transform("_options", F.size)
+    markers = F.transform(F.sequence(F.lit(0), F.size("_options") - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    made = once(rows, head=F.flatten("_options"), markers=markers).where(F.size("head") <= head)
     ids = F.slice(F.concat("head", F.array(F.lit(2)), word_ids(F.col("norm"))), 1, most)
     qtype = F.when(F.col("qtype") == "choice", 0).when(F.col("qtype") == "score", 1).otherwise(2).cast("tinyint")
     return made.select("guid", ids.alias("ids"), "markers", qtype.alias("qtype"), F.col("probs").alias("target"), (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("label"))

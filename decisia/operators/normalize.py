@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisia.functions import text
+from decisia.functions.once import once
 from decisia.functions.vectors import total
 
 FEWEST, MOST, TINY = 2, 16, 10
@@ -22,19 +23,22 @@ def kind_of(c: Column) -> Column:
 
 def parsed(df: DataFrame) -> DataFrame:
     """The row with its parts as columns: qid, type, criteria (keys and texts in order), gold keys and values; what can't be read is null."""
-    questions, golds = F.from_json("questions", MAP), F.from_json("gold", MAP)
-    qid = F.try_element_at(F.map_keys(questions), F.lit(1))
-    out = df.withColumn("_q", questions).withColumn("_g", golds).withColumn("qid", qid)
-    out = out.withColumn("_question", F.from_json(F.try_element_at("_q", "qid"), MAP)).withColumn("_probs", F.try_element_at(F.from_json(F.try_element_at("_g", "qid"), MAP), F.lit("probabilities")))
-    out = out.withColumn("qtype", F.try_element_at("_question", F.lit("type"))).withColumn("instructions", F.try_element_at("_question", F.lit("instructions"))).withColumn("_criteria", F.try_element_at("_question", F.lit("criteria")))
-    out = out.withColumn("criteria_kind", F.when(F.col("_criteria").isNull(), "none").when(kind_of(F.col("_criteria")).startswith("OBJECT"), "map").when(kind_of(F.col("_criteria")).startswith("ARRAY"), "list").otherwise("other"))
-    fields, items = F.from_json("_criteria", MAP), F.from_json("_criteria", LIST)
-    ordinals = F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: i.cast("string"))
-    out = out.withColumn("keys", F.when(F.col("criteria_kind") == "map", F.map_keys(fields)).when((F.col("criteria_kind") == "list") & (F.size(items) > 0), ordinals))
-    out = out.withColumn("texts", F.when(F.col("criteria_kind") == "map", F.map_values(fields)).when(F.col("criteria_kind") == "list", items))
-    probabilities = F.from_json("_probs", MAP)
-    out = out.withColumn("gold_keys", F.when(kind_of(F.col("_probs")).startswith("OBJECT"), F.map_keys(probabilities)))
-    return out.withColumn("gold_values", F.transform(F.map_values(probabilities), lambda v: v.try_cast("double")))
+    out = once(df, _q=F.from_json("questions", MAP), _g=F.from_json("gold", MAP), _read=is_json(F.col("state")) & is_json(F.col("questions")) & is_json(F.col("gold")))
+    qid = F.try_element_at(F.map_keys("_q"), F.lit(1))
+    out = once(out, qid=qid, _question=F.from_json(F.try_element_at("_q", qid), MAP), _probs=F.try_element_at(F.from_json(F.try_element_at("_g", qid), MAP), F.lit("probabilities")))
+    part = lambda name: F.try_element_at("_question", F.lit(name))
+    kind = kind_of(part("criteria"))
+    out = once(
+        out, qtype=part("type"), instructions=part("instructions"),
+        criteria_kind=F.when(part("criteria").isNull(), "none").when(kind.startswith("OBJECT"), "map").when(kind.startswith("ARRAY"), "list").otherwise("other"),
+        _fields=F.from_json(part("criteria"), MAP), _items=F.from_json(part("criteria"), LIST), _probabilities=F.when(kind_of(F.col("_probs")).startswith("OBJECT"), F.from_json("_probs", MAP)),
+    )
+    ordinals = F.transform(F.sequence(F.lit(0), F.size("_items") - 1), lambda i: i.cast("string"))
+    is_map, is_list = F.col("criteria_kind") == "map", F.col("criteria_kind") == "list"
+    return once(
+        out, keys=F.when(is_map, F.map_keys("_fields")).when(is_list & (F.size("_items") > 0), ordinals), texts=F.when(is_map, F.map_values("_fields")).when(is_list, F.col("_items")),
+        gold_keys=F.map_keys("_probabilities"), gold_values=F.transform(F.map_values("_probabilities"), lambda v: v.try_cast("double")),
+    )
 
 
 def reason() -> Column:
@@ -57,7 +61,7 @@ def reason() -> Column:
     by_type = F.when(F.col("qtype") == "choice", choice).when(F.col("qtype") == "score", score).when(F.col("qtype") == "noul", noul).otherwise("unknown_qtype")
     bad = F.coalesce(gold.isNull() | (F.size(gold) == 0) | F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
     return (
-        F.when(~(is_json(F.col("state")) & is_json(F.col("questions")) & is_json(F.col("gold"))), "bad_json")
+        F.when(~F.col("_read"), "bad_json")
         .when(~(kind_of(F.col("questions")).startswith("OBJECT") & kind_of(F.col("gold")).startswith("OBJECT")) | (F.size("_q") != 1), "bad_shape")
         .when(~F.map_contains_key("_g", F.col("qid")), "gold_qid_missing")
         .when(bad, "bad_gold")
@@ -66,7 +70,7 @@ def reason() -> Column:
         .when(by_type.isNotNull(), by_type)
         .when(text.forbidden_key(F.col("state")), "forbidden_state_key")
         .when(text.has_leak(F.col("state")), "answer_marker_in_state")
-        .when(F.length(text.norm_state(F.col("state"))) < TINY, "empty_state")
+        .when(F.length("norm") < TINY, "empty_state")
     )
 
 
@@ -75,20 +79,16 @@ def normalised(df: DataFrame, rescale: bool = True) -> DataFrame:
 
     Score levels come in the order of their numbers; the question is called decision whatever its name was.
     """
-    rows = parsed(df)
-    rows = rows.withColumn("reason", reason()).withColumn("norm", text.norm_state(F.col("state")))
-    order = F.when((F.col("qtype") == "score") & (F.col("criteria_kind") == "map"), F.transform(F.array_sort(F.transform("keys", lambda k: k.try_cast("int"))), lambda i: i.cast("string"))).otherwise(F.coalesce("keys", "gold_keys"))
-    rows = rows.withColumn("_order", order)
+    rows = once(parsed(df), norm=text.norm_state(F.col("state")))
+    by_number = (F.col("qtype") == "score") & (F.col("criteria_kind") == "map")
+    ordinal = F.transform(F.array_sort(F.transform("keys", lambda k: k.try_cast("int"))), lambda i: i.cast("string"))
+    rows = once(rows, reason=reason(), _order=F.when(by_number, ordinal).otherwise(F.coalesce("keys", "gold_keys")))
     texts = F.transform("_order", lambda k: F.try_element_at("texts", F.array_position("keys", k).cast("int")))
     values = F.transform("_order", lambda k: F.try_element_at("gold_values", F.array_position("gold_keys", k).cast("int")))
-    notes = F.filter(
-        F.array(
-            F.when((F.col("qtype") == "score") & (F.col("criteria_kind") == "map"), "score_dict_to_list"), F.when(F.col("qid") != "decision", "qid_renamed"),
-            F.when(F.abs(total(F.col("gold_values")) - 1) > 1e-9, "gold_rescaled"),
-        ),
-        lambda n: n.isNotNull(),
-    )
     kept = F.col("reason").isNull()
-    sums = F.transform(values, lambda v: v / total(values)) if rescale else values
-    out = rows.withColumn("_texts", F.when(kept, texts)).withColumn("probs", F.when(kept, F.when(F.abs(total(values) - 1) > 1e-9, sums).otherwise(values))).withColumn("notes", F.when(kept, notes))
-    return out.withColumn("keys", F.when(kept, F.col("_order"))).withColumn("texts", F.col("_texts")).drop("_q", "_g", "_question", "_probs", "_criteria", "_order", "_texts", "gold_values", "gold_keys")
+    rows = once(rows, _texts=F.when(kept, texts), _values=F.when(kept, values), _sum=total(F.col("gold_values")))
+    off = F.abs(F.col("_sum") - 1) > 1e-9
+    notes = F.array(F.when(by_number, "score_dict_to_list"), F.when(F.col("qid") != "decision", "qid_renamed"), F.when(off, "gold_rescaled"))
+    probs = F.when(off, F.transform("_values", lambda v: v / F.col("_sum"))).otherwise(F.col("_values")) if rescale else F.col("_values")
+    out = once(rows, probs=probs, notes=F.when(kept, F.filter(notes, lambda n: n.isNotNull())), keys=F.when(kept, F.col("_order")), texts=F.col("_texts"))
+    return out.drop("_q", "_g", "_read", "_question", "_probs", "_fields", "_items", "_probabilities", "_order", "_texts", "_values", "_sum", "gold_values", "gold_keys")
