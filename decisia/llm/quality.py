@@ -27,7 +27,7 @@ from decisia.llm.words import Words
 
 TRIGRAMS, SHAPES, FACTS = 2048, 1024, 128
 TERMS = TRIGRAMS + SHAPES + FACTS
-CHUNK_BYTES, BLOCK = 2_000_000, 256
+CHUNK_BYTES, BLOCK = 1_000_000, 256
 
 #: Character classes: letters, capitals, digits, blanks, line ends, and each other sign its own.
 CLASSES = np.arange(256, dtype=np.uint32)
@@ -80,6 +80,15 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def leading(x: np.ndarray, dims: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start: memory of a few blocks of dims columns."""
+    q = np.random.Generator(np.random.PCG64(11)).standard_normal((x.shape[1], min(dims + 16, x.shape[1])), dtype=np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ v.T)[:, :dims])
+
+
 class Model:
     """idf, projection (terms by dims), unit vectors and labels of the sample."""
 
@@ -87,8 +96,7 @@ class Model:
         self.neighbours, self.power, self.labels = neighbours, power, labels.astype(np.float32)
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         x = weighted(x, self.idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64)) if len(x) > 1 else (None, np.eye(TERMS)[:, ::-1])
-        self.projection = np.ascontiguousarray(vectors[:, ::-1][:, : min(dims, len(x))], dtype=np.float32)
+        self.projection = leading(x, min(dims, len(x)))
         self.vectors = self.unit(x)
 
     def unit(self, x: np.ndarray) -> np.ndarray:
@@ -135,8 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = sample.mapInArrow(run, "label int, x binary").limit(2 * max_labelled).toArrow()
     if not rows.num_rows:
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    y = rows["label"].to_numpy()
+    x, y = np.empty((rows.num_rows, TERMS), np.float32), rows["label"].to_numpy()
+    for i, row in enumerate(rows["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del rows
     order = np.lexsort((np.ascontiguousarray(x).view(np.uint32).sum(axis=1), y))  # the same model in whatever order rows come
     return Model(x[order], y[order], dims, neighbours, power)
 
