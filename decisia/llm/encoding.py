@@ -10,6 +10,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
+from decisia.llm.memory import thrifty
+
+thrifty()
+
 #: Code points encoded in one call, and pieces kept in the cache of one worker process.
 CHUNK_CHARS, CACHED_PIECES = 1_000_000, 500_000
 

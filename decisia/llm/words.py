@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
+from decisia.llm.memory import thrifty
+
+thrifty()
+
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+BLOCK_BYTES = 500_000
+
 _random = np.random.Generator(np.random.PCG64(20240607))
 LETTERS = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,16 +58,24 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, np.uint64)
-        lo = int(self.start[0])
-        size = np.diff(np.append(self.start, len(self.buf)))
-        within = np.arange(lo, len(self.buf), dtype=np.int64)
-        within -= np.repeat(self.start, size)
-        value = LETTERS[self.buf[lo:]]
-        value *= powers(int(size.max()) + 1)[within]
-        value[self.space[lo:]] = 0
-        return mixed(np.add.reduceat(value, self.start - lo))
+        """Words are taken a block at a time, since eight bytes a letter are at work."""
+        out = np.empty(len(self.start), np.uint64)
+        if not len(out):
+            return out
+        first = 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(self.start, self.start[first] + BLOCK_BYTES)))
+            start = self.start[first:last]
+            lo, hi = int(start[0]), int(self.end[last - 1])
+            size = np.diff(np.append(start, hi))
+            within = np.arange(lo, hi, dtype=np.int32 if hi < 1 << 31 else np.int64)
+            within -= np.repeat(start.astype(within.dtype), size)
+            value = LETTERS[self.buf[lo:hi]]
+            value *= powers(int(size.max()) + 1)[within]
+            value[self.space[lo:hi]] = 0
+            out[first:last] = mixed(np.add.reduceat(value, start - lo))
+            first = last
+        return out
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
