@@ -24,10 +24,10 @@ def per_source(df: DataFrame, source: str, key: str, budgets: DataFrame, seed: i
     """As many rows of each source as budgets(source, budget) allows, by order key. A cut of the digest per source, found by counting,
     leaves only rows near it to be ranked, so that no source is ever sorted whole."""
     rows = df.withColumn("_o", rand.order_key(F.col(key), seed)).withColumn("_cell", F.substring("_o", 1, 3))
-    counts = rows.groupBy(source, "_cell").agg(F.count("*").alias("_n")).join(F.broadcast(budgets), source)
+    counts = rows.groupBy(source, "_cell").agg(F.count("*").alias("_n")).join(budgets, source)
     upto = F.sum("_n").over(W.partitionBy(source).orderBy("_cell"))
     cells = counts.withColumn("_upto", upto).withColumn("_room", F.col("budget") - F.col("_upto") + F.col("_n")).where("_room > 0").select(source, "_cell", "_room", (F.col("_upto") <= F.col("budget")).alias("_whole"))
-    near = rows.join(F.broadcast(cells), [source, "_cell"])
+    near = rows.join(cells, [source, "_cell"])
     some = near.where(~F.col("_whole")).withColumn("_r", F.row_number().over(W.partitionBy(source, "_cell").orderBy("_o", key))).where(F.col("_r") <= F.col("_room")).drop("_r")
     return near.where("_whole").unionByName(some).drop("_o", "_cell", "_room", "_whole")
 
@@ -35,10 +35,9 @@ def per_source(df: DataFrame, source: str, key: str, budgets: DataFrame, seed: i
 def soft_cap(df: DataFrame, soft: Column, key: str, share: float, seed: int = 7) -> DataFrame:
     """All hard rows, and of the soft ones at most the share of all rows, by order key."""
     rows = df.withColumn("_soft", soft)
-    n = rows.agg(F.floor(F.count("*") * F.lit(share)).cast("int").alias("_most"))
-    most = n.first()["_most"]
-    kept = rows.where("_soft").orderBy(rand.order_key(F.col(key), seed), key).limit(most)
-    return rows.where(~F.col("_soft")).unionByName(kept).drop("_soft")
+    budget = rows.agg(F.floor(F.count("*") * F.lit(share)).cast("long").alias("budget")).withColumn("_all", F.lit(1))
+    kept = per_source(rows.where("_soft").withColumn("_all", F.lit(1)), "_all", key, budget, seed)
+    return rows.where(~F.col("_soft")).unionByName(kept.drop("_all")).drop("_soft")
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
