@@ -6,15 +6,19 @@ to its own shingles, ties going to the rarer in one fixed order. A set's home is
 obeys the triangle inequality, so a set within r of it can miss only n - ceil(0.8 n) of its shingles and has its home among
 the next ones: the set is replicated to the regions of just so many pivots after its home (the window).
 
-A region of few sets is joined pair by pair, under the windows of sizes and of places in the order. A larger region takes
-some of its documents as pivots, joins every member to them, and goes on with what is left: members that exact links have
-already put in one component need no more; all others are dealt into the Voronoi cells of the region's pivots, replicated to
-each cell j with d(x, p_j) <= d(x, home) + 2 r, and joined there. Before sets are compared, counts of shingles in 64 classes
-(a mapping that shrinks the symmetric difference) exclude most pairs beyond r. What remains is compared set by set.
-
-Scale: copies (equal sets) are one point. The order puts shingles found often in some batch of documents last, by their
-counts over all documents; the list is bounded (max_common), and whatever is in it, results are the same. Regions of listed
-shingles are salted over tasks. Sets travel only for documents in some candidate pair, found by a Bloom filter of bounded
+A region of few sets is paired under the windows of sizes and of places in the order, and by counts of shingles in 64 classes
+(a mapping that shrinks the symmetric difference, so what it puts beyond r is beyond r). A larger region hangs together as a
+whole. What hangs together travels, each set once, to one task, which joins it recursively: documents as pivots, every member
+compared with each; members within r of a pivot are linked; all are dealt into the Voronoi cells of their nearest pivots and
+replicated to each cell j with d(x, p_j) <= d(x, home) + 2 r; cells whose members are one component already are done, others
+are divided again, and those that are small, or don't get smaller, are joined pair by pair.
+
+Groups of too many shingles for a task go another way: members are compared with pivots of their regions, salted over tasks;
+those left outside the region's main component are dealt into the Voronoi cells by a join and compared there.
+
+Scale: copies (equal sets) are one point. The order puts shingles of more sets than a leaf holds last, by their counts over all
+documents; the list of them is bounded (max_common, the commonest), and whatever is in it, results are the same. Regions of
+the very common ones are salted over tasks. Sets travel only for documents in some candidate pair, found by a Bloom filter of bounded
 size on the second reading; a set compared with very many is replicated, not gathered. Components are found by joins.
 
 Shingle hashes have 64 bits, which at these numbers do not meet by chance. Cases: null and empty texts have no shingles and
@@ -38,8 +42,8 @@ from decisia.llm.components import components
 from decisia.llm.words import Words, mixed, runs
 
 SHINGLE, CLASSES = 5, 64
-CHUNK_BYTES, COUNT_SHINGLES, BUCKET_ROWS = 4_000_000, 4_000_000, 400_000
-LEAF, PIVOTS, SALTS, HUB_SETS = 64, 4, 16, 2000
+CHUNK_BYTES, BUCKET_ROWS, SALTED_SETS = 4_000_000, 100_000, 20_000
+LEAF, PIVOTS, DIVIDED, SALTS, HUB_SETS, GROUP_SHINGLES = 16, 8, 96, 16, 2000, 2_000_000
 FILTER_BITS = 1 << 26
 
 
@@ -88,7 +92,8 @@ class Order:
 
     def __init__(self, listed: np.ndarray, counts: np.ndarray) -> None:
         at = np.argsort(listed)
-        self.listed, self.place = listed[at], np.argsort(np.argsort(counts, kind="stable"), kind="stable")[at]
+        self.listed, self.count = listed[at], counts[at]
+        self.place = np.argsort(np.lexsort((self.listed, self.count)))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.listed >> np.uint64(44)] = True
 
@@ -111,16 +116,7 @@ class Order:
 
 
 def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First reading: a row a document, with its set's size, signature and, once a batch, class counts; and shingles met four times in a batch."""
-    names = ["doc_id", "n", "sig", "sketch", "shingle", "df"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    held, size = [], 0
-
-    def often() -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        found, n = found[n >= 4].view(np.int64), n[n >= 4]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), t) for t in types[:4]), pa.array(found), pa.array(n)], names=names)
-
+    """First reading: a row a document, with its set's size, signature and, once a batch of documents, class counts."""
     for ids, some in sets(batches):
         sigs, seen, sketches = [], set(), []
         for x in some:
@@ -129,18 +125,130 @@ def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(x) and sigs[-1] not in seen:
                 seen.add(sigs[-1])
                 sketches[-1] = np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES), 65535).astype("<u2").tobytes()
-                held.append(x)
-                size += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array([len(x) for x in some], types[1]), pa.array(sigs, types[2]), pa.array(sketches, types[3]), pa.nulls(len(some), types[4]), pa.nulls(len(some), types[5])], names=names)
-        if size >= COUNT_SHINGLES:
-            yield often()
-            held, size = [], 0
-    if held:
-        yield often()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in some], pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "sig", "sketch"])
+
+
+def by_bucket(to: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket as one packed string."""
+    order = np.argsort(to, kind="stable")
+    to, columns = to[order].astype(np.int64), tuple(c[order] for c in columns)
+    edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
+    for lo in range(0, len(edges) - 1, 64):
+        some = list(zip(edges[lo : lo + 64], edges[lo + 1 : lo + 65], strict=False))
+        yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in some], pa.int64()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in some], pa.binary())], names=["bucket", "packed"])
+
+
+def of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packed strings of each bucket; rows come in the order of buckets."""
+    now, blobs = None, []
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != now and blobs:
+                yield blobs
+                blobs = []
+            now = bucket
+            blobs.append(packed.as_py())
+    if blobs:
+        yield blobs
+
+
+def dealt(rows: DataFrame, deal) -> DataFrame:
+    return rows.mapInArrow(deal, "bucket long, packed binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+class Group:
+    """Sets that may be near to each other, joined exactly; links join what isn't joined yet."""
+
+    def __init__(self, sets: list[np.ndarray], per_cent: int) -> None:
+        self.sets, self.t = sets, per_cent
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & (CLASSES - 1)
+        self.classes = np.bincount(np.repeat(np.arange(len(sets)) * CLASSES, self.n) + flat, minlength=len(sets) * CLASSES).reshape(-1, CLASSES)
+        self.root, self.links = np.arange(len(sets)), []
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of one set with others."""
+        mine, flat = self.sets[i], np.concatenate([self.sets[j] for j in others.tolist()])
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        return np.add.reduceat(hit.astype(np.int64), np.cumsum(self.n[others]) - self.n[others])
+
+    def link(self, i: int, others: np.ndarray, both: np.ndarray) -> None:
+        near = others[(100 + self.t) * both >= self.t * (self.n[i] + self.n[others])]
+        for j in near.tolist():
+            if self.root[i] != self.root[j]:
+                self.root[self.root == self.root[j]] = self.root[i]
+                self.links.append((i, j))
+
+    def pairs(self, members: np.ndarray) -> None:
+        """Every pair that isn't excluded by sizes or class counts, or joined already."""
+        members = members[np.argsort(self.n[members], kind="stable")]
+        sizes = self.n[members]
+        for k, i in enumerate(members[:-1].tolist()):
+            last = int(np.searchsorted(sizes, sizes[k] * 100 // self.t, side="right"))
+            rest = members[k + 1 : last]
+            rest = rest[self.root[rest] != self.root[i]]
+            if len(rest):
+                far = np.abs(self.classes[rest] - self.classes[i]).sum(1)
+                rest = rest[(100 + self.t) * far <= (100 - self.t) * (self.n[i] + self.n[rest])]
+            for lo in range(0, len(rest), 64):
+                some = rest[lo : lo + 64]
+                some = some[self.root[some] != self.root[i]]
+                if len(some):
+                    self.link(i, some, self.shared(i, some))
+
+    def divide(self, members: np.ndarray) -> list[np.ndarray]:
+        """Voronoi cells with their windows. The first pivot is the member whose shingles most others have, each next one the farthest from those before."""
+        flat = np.concatenate([self.sets[j] for j in members.tolist()])
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = np.add.reduceat(count[at], np.cumsum(self.n[members]) - self.n[members]) / self.n[members]
+        pivot, d = int(np.argmax(often)), []
+        for _ in range(PIVOTS):
+            both = self.shared(int(members[pivot]), members)
+            self.link(int(members[pivot]), members, both)
+            d.append(1 - both / (self.n[members[pivot]] + self.n[members] - both))
+            nearest = np.min(d, axis=0)
+            pivot = int(np.argmax(nearest))
+            if nearest[pivot] == 0:
+                break
+        window = np.min(d, axis=0) + 2 * (1 - self.t / 100) + 1e-9
+        return [members[far <= window] for far in d]
+
+    def solve(self) -> list[tuple[int, int]]:
+        waiting = [np.arange(len(self.sets))]
+        while waiting:
+            members = waiting.pop()
+            if len(members) <= DIVIDED:
+                self.pairs(members)
+                continue
+            for cell in self.divide(members):
+                if len(np.unique(self.root[cell])) > 1:
+                    if 10 * len(cell) <= 9 * len(members):
+                        waiting.append(cell)
+                    else:
+                        self.pairs(cell)
+        return self.links
+
+
+def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int) -> Order:
+    """Shingles that more sets than a leaf holds have among their first ones by hash, and a third more: counted over all documents."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, points in new_points(batches):
+            if points:
+                s = np.concatenate([x[: (len(x) - -(-len(x) * per_cent // 100)) * 4 // 3 + 2] for x in points])
+                yield from by_bucket((s >> np.uint64(8)) % np.uint64(buckets), s)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in of_bucket(batches):
+            found, n = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > LEAF].view(np.int64)), pa.array(n[n > LEAF])], names=["shingle", "df"])
+
+    found = dealt(rows, deal).mapInArrow(count, "shingle long, df long").orderBy(F.col("df").desc(), "shingle").limit(most).toArrow()
+    return Order(found["shingle"].to_numpy().view(np.uint64), found["df"].to_numpy())
 
 
 def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFrame:
-    """Second reading: each set goes to its home and the pivots of its window. kind 0: a pair x, y; 1: set y (size z) in the large region x; 2: pivot y of x."""
+    """Second reading: each set goes to its home and the pivots of its window. kind 0: a pair x, y; 1: set y (size z) in the large region x; 2: pivot y of x; 3: x, y, one of them a pivot of a large region; 4: x, y, both in one."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, (sigs, points) in enumerate(new_points(batches)):
@@ -153,14 +261,16 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
             place = np.minimum(np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k), 65535).astype(np.uint16)
             size = np.repeat(n.astype(np.uint32), k)
             to = (s >> np.uint64(8)) % np.uint64(buckets)
-            listed, _ = order.value.which(s)
-            to[listed] = mixed(s[listed] + np.uint64(turn % SALTS)) % np.uint64(buckets)
-            by = np.argsort(to, kind="stable")
-            s, sig, place, size, to = s[by], sig[by], place[by], size[by], to[by].astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
-            for lo in range(0, len(edges) - 1, 64):
-                some = list(zip(edges[lo : lo + 64].tolist(), edges[lo + 1 : lo + 65].tolist(), strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in some], pa.int64()), pa.array([s[a:b].tobytes() + sig[a:b].tobytes() + size[a:b].tobytes() + place[a:b].tobytes() for a, b in some], pa.binary())], names=["bucket", "packed"])
+            listed, at = order.value.which(s)
+            hot = listed[order.value.count[at] > SALTED_SETS]
+            to[hot] = mixed(s[hot] + np.uint64(turn % SALTS)) % np.uint64(buckets)
+            yield from by_bucket(to, s, sig, size, place)
+
+    def salted(s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), bool)
+        listed, at = order.value.which(s)
+        out[listed[order.value.count[at] > SALTED_SETS]] = True
+        return out
 
     def join(blobs: list[bytes]) -> list[np.ndarray]:
         parts = []
@@ -173,9 +283,7 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
         alone = np.ones(len(run), bool)
         alone[1:] &= run[1:] != run[:-1]
         alone[:-1] &= run[:-1] != run[1:]
-        listed = np.zeros(len(run), bool)
-        listed[order.value.which(run)[0]] = True
-        by = by[~alone | listed]
+        by = by[~alone | salted(run)]
         by = by[np.lexsort((sig[by], size[by], s[by]))]
         s, sig, size, place = s[by], sig[by], size[by].astype(np.int64), place[by].astype(np.int64)
         if not len(s):
@@ -185,9 +293,7 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
         s, sig, size, place = s[fresh], sig[fresh], size[fresh], place[fresh]
         cut = np.flatnonzero(s[1:] != s[:-1]) + 1
         a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]])
-        hot = np.zeros(len(s), bool)
-        hot[order.value.which(s)[0]] = True
-        many = (b - a > LEAF) | hot[a]
+        many = (b - a > LEAF) | salted(s)[a]
         out = []
         # leaves: each member with the next ones, which are no smaller
         small = np.repeat(~many, b - a)
@@ -203,34 +309,23 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
             out.append(np.stack([np.zeros(len(i), np.int64), np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.zeros(len(i), np.int64)]))
         for lo, hi in zip(a[many].tolist(), b[many].tolist(), strict=True):
             mine, n = sig[lo:hi], size[lo:hi]
-            chosen = np.argsort(mixed(mine.view(np.uint64) ^ s[lo]), kind="stable")[:PIVOTS]
+            chosen = np.argsort(mixed(mine.view(np.uint64).copy()), kind="stable")[:PIVOTS]  # the same ones in all regions where they meet
             region = int(s[lo : lo + 1].view(np.int64)[0])
             out.append(np.stack([np.ones(len(mine), np.int64), np.full(len(mine), region), mine, n]))
+            out.append(np.stack([np.full(len(mine), 4), np.full(len(mine), mine[chosen[0]]), mine, np.zeros(len(mine), np.int64)]))
             out.append(np.stack([np.full(len(chosen), 2), np.full(len(chosen), region), mine[chosen], n[chosen]]))
             for p in chosen.tolist():
                 i = np.flatnonzero((100 * np.minimum(n, n[p]) >= per_cent * np.maximum(n, n[p])) & (mine != mine[p]))
-                out.append(np.stack([np.zeros(len(i), np.int64), np.minimum(mine[i], mine[p]), np.maximum(mine[i], mine[p]), np.zeros(len(i), np.int64)]))
+                out.append(np.stack([np.full(len(i), 3), np.minimum(mine[i], mine[p]), np.maximum(mine[i], mine[p]), np.zeros(len(i), np.int64)]))
         return out
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(blobs: list[bytes]) -> pa.RecordBatch:
+        for blobs in of_bucket(batches):
             out = join(blobs)
             columns = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((4, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "x", "y", "z"])
-
-        now, blobs = None, []
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and blobs:
-                    yield made(blobs)
-                    blobs = []
-                now = bucket
-                blobs.append(packed.as_py())
-        if blobs:
-            yield made(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "x", "y", "z"])
 
-    dealt = rows.mapInArrow(deal, "bucket long, packed binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(regions, "kind long, x long, y long, z long")
+    return dealt(rows, deal).mapInArrow(regions, "kind long, x long, y long, z long")
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
@@ -248,12 +343,9 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
-def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b, both, na, nb: sizes of the intersection and of the two sets, by the sets themselves; pairs is a table."""
+def sets_of(need: DataFrame, rows: DataFrame) -> DataFrame:
+    """sig, set of the signatures in need, and of a few others: by a Bloom filter of bounded size."""
     spark = rows.sparkSession
-    count = pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / HUB_SETS).cast("int")).select("a", "salts")
-    salted = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    need = written(salted.select(F.col("b").alias("sig"), F.col("a").alias("hub"), "salt").union(count.select(F.col("a").alias("sig"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "need")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(FILTER_BITS >> 3, np.uint8)
@@ -278,27 +370,63 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             for lo in range(0, len(i), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(of[i[lo : lo + 256]]), pa.array([points[j].tobytes() for j in i[lo : lo + 256]], pa.binary())], names=["sig", "set"])
 
+    # copies in other batches bring the same set: one of each goes on, by the exchange that the next join needs anyhow
+    return rows.mapInArrow(some, "sig long, set binary").groupBy("sig").agg(F.first("set").alias("set"))
+
+
+def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
+    """a, b: links of groups (sig, label), each solved in one task."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def links() -> pa.RecordBatch:
+            sigs = list(held)
+            found = Group(list(held.values()), per_cent).solve() if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([sigs[i] for i, _ in found], pa.int64()), pa.array([sigs[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for label, sig, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if label != now and held:
+                    yield links()
+                    held = {}
+                now = label
+                held[sig] = np.frombuffer(packed.as_py(), np.uint64)
+        if held:
+            yield links()
+
+    travelling = sets_of(group, rows).join(group, "sig").select("label", "sig", "set")
+    return written(travelling.repartition(partitions(rows.sparkSession), "label").sortWithinPartitions("label", "sig").mapInArrow(solve, "a long, b long"), "links")
+
+
+def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, both, na, nb: sizes of the intersection and of the two sets. Each a is a place to which the sets of its pairs travel, salted by b."""
+    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).cast("int").alias("salts"))
+    placed = written(pairs.join(count, "a").select("a", "b", F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "placed")
+    need = written(placed.select(F.col("a").alias("sig"), "hub", "salt").union(placed.select("b", "hub", "salt")).distinct(), "need")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine, done = None, None, None
+        place, found = None, {}
         for batch in batches:
             out: list[tuple] = []
-            for h, salt, sig, packed in zip(*(batch.column(i) for i in range(4)), strict=True):
-                h, salt, sig = h.as_py(), salt.as_py(), sig.as_py()
-                if (h, salt) != hub:
-                    hub, mine, done = (h, salt), None, None
-                if sig == done:
-                    continue  # the same set from another batch of documents
-                done, x = sig, np.frombuffer(packed.as_py(), np.uint64)
-                if sig == h:
-                    mine = x
+            for hub, salt, a, b, packed in zip(*(batch.column(i) for i in range(5)), strict=True):
+                at, x = (hub.as_py(), salt.as_py()), a.as_py()
+                if at != place:
+                    place, found = at, {}
+                if packed.is_valid:
+                    found[x] = np.frombuffer(packed.as_py(), np.uint64)
                     continue
-                at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                out.append((h, sig, int((mine[at] == x).sum()), len(mine), len(x)))
+                y = b.as_py()
+                p, q = found[x], found[y]
+                less, more = (p, q) if len(p) < len(q) else (q, p)
+                at = np.minimum(np.searchsorted(more, less), len(more) - 1)
+                out.append((x, y, int((more[at] == less).sum()), len(p), len(q)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["a", "b", "both", "na", "nb"])
 
-    travelling = rows.mapInArrow(some, "sig long, set binary").join(need, "sig").select("hub", "salt", "sig", "set", (F.col("hub") != F.col("sig")).alias("later"))
-    dealt = travelling.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "later", "sig")
-    return written(dealt.select("hub", "salt", "sig", "set").mapInArrow(compare, "a long, b long, both long, na long, nb long"), "compared")
+    travelling = sets_of(need, rows).join(need, "sig").select("hub", "salt", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    travelling = travelling.union(placed.select("hub", "salt", "a", "b", F.lit(None).cast("binary")))
+    ready = travelling.repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("b").asc_nulls_first())
+    return written(ready.mapInArrow(compare, "a long, b long, both long, na long, nb long"), "compared")
 
 
 def cells(sigs: np.ndarray) -> list[np.ndarray]:
@@ -330,36 +458,48 @@ def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: Data
     return found.join(seen.select("a", "b").union(seen.select("b", "a")), ["a", "b"], "left_anti")
 
 
-def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    first = written(rows.mapInArrow(narrow, "doc_id long, n long, sig long, sketch binary, shingle long, df long"), "narrow")
-    listed = first.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
-    n, shingles = first.where("n is not null").agg(F.count("*"), F.sum("n")).first()
-    common = listed.where(F.col("df") >= max(8, 3e-4 * n)).orderBy(F.col("df").desc(), "shingle").limit(max_common).toArrow()
-    order = spark.sparkContext.broadcast(Order(common["shingle"].to_numpy().view(np.uint64), common["df"].to_numpy()))
-    buckets = max(1, math.ceil((shingles or 0) * (1 - per_cent / 100) / BUCKET_ROWS))
+    first = written(rows.mapInArrow(narrow, "doc_id long, n long, sig long, sketch binary"), "narrow")
+    shingles = first.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(shingles * (1 - per_cent / 100) / BUCKET_ROWS))
+    rows = rows.where("doc_id is not null")
+    order = spark.sparkContext.broadcast(common_shingles(rows, per_cent, buckets, max_common))
     named = first.where("sig is not null")
-    points = written(named.groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("sketch").alias("sketch")).where("id is not null"), "points")
-    found = written(region_rows(rows.where("doc_id is not null"), order, per_cent, buckets), "regions")
-    sketches = points.where("sketch is not null")
-    pairs = written(near_enough(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sketches, per_cent), "pairs")
-    seen = compared(pairs, rows.where("doc_id is not null"))
-
-    def linked(seen: DataFrame) -> DataFrame:
-        links = seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb")))
+    points = written(named.groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).where("id is not null"), "points")
+    found = written(region_rows(rows, order, per_cent, buckets), "regions")
+    sketches = points.where("sketch is not null").select("sig", "sketch")
+    pair = F.col("x").alias("a"), F.col("y").alias("b")
+    pairs = written(near_enough(found.where("kind = 0").select(*pair).distinct(), sketches, per_cent), "pairs")
+    # members hang on their region's first pivot; parts of a salted region on each other by their pivots, a few a region
+    few = found.where("kind = 2").select("x", "y").distinct()
+    across = few.join(few.groupBy("x").agg(F.min("y").alias("a")), "x").select("a", F.col("y").alias("b"))
+    together = pairs.union(found.where("kind = 4").select(*pair)).union(across).where("a <> b").distinct()
+    group = components(together).select(F.col("v").alias("sig"), "label")
+    wide = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_SHINGLES).select("label")
+    wide = written(group.join(wide, "label").select("sig"), "wide")
+    any_wide = wide.limit(1).count() > 0
+    links = joined_groups(group.join(wide, "sig", "left_anti") if any_wide else group, rows, per_cent)
+
+    def named_links(links: DataFrame) -> DataFrame:
         return links.join(points.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(points.select(F.col("sig").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
-    links = linked(seen)
+    links = named_links(links)
     labels = components(links)
-    large = found.where("kind = 1").select("x", "y", "z").distinct()
-    if large.limit(1).count():
+    if any_wide:
+        near = lambda seen: named_links(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))
+        pivot_pairs = near_enough(found.where("kind = 3").select(*pair).distinct(), sketches, per_cent)
+        seen = compared(written(pairs.union(pivot_pairs).distinct().join(wide, F.col("a") == wide["sig"], "left_semi"), "pairs"), rows)
+        links = written(links.union(near(seen)), "links")
+        labels = components(links)
+        large = found.where("kind = 1").join(wide, F.col("y") == wide["sig"], "left_semi").select("x", "y", "z").distinct()
         more = written(near_enough(leftovers(large, found.where("kind = 2"), seen, points, labels, per_cent), sketches, per_cent), "pairs")
         if more.limit(1).count():
-            labels = components(links.union(linked(compared(more, rows.where("doc_id is not null")))))
+            labels = components(links.union(near(compared(more, rows))))
     of = points.join(labels, points["id"] == labels["v"], "left").select("sig", F.coalesce("label", "id").alias("component"))
-    with_id = first.where("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
+    with_id = first.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     return with_id.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
