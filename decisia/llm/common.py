@@ -1,12 +1,10 @@
-"""Shared plumbing of the training-data operators: tables, the shared folder, Arrow mapping, column checks."""
+"""Shared plumbing of the training-data operators: tables, the shared folder, common expressions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that goes to a Python worker: texts are long, and rows alone don't bound a batch.
+ARROW_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,10 +49,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def text_of(column: str = "text") -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
