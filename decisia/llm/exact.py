@@ -128,7 +128,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         marked = possibly_repeated(own, repeated_filter(own.select("h"), size))
         alone = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
         some = marked.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-        first = marked.where("maybe").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # a table, so that the join below stands on two plain exchanges and adaptive execution can split a hot group
+        first = written(marked.where("maybe").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "first")
         members = some.join(first, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
         parts += [alone, members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")]
