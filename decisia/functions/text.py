@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ LEAK_PATTERNS = {
     "ground_truth": r"(?i)\bground{gap}truth\b",
     "json_field": r'(?i)"(answer|answerkey|label|target|gold)"\s*:',
 }
+#: Each pattern holds one of these, in any case.
+LEAK_CUES = ("answer", "correct", "gold", "true", "정답", "ground", "label", "target")
 FORBIDDEN_KEYS = r"(?i)^(answer|answerkey|answer_key|label|gold|target|correct)$"
 INFORMATIONAL = {"answer": r"(?i)\banswer", "correct": r"(?i)\bcorrect", "gold": r"(?i)\bgold\b", "korean": "정답"}
 PLACEHOLDERS = ("none", "n/a", "na", "null")
@@ -79,8 +83,10 @@ def leaks(text: Column, variant: str = "wide") -> Column:
 
 
 def has_leak(text: Column, variant: str = "wide") -> Column:
-    """One alternation, so one pass of the matcher."""
-    return text.rlike("|".join(f"(?:{p})" for p in leak_patterns(variant).values()))
+    """One alternation, so one pass of the matcher, and only over texts that hold a word which every pattern asks for one of."""
+    low = F.lower(text)
+    cue = functools.reduce(lambda a, b: a | b, (low.contains(w) for w in LEAK_CUES))
+    return F.when(cue, text.rlike("|".join(f"(?:{p})" for p in leak_patterns(variant).values()))).otherwise(False)
 
 
 def forbidden_key(state: Column) -> Column:
