@@ -131,3 +131,30 @@ def test_substrings_hot_passage(spark, monkeypatch):
 
 def test_substrings_empty(none):
     assert substrings.drop_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components(spark, most, monkeypatch):
+    """Paths, stars, repeated and turned links, whichever way."""
+    import random
+
+    from decisia.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", most)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(30)] + [(300 + r.randrange(60), 300 + r.randrange(60)) for _ in range(35)] + [(-5, 7), (7, -5), (9, 9)]
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    got = {row["v"]: row["label"] for row in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in list(parent)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
