@@ -74,7 +74,8 @@ def terms(texts: list[bytes]) -> np.ndarray:
 
 
 def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = x * idf
+    """In place: terms are made for one use."""
+    x *= idf
     for a, e in ((0, TRIGRAMS), (TRIGRAMS, TRIGRAMS + SHAPES), (TRIGRAMS + SHAPES, TERMS)):
         x[:, a:e] /= np.maximum(1e-9, np.linalg.norm(x[:, a:e], axis=1, keepdims=True))
     return x
