@@ -39,10 +39,11 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED_PIECES:
             self.clear()
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) or piece in ".,":
+        head = piece[:-1]
+        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
             found = self._part(piece)
-        elif piece[-1] in ".,!" and piece[1:-1].isalpha() and piece[0] == " ":
-            found = self[piece[:-1]] + self[piece[-1]]
+        elif piece[-1:] in (".", ",") and (head.isalpha() or head[:1] == " " and head[1:].isalpha()):
+            found = self[head] + self[piece[-1]]
         elif len(parts := PARTS.findall(piece)) > 1:
             found = b"".join([self[p] for p in parts])
         else:
@@ -81,8 +82,13 @@ class Encoder:
             return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         get, out = self.pieces.__getitem__, []
         for text in texts:
-            cut = PARTS.findall(text) if any(x in text for x in UNCUT) else text.replace(" ", "\0 ").split("\0")
-            out.append(np.frombuffer(b"".join(map(get, filter(None, cut))), dtype="<u4"))
+            if any(x in text for x in UNCUT):
+                cut = PARTS.findall(text)
+            else:
+                # single line feeds are parts; of several in a row PARTS decides
+                lines = text if "\n\n" in text else text.replace("\n", "\0\n\0")
+                cut = lines.replace(" ", "\0 ").split("\0")
+            out.append(np.frombuffer(b"".join(map(get, cut)), dtype="<u4"))
         return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
