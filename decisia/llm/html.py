@@ -6,12 +6,12 @@ shares with a neighbour are its template and are deleted. A line is known by its
 slot alone where its element says that it is no article (navigation, header, footer, sidebar, advert, form, notice, comments):
 such slots are shared though their words differ from page to page. Two rules keep the article whole: lines inside an article or
 main element are never deleted, since articles may quote each other, and lines in the named elements go even if no neighbour
-has the slot. So differencing decides about the lines in the open, and pages without an article element depend on it.
+has the slot. So differencing decides about the lines in the open, whether or not the page has an article element.
 
 Scale: only narrow rows are sorted (page id, host, path, 64-bit line keys), dealt by ranges of host and path, so that a host
 may fill any number of tasks; the pages at both ends of a task's range meet their neighbours in a second step of two rows a
 task. What comes back to the pages are the numbers of deleted lines, for pages that have any; they are broadcast if they are
-few (broadcast_mb), else joined. Pages with one article and nothing in the open need nothing back.
+few (broadcast_mb), else joined. Pages with nothing in the open need nothing back.
 
 Cases: null and empty pages have the empty text; null URLs form one host of their own, pages that repeat an id are told apart by
 a hash of their html; a line in the open that all neighbours lack stays; an empty table gives no rows; extra columns are left out.
@@ -257,9 +257,7 @@ def extract(pages: DataFrame, broadcast_mb: int = 64, id_col: str = "page_id", u
             texts = []
             for html, lost in zip(batch.column(2), batch.column(3), strict=True):
                 drop = set(lost.as_py() or ()) if lost.is_valid else ()
-                found = blocks(html.as_py())
-                inside = any(zone == ARTICLE for zone, _, _ in found)
-                texts.append("\n\n".join(t for i, (zone, _, t) in enumerate(found) if zone == ARTICLE or zone == OPEN and not inside and i not in drop))
+                texts.append("\n\n".join(t for i, (zone, _, t) in enumerate(blocks(html.as_py())) if zone == ARTICLE or zone == OPEN and i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "gone").mapInArrow(text, "page_id long, url string, text string, n_chars long")

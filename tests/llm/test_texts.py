@@ -187,6 +187,14 @@ def test_pages(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_open_lines_beside_an_article(spark):
+    """An article element may be a teaser only: lines in the open stay there too unless a neighbour shares them."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div>Shop of h</div><article><p>Lead {i}</p></article><p>Body {i}</p><nav>n {i}</nav><p>Call us</p></body>") for i in range(3)]
+    rows.append((3, "http://alone.example/", "<body><main><p>Lead 3</p></main><p>Body 3</p></body>"))
+    got = sorted((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(i, f"Lead {i}\n\nBody {i}") for i in range(4)]
+
+
 def test_pages_whatever_the_ranges(spark):
     """Pairs are those of the whole order, so the number of tasks changes nothing."""
     rows = [(i, f"http://h{i % 3}.example/{i // 7}/{i}", f"<body><div>top {i % 2}</div><p>text {i}</p><div>bottom {i // 20}</div></body>") for i in range(90)]
