@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines, its text blocks. Pages of a host are put in the order of their URL paths, and each is paired with
-its neighbours, those of the nearest paths. The lines of both are aligned by a longest common subsequence; lines that a page
+its neighbours, those of the nearest paths whose lines are not all the same as its own: pages next to each other with all the
+same lines are copies, which tell nothing of each other, so a run of them meets the pages before and after it. The lines of both are aligned by a longest common subsequence; lines that a page
 shares with a neighbour are its template and are deleted. A line is known by its text where it stands in the open, and by its
 slot alone where its element says that it is no article (navigation, header, footer, sidebar, advert, form, notice, comments):
 such slots are shared though their words differ from page to page. Two rules keep the article whole: lines inside an article or
@@ -9,8 +10,8 @@ main element are never deleted, since articles may quote each other, and lines i
 has the slot. So differencing decides about the lines in the open, whether or not the page has an article element.
 
 Scale: only narrow rows are sorted (page id, host, path, 64-bit line keys), dealt by ranges of host and path, so that a host
-may fill any number of tasks; the pages at both ends of a task's range meet their neighbours in a second step of two rows a
-task. What comes back to the pages are the numbers of deleted lines, for pages that have any; they are broadcast if they are
+may fill any number of tasks; the runs at both ends of a task's range meet their neighbours in a second step of four rows a
+task (a run's ids wait in its task for the page after it, 17 bytes a page). What comes back to the pages are the numbers of deleted lines, for pages that have any; they are broadcast if they are
 few (broadcast_mb), else joined. Pages with nothing in the open need nothing back.
 
 Cases: null and empty pages have the empty text; null URLs form one host of their own, pages that repeat an id are told apart by
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from html import unescape
 
@@ -195,55 +197,63 @@ def extract(pages: DataFrame, broadcast_mb: int = 64, id_col: str = "page_id", u
 
     order = ["host", "path", "page_id", "mark"]
     sorted_rows = rows.mapInArrow(lines, "page_id long, mark long, host string, path string, keys binary, open binary").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    paired_schema = "part int, last boolean, page_id long, mark long, host string, keys binary, open binary, gone array<int>, edge boolean"
+    paired_schema = "part int, run int, page_id long, mark long, gone array<int>, first boolean, last boolean, host string, keys binary, open binary"
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.binary())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each page with both neighbours; the first and the last of the range are kept for the second step."""
+        """Each run of copies with the runs beside it. The first two and the last two of the range are kept for the second step."""
         part = TaskContext.get().partitionId()
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            types = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in paired_schema.split(", ")])
             out.clear()
             return batch
 
-        def put(before, row, after) -> None:
-            near = [n["keys"] for n in (before, after) if n and n["host"] == row["host"]]
-            lost = gone(row["keys"], row["open"], *near)
-            if before is None or after is None:
-                for last in [False] * (before is None) + [True] * (after is None):
-                    out.append((part, last, row["page_id"], row["mark"], row["host"], row["keys"], row["open"], lost, True))
-            elif lost:
-                out.append((part, False, row["page_id"], row["mark"], None, None, None, lost, False))
+        def put(before, run, after) -> Iterator[pa.RecordBatch]:
+            lost = gone(run["keys"], run["open"], *(n["keys"] for n in (before, after) if n and n["host"] == run["host"]))
+            if lost or before is None or after is None:
+                for page, mark, null in zip(run["pages"], run["marks"], run["nulls"], strict=True):
+                    out.append((part, run["run"], None if null else page, mark, lost, None, None, None, None, None))
+                    if len(out) >= 4096:
+                        yield made()
+            run["pages"] = run["marks"] = run["nulls"] = ()
 
+        head: list[dict] = []
         before = now = None
         for batch in batches:
             for row in batch.to_pylist():
-                if now is not None:
-                    put(before, now, row)
-                before, now = now, row
-                if len(out) >= 4096:
-                    yield made()
+                if now is None or row["host"] != now["host"] or row["keys"] != now["keys"]:
+                    run = {"run": now["run"] + 1 if now else 0, "host": row["host"], "keys": row["keys"], "open": row["open"], "pages": array("q"), "marks": array("q"), "nulls": bytearray()}
+                    if now is not None:
+                        yield from put(before, now, run)
+                    before, now = now, run
+                    if run["run"] < 2:
+                        head.append(run)
+                now["pages"].append(row["page_id"] or 0)
+                now["marks"].append(row["mark"])
+                now["nulls"].append(row["page_id"] is None)
         if now is not None:
-            put(before, now, None)
-        if out:
+            yield from put(before, now, None)
+            for run in head + [r for r in (before, now) if r and r["run"] > 1]:
+                out.append((part, run["run"], None, None, None, run["run"] == 0, run is now, run["host"], run["keys"], run["open"]))
             yield made()
 
     paired = written(sorted_rows.mapInArrow(pair, paired_schema), "paired")
-    # the last page of a range and the first of the next that has any: two rows a task, so one window over all of them
-    edges = paired.where("edge")
-    across = W.partitionBy(F.lit(0)).orderBy("part", "last")
-    met = edges.withColumn("n_host", F.when(F.col("last"), F.lead("host").over(across)).otherwise(F.lag("host").over(across))).withColumn("n_keys", F.when(F.col("last"), F.lead("keys").over(across)).otherwise(F.lag("keys").over(across)))
+    # the first run of a range looks back and the last ahead for the nearest run that differs: four rows a task, so one window over all of them
+    met = paired.where("keys is not null").withColumn("own", F.struct("host", "keys"))
+    for name, order in (("back", W.partitionBy(F.lit(0)).orderBy("part", "run")), ("ahead", W.partitionBy(F.lit(0)).orderBy(F.desc("part"), F.desc("run")))):
+        met = met.withColumn("next", F.lag("own").over(order)).withColumn(name, F.last(F.when(F.col("next") != F.col("own"), F.col("next")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            lost = [sorted({*r["gone"], *(gone(r["keys"], r["open"], r["n_keys"]) if r["n_host"] == r["host"] else ())}) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["mark"] for r in rows], pa.int64()), pa.array(lost, pa.list_(pa.int32()))], names=["page_id", "mark", "gone"])
+            lost = [gone(r["keys"], r["open"], *(n["keys"] for n, asks in ((r["back"], r["first"]), (r["ahead"], r["last"])) if asks and n and n["host"] == r["host"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["run"] for r in rows], pa.int32()), pa.array(lost, pa.list_(pa.int32()))], names=["part", "run", "gone"])
 
-    ends = met.select("page_id", "mark", "host", "keys", "open", "gone", "n_host", "n_keys").mapInArrow(meet, "page_id long, mark long, gone array<int>")
-    lost = paired.where("not edge").select("page_id", "mark", "gone").union(ends).where(F.size("gone") > 0)
+    ends = met.where("first or last").select("part", "run", "first", "last", "host", "keys", "open", "back", "ahead").mapInArrow(meet, "part int, run int, gone array<int>").where(F.size("gone") > 0)
+    members = paired.where("keys is null")
+    lost = members.select("page_id", "mark", "gone").where(F.size("gone") > 0).union(members.drop("gone").join(F.broadcast(ends), ["part", "run"]).select("page_id", "mark", "gone"))
     lost = written(lost.groupBy(F.col("page_id").alias("l_id"), F.col("mark").alias("l_mark")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
     size = lost.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0]
     if size:

@@ -195,6 +195,20 @@ def test_pages_open_lines_beside_an_article(spark):
     assert got == [(i, f"Lead {i}\n\nBody {i}") for i in range(4)]
 
 
+def test_pages_in_runs_of_copies(spark):
+    """All copies of a run lose what the nearest page that differs shares, within and across the ranges of tasks."""
+    copy = "<body><div>Shop of h</div><p>Story</p><div>Call us</div></body>"
+    rows = [(0, "http://h.example/0", "<body><div>Shop of h</div><p>First</p></body>"), (99, "http://h.example/99", "<body><p>Last</p><div>Call us</div></body>")]
+    rows += [(i, f"http://h.example/{i}", copy) for i in range(10, 40)] + [(None, "http://h.example/20", copy), (200, "http://only.example/1", copy), (201, "http://only.example/2", copy), (202, "http://only.example/3", copy)]
+    for n in ("1", "3", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {(r["page_id"], r["url"]): r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert len(got) == len(rows)
+        for page, url, _ in rows:
+            assert got[page, url] == ("First" if page == 0 else "Last" if page == 99 else "Shop of h\n\nStory\n\nCall us" if page and page >= 200 else "Story"), (n, page)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_pages_whatever_the_ranges(spark):
     """Pairs are those of the whole order, so the number of tasks changes nothing."""
     rows = [(i, f"http://h{i % 3}.example/{i // 7}/{i}", f"<body><div>top {i % 2}</div><p>text {i}</p><div>bottom {i // 20}</div></body>") for i in range(90)]
