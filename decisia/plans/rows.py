@@ -180,7 +180,7 @@ def crc32_binary_query(spark, sf_dir):
 
 def lang_choices(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return shapes.label_str(d, F.col("doc_id"), F.col("source"), F.col("lang"), F.substring("text", 1, 60), F.col("lang"), LANGS, instructions="Which language is it?")
+    return shapes.label_str(d, F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text"), F.col("lang"), LANGS, instructions="Which language is it?")
 
 
 SHOWN = f"(SELECT doc_id, lang, string_agg(o, '|' ORDER BY {order_key('doc_id', 7, '=i')}) AS shown, list(o ORDER BY {order_key('doc_id', 7, '=i')}) AS options FROM documents, (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) v(i, o) GROUP BY doc_id, lang)"

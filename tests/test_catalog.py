@@ -37,3 +37,10 @@ def test_query(spark, sf, con, name):
 
 def test_names_agree():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_emit_rows_reads_whole_texts(spark, tmp_path):
+    """An answer marker far into a text refuses its row."""
+    texts = ["some words " * 20, "some words " * 20 + "Answer: B"]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r["n"] for r in catalog.QUERIES["emit_rows"](spark, str(tmp_path)).collect()) == 1
