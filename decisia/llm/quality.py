@@ -7,7 +7,8 @@ sample. Each document's vector meets all labelled vectors in blocked exact produ
 weights that grow with their cosine.
 
 The labelled sample has max_labelled rows at most (4096), those with the least hash of their ids; that bound is the size of
-what is fitted on the driver (terms by dims) and broadcast. All documents are scored, in one pass without a shuffle.
+what is fitted on the driver (terms by dims) and broadcast. An id that labels several rows counts once, by the text of the least
+hash; only the rows of the sample are shuffled for it. All documents are scored, in one pass without a shuffle.
 
 Cases: null and empty texts have the facts of no words and are scored by them; labels that are null, repeated (the greatest
 counts) or of absent documents are left out; without any usable label every score is 0.5; extra columns are left out.
@@ -135,13 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Labels of held-out rows are never read."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     drawn = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
-    sample = docs.join(drawn, docs[id_col] == drawn["_id"]).select("_label", text_of(text_col).alias("_text"))
+    found = docs.join(drawn, docs[id_col] == drawn["_id"]).select(drawn["_id"], drawn["_label"], text_of(text_col).alias("_text"))
+    sample = found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([label.cast(pa.int32()), pa.array([x.astype(np.float16).tobytes() for x in terms(texts)], pa.binary())], names=["label", "x"])
 
-    rows = sample.mapInArrow(run, "label int, x binary").limit(2 * max_labelled).toArrow()
+    rows = sample.mapInArrow(run, "label int, x binary").toArrow()
     if not rows.num_rows:
         return None
     x, y = np.empty((rows.num_rows, TERMS), np.float32), rows["label"].to_numpy()

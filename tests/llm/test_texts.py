@@ -170,6 +170,16 @@ def test_quality_edges(spark, edge, none):
     assert {r["score"] for r in quality.score(edge, None).collect()} == {0.5}
 
 
+def test_quality_repeated_ids(spark):
+    """A labelled id of many rows has one place in the sample, so the others keep theirs, in whatever order rows come."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:4]
+    rows = [(ids[0], f"copy {k % 3} of one document") for k in range(60)] + [(i, f"document {i} alone") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    models = [quality.fit(spark.createDataFrame(some, "doc_id long, text string"), labels, max_labelled=4) for some in (rows, rows[::-1])]
+    assert [len(m.labels) for m in models] == [4, 4]
+    assert (models[0].vectors == models[1].vectors).all()
+
+
 PAGES = [
     (1, "http://h.example/a/1", "<html><body><div>Shop of h</div><nav><a>Home</a></nav><div><p>First&nbsp;story,\n  told &amp; retold</p></div><p>Call us</p></body></html>"),
     (2, "http://h.example/a/2", "<html><body><div>Shop of h</div><div><p>Second story</p></div><p>Call us</p></body></html>"),
