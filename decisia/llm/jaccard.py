@@ -448,12 +448,15 @@ def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: Data
     placed = to.groupBy("s", "sig", "n", "label", "main").agg(F.min("d").alias("near"), F.min_by("p", "d").alias("home"), F.collect_list(F.struct("p", "d")).alias("all"))
     cell = F.when(F.col("near").isNull(), F.lit(0)).otherwise(F.col("home"))
     homes = written(placed.select("s", "sig", "n", "label", "main", cell.alias("cell"), "near", "all"), "homes")
-    # a member without a distance to some pivot may be anywhere: it goes to that pivot's cell too, and all go to the cell of the homeless
+    # a member without a distance to some pivot may be nearest to that: those beside at home there meet it in a second cell of the pivot (strays), unless its known home is within r
+    stray = homes.where(F.col("near") > r).withColumn("w", F.explode("all")).where("w.d is null").select("s", "sig", "n", "label", F.col("w.p").alias("cell"), F.lit(True).alias("strays"))
+    # beside the main component, it goes to that pivot's cell too, and all go to the cell of the homeless
     beside = homes.where("label <> main").withColumn("w", F.explode("all")).where(F.col("w.d").isNull() | F.col("near").isNull() | (F.col("w.d") <= F.col("near") + 2 * r))
     beside = beside.select("s", "sig", "n", "label", F.col("w.p").alias("cell")).union(homes.where("label <> main").select("s", "sig", "n", "label", F.lit(0).cast("long"))).distinct()
-    x, y = beside.alias("x"), homes.alias("y")
+    beside = beside.withColumn("strays", F.lit(False)).union(homes.where("label <> main AND near is not null").select("s", "sig", "n", "label", "cell", F.lit(True)))
+    x, y = beside.alias("x"), homes.select("s", "sig", "n", "label", "cell", F.lit(False).alias("strays")).union(stray).alias("y")
     fits = (100 * F.least("x.n", "y.n") >= per_cent * F.greatest("x.n", "y.n")) & (F.col("x.label") != F.col("y.label"))
-    found = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & fits)
+    found = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.strays") == F.col("y.strays")) & fits)
     found = found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     return found.join(seen.select("a", "b").union(seen.select("b", "a")), ["a", "b"], "left_anti")
 

@@ -85,6 +85,18 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.near_components(docs).collect()) == plain_components(rows)
 
 
+def test_jaccard_leftovers_of_unknown_distance(spark):
+    """Member 11 was never compared with pivot 1, the home of 10: the two meet though 11's known pivot is far from both."""
+    size = {1: 5000, 2: 4000, 10: 4500, 11: 3975, 12: 4000}
+    far = [(1, 10, 0.1), (2, 10, 0.6), (2, 11, 0.55), (2, 12, 0.1)]
+    seen = spark.createDataFrame([(a, b, round((1 - d) * (size[a] + size[b]) / (2 - d)), size[a], size[b]) for a, b, d in far], "a long, b long, both long, na long, nb long")
+    large = spark.createDataFrame([(7, y, n) for y, n in size.items()], "x long, y long, z long")
+    pivots = spark.createDataFrame([(7, 1), (7, 2)], "x long, y long")
+    points = spark.createDataFrame([(y, y) for y in size], "sig long, id long")
+    labels = spark.createDataFrame([(1, 1), (10, 1), (2, 2), (11, 2), (12, 2)], "v long, label long")
+    assert (10, 11) in {tuple(r) for r in jaccard.leftovers(large, pivots, seen, points, labels, 80).collect()}
+
+
 def test_jaccard_empty_and_columns(edge, none):
     assert jaccard.near_components(none).count() == 0
     assert jaccard.drop_near(none).count() == 0
