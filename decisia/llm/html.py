@@ -2,272 +2,408 @@
 
 A page is cut into lines, its text blocks. Pages of a host are put in the order of their URL paths, and each is paired with
 its neighbours, those of the nearest paths whose lines are not all the same as its own: pages next to each other with all the
-same lines are copies, which tell nothing of each other, so a run of them meets the pages before and after it. The lines of both are aligned by a longest common subsequence; lines that a page
-shares with a neighbour are its template and are deleted. A line is known by its text where it stands in the open, and by its
-slot alone where its element says that it is no article (navigation, header, footer, sidebar, advert, form, notice, comments):
-such slots are shared though their words differ from page to page. Two rules keep the article whole: lines inside an article or
-main element are never deleted, since articles may quote each other, and lines in the named elements go even if no neighbour
-has the slot. So differencing decides about the lines in the open, whether or not the page has an article element.
-
-Scale: only narrow rows are sorted (page id, host, path, 64-bit line keys), dealt by ranges of host and path, so that a host
-may fill any number of tasks; the runs at both ends of a task's range meet their neighbours in a second step of four rows a
-task (a run's ids wait in its task for the page after it, 17 bytes a page). What comes back to the pages are the numbers of deleted lines, for pages that have any; they are broadcast if they are
-few (broadcast_mb), else joined. Pages with nothing in the open need nothing back.
-
-Cases: null and empty pages have the empty text; null URLs form one host of their own, pages that repeat an id are told apart by
-a hash of their html; a line in the open that all neighbours lack stays; an empty table gives no rows; extra columns are left out.
+same lines are copies, which tell nothing of each other, so a run of them meets the pages before and after it. The lines of
+both are aligned by longest common subsequences, once by their words and once by their slots (where an element stands and what
+it is called), runs of one slot being one place. Outside the article, a line goes
+
+* if a neighbour shares its words (it is the host's template),
+* if a neighbour shares its slot, with other words, and its box is light: the page's article holds more than LIGHT times the
+  box's own text (menus, notices and footers whose words change from page to page),
+* where differencing doesn't decide (no neighbour has the slot, or the article is too short to weigh against), if an element
+  around it is named as beside the article: navigation, header, footer, sidebar, advert, form, notice, comments.
+
+Every other line stays. Lines inside an article or main element stay even if a neighbour shares them, since articles quote each
+other and near copies of one article stand side by side; so do headings whose words no neighbour shares. n_shared counts the lines that
+the neighbours decided, n_named those that only names did; with names=False the latter are kept.
+
+Scale: one shuffle, by ranges of host and path, which the URL alone gives, so that a host may fill any number of tasks; each page
+is parsed once, in the task that pairs it. Only the runs at both ends of a task's range wait for a second step, four rows of
+line keys a task, in windows of their hosts. A run of copies is one text and the ids and URLs of its pages. The parser and the
+decisions are linear in a page's length; alignments keep bits of the lines that both pages have, and are divided when those are many.
+
+Cases: null and empty pages have the empty text; null URLs form one host of their own; ties in URL go by page id, then by a hash of
+the html; repeated rows are copies; very long pages and deep nesting are worked off in one pass; an empty table gives no rows;
+extra columns are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decisia.llm.common import partitions, text_of, written
 
 # Elements by what they do to a page's text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-ASIDE = frozenset("nav header footer aside form button select dialog menu head".split())
-MAIN = frozenset(("article", "main"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks that hold text and no other blocks worth a box of their own.
+LEAVES = HEADINGS | {"blockquote", "caption", "center", "dd", "dt", "figcaption", "hr", "legend", "li", "option", "p", "pre", "summary", "td", "th"}
+BOXES = frozenset(("address", "article", "aside", "body", "details", "dialog", "dir", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "hgroup", "html", "main", "menu", "nav", "ol", "section", "select", "table", "tbody", "tfoot", "thead", "tr", "ul"))
+BLOCK = LEAVES | BOXES
 CLOSES_P = BLOCK - {"html", "body", "head", "caption", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
-ASIDE_NAMES = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget copyright".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+ASIDE = frozenset(("nav", "header", "footer", "aside", "button", "select", "dialog", "menu", "head"))
+ASIDE_NAMES = frozenset((
+    "ad", "ads", "adv", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "alert",
+    "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "header", "masthead", "comment", "comments",
+    "disqus", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "pagination",
+    "pager", "toolbar", "widget", "copyright",
+))
+ASIDE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"))
+
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I) for tag in RAW}
 BLANKS = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z]+")
-OPEN, ARTICLE, BESIDE = 0, 1, 2
+
+#: Zones of a line. BESIDE by its names; FORM is beside as well, but an article inside a form is an article.
+OPEN, ARTICLE, BESIDE, FORM = range(4)
+LIGHT = 5
+LINE = np.dtype([("words", "<i8"), ("slot", "<i8"), ("box", "<i8"), ("size", "<i4"), ("zone", "i1"), ("heading", "?")])
+#: Bits that one alignment keeps in memory.
+TABLE_BITS = 1 << 29
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def is_beside(tag: str, attributes: str) -> bool:
-    if tag in ASIDE:
+@functools.lru_cache(65536)
+def inside(slot: int, name: str) -> int:
+    """The slot of an element of that name in a slot."""
+    return digest(f"{slot}/{name}")
+
+
+def is_beside(tag: str, attributes: str, zone: int) -> bool:
+    own_header = tag == "header" and zone == ARTICLE  # the header of an article holds its title
+    if tag in ASIDE and not own_header:
         return True
     for name, a, b, c in NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not ASIDE_NAMES.isdisjoint(NAME_PARTS.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not ASIDE_NAMES.isdisjoint(p for p in NAME_PARTS.findall(value) if not (own_header and p == "header")):
             return True
     return False
 
 
-def blocks(html: str) -> list[tuple[int, str, str]]:
-    """Zone, slot and text of each block in page order; text with its references decoded and white space made single."""
-    out: list[tuple[int, str, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the zone inside
-    held: list[str] = []
-    at, zone = 0, OPEN
+class Parser:
+    """Lines of a page in one pass: open elements are found by their names' last places, never by a walk over all of them."""
 
-    def flush() -> None:
-        if held:
-            text = BLANKS.sub(" ", unescape("".join(held))).strip()
-            held.clear()
+    def __init__(self, html: str, names: bool) -> None:
+        self.html, self.names = html, names
+        self.lines: list[tuple] = []
+        self.held: list[str] = []
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, zone inside, slot, box
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.unclosed: set[str] = set()
+
+    def flush(self) -> None:
+        if self.held:
+            text = BLANKS.sub(" ", unescape("".join(self.held))).strip()
+            self.held.clear()
             if text:
-                out.append((zone, "/".join(tag for tag, _ in stack if tag in BLOCK), text))
-
-    def close(upto: int) -> None:
-        nonlocal zone
-        del stack[upto:]
-        zone = stack[-1][1] if stack else OPEN
-
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            held.append(html[at : m.start()])
-        at = m.end()
-        tag = m[1] and m[1].lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        if m[0][1] == "/":
+                _, zone, slot, box = self.stack[-1] if self.stack else ("", OPEN, 0, 0)
+                heading = bool(self.blocks) and self.stack[self.blocks[-1]][0] in HEADINGS
+                self.lines.append((digest(text), slot, box, len(text), zone, heading, text))
+
+    def close(self, upto: int) -> None:
+        for at in range(len(self.stack) - 1, upto - 1, -1):
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+
+    def open(self, tag: str, attributes: str) -> None:
+        _, zone, slot, box = self.stack[-1] if self.stack else ("", OPEN, 0, 0)
+        if tag == "main" or tag == "article" and zone != BESIDE:
+            inner = ARTICLE
+        elif zone == BESIDE or self.names and is_beside(tag, attributes, zone):
+            inner = BESIDE
+        else:
+            inner = FORM if tag == "form" and self.names else zone
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+            called = CLASS.search(attributes) if attributes else None
+            called = NAME_PARTS.findall((called[1] or called[2] or called[3] or "").lower()) if called else ()
+            slot = inside(slot, " ".join((tag, *called)))
+            if tag in BOXES:
+                box = slot
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, inner, slot, box))
+
+    def attributes_end(self, at: int) -> int:
+        """Where the sign that ends a tag stands (or the page ends); quotes count only around values."""
+        html = self.html
+        while True:
+            end = PLAIN.match(html, at).end()
+            if end >= len(html) or html[end] == ">":
+                return end
+            quote, at = html[end], end + 1
+            if quote not in self.unclosed and html[max(0, end - 16) : end].rstrip().endswith("="):
+                closing = html.find(quote, at)
+                if closing < 0:
+                    self.unclosed.add(quote)
+                else:
+                    at = closing + 1
+
+    def parse(self) -> list[tuple]:
+        html, at, size = self.html, 0, len(self.html)
+        while at < size:
+            sign = html.find("<", at)
+            if sign < 0:
+                break
+            if sign > at:
+                self.held.append(html[at:sign])
+            if html.startswith("<!--", sign):
+                end = html.find("-->", sign + 4)
+                at = size if end < 0 else end + 3
+            elif html.startswith("<![CDATA[", sign):
+                end = html.find("]]>", sign)
+                self.held.append(html[sign + 9 : size if end < 0 else end].replace("&", "&amp;"))
+                at = size if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), sign):
+                end = html.find(">", sign)
+                at = size if end < 0 else end + 1
+            elif m := NAME.match(html, sign):
+                end = self.attributes_end(m.end())
+                at = self.tag(m[1].lower(), html[sign + 1] == "/", html[m.end() : end], min(size, end + 1))
+            else:
+                self.held.append("<")
+                at = sign + 1
+        if at < size:
+            self.held.append(html[at:])
+        self.flush()
+        return self.lines
+
+    def tag(self, tag: str, ends: bool, attributes: str, at: int) -> int:
+        """Works a tag in; returns where the page goes on."""
+        if ends:
             if tag in BLOCK:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush() if any(t in BLOCK for t, _ in stack[i:]) else None
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end can't close a block
-            continue
+                self.flush()
+            places = self.places.get(tag)
+            if places and (tag in BLOCK or not self.blocks or self.blocks[-1] < places[-1]):  # an inline end can't close a block
+                if self.blocks and self.blocks[-1] >= places[-1]:
+                    self.flush()
+                self.close(places[-1])
+            return at
         if tag in RAW:
-            end = RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
-            continue
+            if attributes.endswith("/") and tag in ("svg", "math"):
+                return at
+            end = RAW_END[tag].search(self.html, at)
+            return end.end() if end else len(self.html)
         if tag in BLOCK:
-            flush()
-            if tag in CLOSES_P:
-                opened = [i for i, (t, _) in enumerate(stack) if t == "p"]
-                if opened:
-                    close(opened[-1])
+            self.flush()
+            if tag in CLOSES_P and self.places.get("p"):
+                self.close(self.places["p"][-1])
         if tag in VOID:
-            held.append(" ") if tag in ("br", "wbr", "img", "input") else None
-            continue
-        if m[0].endswith("/>") and tag not in BLOCK:
-            continue
-        inner = BESIDE if zone == BESIDE or is_beside(tag, m[2]) else ARTICLE if tag in MAIN else zone
-        stack.append((tag, inner))
-        zone = inner
-    rest = html[at:]
-    held.append(rest)
-    flush()
-    return out
+            if tag in ("br", "wbr", "img", "input"):
+                self.held.append(" ")
+        elif not (attributes.endswith("/") and tag not in BLOCK):
+            self.open(tag, attributes)
+        return at
 
 
-def key(zone: int, slot: str, text: str) -> int:
-    data = f"{zone}/{slot}" if zone == BESIDE else f"{zone}/{slot}/{text}"
-    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def page_lines(html: str, names: bool = True) -> tuple[np.ndarray, list[str]]:
+    """The lines' keys and their texts, references decoded and white space made single."""
+    found = Parser(html, names).parse()
+    return np.array([x[:6] for x in found], LINE), [x[6] for x in found]
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence with b. Lines that only one has are left out first; of rows of the table, bit sets."""
+    """Places in a of a longest common subsequence with b. What only one of them has is left out first."""
     other, own = set(b), set(a)
     ia, ib = [i for i, x in enumerate(a) if x in other], [x for x in b if x in own]
-    where: dict[int, int] = {}
-    for j, x in enumerate(ib):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(ib)) - 1
-    rows, v = [], full
-    for i in ia:
-        u = v & where[a[i]]
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    found, j = set(), len(ib)
-    for n in range(len(ia) - 1, -1, -1):
+    return {ia[n] for n in aligned([a[i] for i in ia], ib)}
+
+
+def aligned(a: list[int], b: list[int]) -> list[int]:
+    """Rows of the table are bit sets; a table beyond TABLE_BITS is cut at the middle of a where the lengths of both halves add up."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        upto = lengths(table_rows(a[:half], b, last=True)[-1], len(b))
+        rest = lengths(table_rows(a[half:][::-1], b[::-1], last=True)[-1], len(b))[::-1]
+        cut = int(np.argmax(upto + rest))
+        return aligned(a[:half], b[:cut]) + [half + n for n in aligned(a[half:], b[cut:])]
+    rows, found, j = table_rows(a, b), [], len(b)
+    for n in range(len(a) - 1, -1, -1):
         # the length at (n, j) is the number of zero bits below j in row n
         now = j - (rows[n] & ((1 << j) - 1)).bit_count()
         before = j - (rows[n - 1] & ((1 << j) - 1)).bit_count() if n else 0
         if now > before:
-            found.add(ia[n])
+            found.append(n)
             while j and (j - (rows[n] & ((1 << j) - 1)).bit_count()) == now:
                 j -= 1
-    return found
+    return found[::-1]
+
+
+def table_rows(a: list[int], b: list[int], last: bool = False) -> list[int]:
+    """A bit for each place of b in each row, 0 where the length grows. Places of a line that is often in b are kept as bits."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    often = {x: sum(1 << j for j in some) for x, some in places.items() if len(some) > 64}
+    full = (1 << len(b)) - 1
+    rows, v = [], full
+    for x in a:
+        u = v & (often[x] if x in often else sum(1 << j for j in places.get(x, ())))
+        v = ((v + u) | (v - u)) & full
+        if last:
+            rows = [v]
+        else:
+            rows.append(v)
+    return rows
 
 
-def host_and_path(url: str) -> tuple[str, str]:
-    rest = url.split("://", 1)[-1]
-    host, _, path = rest.partition("/")
-    return host.lower().rsplit("@", 1)[-1].removeprefix("www."), "/" + path.split("#", 1)[0].split("?", 1)[0]
+def lengths(row: int, size: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-size // 8), "little"), np.uint8), bitorder="little")[:size]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
-def pack_keys(keys: list[int]) -> bytes:
-    return np.array(keys, "<i8").tobytes()
+def shared_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which places of a are in a run of one slot that is aligned with a run of b."""
+    if not len(a) or not len(b):
+        return np.zeros(len(a), bool)
+    heads = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (a, b)]
+    hit = np.zeros(len(heads[0]), bool)
+    hit[sorted(shared(a[heads[0]].tolist(), b[heads[1]].tolist()))] = True
+    return np.repeat(hit, np.diff(np.append(heads[0], len(a))))
 
 
-def unpack(data: bytes | None) -> list[int]:
-    return np.frombuffer(data, "<i8").tolist() if data else []
+def decided(own: np.ndarray, neighbours: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the neighbours decide to be template, and which only names do."""
+    words, slots = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    for other in neighbours:
+        words[list(shared(own["words"].tolist(), other["words"].tolist()))] = True
+        slots |= shared_slots(own["slot"], other["slot"])
+    article, named = own["zone"] == ARTICLE, own["zone"] >= BESIDE
+    weight, box = int(own["size"][article].sum(dtype=np.int64)), Counter()
+    for b, n in zip(own["box"][~article & ~words].tolist(), own["size"][~article & ~words].tolist(), strict=True):
+        box[b] += n
+    light = np.array([LIGHT * box[b] < weight for b in own["box"].tolist()], bool)
+    gone = ~article & (words | slots & light & ~own["heading"])
+    return gone, ~article & named & ~gone
 
 
-def gone(own: bytes, open_lines: bytes, *neighbours: bytes | None) -> list[int]:
-    """Numbers of the lines in the open that some neighbour shares; one with all the same lines is a copy and tells nothing."""
-    lines = unpack(own)
-    hit = set().union(*(shared(lines, unpack(n)) for n in neighbours if n and n != own))
-    return sorted(hit & set(unpack(open_lines)))
+def result(own: np.ndarray, texts: list[str], neighbours: list[np.ndarray]) -> tuple[str, int, int]:
+    gone, named = decided(own, neighbours)
+    return "\n\n".join(t for t, drop in zip(texts, (gone | named).tolist(), strict=True) if not drop), int(gone.sum()), int(named.sum())
 
 
-def extract(pages: DataFrame, broadcast_mb: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html")).withColumn("mark", F.xxhash64("html"))
+def host_of(url: Column) -> Column:
+    return F.regexp_replace(F.substring_index(F.lower(F.regexp_extract(rest_of(url), r"^[^/?#]*", 0)), "@", -1), r"^www\.", "")
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for page, url, html, mark in zip(*(batch.column(i) for i in range(4)), strict=True):
-                found = blocks(html.as_py())
-                host, path = host_and_path(url.as_py() or "")
-                keys = [key(*b) for b in found]
-                for column, value in zip(out, (page.as_py(), mark.as_py(), host, path, pack_keys(keys), pack_keys([i for i, b in enumerate(found) if b[0] == OPEN])), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["page_id", "mark", "host", "path", "keys", "open"])
 
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
+
+
+def rest_of(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "")
+
+
+PAIRED = "page_id long, url string, text string, n_shared long, n_named long, part int, run int, first boolean, last boolean, host string, keys binary, texts array<string>"
+PAIRED_TYPES = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.list_(pa.string()))
+
+
+class Pairing:
+    """The runs of a task's range in turn: each is decided when the one after it is known; those at the ends wait for the second step."""
+
+    def __init__(self, part: int) -> None:
+        self.part, self.out, self.size = part, [], 0
+
+    def put(self, *row) -> Iterator[pa.RecordBatch]:
+        self.out.append(row)
+        self.size += 200 + len(row[2] or "") + sum(map(len, row[11] or ()))
+        if self.size > 4 << 20:
+            yield self.made()
+
+    def made(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.out, strict=True), PAIRED_TYPES, strict=True)], names=[x.split()[0] for x in PAIRED.split(", ")])
+        self.out, self.size = [], 0
+        return batch
+
+    def close(self, before: dict | None, run: dict, after: dict | None) -> Iterator[pa.RecordBatch]:
+        nothing = (None,) * 5
+        if before and after:
+            text, gone, named = result(unpacked(run["keys"]), run["texts"], [unpacked(n["keys"]) for n in (before, after) if n["host"] == run["host"]])
+            for page, url in run["pages"]:
+                yield from self.put(page, url, text, gone, named, None, None, *nothing)
+        else:
+            for page, url in run["pages"]:
+                yield from self.put(page, url, None, None, None, self.part, run["run"], *nothing)
+        # the second run from either end is kept for the second step too, as a neighbour of the first
+        if run["run"] < 2:
+            yield from self.end(run, before is None, after is None)
+        run["pages"] = ()
+        if before:
+            before["texts"] = ()
+
+    def end(self, run: dict, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        yield from self.put(None, None, None, None, None, self.part, run["run"], first, last, run["host"], run["keys"], run["texts"] if first or last else [])
+
+
+def unpacked(keys: bytes) -> np.ndarray:
+    return np.frombuffer(keys, LINE)
+
+
+def extract(pages: DataFrame, names: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_shared, n_named of every page."""
+    spark, url = pages.sparkSession, F.col("url")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     order = ["host", "path", "page_id", "mark"]
-    sorted_rows = rows.mapInArrow(lines, "page_id long, mark long, host string, path string, keys binary, open binary").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    paired_schema = "part int, run int, page_id long, mark long, gone array<int>, first boolean, last boolean, host string, keys binary, open binary"
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.binary())
+    rows = rows.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64("html").alias("mark"), "html")
+    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("page_id", "url", "host", "html")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run of copies with the runs beside it. The first two and the last two of the range are kept for the second step."""
-        part = TaskContext.get().partitionId()
-        out: list[tuple] = []
-
-        def made() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in paired_schema.split(", ")])
-            out.clear()
-            return batch
-
-        def put(before, run, after) -> Iterator[pa.RecordBatch]:
-            lost = gone(run["keys"], run["open"], *(n["keys"] for n in (before, after) if n and n["host"] == run["host"]))
-            if lost or before is None or after is None:
-                for page, mark, null in zip(run["pages"], run["marks"], run["nulls"], strict=True):
-                    out.append((part, run["run"], None if null else page, mark, lost, None, None, None, None, None))
-                    if len(out) >= 4096:
-                        yield made()
-            run["pages"] = run["marks"] = run["nulls"] = ()
-
-        head: list[dict] = []
-        before = now = None
+        pairing, before, now = Pairing(TaskContext.get().partitionId()), None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if now is None or row["host"] != now["host"] or row["keys"] != now["keys"]:
-                    run = {"run": now["run"] + 1 if now else 0, "host": row["host"], "keys": row["keys"], "open": row["open"], "pages": array("q"), "marks": array("q"), "nulls": bytearray()}
-                    if now is not None:
-                        yield from put(before, now, run)
+            for page, url, host, html in zip(*(batch.column(i) for i in range(4)), strict=True):
+                lines, texts = page_lines(html.as_py(), names)
+                keys, host = lines.tobytes(), host.as_py()
+                if now is None or host != now["host"] or keys != now["keys"]:
+                    run = {"run": now["run"] + 1 if now else 0, "host": host, "keys": keys, "texts": texts, "pages": []}
+                    if now:
+                        yield from pairing.close(before, now, run)
                     before, now = now, run
-                    if run["run"] < 2:
-                        head.append(run)
-                now["pages"].append(row["page_id"] or 0)
-                now["marks"].append(row["mark"])
-                now["nulls"].append(row["page_id"] is None)
-        if now is not None:
-            yield from put(before, now, None)
-            for run in head + [r for r in (before, now) if r and r["run"] > 1]:
-                out.append((part, run["run"], None, None, None, run["run"] == 0, run is now, run["host"], run["keys"], run["open"]))
-            yield made()
-
-    paired = written(sorted_rows.mapInArrow(pair, paired_schema), "paired")
-    # the first run of a range looks back and the last ahead for the nearest run that differs: four rows a task, so one window over all of them
-    met = paired.where("keys is not null").withColumn("own", F.struct("host", "keys"))
-    for name, order in (("back", W.partitionBy(F.lit(0)).orderBy("part", "run")), ("ahead", W.partitionBy(F.lit(0)).orderBy(F.desc("part"), F.desc("run")))):
-        met = met.withColumn("next", F.lag("own").over(order)).withColumn(name, F.last(F.when(F.col("next") != F.col("own"), F.col("next")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+                now["pages"].append((page.as_py(), url.as_py()))
+        if now:
+            yield from pairing.close(before, now, None)
+            for run in (before, now):
+                if run and run["run"] > 1:
+                    yield from pairing.end(run, False, run is now)
+            yield pairing.made()
+
+    paired = written(ranged.mapInArrow(pair, PAIRED), "paired")
+    # the nearest run that differs, back and ahead: four rows a task, in windows of their hosts
+    met = paired.where("keys is not null").select("part", "run", "first", "last", "host", "keys", "texts")
+    for name, by in (("back", W.partitionBy("host").orderBy("part", "run")), ("ahead", W.partitionBy("host").orderBy(F.desc("part"), F.desc("run")))):
+        met = met.withColumn("next", F.lag("keys").over(by)).withColumn(name, F.last(F.when(F.col("next") != F.col("keys"), F.col("next")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            lost = [gone(r["keys"], r["open"], *(n["keys"] for n, asks in ((r["back"], r["first"]), (r["ahead"], r["last"])) if asks and n and n["host"] == r["host"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["run"] for r in rows], pa.int32()), pa.array(lost, pa.list_(pa.int32()))], names=["part", "run", "gone"])
-
-    ends = met.where("first or last").select("part", "run", "first", "last", "host", "keys", "open", "back", "ahead").mapInArrow(meet, "part int, run int, gone array<int>").where(F.size("gone") > 0)
-    members = paired.where("keys is null")
-    lost = members.select("page_id", "mark", "gone").where(F.size("gone") > 0).union(members.drop("gone").join(F.broadcast(ends), ["part", "run"]).select("page_id", "mark", "gone"))
-    lost = written(lost.groupBy(F.col("page_id").alias("l_id"), F.col("mark").alias("l_mark")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
-    size = lost.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0]
-    if size:
-        lost = F.broadcast(lost) if size <= broadcast_mb << 20 else lost
-        rows = rows.join(lost, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark")), "left")
-    else:
-        rows = rows.withColumn("gone", F.lit(None).cast("array<int>"))
-
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for html, lost in zip(batch.column(2), batch.column(3), strict=True):
-                drop = set(lost.as_py() or ()) if lost.is_valid else ()
-                texts.append("\n\n".join(t for i, (zone, _, t) in enumerate(blocks(html.as_py())) if zone == ARTICLE or zone == OPEN and i not in drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.select("page_id", "url", "html", "gone").mapInArrow(text, "page_id long, url string, text string, n_chars long")
+            for part, run, keys, texts, *beside in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                text, gone, shown = result(unpacked(keys), texts, [unpacked(n) for n in beside if n is not None])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.int32()), pa.array([text]), pa.array([gone]), pa.array([shown])], names=["part", "run", "text", "n_shared", "n_named"])
+
+    ends = met.where("first or last").select("part", "run", "keys", "texts", "back", "ahead").mapInArrow(meet, "part int, run int, text string, n_shared long, n_named long")
+    out = ["page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_named"]
+    members = paired.where("keys is null and part is not null").select("page_id", "url", "part", "run")
+    return paired.where("part is null").select(*out).unionAll(members.join(ends, ["part", "run"]).select(*out))

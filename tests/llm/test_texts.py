@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -230,6 +232,151 @@ def test_pages_whatever_the_ranges(spark):
     assert results[0] == results[1] == results[2]
 
 
+class PlainPage(HTMLParser):
+    """Lines (words, slot, box, in the article, named, heading) of pages as the test tables have them, by the standard parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.lines, self.held, self.raw = [], [], [], 0
+        self.feed(html)
+        self.flush()
+
+    def flush(self):
+        words = " ".join("".join(self.held).split())
+        self.held = []
+        if words:
+            path = [t for t in self.stack if t.split(".")[0] != "b"]
+            tags = [t.split(".")[0] for t in path]
+            box = tuple(path[: max([k + 1 for k, t in enumerate(tags) if t not in ("p", "li", "h1")], default=0)])
+            self.lines.append((words, tuple(path), box, "article" in tags, bool({"nav", "footer", "div.ad", "aside", "header"} & {*path, *tags}), tags[-1:] == ["h1"]))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.raw += 1
+        elif tag == "br":
+            self.held.append(" ")
+        elif tag not in ("meta", "a"):
+            if tag != "b":
+                self.flush()
+            if tag == "p" and "p" in self.stack:
+                del self.stack[len(self.stack) - 1 - self.stack[::-1].index("p") :]
+            self.stack.append(f"{tag}.{dict(attrs)['class']}" if dict(attrs).get("class") else tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.raw -= 1
+        elif tag not in ("a", "b"):
+            self.flush()
+            tags = [t.split(".")[0] for t in self.stack]
+            if tag in tags:
+                del self.stack[len(tags) - 1 - tags[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.held.append(data)
+
+
+def plain_alignment(a, b):
+    """Places in a of a longest common subsequence, late rows left out where they add nothing."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    found, i, j = set(), len(a), len(b)
+    while i:
+        if best[i][j] > best[i - 1][j]:
+            found.add(i - 1)
+            now = best[i][j]
+            while best[i][j] == now:
+                j -= 1
+        i -= 1
+    return found
+
+
+def plain_pages(rows):
+    """The texts of pages (page_id, url, html), each with the nearest pages of its host that differ."""
+    order = []
+    for page, url, html_text in rows:
+        rest = (url or "").split("://", 1)[-1]
+        host = re.match(r"[^/?#]*", rest)[0].lower().split("@")[-1].removeprefix("www.")
+        order.append((host, re.match(r"[^/?#]*([^?#]*)", rest)[1], page, PlainPage(html_text or "").lines))
+    order.sort(key=lambda r: r[:3])
+    out = {}
+    for k, (host, _, page, own) in enumerate(order):
+        words, slots = set(), set()
+        places = [j for j in range(len(own)) if not j or own[j][1] != own[j - 1][1]] + [len(own)]
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(order) and order[j][0] == host and order[j][3] == own:
+                j += step
+            if 0 <= j < len(order) and order[j][0] == host:
+                other = order[j][3]
+                words |= plain_alignment([x[0] for x in own], [x[0] for x in other])
+                runs = [x[1] for n, x in enumerate(other) if not n or x[1] != other[n - 1][1]]
+                for place in plain_alignment([own[j][1] for j in places[:-1]], runs):
+                    slots |= set(range(places[place], places[place + 1]))
+        article, box = sum(len(x[0]) for x in own if x[3]), Counter()
+        for n, x in enumerate(own):
+            box[x[2]] += 0 if x[3] or n in words else len(x[0])
+        kept, shared = [], 0
+        for n, x in enumerate(own):
+            gone = not x[3] and (n in words or n in slots and 5 * box[x[2]] < article and not x[5])
+            shared += gone
+            if x[3] or not gone and not x[4]:
+                kept.append(x[0])
+        out[page] = ("\n\n".join(kept), shared)
+    return out
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_pages_against_a_plain_version(spark, folder):
+    """Whole table: texts, and the count of lines that the neighbours decided, which are most of those that go."""
+    sf_dir = f"/root/testdata/{folder}"
+    rows = [tuple(r) for r in table(spark, sf_dir, "pages").select("page_id", "url", "html").collect()]
+    got = queries.op6_page_text(spark, sf_dir).collect()
+    want = plain_pages(rows)
+    assert {r["page_id"]: (r["text"], r["n_shared"]) for r in got} == want and len(got) == len(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sum(r["n_shared"] for r in got) > (sum(r["n_named"] for r in got) if folder == "sf0.001" else 2 * sum(r["n_named"] for r in got))
+
+
+def test_pages_without_names(spark):
+    """With the lists of names switched off, differencing alone finds menus, adverts and footers of most pages."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    with_names = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    without = {r["page_id"]: (r["text"], r["n_named"]) for r in html.extract(pages, names=False).collect()}
+    assert all(n == 0 for _, n in without.values())
+    assert sum(with_names[i] == t for i, (t, _) in without.items()) >= 0.85 * len(without)
+
+
+def test_pages_of_odd_make():
+    texts = lambda page: html.result(*html.page_lines(page), [])[0]
+    assert texts("<article><header class='header'><h1>T</h1></header><p>x<footer>by me</footer></article>") == "T\n\nx"
+    assert texts("<form id=f><div><article><p>x</article></div><p>field</p></form>") == "x"
+    assert texts("<div class='page menu-open'><main><p>x</main><p>y</div>") == "x"
+    assert texts("<p title='a>b'>x <i data-x=it's>y</i> &lt;z&gt; 1 < 2 <![CDATA[c]]></p><!-- never closed <p>w") == "x y <z> 1 < 2 c"
+    assert texts("<p>x<a href=\"never closed>y</a><p>z") == "xy\n\nz"
+    assert texts("<p>x<script>never closed <p>z") == "x"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 400_000, "<b></i>" * 300_000, '<a href="x' * 200_000, "<p>x" * 100_000, "<div class=a><p>t" * 100_000, "<" * 2_000_000])
+def test_pages_long_and_deep(page):
+    """Two million signs of nested or broken tags are worked off in one pass."""
+    start = time.process_time()
+    lines, _ = html.page_lines(page)
+    html.decided(lines, [lines[1:]])
+    assert time.process_time() - start < 30
+
+
+def test_alignment_in_parts(monkeypatch):
+    r = random.Random(1)
+    a, b = ([r.randrange(9) for _ in range(n)] for n in (300, 200))
+    whole = html.shared(a, b)
+    monkeypatch.setattr(html, "TABLE_BITS", 500)
+    parts, rest = sorted(html.shared(a, b)), iter(b)
+    assert len(parts) == len(whole) and all(a[i] in rest for i in parts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_shared_lines(a, b):
