@@ -57,38 +57,49 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Encodes with the tokenizers library, strings of special tokens being ordinary text.
+    """Encodes with the tokenizers library. A special token's string in a text becomes its id, as the library does unless told
+    otherwise; with special=False it is ordinary text.
 
-    Where the file asks for byte-level BPE and nothing beyond, texts are cut before spaces, where no part of PARTS goes on,
-    and pieces that come again cost one look-up. Any other tokenizer encodes the texts whole.
+    Where the file asks for byte-level BPE and nothing beyond, texts are cut at added tokens and before spaces, where no part of
+    PARTS goes on, and pieces that come again cost one look-up. Any other tokenizer encodes the texts whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = Pieces(self.tokenizer) if self._by_pieces() else None
-
-    def _by_pieces(self) -> bool:
+        self.tokenizer.encode_special_tokens = not special
         spec = json.loads(self.tokenizer.to_str())
+        added = [t for t in spec.get("added_tokens") or () if special or not t["special"]]
+        self.pieces = Pieces(self.tokenizer) if self._by_pieces(spec, added) else None
+        self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
+        self.cut_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+
+    @staticmethod
+    def _by_pieces(spec: dict, added: list[dict]) -> bool:
         pre = spec.get("pre_tokenizer") or {}
         plain = spec["model"]["type"] == "BPE" and not spec["model"].get("byte_fallback") and spec.get("normalizer") is None
-        return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
+        alone = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        return plain and alone and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
+
+    def _cut(self, text: str) -> list[str]:
+        if any(x in text for x in UNCUT):
+            return PARTS.findall(text)
+        # single line feeds are parts; of several in a row PARTS decides
+        lines = text if "\n\n" in text else text.replace("\n", "\0\n\0")
+        return lines.replace(" ", "\0 ").split("\0")
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         if self.pieces is None:
             return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         get, out = self.pieces.__getitem__, []
         for text in texts:
-            if any(x in text for x in UNCUT):
-                cut = PARTS.findall(text)
+            if any(x in text for x in self.added):
+                found = [self.added[x] if k % 2 else b"".join(map(get, self._cut(x))) for k, x in enumerate(self.cut_added.split(text))]
             else:
-                # single line feeds are parts; of several in a row PARTS decides
-                lines = text if "\n\n" in text else text.replace("\n", "\0\n\0")
-                cut = lines.replace(" ", "\0 ").split("\0")
-            out.append(np.frombuffer(b"".join(map(get, cut)), dtype="<u4"))
+                found = map(get, self._cut(text))
+            out.append(np.frombuffer(b"".join(found), dtype="<u4"))
         return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
@@ -106,8 +117,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = True) -> Encoder:
+    return Encoder(path, special)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -7,7 +7,9 @@ each level. When a task's documents end, the emptiest open windows are cut to fi
 window becomes sequences whose lengths are powers of two, which need no padding: a task pads nothing.
 
 No shuffle: each task packs the documents that it reads. Open windows are all that a task keeps. Cases: a null text is an
-empty one, a single end id; repeated rows are packed each; an empty table gives no rows; extra columns are left out.
+empty one, a single end id; a very long text fills whole windows as it comes, only its rest is placed; rows without or with a
+repeated id are packed each; of levels that tie the fullest is taken; an empty table gives no rows; extra columns are left out.
+A special token's string in a text becomes its id, or ordinary text with special=False.
 """
 
 from __future__ import annotations
@@ -105,11 +107,11 @@ def cut(piece: tuple, most: int) -> tuple:
     return (doc_id, start, ids[:most], n), (doc_id, start + most, ids[most:], n) if len(ids) > most else None
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document: which ids, in which sequence, where; sequence ids are unique, not dense."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, rows, sequence = encoder(tokenizer), [], TaskContext.get().partitionId() << 40
+        enc, rows, sequence = encoder(tokenizer, special), [], TaskContext.get().partitionId() << 40
 
         def emit(window: list) -> None:
             nonlocal sequence

@@ -6,8 +6,10 @@ n + 1 signed 64-bit offsets into it, ``part-00000.doc`` n signed 64-bit document
 ``meta.json`` holds the id width and, for each part, its documents, its ids and its base: the number of ids in all parts
 before it, a prefix sum over one number a part.
 
-Cases: a null text is an empty one and so only the end id; rows that repeat a doc_id stay, ordered by their text; an empty
-table gives no parts; extra columns are left out. A retried task writes the same bytes and replaces its file whole.
+Cases: a null text is an empty one and so only the end id; rows that repeat a doc_id stay, ordered by a hash of their text (ranges are of
+id and text hash, so that one id, or none, may fill many parts); very long texts are encoded whole, a part's file grows with
+them; an empty table gives no parts; extra columns are left out. A special token's string in a text becomes its id, or ordinary
+text with special=False. A retried task writes the same bytes and replaces its file whole.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from decisia.llm.common import partitions, text_of
 from decisia.llm.encoding import encoder
 
 NO_ID = -(2**63)
+#: Ids read from a file at once.
+READ_IDS = 1 << 20
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -51,14 +55,28 @@ class Folder:
     def writer(self, name: str):
         return _Whole(self, name)
 
-    def array(self, name: str, dtype: str) -> np.ndarray:
+    def array(self, name: str, dtype: str):
+        """Something to slice: a memory map of a local file, ranges read from any other store."""
         path = f"{self.path}/{name}"
         if not self.local:
-            with self.fs.open_input_file(path) as f:
-                return np.frombuffer(f.read(), dtype=dtype)
+            return _Ranges(self.fs.open_input_file(path), np.dtype(dtype))
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
 
 
+class _Ranges:
+    """Slices of a remote file of numbers: each is one read, nothing else is held."""
+
+    def __init__(self, file, dtype: np.dtype) -> None:
+        self.file, self.dtype, self.n = file, dtype, file.size() // dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        a, b, _ = some.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
 class _Whole:
     """A file that appears under its name only when it is complete."""
 
@@ -75,19 +93,19 @@ class _Whole:
             os.replace(self.by, self.to) if self.folder.local else self.folder.fs.move(self.by, self.to)
 
 
-def write_tokens(docs: DataFrame, address: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_tokens(docs: DataFrame, address: str, tokenizer: str, end_id: int, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Encode every whole text, append end_id, write the folder; returns what meta.json holds.
 
     One shuffle deals the documents by ranges of their ids; only one row of counts for each part reaches the driver.
     """
     spark = docs.sparkSession
-    vocabulary = encoder(tokenizer).tokenizer.get_vocab_size()
+    vocabulary = encoder(tokenizer, special).tokenizer.get_vocab_size()
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     Folder(address).make()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, part = Folder(address), TaskContext.get().partitionId()
-        name, enc = f"part-{part:05d}", encoder(tokenizer)
+        name, enc = f"part-{part:05d}", encoder(tokenizer, special)
         ids, offsets, total = [], [0], 0
         with folder.writer(f"{name}.bin") as out:
             for batch in batches:
@@ -105,8 +123,8 @@ def write_tokens(docs: DataFrame, address: str, tokenizer: str, end_id: int, id_
 
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(partitions(spark), F.col("doc_id"), F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .mapInArrow(write, "part long, docs long, ids long")
         .collect()
     )
@@ -120,6 +138,25 @@ def write_tokens(docs: DataFrame, address: str, tokenizer: str, end_id: int, id_
     return meta
 
 
+def checksums(ids, at: list[int]) -> list[int]:
+    """Of the documents between the places at; read in ranges of a few megabytes."""
+    out, k = [], 0
+    while k < len(at) - 1:
+        last = k + 1
+        while last < len(at) - 1 and at[last + 1] - at[k] <= READ_IDS:
+            last += 1
+        if last == k + 1:  # one document alone, in steps
+            found = 0
+            for lo in range(at[k], at[last], READ_IDS):
+                found = zlib.crc32(ids[lo : min(at[last], lo + READ_IDS)].astype("<u4").tobytes(), found)
+            out.append(found)
+        else:
+            block = ids[at[k] : at[last]].astype("<u4")
+            out += [zlib.crc32(block[a - at[k] : b - at[k]].tobytes()) for a, b in zip(at[k:last], at[k + 1 : last + 1], strict=True)]
+        k = last
+    return out
+
+
 def read_tokens(spark: SparkSession, address: str, meta: dict) -> DataFrame:
     """One row a document, from the files: where its ids start among all ids, how many, and their checksum as 32-bit integers."""
     dtype = meta["dtype"]
@@ -133,7 +170,7 @@ def read_tokens(spark: SparkSession, address: str, meta: dict) -> DataFrame:
                 for lo in range(0, len(docs), 8192):
                     hi = min(len(docs), lo + 8192)
                     at = offsets[lo : hi + 1].tolist()
-                    sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
+                    sums = checksums(ids, at)
                     doc = np.asarray(docs[lo:hi])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc, mask=doc == NO_ID), pa.array(np.array(at[:-1]) + base), pa.array(np.diff(at)), pa.array(sums, pa.int64())],

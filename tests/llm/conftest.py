@@ -14,7 +14,7 @@ def prose(seed: int, n: int) -> str:
 def edge(spark):
     """Nulls, empty and very long texts, ties, repeated rows, near copies, and extra columns with names used inside."""
     near = prose(5, 200)
-    texts = [None, "", " ", "one", "one two three four", prose(1, 60), prose(1, 60), prose(1, 60).replace(" ", " \n", 3), near, near + " more", "x " + near, near.upper(), prose(7, 40_000), "mail a@b.co +1 (201) 555-0123 10.0.0.1 4111 1111 1111 1111", "Ünïcødé " * 30]
+    texts = [None, "", " ", "one", "one two three four", prose(1, 60), prose(1, 60), prose(1, 60).replace(" ", " \n", 3), near, near + " more", "x " + near, near.upper(), prose(7, 40_000), "mail a@b.co +1 (201) 555-0123 10.0.0.1 4111 1111 1111 1111", "Ünïcødé " * 30, "cut<|endoftext|> here"]
     rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}" if i % 4 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[5], rows[8], (None, "lost id " + prose(9, 30), "de", "odd", 3), (None, prose(1, 60), "de", "src1", 3)]
     return spark.createDataFrame([(*r, "x", 1, "s", "l", 5, "i", 2, "e", "m") for r in rows], SCHEMA)
