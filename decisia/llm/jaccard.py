@@ -1,28 +1,37 @@
 """Exact Jaccard join of word-shingle sets in a metric space.
 
 Distance is one minus Jaccard; r, the distance of a link, is 0.2 where 80 per cent is asked. Almost all pairs of documents
-are at distance 1, where pivots that are documents tell nothing, so the first pivots are single shingles: a set is nearest
-to its own shingles, ties going to the rarer in one fixed order. A set's home is its first shingle; the symmetric difference
-obeys the triangle inequality, so a set within r of it can miss only n - ceil(0.8 n) of its shingles and has its home among
-the next ones: the set is replicated to the regions of just so many pivots after its home (the window).
-
-A region of few sets is paired under the windows of sizes and of places in the order, and by counts of shingles in 64 classes
-(a mapping that shrinks the symmetric difference, so what it puts beyond r is beyond r). A larger region hangs together as a
-whole. What hangs together travels, each set once, to one task, which joins it recursively: documents as pivots, every member
-compared with each; members within r of a pivot are linked; all are dealt into the Voronoi cells of their nearest pivots and
-replicated to each cell j with d(x, p_j) <= d(x, home) + 2 r; cells whose members are one component already are done, others
-are divided again, and those that are small, or don't get smaller, are joined pair by pair.
-
-Groups of too many shingles for a task go another way: members are compared with pivots of their regions, salted over tasks;
-those left outside the region's main component are dealt into the Voronoi cells by a join and compared there.
+are at distance 1, where pivots that are documents tell nothing and Voronoi cells of them separate nothing. So the division has two levels.
+
+First level, prefix windows: the pivots are single shingles, in one fixed order with common ones last. A set's home is its first
+shingle; a set within r of it misses at most n - ceil(0.8 n) of its shingles and so has its home among the next ones, and the set is
+replicated to just so many regions after its home. In a region, two sets can be linked only if their sizes and the places of the
+region's shingle in them leave room for the common share that a link needs (their first common shingle is the region where this
+holds). Pairs of a small region pass that test one by one, and then counts of shingles in 64 classes (a mapping that shrinks the
+symmetric difference, so what it puts beyond r is beyond r). A large region is divided into classes of size and place; classes that
+can hold linked sets, directly or by others, stay together, all others fall apart. So texts from one template that differ
+by too much don't meet, however many they are.
+
+Second level, Voronoi regions: what hangs together travels, each set once, to one task, which joins it recursively: documents as
+pivots, every member compared with each; members within r of a pivot are linked; all are dealt into the Voronoi cells of their
+nearest pivots and replicated to each cell j with d(x, p_j) <= d(x, home) + 2 r; cells whose members are one component already
+are done, others are divided again, small ones are joined pair by pair, and a group whose cells don't halve its pairs is joined by prefix windows in
+the order of its own counts.
+
+Groups of too many members or shingles for a task go another way: members are compared with pivots of their regions, salted over
+tasks; those left outside the region's main component are dealt into the Voronoi cells by a join, in bands of sizes, and compared there.
 
 Scale: copies (equal sets) are one point. The order puts shingles of more sets than a leaf holds last, by their counts over all
 documents; the list of them is bounded (max_common, the commonest), and whatever is in it, results are the same. Regions of
-the very common ones are salted over tasks. Sets travel only for documents in some candidate pair, found by a Bloom filter of bounded
-size on the second reading; a set compared with very many is replicated, not gathered. Components are found by joins.
+very common ones are dealt over as many buckets as their counts ask for, and their classes are worked out over all of them. Sets
+travel only for documents in some candidate pair, found by a Bloom filter of bounded size on the second reading; a set compared
+with very many is replicated, not gathered. Components are found by joins.
+
+Identity: sets are told apart by digests of 128 bits. Working names are the first 64; names that two sets share (at most a few
+hundred among 10^11 sets) are found over all documents and give way to the other 64. Shingle hashes have 64 bits.
 
-Shingle hashes have 64 bits, which at these numbers do not meet by chance. Cases: null and empty texts have no shingles and
-link with nothing; a text of fewer than five words is one shingle; rows that repeat an id and text are one point; rows
+Cases: null and empty texts have no shingles and link with nothing; a text of fewer than five words is one shingle; very long
+texts are sets like others, hashed in blocks; rows that repeat an id and text are one point; ties are settled by least ids; rows
 without an id take no part and have no component; an empty table gives no rows; extra columns are left out.
 """
 
@@ -43,7 +52,7 @@ from decisia.llm.words import Words, mixed, runs
 
 SHINGLE, CLASSES = 5, 64
 CHUNK_BYTES, BUCKET_ROWS, SALTED_SETS = 4_000_000, 100_000, 20_000
-LEAF, PIVOTS, DIVIDED, SALTS, HUB_SETS, GROUP_SHINGLES = 16, 8, 96, 16, 2000, 2_000_000
+LEAF, PIVOTS, DIVIDED, HUB_SETS, GROUP_SETS, GROUP_SHINGLES = 16, 8, 96, 2000, 20_000, 2_000_000
 FILTER_BITS = 1 << 26
 
 
@@ -76,14 +85,21 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndar
         yield made()
 
 
-def signature(x: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signature(x: np.ndarray) -> tuple[int, int]:
+    found = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), "<i8")
+    return int(found[0]), int(found[1])
 
 
-def new_points(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Signatures and sets, the first of equal ones in a batch; no empty sets."""
+def named(x: np.ndarray, clashes: frozenset) -> int:
+    """A set's name: the first half of its digest, the other half where two sets share the first."""
+    name, other = signature(x)
+    return other if name in clashes else name
+
+
+def new_points(batches: Iterator[pa.RecordBatch], clashes: frozenset) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Names and sets, the first of equal ones in a batch; no empty sets."""
     for _, found in sets(batches):
-        points = {signature(x): x for x in found if len(x)}
+        points = {named(x, clashes): x for x in found if len(x)}
         yield list(points), list(points.values())
 
 
@@ -120,12 +136,12 @@ def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, some in sets(batches):
         sigs, seen, sketches = [], set(), []
         for x in some:
-            sigs.append(signature(x) if len(x) else None)
+            sigs.append(signature(x) if len(x) else (None, None))
             sketches.append(None)
             if len(x) and sigs[-1] not in seen:
                 seen.add(sigs[-1])
                 sketches[-1] = np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES), 65535).astype("<u2").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in some], pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "sig", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in some], pa.int64()), *(pa.array([x[k] for x in sigs], pa.int64()) for k in (0, 1)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "sig", "other", "sketch"])
 
 
 def by_bucket(to: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -156,6 +172,33 @@ def dealt(rows: DataFrame, deal) -> DataFrame:
     return rows.mapInArrow(deal, "bucket long, packed binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
+def meeting(n: np.ndarray, tail: np.ndarray, count: np.ndarray, per_cent: int) -> np.ndarray:
+    """Parts of classes (size of a set, how many of its shingles come from the region's on) that links may join; -1: of no part.
+
+    Two sets whose first common shingle is the region's share no more than the lesser tail.
+    """
+    part = np.full(len(n), -1, np.int64)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        less, more = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+        return others[(100 * less >= per_cent * more) & ((100 + per_cent) * np.minimum(tail[others], tail[i]) >= per_cent * (less + more))]
+
+    left, parts = np.arange(len(n)), 0
+    while len(left):
+        first, left = int(left[0]), left[1:]
+        waiting, mine = [first], 1
+        while waiting and len(left):
+            found = near(waiting.pop(), left)
+            left = np.setdiff1d(left, found, assume_unique=True)
+            part[found] = parts
+            waiting += found.tolist()
+            mine += len(found)
+        if mine > 1 or count[first] > 1 and len(near(first, np.array([first]))):
+            part[first] = parts
+            parts += 1
+    return part
+
+
 class Group:
     """Sets that may be near to each other, joined exactly; links join what isn't joined yet."""
 
@@ -179,14 +222,39 @@ class Group:
                 self.root[self.root == self.root[j]] = self.root[i]
                 self.links.append((i, j))
 
-    def pairs(self, members: np.ndarray) -> None:
+    def windows(self, members: np.ndarray) -> None:
+        """Pairs by prefix windows in the order of counts among the members, rare ones first."""
+        n, t = self.n[members], self.t
+        owner = np.repeat(np.arange(len(members)), n)
+        _, at, count = np.unique(np.concatenate([self.sets[j] for j in members.tolist()]), return_inverse=True, return_counts=True)
+        order = np.lexsort((at, count[at], owner))
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        shingle = at[order]
+        ahead = (place < np.repeat(n + -(-n * t // -100) + 1, n)) & (count[shingle] > 1)
+        owner, place, shingle = owner[ahead], place[ahead], shingle[ahead]
+        order = np.argsort(shingle, kind="stable")
+        owner, place, shingle = owner[order], place[order], shingle[order]
+        cut = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.empty(0, np.int64)
+        for lo, hi in zip(cut.tolist(), np.append(cut, len(shingle))[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            kinds, of, many = np.unique(np.stack([n[owner[lo:hi]], n[owner[lo:hi]] - place[lo:hi]]), axis=1, return_inverse=True, return_counts=True)
+            of = of.reshape(-1)
+            part = meeting(*kinds, many, t)[of]
+            for k in np.unique(part[part >= 0]).tolist():
+                some = np.flatnonzero(part == k)
+                self.pairs(members[owner[lo:hi][some]], kinds[1][of[some]])
+
+    def pairs(self, members: np.ndarray, tail: np.ndarray | None = None) -> None:
         """Every pair that isn't excluded by sizes or class counts, or joined already."""
-        members = members[np.argsort(self.n[members], kind="stable")]
+        order = np.argsort(self.n[members], kind="stable")
+        members = members[order]
         sizes = self.n[members]
+        tail = sizes if tail is None else tail[order]
         for k, i in enumerate(members[:-1].tolist()):
             last = int(np.searchsorted(sizes, sizes[k] * 100 // self.t, side="right"))
             rest = members[k + 1 : last]
-            rest = rest[self.root[rest] != self.root[i]]
+            rest = rest[(self.root[rest] != self.root[i]) & ((100 + self.t) * np.minimum(tail[k], tail[k + 1 : last]) >= self.t * (sizes[k] + sizes[k + 1 : last]))]
             if len(rest):
                 far = np.abs(self.classes[rest] - self.classes[i]).sum(1)
                 rest = rest[(100 + self.t) * far <= (100 - self.t) * (self.n[i] + self.n[rest])]
@@ -220,20 +288,19 @@ class Group:
             if len(members) <= DIVIDED:
                 self.pairs(members)
                 continue
-            for cell in self.divide(members):
-                if len(np.unique(self.root[cell])) > 1:
-                    if 10 * len(cell) <= 9 * len(members):
-                        waiting.append(cell)
-                    else:
-                        self.pairs(cell)
+            found = [cell for cell in self.divide(members) if len(np.unique(self.root[cell])) > 1]
+            if 2 * sum(len(cell) ** 2 for cell in found) <= len(members) ** 2:  # each division halves the pairs at least
+                waiting += found
+            else:
+                self.windows(members)
         return self.links
 
 
-def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int) -> Order:
+def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int, clashes: frozenset) -> Order:
     """Shingles that more sets than a leaf holds have among their first ones by hash, and a third more: counted over all documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, points in new_points(batches):
+        for _, points in new_points(batches, clashes):
             if points:
                 s = np.concatenate([x[: (len(x) - -(-len(x) * per_cent // 100)) * 4 // 3 + 2] for x in points])
                 yield from by_bucket((s >> np.uint64(8)) % np.uint64(buckets), s)
@@ -247,11 +314,23 @@ def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int) ->
     return Order(found["shingle"].to_numpy().view(np.uint64), found["df"].to_numpy())
 
 
-def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFrame:
-    """Second reading: each set goes to its home and the pivots of its window. kind 0: a pair x, y; 1: set y (size z) in the large region x; 2: pivot y of x; 3: x, y, one of them a pivot of a large region; 4: x, y, both in one."""
+#: What a region gives. PAIR: x, y may be linked. MEMBER: set y, of z shingles, p of them before the region's, in the large region x.
+#: PIVOT: y is one of x. TO_PIVOT: x, y, one of them a pivot. HANGS: y with x. LOOSE: as MEMBER, of a region dealt over several buckets.
+PAIR, MEMBER, PIVOT, TO_PIVOT, HANGS, LOOSE = range(6)
+
+
+def region_rows(rows: DataFrame, order, per_cent: int, buckets: int, clashes: frozenset) -> DataFrame:
+    """Second reading: each set goes to its home and the pivots of its window. kind, x, y, z, p."""
+
+    def dealt_over(s: np.ndarray) -> np.ndarray:
+        """Over how many buckets the region of each shingle goes."""
+        out = np.ones(len(s), np.int64)
+        listed, at = order.value.which(s)
+        out[listed] = -(-order.value.count[at] // SALTED_SETS)
+        return out
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (sigs, points) in enumerate(new_points(batches)):
+        for sigs, points in new_points(batches, clashes):
             if not points:
                 continue
             n = np.fromiter(map(len, points), np.int64, len(points))
@@ -261,17 +340,11 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
             place = np.minimum(np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k), 65535).astype(np.uint16)
             size = np.repeat(n.astype(np.uint32), k)
             to = (s >> np.uint64(8)) % np.uint64(buckets)
-            listed, at = order.value.which(s)
-            hot = listed[order.value.count[at] > SALTED_SETS]
-            to[hot] = mixed(s[hot] + np.uint64(turn % SALTS)) % np.uint64(buckets)
+            over = dealt_over(s)
+            hot = np.flatnonzero(over > 1)
+            to[hot] = mixed(s[hot] + mixed(sig[hot].view(np.uint64)) % over[hot].astype(np.uint64)) % np.uint64(buckets)
             yield from by_bucket(to, s, sig, size, place)
 
-    def salted(s: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), bool)
-        listed, at = order.value.which(s)
-        out[listed[order.value.count[at] > SALTED_SETS]] = True
-        return out
-
     def join(blobs: list[bytes]) -> list[np.ndarray]:
         parts = []
         for blob in blobs:
@@ -283,7 +356,7 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
         alone = np.ones(len(run), bool)
         alone[1:] &= run[1:] != run[:-1]
         alone[:-1] &= run[:-1] != run[1:]
-        by = by[~alone | salted(run)]
+        by = by[~alone | (dealt_over(run) > 1)]
         by = by[np.lexsort((sig[by], size[by], s[by]))]
         s, sig, size, place = s[by], sig[by], size[by].astype(np.int64), place[by].astype(np.int64)
         if not len(s):
@@ -293,8 +366,13 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
         s, sig, size, place = s[fresh], sig[fresh], size[fresh], place[fresh]
         cut = np.flatnonzero(s[1:] != s[:-1]) + 1
         a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]])
-        many = (b - a > LEAF) | salted(s)[a]
+        loose = dealt_over(s[a]) > 1
+        many = (b - a > LEAF) | loose
         out = []
+
+        def put(kind: int, x, y: np.ndarray, z=0, p=0) -> None:
+            out.append(np.stack([np.broadcast_to(np.asarray(v, np.int64), y.shape) for v in (kind, x, y, z, p)]))
+
         # leaves: each member with the next ones, which are no smaller
         small = np.repeat(~many, b - a)
         end = np.repeat(b, b - a)
@@ -303,29 +381,65 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int) -> DataFram
             if not len(i):
                 break
             j = i + step
-            most = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
+            most = np.minimum(size[i] - place[i], size[j] - place[j])
             ok = (100 * size[i] >= per_cent * size[j]) & ((100 + per_cent) * most >= per_cent * (size[i] + size[j]))
             i, j = i[ok], j[ok]
-            out.append(np.stack([np.zeros(len(i), np.int64), np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.zeros(len(i), np.int64)]))
-        for lo, hi in zip(a[many].tolist(), b[many].tolist(), strict=True):
-            mine, n = sig[lo:hi], size[lo:hi]
-            chosen = np.argsort(mixed(mine.view(np.uint64).copy()), kind="stable")[:PIVOTS]  # the same ones in all regions where they meet
-            region = int(s[lo : lo + 1].view(np.int64)[0])
-            out.append(np.stack([np.ones(len(mine), np.int64), np.full(len(mine), region), mine, n]))
-            out.append(np.stack([np.full(len(mine), 4), np.full(len(mine), mine[chosen[0]]), mine, np.zeros(len(mine), np.int64)]))
-            out.append(np.stack([np.full(len(chosen), 2), np.full(len(chosen), region), mine[chosen], n[chosen]]))
-            for p in chosen.tolist():
-                i = np.flatnonzero((100 * np.minimum(n, n[p]) >= per_cent * np.maximum(n, n[p])) & (mine != mine[p]))
-                out.append(np.stack([np.full(len(i), 3), np.minimum(mine[i], mine[p]), np.maximum(mine[i], mine[p]), np.zeros(len(i), np.int64)]))
+            put(PAIR, np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]))
+        for lo, hi, apart in zip(a[many].tolist(), b[many].tolist(), loose[many].tolist(), strict=True):
+            if apart:
+                put(LOOSE, s[lo : lo + 1].view(np.int64)[0], sig[lo:hi], size[lo:hi], place[lo:hi])
+                continue
+            kinds, of, count = np.unique(np.stack([size[lo:hi], size[lo:hi] - place[lo:hi]]), axis=1, return_inverse=True, return_counts=True)
+            part = meeting(*kinds, count, per_cent)[of.reshape(-1)]
+            for k in np.unique(part[part >= 0]).tolist():
+                some = lo + np.flatnonzero(part == k)
+                mine, n = sig[some], size[some]
+                region = int(mixed(s[lo : lo + 1] + np.uint64(k)).view(np.int64)[0])
+                chosen = np.argsort(mixed(mine.view(np.uint64).copy()), kind="stable")[:PIVOTS]  # the same ones in all regions where they meet
+                put(MEMBER, region, mine, n, place[some])
+                put(HANGS, mine[chosen[0]], mine)
+                put(PIVOT, region, mine[chosen], n[chosen])
+                for p in chosen.tolist():
+                    i = np.flatnonzero((100 * np.minimum(n, n[p]) >= per_cent * np.maximum(n, n[p])) & (mine != mine[p]))
+                    put(TO_PIVOT, np.minimum(mine[i], mine[p]), np.maximum(mine[i], mine[p]))
         return out
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in of_bucket(batches):
             out = join(blobs)
-            columns = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((4, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "x", "y", "z"])
-
-    return dealt(rows, deal).mapInArrow(regions, "kind long, x long, y long, z long")
+            columns = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "x", "y", "z", "p"])
+
+    return dealt(rows, deal).mapInArrow(regions, "kind long, x long, y long, z long, p long")
+
+
+def gathered(found: DataFrame, per_cent: int) -> DataFrame:
+    """Rows of the regions that were dealt over several buckets: their classes are a row each, whatever the number of members."""
+    loose = written(found.where(F.col("kind") == LOOSE).select("x", "y", "z", "p").distinct(), "loose")
+
+    def divide(classes: pa.Table) -> pa.Table:
+        x, z, p, count = (classes[c].combine_chunks().to_numpy() for c in ("x", "z", "p", "count"))
+        part = meeting(z, z - p, count, per_cent)
+        return pa.table([pa.array(c[part >= 0]) for c in (x, z, p, part)], names=["x", "z", "p", "part"])
+
+    classes = loose.groupBy("x", "z", "p").count().groupBy("x").applyInArrow(divide, "x long, z long, p long, part long")
+    members = written(loose.join(classes, ["x", "z", "p"]).select(F.xxhash64("x", "part").alias("x"), "y", "z", "p"), "members")
+    by = F.struct(F.xxhash64("y").alias("h"), "y", "z")
+    least = members.groupBy("x", F.pmod("y", F.lit(64)).alias("salt")).agg(F.min(by).alias("m")).groupBy("x").agg(F.slice(F.array_sort(F.collect_list("m")), 1, PIVOTS).alias("pivots"))
+    pivots = written(least.select("x", F.posexplode("pivots").alias("k", "m")).select("x", "k", F.col("m.y").alias("pivot"), F.col("m.z").alias("n")), "pivots")
+    zero = F.lit(0).cast("long")
+    both = members.join(pivots, "x")
+    near = 100 * F.least("z", "n") >= per_cent * F.greatest("z", "n")
+    parts = [
+        members.select(F.lit(MEMBER).alias("kind"), "x", "y", "z", "p"),
+        pivots.select(F.lit(PIVOT), "x", "pivot", "n", zero),
+        both.where((F.col("y") != F.col("pivot")) & near).select(F.lit(TO_PIVOT), F.least("y", "pivot"), F.greatest("y", "pivot"), zero, zero),
+        both.where("k = 0").select(F.lit(HANGS), "pivot", "y", zero, zero),
+    ]
+    out = found.where(F.col("kind") != LOOSE)
+    for part in parts:
+        out = out.unionAll(part)
+    return out
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
@@ -343,7 +457,7 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
-def sets_of(need: DataFrame, rows: DataFrame) -> DataFrame:
+def sets_of(need: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
     """sig, set of the signatures in need, and of a few others: by a Bloom filter of bounded size."""
     spark = rows.sparkSession
 
@@ -361,7 +475,7 @@ def sets_of(need: DataFrame, rows: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(wanted)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, points in new_points(batches):
+        for sigs, points in new_points(batches, clashes):
             of = np.array(sigs, np.int64)
             ok = np.ones(len(of), bool)
             for at in cells(of):
@@ -374,7 +488,7 @@ def sets_of(need: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(some, "sig long, set binary").groupBy("sig").agg(F.first("set").alias("set"))
 
 
-def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
+def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int, clashes: frozenset) -> DataFrame:
     """a, b: links of groups (sig, label), each solved in one task."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,11 +509,11 @@ def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame
         if held:
             yield links()
 
-    travelling = sets_of(group, rows).join(group, "sig").select("label", "sig", "set")
+    travelling = sets_of(group, rows, clashes).join(group, "sig").select("label", "sig", "set")
     return written(travelling.repartition(partitions(rows.sparkSession), "label").sortWithinPartitions("label", "sig").mapInArrow(solve, "a long, b long"), "links")
 
 
-def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
     """a, b, both, na, nb: sizes of the intersection and of the two sets. Each a is a place to which the sets of its pairs travel, salted by b."""
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).cast("int").alias("salts"))
     placed = written(pairs.join(count, "a").select("a", "b", F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "placed")
@@ -423,7 +537,7 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 out.append((x, y, int((more[at] == less).sum()), len(p), len(q)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["a", "b", "both", "na", "nb"])
 
-    travelling = sets_of(need, rows).join(need, "sig").select("hub", "salt", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    travelling = sets_of(need, rows, clashes).join(need, "sig").select("hub", "salt", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "set")
     travelling = travelling.union(placed.select("hub", "salt", "a", "b", F.lit(None).cast("binary")))
     ready = travelling.repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("b").asc_nulls_first())
     return written(ready.mapInArrow(compare, "a long, b long, both long, na long, nb long"), "compared")
@@ -437,7 +551,7 @@ def cells(sigs: np.ndarray) -> list[np.ndarray]:
 def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     """Pairs of large regions whose members aren't in one component: those beside the region's commonest component, with all others, by Voronoi cells."""
     r = 1 - per_cent / 100 + 1e-9
-    member = written(large.join(points.select(F.col("sig").alias("y"), "id"), "y").join(labels, F.col("id") == labels["v"], "left").select(F.col("x").alias("s"), F.col("y").alias("sig"), F.col("z").alias("n"), F.coalesce("label", "id").alias("label")), "members")
+    member = written(large.join(points.select(F.col("sig").alias("y"), "id"), "y").join(labels, F.col("id") == labels["v"], "left").select(F.col("x").alias("s"), F.col("y").alias("sig"), F.col("z").alias("n"), (F.col("z") - F.col("p")).alias("tail"), F.coalesce("label", "id").alias("label")), "members")
     main = member.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     member = member.join(main, "s")
     # distances to the pivots of the region: exact ones where they were compared
@@ -445,18 +559,24 @@ def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: Data
     known = known.union(known.select("b", "a", "d"))
     to = member.join(pivots.select(F.col("x").alias("s"), F.col("y").alias("p")).distinct(), "s").join(known.select(F.col("a").alias("sig"), F.col("b").alias("p"), "d"), ["sig", "p"], "left")
     to = to.withColumn("d", F.when(F.col("sig") == F.col("p"), 0.0).otherwise(F.col("d")))
-    placed = to.groupBy("s", "sig", "n", "label", "main").agg(F.min("d").alias("near"), F.min_by("p", "d").alias("home"), F.collect_list(F.struct("p", "d")).alias("all"))
+    placed = to.groupBy("s", "sig", "n", "tail", "label", "main").agg(F.min("d").alias("near"), F.min_by("p", "d").alias("home"), F.collect_list(F.struct("p", "d")).alias("all"))
     cell = F.when(F.col("near").isNull(), F.lit(0)).otherwise(F.col("home"))
-    homes = written(placed.select("s", "sig", "n", "label", "main", cell.alias("cell"), "near", "all"), "homes")
+    homes = written(placed.select("s", "sig", "n", "tail", "label", "main", cell.alias("cell"), "near", "all"), "homes")
     # a member without a distance to some pivot may be nearest to that: those beside at home there meet it in a second cell of the pivot (strays), unless its known home is within r
-    stray = homes.where(F.col("near") > r).withColumn("w", F.explode("all")).where("w.d is null").select("s", "sig", "n", "label", F.col("w.p").alias("cell"), F.lit(True).alias("strays"))
+    of = ["s", "sig", "n", "tail", "label"]
+    stray = homes.where(F.col("near") > r).withColumn("w", F.explode("all")).where("w.d is null").select(*of, F.col("w.p").alias("cell"), F.lit(True).alias("strays"))
     # beside the main component, it goes to that pivot's cell too, and all go to the cell of the homeless
     beside = homes.where("label <> main").withColumn("w", F.explode("all")).where(F.col("w.d").isNull() | F.col("near").isNull() | (F.col("w.d") <= F.col("near") + 2 * r))
-    beside = beside.select("s", "sig", "n", "label", F.col("w.p").alias("cell")).union(homes.where("label <> main").select("s", "sig", "n", "label", F.lit(0).cast("long"))).distinct()
-    beside = beside.withColumn("strays", F.lit(False)).union(homes.where("label <> main AND near is not null").select("s", "sig", "n", "label", "cell", F.lit(True)))
-    x, y = beside.alias("x"), homes.select("s", "sig", "n", "label", "cell", F.lit(False).alias("strays")).union(stray).alias("y")
-    fits = (100 * F.least("x.n", "y.n") >= per_cent * F.greatest("x.n", "y.n")) & (F.col("x.label") != F.col("y.label"))
-    found = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.strays") == F.col("y.strays")) & fits)
+    beside = beside.select(*of, F.col("w.p").alias("cell")).union(homes.where("label <> main").select(*of, F.lit(0).cast("long"))).distinct()
+    beside = beside.withColumn("strays", F.lit(False)).union(homes.where("label <> main AND near is not null").select(*of, "cell", F.lit(True)))
+    # cells are cut into bands of sizes: links reach into the next ones only
+    band = lambda n: F.floor(F.log(n) / math.log(100 / per_cent))
+    beside = beside.withColumn("band", F.explode(F.sequence(band(F.col("n") * per_cent / 100.001), band(F.col("n") * 100.001 / per_cent))))
+    every = homes.select(*of, "cell", F.lit(False).alias("strays")).union(stray).withColumn("band", band(F.col("n")))
+    x, y = beside.alias("x"), every.alias("y")
+    room = (100 + per_cent) * F.least("x.tail", "y.tail") >= per_cent * (F.col("x.n") + F.col("y.n"))
+    fits = (100 * F.least("x.n", "y.n") >= per_cent * F.greatest("x.n", "y.n")) & (F.col("x.label") != F.col("y.label")) & room
+    found = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.strays") == F.col("y.strays")) & (F.col("x.band") == F.col("y.band")) & fits)
     found = found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     return found.join(seen.select("a", "b").union(seen.select("b", "a")), ["a", "b"], "left_anti")
 
@@ -465,26 +585,31 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    first = written(rows.mapInArrow(narrow, "doc_id long, n long, sig long, sketch binary"), "narrow")
+    first = written(rows.mapInArrow(narrow, "doc_id long, n long, sig long, other long, sketch binary"), "narrow")
     shingles = first.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(shingles * (1 - per_cent / 100) / BUCKET_ROWS))
     rows = rows.where("doc_id is not null")
-    order = spark.sparkContext.broadcast(common_shingles(rows, per_cent, buckets, max_common))
-    named = first.where("sig is not null")
-    points = written(named.groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).where("id is not null"), "points")
-    found = written(region_rows(rows, order, per_cent, buckets), "regions")
+    merged = (F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    points = written(first.where("sig is not null").groupBy("sig").agg(*merged, (F.min("other") != F.max("other")).alias("clash")), "points")
+    clashes = frozenset(r["sig"] for r in points.where("clash").select("sig").collect())  # expected number: sets squared / 2^65
+    if clashes:
+        first = first.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("other")).otherwise(F.col("sig")))
+        points = written(first.where("sig is not null").groupBy("sig").agg(*merged), "points")
+    points = points.where("id is not null")
+    order = spark.sparkContext.broadcast(common_shingles(rows, per_cent, buckets, max_common, clashes))
+    found = written(region_rows(rows, order, per_cent, buckets, clashes), "regions")
+    if found.where(F.col("kind") == LOOSE).limit(1).count():
+        found = written(gathered(found, per_cent), "regions")
     sketches = points.where("sketch is not null").select("sig", "sketch")
     pair = F.col("x").alias("a"), F.col("y").alias("b")
-    pairs = written(near_enough(found.where("kind = 0").select(*pair).distinct(), sketches, per_cent), "pairs")
-    # members hang on their region's first pivot; parts of a salted region on each other by their pivots, a few a region
-    few = found.where("kind = 2").select("x", "y").distinct()
-    across = few.join(few.groupBy("x").agg(F.min("y").alias("a")), "x").select("a", F.col("y").alias("b"))
-    together = pairs.union(found.where("kind = 4").select(*pair)).union(across).where("a <> b").distinct()
+    pairs = written(near_enough(found.where(F.col("kind") == PAIR).select(*pair).distinct(), sketches, per_cent), "pairs")
+    together = pairs.union(found.where(F.col("kind") == HANGS).select(*pair)).where("a <> b").distinct()
     group = components(together).select(F.col("v").alias("sig"), "label")
-    wide = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_SHINGLES).select("label")
+    size = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    wide = size.where((F.col("n") > GROUP_SHINGLES) | (F.col("m") > GROUP_SETS)).select("label")
     wide = written(group.join(wide, "label").select("sig"), "wide")
     any_wide = wide.limit(1).count() > 0
-    links = joined_groups(group.join(wide, "sig", "left_anti") if any_wide else group, rows, per_cent)
+    links = joined_groups(group.join(wide, "sig", "left_anti") if any_wide else group, rows, per_cent, clashes)
 
     def named_links(links: DataFrame) -> DataFrame:
         return links.join(points.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(points.select(F.col("sig").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
@@ -493,14 +618,14 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000
     labels = components(links)
     if any_wide:
         near = lambda seen: named_links(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))
-        pivot_pairs = near_enough(found.where("kind = 3").select(*pair).distinct(), sketches, per_cent)
-        seen = compared(written(pairs.union(pivot_pairs).distinct().join(wide, F.col("a") == wide["sig"], "left_semi"), "pairs"), rows)
+        pivot_pairs = near_enough(found.where(F.col("kind") == TO_PIVOT).select(*pair).distinct(), sketches, per_cent)
+        seen = compared(written(pairs.union(pivot_pairs).distinct().join(wide, F.col("a") == wide["sig"], "left_semi"), "pairs"), rows, clashes)
         links = written(links.union(near(seen)), "links")
         labels = components(links)
-        large = found.where("kind = 1").join(wide, F.col("y") == wide["sig"], "left_semi").select("x", "y", "z").distinct()
-        more = written(near_enough(leftovers(large, found.where("kind = 2"), seen, points, labels, per_cent), sketches, per_cent), "pairs")
+        large = found.where(F.col("kind") == MEMBER).join(wide, F.col("y") == wide["sig"], "left_semi").select("x", "y", "z", "p").distinct()
+        more = written(near_enough(leftovers(large, found.where(F.col("kind") == PIVOT), seen, points, labels, per_cent), sketches, per_cent), "pairs")
         if more.limit(1).count():
-            labels = components(links.union(near(compared(more, rows))))
+            labels = components(links.union(near(compared(more, rows, clashes))))
     of = points.join(labels, points["id"] == labels["v"], "left").select("sig", F.coalesce("label", "id").alias("component"))
     with_id = first.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     return with_id.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

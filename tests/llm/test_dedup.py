@@ -90,7 +90,7 @@ def test_jaccard_leftovers_of_unknown_distance(spark):
     size = {1: 5000, 2: 4000, 10: 4500, 11: 3975, 12: 4000}
     far = [(1, 10, 0.1), (2, 10, 0.6), (2, 11, 0.55), (2, 12, 0.1)]
     seen = spark.createDataFrame([(a, b, round((1 - d) * (size[a] + size[b]) / (2 - d)), size[a], size[b]) for a, b, d in far], "a long, b long, both long, na long, nb long")
-    large = spark.createDataFrame([(7, y, n) for y, n in size.items()], "x long, y long, z long")
+    large = spark.createDataFrame([(7, y, n, 0) for y, n in size.items()], "x long, y long, z long, p long")
     pivots = spark.createDataFrame([(7, 1), (7, 2)], "x long, y long")
     points = spark.createDataFrame([(y, y) for y in size], "sig long, id long")
     labels = spark.createDataFrame([(1, 1), (10, 1), (2, 2), (11, 2), (12, 2)], "v long, label long")
@@ -170,3 +170,53 @@ def test_components(spark, most, monkeypatch):
     got = {row["v"]: row["label"] for row in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in list(parent)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_templates(spark):
+    """Texts of one template that differ in too many words are no group, however many; those that differ in few are one."""
+    rows = [(i, f"thank you for your recent order with us number n{i}") for i in range(30_000)]
+    rows += [(100_000 + i, " ".join(["dear customer", *(f"c{k}" for k in range(60)), f"m{i}", *(f"d{k}" for k in range(60))])) for i in range(3_000)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert all(got[i] == (i if i < 100_000 else 100_000) for i, _ in rows)
+
+
+@pytest.mark.parametrize("salted", [5, 20_000])
+def test_jaccard_salted_regions(spark, salted, monkeypatch):
+    """Common shingles dealt over several buckets: their classes are worked out over all of them."""
+    monkeypatch.setattr(jaccard, "SALTED_SETS", salted)
+    monkeypatch.setattr(jaccard, "LEAF", 3)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 60)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*base[: 80 - i % 9], *(f"x{i % 5}_{k}" for k in range(i % 4)), *base[:i % 3]])) for i in range(150)]
+    rows += [(1000 + i, " ".join([*base[:20], f"u{i}", *base[20:40], f"v{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in jaccard.near_components(docs).collect()) == plain_components(rows)
+
+
+def test_jaccard_names_that_clash(spark, edge, monkeypatch):
+    """Sets that share the first half of their digest are told apart by the other."""
+    real = jaccard.signature
+    monkeypatch.setattr(jaccard, "signature", lambda x: (real(x)[0] % 3, real(x)[1]))
+    docs = edge.where("doc_id is null or doc_id <> 12")
+    assert Counter(tuple(r) for r in jaccard.near_components(docs).collect()) == plain_components(texts_of(docs))
+
+
+def test_group_windows():
+    """Prefix windows inside a group find what pairs one by one find."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    sets = []
+    for _ in range(60):
+        core = r.sample(range(4000), 120)
+        for _ in range(r.randint(1, 8)):
+            sets.append(np.unique(np.array([x for x in core if r.random() > 0.06] + r.sample(range(5000, 9000), r.randint(0, 15)), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    roots = []
+    for way in ("pairs", "windows", "solve"):
+        group = jaccard.Group(sets, 80)
+        getattr(group, way)(*(() if way == "solve" else (np.arange(len(sets)),)))
+        first = {}
+        roots.append([first.setdefault(x, i) for i, x in enumerate(group.root.tolist())])
+    assert roots[0] == roots[1] == roots[2] and len(set(roots[0])) < len(sets)
