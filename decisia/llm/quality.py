@@ -6,12 +6,15 @@ document frequencies, each family scaled to length one, are projected on the lea
 sample. Each document's vector meets all labelled vectors in blocked exact products; the labels of the nearest vote with
 weights that grow with their cosine.
 
-The labelled sample has max_labelled rows at most (4096), those with the least hash of their ids; that bound is the size of
-what is fitted on the driver (terms by dims) and broadcast. An id that labels several rows counts once, by the text of the least
-hash; only the rows of the sample are shuffled for it. All documents are scored, in one pass without a shuffle.
-
-Cases: null and empty texts have the facts of no words and are scored by them; labels that are null, repeated (the greatest
-counts) or of absent documents are left out; without any usable label every score is 0.5; extra columns are left out.
+The labelled sample has max_labelled rows at most (4096): of the labelled ids that documents hold, those with the least hash; that
+bound is the size of what is fitted on the driver (terms by dims) and broadcast. An id that labels several rows counts once, by the
+text of the least hash; only the rows of the sample are shuffled for it. All documents are scored, in one pass without a shuffle.
+
+Cases: null and empty texts have the facts of no words and are scored by them; a very long text is counted in blocks, so that memory
+doesn't grow with it; every row of a repeated id is scored by its own text; ties at the border of the nearest go to the earlier
+vectors of the sample, whose order is fixed by labels and terms; labels that are null, repeated (the greatest counts) or of absent
+documents are left out before the sample is drawn; without any usable label every score is 0.5 and keep_good keeps all; an empty table
+gives no rows; extra columns are left out by score and passed through by keep_good.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisia.llm.common import text_of
-from decisia.llm.words import Words
+from decisia.llm.words import SPACES, Words
 
 TRIGRAMS, SHAPES, FACTS = 2048, 1024, 128
 TERMS = TRIGRAMS + SHAPES + FACTS
@@ -39,12 +42,9 @@ CAPITAL[65:91] = True
 SIGN[33:48] = SIGN[58:65] = SIGN[91:97] = SIGN[123:127] = True
 
 
-def facts(n_bytes: int, capitals: int, signs: int, words: np.ndarray) -> np.ndarray:
+def facts(n_bytes: int, capitals: int, signs: int, words: int, distinct: int, same: int) -> np.ndarray:
     """A coarse one-hot of each fact, with its neighbours at half."""
-    n = len(words)
-    distinct = len(np.unique(words))
-    same = int((words[1:] == words[:-1]).sum())
-    shares = (np.log2(n + 1) / 16, distinct / max(1, n), same / max(1, n), capitals / max(1, n_bytes), signs / max(1, n_bytes) * 3, np.log2(n_bytes + 1) / 24)
+    shares = (np.log2(words + 1) / 16, distinct / max(1, words), same / max(1, words), capitals / max(1, n_bytes), signs / max(1, n_bytes) * 3, np.log2(n_bytes + 1) / 24)
     out = np.zeros(FACTS, np.float32)
     for k, share in enumerate(shares):
         at = 1 + min(18, int(share * 18))
@@ -54,26 +54,71 @@ def facts(n_bytes: int, capitals: int, signs: int, words: np.ndarray) -> np.ndar
     return out
 
 
+def trigrams(buf: np.ndarray) -> np.ndarray:
+    b = buf.astype(np.uint32)
+    return ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)).astype(np.int32) if len(b) > 2 else np.empty(0, np.int32)
+
+
+def shapes(buf: np.ndarray) -> np.ndarray:
+    c = CLASSES[buf]
+    return ((c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)) >> np.uint32(22)).astype(np.int32) if len(c) > 3 else np.empty(0, np.int32)
+
+
 def terms(texts: list[bytes]) -> np.ndarray:
-    """Texts by terms: logged counts and facts."""
+    """Texts by terms: logged counts and facts. Short texts are counted together, a long one in blocks."""
+    out = np.zeros((len(texts), TERMS), np.float32)
+    short = [i for i, t in enumerate(texts) if len(t) <= CHUNK_BYTES]
+    if short:
+        out[short] = counted([texts[i] for i in short])
+    for i in set(range(len(texts))) - set(short):
+        out[i] = counted_in_blocks(texts[i])
+    np.log1p(out[:, : TRIGRAMS + SHAPES], out=out[:, : TRIGRAMS + SHAPES])
+    return out
+
+
+def counted(texts: list[bytes]) -> np.ndarray:
     found = Words(texts)
     hashes, buf = found.hashes(), found.buf
-    b = buf.astype(np.uint32)
-    tri = ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)).astype(np.int32) if len(b) > 2 else np.empty(0, np.int32)
-    c = CLASSES[buf]
-    shape = ((c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)) >> np.uint32(22)).astype(np.int32) if len(b) > 3 else np.empty(0, np.int32)
+    tri, shape = trigrams(buf), shapes(buf)
     capital, sign = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (CAPITAL, SIGN))
     out = np.zeros((len(texts), TERMS), np.float32)
     at, first = found.at.tolist(), found.first.tolist()
     for i in range(len(texts)):
         a, e = at[i], at[i + 1] - 1
+        words = hashes[first[i] : first[i + 1]]
         out[i, :TRIGRAMS] = np.bincount(tri[a : max(a, e - 2)], minlength=TRIGRAMS)
         out[i, TRIGRAMS : TRIGRAMS + SHAPES] = np.bincount(shape[a : max(a, e - 3)], minlength=SHAPES)
-        out[i, TRIGRAMS + SHAPES :] = facts(e - a, int(capital[e] - capital[a]), int(sign[e] - sign[a]), hashes[first[i] : first[i + 1]])
-    np.log1p(out[:, : TRIGRAMS + SHAPES], out=out[:, : TRIGRAMS + SHAPES])
+        out[i, TRIGRAMS + SHAPES :] = facts(e - a, int(capital[e] - capital[a]), int(sign[e] - sign[a]), len(words), len(np.unique(words)), int((words[1:] == words[:-1]).sum()))
     return out
 
 
+def counted_in_blocks(text: bytes) -> np.ndarray:
+    """The same of one text: signs in blocks that overlap by a run less one, words in blocks that end at a blank."""
+    out, buf = np.zeros(TERMS, np.float64), np.frombuffer(text, np.uint8)
+    capitals = signs = 0
+    for lo in range(0, len(buf), CHUNK_BYTES):
+        block = buf[lo : lo + CHUNK_BYTES + 3]
+        out[:TRIGRAMS] += np.bincount(trigrams(block[: CHUNK_BYTES + 2]), minlength=TRIGRAMS)
+        out[TRIGRAMS : TRIGRAMS + SHAPES] += np.bincount(shapes(block), minlength=SHAPES)
+        capitals += int(CAPITAL[block[:CHUNK_BYTES]].sum())
+        signs += int(SIGN[block[:CHUNK_BYTES]].sum())
+    words, same, last, distinct, lo = 0, 0, None, np.empty(0, np.uint64), 0
+    while lo < len(buf):
+        hi = min(len(buf), lo + CHUNK_BYTES)
+        while hi < len(buf) and not SPACES[buf[hi]]:  # a word longer than a block makes its block longer
+            blanks = np.flatnonzero(SPACES[buf[hi : hi + CHUNK_BYTES]])
+            hi = hi + int(blanks[0]) if len(blanks) else min(len(buf), hi + CHUNK_BYTES)
+        h = Words([text[lo:hi]]).hashes()
+        if len(h):
+            words += len(h)
+            same += int((h[1:] == h[:-1]).sum()) + (last is not None and h[0] == last)
+            last = h[-1]
+            distinct = np.union1d(distinct, h)
+        lo = hi
+    out[TRIGRAMS + SHAPES :] = facts(len(buf), capitals, signs, words, len(distinct), int(same))
+    return out.astype(np.float32)
+
+
 def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """In place: terms are made for one use."""
     x *= idf
@@ -109,9 +154,11 @@ class Model:
         """Exact cosines of a block of documents with every labelled vector; the nearest vote."""
         cosine = self.unit(weighted(x, self.idf)) @ self.vectors.T
         k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** self.power
-        return np.clip((weight * self.labels[near]).sum(axis=1, dtype=np.float64) / weight.sum(axis=1, dtype=np.float64), 0, 1)
+        border = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+        above, level = cosine > border, cosine == border
+        level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)  # ties at the border: the first ones
+        weight = np.where(above | level, np.maximum(cosine, 1e-6) ** self.power, 0)
+        return np.clip((weight * self.labels).sum(axis=1, dtype=np.float64) / weight.sum(axis=1, dtype=np.float64), 0, 1)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -135,7 +182,8 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4096, dims: int = 128, neighbours: int = 15, power: float = 4.0) -> Model | None:
     """Labels of held-out rows are never read."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    drawn = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
+    present = usable.join(docs.select(F.col(id_col).alias("_present")).distinct(), F.col("_id") == F.col("_present"), "left_semi")
+    drawn = F.broadcast(present.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
     found = docs.join(drawn, docs[id_col] == drawn["_id"]).select(drawn["_id"], drawn["_label"], text_of(text_col).alias("_text"))
     sample = found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text")).select("_label", "_text")
 

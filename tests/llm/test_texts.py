@@ -183,6 +183,62 @@ def test_quality_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) >= 0.95
 
 
+def plain_terms(text):
+    """Logged counts of byte trigrams and of runs of four character classes by their hashes, and the facts of the words."""
+    data, out = text.encode(), np.zeros(quality.TERMS)
+    for k in range(len(data) - 2):
+        out[(sum(c * m for c, m in zip(data[k : k + 3], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=True)) % 2**32) >> 21] += 1
+    kinds = [int(quality.CLASSES[c]) for c in data]
+    for k in range(len(data) - 3):
+        out[quality.TRIGRAMS + ((sum(c * m for c, m in zip(kinds[k : k + 4], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), strict=True)) % 2**32) >> 22)] += 1
+    words = data.split()
+    out = np.log1p(out)
+    capitals, signs = (sum(bool(x[c]) for c in data) for x in (quality.CAPITAL, quality.SIGN))
+    out[quality.TRIGRAMS + quality.SHAPES :] = quality.facts(len(data), capitals, signs, len(words), len(set(words)), sum(a == b for a, b in zip(words, words[1:], strict=False)))
+    return out
+
+
+def plain_vote(model, x):
+    """The vote of the nearest labelled vectors on one row of terms, in double precision, one after another."""
+    x = x * model.idf
+    for a, e in ((0, quality.TRIGRAMS), (quality.TRIGRAMS, quality.TRIGRAMS + quality.SHAPES), (quality.TRIGRAMS + quality.SHAPES, quality.TERMS)):
+        x[a:e] /= max(1e-9, np.sqrt((x[a:e] ** 2).sum()))
+    v = x @ model.projection.astype(np.float64)
+    v /= max(1e-9, np.sqrt((v**2).sum()))
+    near = sorted(((float(u @ v), -k) for k, u in enumerate(model.vectors.astype(np.float64))), reverse=True)[: model.neighbours]
+    weight = [max(c, 1e-6) ** model.power for c, _ in near]
+    return sum(w * float(model.labels[-k]) for w, (_, k) in zip(weight, near, strict=True)) / sum(weight)
+
+
+def test_quality_against_a_plain_version(spark, edge, sf):
+    """Every document of a table and every odd one: terms counted sign by sign, then cosines and votes one by one."""
+    labels = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, labels)
+    for frame in (docs, edge.where("doc_id is null or doc_id <> 12")):
+        got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in quality.score(frame, model).collect())
+        want = sorted((i is not None, i or 0, plain_vote(model, plain_terms(t))) for i, t in texts_of(frame))
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-3
+
+
+@pytest.mark.parametrize("block", [50, 1000])
+def test_quality_terms_in_blocks(block, monkeypatch):
+    text = "Some words, SOME words again again " * 40 + "x" * 300 + " end\n\n"
+    whole = quality.counted([text.encode()])[0]
+    monkeypatch.setattr(quality, "CHUNK_BYTES", block)
+    assert (quality.counted_in_blocks(text.encode()) == whole).all()
+    assert (quality.terms([b"", text.encode()])[1] == quality.terms([text.encode()])[0]).all()
+
+
+def test_quality_labels_of_absent_documents(spark):
+    """Labels of documents that aren't there take no place in the sample."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"document number {i}") for i in ids[-8:]], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"), max_labelled=8)
+    assert len(model.labels) == 8
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (5, 1, 0), (8, None, 0), (None, 1, 0), (999, 0, 0), (13, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(edge, labels)
