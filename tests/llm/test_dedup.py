@@ -27,7 +27,7 @@ def plain_groups(rows):
     return out
 
 
-@pytest.mark.parametrize("filters", [{}, {"bits_per_row": 1 << 22, "max_filter_mb": 1}])
+@pytest.mark.parametrize("filters", [{}, {"cells_per_row": 1 << 21, "max_filter_mb": 1}, {"cells_per_row": 1}])
 def test_exact_groups(spark, edge, sf, filters):
     for docs in (edge, table(spark, sf, "documents") if not filters else edge):
         got = exact.exact_groups(docs, **filters).collect()
