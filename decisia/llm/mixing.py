@@ -7,16 +7,21 @@ is one water level a node: children sorted by capacity over weight, the level is
 of the rest) at the first child that it doesn't fill.
 
 A leaf gives each whole epoch that its budget covers, and of the next the longest prefix that fits, in an order drawn anew
-each epoch from the seed. Order keys are digests, dealt into 4096 cells by their first digits: sums over cells find the cell in
-which a prefix ends, and only that cell is sorted, so that no leaf is ever gathered in one task.
+each epoch from the seed. Order keys are digests, dealt into cells by their first digits, as many as keep a cell at some CELL_ROWS
+rows whatever the leaf holds: sums over cells find the cell in which a prefix ends, and only that cell is sorted, so that no leaf
+is ever gathered in one task.
 
 Cases: null domain, language or source are leaves of their own; null and empty texts count one token and so can be chosen;
 repeated rows are told apart only by their order key and pass or fail together with ties at the end of a prefix (all rows of
-one key count before any is chosen); an empty table gives no rows; extra columns pass through mix_documents.
+one key count before any is chosen); a very long text is one row of many tokens, taken only where it fits; nodes of one capacity
+and weight go by name; rows of one id in several leaves are chosen leaf by leaf; an empty table gives no rows; extra columns pass
+through mix_documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +31,8 @@ from decisia.llm.common import WORD, text_of, written
 #: Leaves up to which the plan, a row a leaf, is broadcast; a larger one is joined.
 BROADCAST_LEAVES = 50_000
 LEVELS = ("domain", "lang", "source")
+#: Rows of a cell about which cells get another digit, which divides them by 16; three digits at least.
+CELL_ROWS = 65_536
 
 # The target weights of the mix, by node name; a node without one weighs 1.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -35,8 +42,8 @@ SOURCE_WEIGHTS: dict[str, int] = {}
 
 def domain_of(source: str = "source") -> Column:
     """A source's domain here: its number modulo 4 ("other" without one)."""
-    digits = F.regexp_extract(F.col(source), "([0-9]{1,9})$", 1)
-    return F.when(digits != "", F.concat(F.lit("d"), (digits.cast("int") % 4).cast("string"))).otherwise("other")
+    number = F.regexp_extract(F.col(source), "([0-9]{1,9})$", 1)
+    return F.when(number != "", F.concat(F.lit("d"), (number.cast("int") % 4).cast("string"))).otherwise("other")
 
 
 def weight_of(column: str, weights: dict[str, int]) -> Column:
@@ -87,8 +94,9 @@ def mix(docs: DataFrame, budget_share: float = 0.6, epochs: int = 2, seed: int =
         F.col(id_col).alias("doc_id"), domain_of().alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), tokens_of(text_col).alias("n_tokens")
     )
     rows = written(rows, "rows")
-    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    plan = budgets(leaves, budget_share, epochs, weights)
+    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    digits = F.least(F.lit(32), F.lit(3) + F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / (CELL_ROWS << 12)) / math.log(16)))).cast("int")
+    plan = budgets(leaves, budget_share, epochs, weights).join(leaves.select(*LEVELS, digits.alias("digits")), list(LEVELS))
     plan = F.broadcast(plan) if leaves.count() <= BROADCAST_LEAVES else plan
     full = F.floor(F.col("budget") / F.col("tokens")).cast("int")
     drawn = (
@@ -96,8 +104,8 @@ def mix(docs: DataFrame, budget_share: float = 0.6, epochs: int = 2, seed: int =
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(full, F.lit(epochs - 1)))))
         .withColumn("rest", F.col("budget") - F.col("tokens") * F.col("epoch"))
         .withColumn("order_key", order_key("doc_id", F.col("epoch"), seed))
-        .withColumn("cell", F.substring("order_key", 1, 3))
-        .drop("tokens", "budget")
+        .withColumn("cell", F.substring("order_key", F.lit(1), F.col("digits")))
+        .drop("tokens", "budget", "digits")
     )
     leaf = [*LEVELS, "epoch"]
     sums = drawn.groupBy(*leaf, "rest", "cell").agg(F.sum("n_tokens").alias("held"))
@@ -113,5 +121,6 @@ def mix(docs: DataFrame, budget_share: float = 0.6, epochs: int = 2, seed: int =
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
     """The documents of a mix of one epoch, with all their columns."""
-    chosen = mix(docs, epochs=1, id_col=id_col, **parameters).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]), "left_semi")
+    chosen = mix(docs, epochs=1, id_col=id_col, **parameters).select(F.col("doc_id").alias("_id"), *(F.col(x).alias(f"_{x}") for x in LEVELS)).distinct()
+    leaf = (domain_of() == chosen["_domain"]) & (F.coalesce(docs["lang"], F.lit("?")) == chosen["_lang"]) & (F.coalesce(docs["source"], F.lit("?")) == chosen["_source"])
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & leaf, "left_semi")

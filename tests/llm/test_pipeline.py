@@ -66,3 +66,13 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_mix_of_one_id_in_two_leaves(spark, monkeypatch):
+    """A row is chosen in its own leaf; the other rows of its id stay out unless their leaf chooses them. Cells get digits with the rows."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 1 / 256)
+    rows = [(i, "w " * 10, "en", f"src{s}") for i in range(200) for s in (4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    chosen = Counter((r["source"], r["doc_id"]) for r in mixing.mix(docs, budget_share=0.3, epochs=1).collect())
+    kept = Counter((r["source"], r["doc_id"]) for r in mixing.mix_documents(docs, budget_share=0.3).collect())
+    assert kept == chosen and 0 < len(kept) <= 120
