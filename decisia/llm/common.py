@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the cluster, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the cluster. Only where all runs on this machine (tests) may it be unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="decisia-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -42,10 +44,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

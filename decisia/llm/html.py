@@ -16,10 +16,11 @@ Every other line stays. Lines inside an article or main element stay even if a n
 other and near copies of one article stand side by side; so do headings whose words no neighbour shares. n_shared counts the lines that
 the neighbours decided, n_named those that only names did; with names=False the latter are kept.
 
-Scale: one shuffle, by ranges of host and path, which the URL alone gives, so that a host may fill any number of tasks; each page
-is parsed once, in the task that pairs it. Only the runs at both ends of a task's range wait for a second step, four rows of
-line keys a task, in windows of their hosts. A run of copies is one text and the ids and URLs of its pages. The parser and the
-decisions are linear in a page's length; alignments keep bits of the lines that both pages have, and are divided when those are many.
+Scale: each page is parsed once, where it is read; its line keys and texts, compressed, go through one shuffle by ranges of host
+and path, so that a host may fill any number of tasks. Ranges are cut by a sample of URLs (SAMPLED a range; it moves only their edges). Only
+the runs at both ends of a range wait for a second step, four rows of line keys a range, in windows of their hosts. A run of
+copies is one text and the ids and URLs of its pages. The parser and the decisions are linear in a page's length; alignments
+keep bits of the lines that both pages have, and are divided when those are many.
 
 Cases: null and empty pages have the empty text; null URLs form one host of their own; ties in URL go by page id, then by a hash of
 the html; repeated rows are copies; very long pages and deep nesting are worked off in one pass; an empty table gives no rows;
@@ -31,13 +32,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +76,9 @@ NAME_PARTS = re.compile(r"[A-Za-z]+")
 OPEN, ARTICLE, BESIDE, FORM = range(4)
 LIGHT = 5
 LINE = np.dtype([("words", "<i8"), ("slot", "<i8"), ("box", "<i8"), ("size", "<i4"), ("zone", "i1"), ("heading", "?")])
+#: Pages looked at for each range when ranges are cut; the list of edges, one a range, goes to all tasks.
+SAMPLED = 60
+NO_ID = -(2**63)
 #: Bits that one alignment keeps in memory.
 TABLE_BITS = 1 << 29
 
@@ -360,30 +365,58 @@ class Pairing:
         yield from self.put(None, None, None, None, None, self.part, run["run"], first, last, run["host"], run["keys"], run["texts"] if first or last else [])
 
 
+def split(text: str, sizes: np.ndarray) -> list[str]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def unpacked(keys: bytes) -> np.ndarray:
     return np.frombuffer(keys, LINE)
 
 
+def edges(rows: DataFrame, ranges: int) -> list[tuple]:
+    """Where ranges of (host, path, page_id, mark) begin: quantiles of a sample by digests."""
+    total = rows.count()
+    every = max(1, total // (SAMPLED * ranges))
+    key = ["host", "path", "page_id", "mark"]
+    found = sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("url", "page_id", "mark"), F.lit(every)) == 0).select(*key).toLocalIterator())
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+
+
 def extract(pages: DataFrame, names: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_named of every page."""
     spark, url = pages.sparkSession, F.col("url")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    order = ["host", "path", "page_id", "mark"]
-    rows = rows.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64("html").alias("mark"), "html")
-    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("page_id", "url", "host", "html")
+    rows = rows.select(F.coalesce("page_id", F.lit(NO_ID)).alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64("html").alias("mark"), "html")
+    sent = spark.sparkContext.broadcast(edges(rows, partitions(spark)))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            part, keys, texts = [], [], []
+            ids, hosts, paths, marks = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for key, html in zip(zip(hosts, paths, ids, marks, strict=True), batch.column(5), strict=True):
+                lines, found = page_lines(html.as_py(), names)
+                part.append(bisect_right(sent.value, key))
+                keys.append(pack.compress(lines.tobytes()))
+                texts.append(pack.compress("".join(found).encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(batch.column(i) for i in (0, 1, 2, 3, 4)), pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], names=["part", "page_id", "url", "host", "path", "mark", "keys", "texts"])
+
+    parsed = rows.mapInArrow(parse, "part int, page_id long, url string, host string, path string, mark long, keys binary, texts binary")
+    ranged = parsed.repartitionById(partitions(spark), "part").sortWithinPartitions("part", "host", "path", "page_id", "mark").select("part", "page_id", "url", "host", "keys", "texts")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairing, before, now = Pairing(TaskContext.get().partitionId()), None, None
+        unpack, pairing, before, now = zstandard.ZstdDecompressor(), None, None, None
         for batch in batches:
-            for page, url, host, html in zip(*(batch.column(i) for i in range(4)), strict=True):
-                lines, texts = page_lines(html.as_py(), names)
-                keys, host = lines.tobytes(), host.as_py()
+            for part, page, url, host, keys, texts in zip(*(batch.column(i) for i in range(6)), strict=True):
+                pairing = pairing or Pairing(part.as_py())
+                keys, host, page = unpack.decompress(keys.as_py()), host.as_py(), page.as_py()
                 if now is None or host != now["host"] or keys != now["keys"]:
-                    run = {"run": now["run"] + 1 if now else 0, "host": host, "keys": keys, "texts": texts, "pages": []}
+                    run = {"run": now["run"] + 1 if now else 0, "host": host, "keys": keys, "texts": split(unpack.decompress(texts.as_py()).decode(), unpacked(keys)["size"]), "pages": []}
                     if now:
                         yield from pairing.close(before, now, run)
                     before, now = now, run
-                now["pages"].append((page.as_py(), url.as_py()))
+                now["pages"].append((None if page == NO_ID else page, url.as_py()))
         if now:
             yield from pairing.close(before, now, None)
             for run in (before, now):
@@ -391,7 +424,7 @@ def extract(pages: DataFrame, names: bool = True, id_col: str = "page_id", url_c
                     yield from pairing.end(run, False, run is now)
             yield pairing.made()
 
-    paired = written(ranged.mapInArrow(pair, PAIRED), "paired")
+    paired = written(ranged.mapInArrow(pair, PAIRED), "paired", compression="zstd")
     # the nearest run that differs, back and ahead: four rows a task, in windows of their hosts
     met = paired.where("keys is not null").select("part", "run", "first", "last", "host", "keys", "texts")
     for name, by in (("back", W.partitionBy("host").orderBy("part", "run")), ("ahead", W.partitionBy("host").orderBy(F.desc("part"), F.desc("run")))):
