@@ -6,13 +6,16 @@ A query looks into the lists of its nearest centroids, at least probes of them a
 candidates. There, codes are scored by asymmetric distance tables; the best depth of a query over all its lists are ranked
 again by exact distances of the original vectors in double precision, ties to the smaller id.
 
-Scale: lists grow as the square root of the rows. A list of more than shard_rows is dealt into shards by the hash of the id,
-and the queries of a list into blocks, so that a task holds one shard of codes and one block of queries. Centroids, codebooks
-and list sizes, broadcast to all tasks, are bounded by max_lists.
-
-Cases: vectors that are null, all zero, hold null or non-finite parts, or differ from the commonest length take no part,
-neither do rows without an id; rows that repeat an id and vector count once; with fewer candidates than k a query gets them
-all; an empty table gives no rows; extra columns are left out.
+Scale: lists grow as the square root of the rows. Neighbouring lists form a group, and a list of more than shard_rows is dealt into shards
+by the hash of the id; a shard or group is smaller where there are fewer rows than tasks could share. The queries that ask for a
+group form blocks of block_queries, and its codes go to just those blocks, so that a task holds one group of codes and one block
+of the queries that want it. Centroids, codebooks and list sizes, broadcast to all tasks, are bounded by max_lists.
+
+Cases: vectors that are null, all zero, hold null or non-finite parts take no part, nor do rows without an id; a length other than the
+commonest of the rows has no distance to them, so such rows and queries take no part either. Of a query id that repeats with other
+vectors the one of the least hash asks; of a candidate id, the nearest of its vectors counts. Ties go to the smaller id; with
+fewer candidates than k a query gets them all; an empty table gives no rows; extra columns are left out. Vectors of doubles are
+ranked as doubles (lists and codes are made of floats).
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decisia.llm.common import written
+from decisia.llm.common import partitions, written
 from decisia.llm.words import mixed
 
 PARTS, CODES = 16, 256
+#: A group of lists isn't made smaller than this for the sake of more tasks.
+LEAST_ROWS = 2048
 STEP = np.arange(PARTS) * CODES
 
 
@@ -100,12 +105,11 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector of the rows that take part."""
+    """id, vector (as it is, for ranking) and n, its length, of the rows that may take part."""
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
-    sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), F.col("n")).first()
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where((F.size(v) == (sizes["n"] if sizes else 0)) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (F.abs(x.cast("float")) < float("inf")))
+    return rows.where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("n", F.size("vector"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -115,11 +119,15 @@ def matrix(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256, recall: float = 0.98, max_sample: int = 16384, max_lists: int = 16384, shard_rows: int = 50_000, block_queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each usable query, the k nearest found."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    n = rows.count()
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    sizes = rows.groupBy("n").count().orderBy(F.col("count").desc(), "n").first()
+    dims, n = (sizes["n"], sizes["count"]) if sizes else (0, 0)
+    rows = rows.where(F.col("n") == dims).drop("n")
+    asked = asked.where(F.col("n") == dims).groupBy("id").agg(F.min(F.struct(F.xxhash64("vector"), "vector"))["vector"].alias("vector"))
+    floats = F.col("vector").cast("array<float>").alias("vector")
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = np.array([r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).toLocalIterator()], np.float32)
+    drawn = np.array([r["vector"] for r in rows.select("id", floats).orderBy(F.xxhash64("id"), "id").limit(max_sample).toLocalIterator()], np.float32)
     fitted = Index(drawn, max(1, min(max_lists, len(drawn) // 8, int(math.sqrt(n)))))
     probes = fitted.probes(drawn, k, recall)
     sent = spark.sparkContext.broadcast(fitted)
@@ -130,10 +138,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256
                 to, codes = sent.value.encode(matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "id", "code"])
 
-    index = written(rows.mapInArrow(encode, "list int, id long, code binary"), "index")
+    index = written(rows.select("id", floats).mapInArrow(encode, "list int, id long, code binary"), "index")
     sizes = np.zeros(len(fitted.centre), np.int64)
     for r in index.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
+    shard_rows = min(shard_rows, max(LEAST_ROWS, -(-n // partitions(spark))))
     shards = np.maximum(1, -(-sizes // shard_rows))
     group, groups, held = np.zeros(len(sizes), np.int32), 0, 0
     for i, (size, parts) in enumerate(zip(sizes.tolist(), shards.tolist(), strict=True)):
@@ -159,8 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256
                     out[0].append(g)
                     out[1].append(i)
                     out[2].append(lists[(group[lists] <= g) & (g < group[lists] + shards[lists])].astype(np.int32).tobytes())
-            row = pa.array(out[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), batch.column(0).take(row), batch.column(1).take(row), pa.array(out[2], pa.binary())], names=["group", "query_id", "vector", "lists"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), batch.column(0).take(pa.array(out[1], pa.int32())), pa.array(out[2], pa.binary())], names=["group", "query_id", "lists"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, shards, group = dealt.value
@@ -169,9 +177,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256
             to = group[lists] + mixed(ids.astype(np.uint64)) % shards[lists].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *batch.columns], names=["group", "list", "id", "code"])
 
-    blocks = max(1, -(-asked.count() // block_queries))
-    left = index.mapInArrow(place, "group int, list int, id long, code binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.mapInArrow(probe, "group int, query_id long, vector array<float>, lists binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    probed = written(asked.select("id", floats).mapInArrow(probe, "group int, query_id long, lists binary"), "probed")
+    blocks = probed.groupBy("group").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
+    left = index.mapInArrow(place, "group int, list int, id long, code binary").join(blocks, "group")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = probed.join(blocks, "group").join(asked.select(F.col("id").alias("query_id"), floats), "query_id")
+    right = right.select("group", "query_id", "vector", "lists", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"))
 
     def scan(codes: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
@@ -204,5 +215,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256
     best = W.partitionBy("query_id")
     chosen = scanned.where("id <> query_id").withColumn("r", F.row_number().over(best.orderBy("near", "id"))).where(F.col("r") <= depth).select("query_id", "id").distinct()
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    ranked = chosen.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").select("query_id", F.col("id").alias("vec_id"), exact.alias("score")).distinct()
+    met = chosen.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
+    ranked = met.groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min(exact).alias("score"))
     return ranked.withColumn("rank", F.row_number().over(best.orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -465,6 +465,15 @@ def test_shared_lines(a, b):
     assert len(found) == best[-1][-1] and all(a[i] in rest for i in found)
 
 
+def test_nearest_in_blocks(spark):
+    """Groups, shards and blocks of any size give the same neighbours of clustered data."""
+    r = np.random.Generator(np.random.PCG64(5))
+    centre = r.normal(size=(12, 8)) * 10
+    vectors = spark.createDataFrame([(i, [float(v) for v in centre[i % 12] + r.normal(size=8)]) for i in range(2400)], "vec_id long, embedding array<float>")
+    ways = [sorted(tuple(x) for x in ann.search(vectors, vectors.where("vec_id % 10 = 0"), **some).collect()) for some in ({}, {"shard_rows": 60, "block_queries": 7})]
+    assert ways[0] == ways[1]
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
 def test_nearest_recall(spark, folder):
     sf_dir = f"/root/testdata/{folder}"
@@ -491,5 +500,10 @@ def test_nearest_edges(spark):
     got = [tuple(r) for r in ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3, 0.0), (0, 2, 6, 0.0), (0, 3, 9, 0.0), (0, 4, 1, 1.0), (0, 5, 4, 1.0)]
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
+    # repeated ids with other vectors: the nearest counts, one query asks; doubles are ranked as doubles; another length takes no part
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-9]), (2, [1.0, 2e-9]), (3, [5.0, 5.0]), (3, [1.0, 0.5]), (100, [1.0, 0.0, 0.0]), (4, [1e300, 1.0])]
+    doubles = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.search(doubles, doubles.where("vec_id % 100 = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1e-9), (0, 2, 2, 2e-9), (0, 3, 3, 0.5)]
     two = vectors.where("vec_id < 2")
     assert ann.search(two, two.where("vec_id = 0")).count() == 1
