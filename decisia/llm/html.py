@@ -225,9 +225,9 @@ class Parser:
 
 
 def page_lines(html: str, names: bool = True) -> tuple[np.ndarray, list[str]]:
-    """The lines' keys and their texts, references decoded and white space made single."""
+    """The lines' keys and their texts, references decoded and white space made single; without the texts of lines named as beside, which go in any case."""
     found = Parser(html, names).parse()
-    return np.array([x[:6] for x in found], LINE), [x[6] for x in found]
+    return np.array([x[:6] for x in found], LINE), ["" if x[4] >= BESIDE else x[6] for x in found]
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -365,8 +365,8 @@ class Pairing:
         yield from self.put(None, None, None, None, None, self.part, run["run"], first, last, run["host"], run["keys"], run["texts"] if first or last else [])
 
 
-def split(text: str, sizes: np.ndarray) -> list[str]:
-    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+def split(text: str, lines: np.ndarray) -> list[str]:
+    ends = np.cumsum(np.where(lines["zone"] >= BESIDE, 0, lines["size"]), dtype=np.int64).tolist()
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
@@ -391,7 +391,7 @@ def extract(pages: DataFrame, names: bool = True, id_col: str = "page_id", url_c
     sent = spark.sparkContext.broadcast(edges(rows, partitions(spark)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             part, keys, texts = [], [], []
             ids, hosts, paths, marks = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
@@ -412,7 +412,7 @@ def extract(pages: DataFrame, names: bool = True, id_col: str = "page_id", url_c
                 pairing = pairing or Pairing(part.as_py())
                 keys, host, page = unpack.decompress(keys.as_py()), host.as_py(), page.as_py()
                 if now is None or host != now["host"] or keys != now["keys"]:
-                    run = {"run": now["run"] + 1 if now else 0, "host": host, "keys": keys, "texts": split(unpack.decompress(texts.as_py()).decode(), unpacked(keys)["size"]), "pages": []}
+                    run = {"run": now["run"] + 1 if now else 0, "host": host, "keys": keys, "texts": split(unpack.decompress(texts.as_py()).decode(), unpacked(keys)), "pages": []}
                     if now:
                         yield from pairing.close(before, now, run)
                     before, now = now, run
