@@ -12,9 +12,15 @@ that hold more than their share of windows, counted over all documents beforehan
 share, so at most two a share), have their windows dealt one by one by the hash of the whole window: no bucket gathers
 them. Strings are compressed a chunk and bucket. Buckets are as many as all text asks for.
 
+That count only spares work; no result or bound rests on it. A bucket is read as a stream: beyond HELD_BYTES of strings it goes on with
+128-bit digests of windows, keeps of equal ones the least place met so far and gives the others off as repeats, so that millions of
+copies of one window take the room of one. A bucket of more than HELD_WINDOWS different windows gives them off too, as rows; they meet again
+by digest in an aggregation that combines equal ones in every task before its exchange.
+
 Order is by doc_id (null first), then start; rows that repeat an id with the same text don't cover each other, with another
-text they are ordered by its hash. Cases: null and short texts have no windows; an empty table gives no rows; extra columns
-are left out by the query, and kept_text is the text without covered words, joined by spaces.
+text they are ordered by its hash. Cases: null and short texts have no windows; a very long text is a chunk of its own, whose words are hashed
+in blocks; an empty table gives no rows; extra columns are left out by the query, and kept_text is the text without covered
+words, joined by spaces.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from decisia.llm.words import Words, mixed, runs, sliding_min, within_texts
 
 WINDOW, MINIMISER = 20, 3
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 5_000_000
+HELD_BYTES, HELD_WINDOWS = 20_000_000, 1_000_000
+SECOND = np.uint64(0xA0761D6478BD642F)
 NO_ID = -(2**63)
 
 
@@ -127,7 +135,7 @@ def hot_minimisers(rows: DataFrame, share: float) -> np.ndarray:
 
 
 def repeated_covers(rows: DataFrame, buckets: int) -> DataFrame:
-    """id, mark, a, b: the windows from start a to start b of a document are repeats. rows: id, mark, text."""
+    """id, mark, a, b: the windows from start a to start b of a document are repeats; without b, the window at a has the digest p, q and is still to be compared. rows: id, mark, text."""
     share = max(1 / (4 * buckets), 1 / 65536)
     hot = np.sort(hot_minimisers(rows, share))
 
@@ -166,45 +174,91 @@ def repeated_covers(rows: DataFrame, buckets: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pydict({"bucket": [x[0] for x in out], "known": [False] * len(out), "packed": [x[1] for x in out]})
 
-    def found(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["id", "mark", "a", "b"])
+    def found(columns: tuple[np.ndarray, ...], open_windows: bool = False) -> pa.RecordBatch:
+        arrays = [pa.array(np.asarray(c, np.int64)) for c in columns]
+        none = pa.nulls(len(arrays[0]), pa.int64())
+        arrays = [*arrays[:3], none, *arrays[3:]] if open_windows else [*arrays, none, none]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "mark", "a", "b", "p", "q"])
 
-    def solve(blobs: list[bytes]) -> pa.RecordBatch:
+    def windows(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Document, mark and start of each window in the order of places, with the word hashes and where it stands in them."""
         heads, texts = [], []
         for blob in blobs:
             n = int.from_bytes(blob[:8], "little")
             heads.append(np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, n))
             texts.append(blob[8 + 32 * n :])
         ids, marks, start, size = np.concatenate(heads, axis=1)
-        words = Words(texts)
-        h = words.hashes()
+        h = Words(texts).hashes()
         word = np.cumsum(size) - size  # of each string, where its words stand
         order = np.lexsort((start, marks, ids))
         many = size[order] - WINDOW + 1
         step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        at, begin = np.repeat(word[order], many) + step, np.repeat(start[order], many) + step
-        doc, mark = np.repeat(ids[order], many), np.repeat(marks[order], many)
-        again = repeats(runs(h, WINDOW)[at], doc, mark, begin, h, at)
-        return found(covers(doc[again], mark[again], begin[again]))
+        return np.repeat(ids[order], many), np.repeat(marks[order], many), np.repeat(start[order], many) + step, h, np.repeat(word[order], many) + step
+
+    class Bucket:
+        """Strings of a bucket as they come; a large one goes on with digests."""
+
+        def __init__(self) -> None:
+            self.blobs, self.size, self.kept, self.full = [], 0, None, False
+
+        def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+            self.blobs.append(blob)
+            self.size += len(blob)
+            if self.size > HELD_BYTES:
+                yield from self.digested()
+
+        def digested(self) -> Iterator[pa.RecordBatch]:
+            doc, mark, begin, h, at = windows(self.blobs)
+            new = np.stack([doc, mark, begin, runs(h, WINDOW)[at].view(np.int64), runs(mixed(h ^ SECOND), WINDOW)[at].view(np.int64)])
+            self.blobs, self.size = [], 0
+            both = new if self.kept is None else np.concatenate([self.kept, new], axis=1)
+            both = both[:, np.lexsort(both[[2, 1, 0, 4, 3]])]
+            first = np.ones(both.shape[1], bool)
+            first[1:] = (both[3:, 1:] != both[3:, :-1]).any(axis=0)
+            least = both[:3, np.flatnonzero(first)[np.cumsum(first) - 1]]
+            again = both[:3, (both[:3] != least).any(axis=0)]  # the same place twice is a repeated row
+            order = np.lexsort(again[::-1])
+            yield found(covers(*again[:, order]))
+            self.kept = both[:, first]
+            self.full |= self.kept.shape[1] > HELD_WINDOWS
+            if self.full:
+                for lo in range(0, self.kept.shape[1], 100_000):
+                    yield found(tuple(self.kept[:, lo : lo + 100_000]), open_windows=True)
+                self.kept = None
+
+        def close(self) -> Iterator[pa.RecordBatch]:
+            if self.blobs and (self.full or self.kept is not None):
+                yield from self.digested()
+            elif self.blobs:
+                doc, mark, begin, h, at = windows(self.blobs)
+                again = repeats(runs(h, WINDOW)[at], doc, mark, begin, h, at)
+                yield found(covers(doc[again], mark[again], begin[again]))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, now, blobs = zstandard.ZstdDecompressor(), None, []
+        unpack, now, held = zstandard.ZstdDecompressor(), None, Bucket()
         for batch in batches:
             for bucket, known, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
                 blob = unpack.decompress(packed.as_py())
                 if known.as_py():
                     yield found(tuple(np.frombuffer(blob, np.int64).reshape(4, -1)))
                     continue
-                if bucket.as_py() != now and blobs:
-                    yield solve(blobs)
-                    blobs = []
-                now = bucket.as_py()
-                blobs.append(blob)
-        if blobs:
-            yield solve(blobs)
+                if bucket.as_py() != now:
+                    yield from held.close()
+                    now, held = bucket.as_py(), Bucket()
+                yield from held.add(blob)
+        yield from held.close()
 
     dealt = rows.mapInArrow(deal, "bucket long, known boolean, packed binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(sort_out, "id long, mark long, a long, b long")
+    return dealt.mapInArrow(sort_out, "id long, mark long, a long, b long, p long, q long")
+
+
+def compared(found: DataFrame) -> DataFrame:
+    """The repeats, those among the windows that were given off included."""
+    rest = found.where("b is null")
+    place = F.struct("id", "mark", "a")
+    least = rest.groupBy("p", "q").agg(F.min(place).alias("least"))
+    again = rest.join(least, ["p", "q"]).where(place != F.col("least")).select("id", "mark", "a", F.col("a").alias("b"))
+    return found.where("b is not null").select("id", "mark", "a", "b").unionAll(again)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +266,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, total * 3 // BUCKET_BYTES)
-    found = repeated_covers(rows, buckets).groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
+    found = written(repeated_covers(rows, buckets), "covers", compression="zstd")
+    found = compared(found).groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
     joined = rows.join(found, ["id", "mark"], "left").select("id", "text", "covers")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

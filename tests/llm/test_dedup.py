@@ -122,13 +122,16 @@ def plain_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [None, 3_000])
-def test_substrings(spark, edge, sf, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "held", "windows"), [(None, None, None), (3_000, None, None), (3_000, 2_000, 10_000), (3_000, 2_000, 100)])
+def test_substrings(spark, edge, sf, chunk, held, windows, monkeypatch):
+    """Also with many chunks, with buckets that go on with digests, and with buckets that give their windows off."""
     if chunk:
         monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(substrings, "BUCKET_BYTES", 20_000)
-    small = edge.where("doc_id is null or doc_id <> 12")
-    for docs in (small, table(spark, sf, "documents")):
+    if held:
+        monkeypatch.setattr(substrings, "HELD_BYTES", held)
+        monkeypatch.setattr(substrings, "HELD_WINDOWS", windows)
+    for docs in (edge, table(spark, sf, "documents")):
         assert Counter(tuple(r) for r in substrings.drop_repeats(docs).collect()) == plain_substrings(texts_of(docs))
 
 
