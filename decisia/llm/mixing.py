@@ -95,7 +95,7 @@ def mix(docs: DataFrame, budget_share: float = 0.6, epochs: int = 2, seed: int =
     )
     rows = written(rows, "rows")
     leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
-    digits = F.least(F.lit(32), F.lit(3) + F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / (CELL_ROWS << 12)) / math.log(16)))).cast("int")
+    digits = F.least(F.lit(32), F.lit(3) + F.greatest(F.lit(0), F.ceil(F.log(F.col("rows") / (4096 * CELL_ROWS)) / math.log(16)))).cast("int")
     plan = budgets(leaves, budget_share, epochs, weights).join(leaves.select(*LEVELS, digits.alias("digits")), list(LEVELS))
     plan = F.broadcast(plan) if leaves.count() <= BROADCAST_LEAVES else plan
     full = F.floor(F.col("budget") / F.col("tokens")).cast("int")

@@ -91,25 +91,27 @@ def _share(nodes: str, parent: str) -> str:
       / (sum(weight) OVER ({by}ORDER BY capacity / weight, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS own FROM {nodes})))"""
 
 
-OP5_SQL = rf"""
+def mix_sql(budget_share: float, epochs: int) -> str:
+    """The mix with the fixed weights and seed 7, of the table documents."""
+    return rf"""
 WITH r AS (
   SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) <> '' THEN 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) ELSE 'other' END AS domain,
     coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
     greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY ALL),
-top AS (SELECT domain, domain AS name, {_case("domain", mixing.DOMAIN_WEIGHTS)} AS weight, (2 * sum(tokens))::BIGINT AS capacity,
-  floor((SELECT sum(tokens) FROM leaves)::DOUBLE * 0.6) AS budget FROM leaves GROUP BY domain),
+top AS (SELECT domain, domain AS name, {_case("domain", mixing.DOMAIN_WEIGHTS)} AS weight, ({epochs} * sum(tokens))::BIGINT AS capacity,
+  floor((SELECT sum(tokens) FROM leaves)::DOUBLE * {budget_share}) AS budget FROM leaves GROUP BY domain),
 top2 AS (SELECT domain, share AS budget FROM {_share("top", "")}),
-mid AS (SELECT domain, lang, lang AS name, {_case("lang", mixing.LANG_WEIGHTS)} AS weight, (2 * sum(tokens))::BIGINT AS capacity, any_value(budget) AS budget
+mid AS (SELECT domain, lang, lang AS name, {_case("lang", mixing.LANG_WEIGHTS)} AS weight, ({epochs} * sum(tokens))::BIGINT AS capacity, any_value(budget) AS budget
   FROM leaves JOIN top2 USING (domain) GROUP BY domain, lang),
 mid2 AS (SELECT domain, lang, share AS budget FROM {_share("mid", "domain")}),
-low AS (SELECT domain, lang, source, source AS name, {_case("source", mixing.SOURCE_WEIGHTS)} AS weight, 2 * tokens AS capacity, tokens, budget FROM leaves JOIN mid2 USING (domain, lang)),
+low AS (SELECT domain, lang, source, source AS name, {_case("source", mixing.SOURCE_WEIGHTS)} AS weight, {epochs} * tokens AS capacity, tokens, budget FROM leaves JOIN mid2 USING (domain, lang)),
 plan AS (SELECT domain, lang, source, tokens, floor(share)::BIGINT AS budget FROM {_share("low", "domain, lang")}),
 drawn AS (
   SELECT r.*, e.epoch::INTEGER AS epoch, budget - tokens * e.epoch AS rest, md5(concat_ws(':', coalesce(doc_id::VARCHAR, '-'), e.epoch, '7')) AS order_key
-  FROM r JOIN plan USING (domain, lang, source), (SELECT unnest([0, 1]) AS epoch) e WHERE e.epoch <= budget // tokens),
+  FROM r JOIN plan USING (domain, lang, source), (SELECT unnest(range({epochs})) AS epoch) e WHERE e.epoch <= budget // tokens),
 used AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY order_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM drawn)
 SELECT doc_id, domain, lang, source, epoch, n_tokens, order_key FROM used WHERE upto <= rest
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_mixing": mix_sql(0.6, 2)}

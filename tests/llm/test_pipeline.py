@@ -3,14 +3,15 @@
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
-from decisia.llm import mixing, queries
+from decisia.llm import mixing, quality, queries
 from decisia.llm.common import table
 from tests.llm.conftest import texts_of
 from tests.llm.test_dedup import plain_components, plain_groups
-from tests.llm.test_texts import check_pieces
+from tests.llm.test_texts import check_pieces, ids_of, plain_terms, plain_vote
 
 
 def sql(query, sf):
@@ -28,6 +29,34 @@ def test_sql(spark, sf):
         assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(rows), name
 
 
+def test_run_against_plain_stages(spark, sf):
+    """The whole pipeline: votes one by one, copies and components by hand, the mix by SQL, then the pieces of what is left."""
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    left = [(i, r["text"] or "") for i, r in rows.items() if plain_vote(model, plain_terms(r["text"] or "")) >= 0.3]
+    assert 0 < len(left) < len(rows)
+    for plain in (lambda some: {i for i, _, _, first, _ in plain_groups(some) if first}, lambda some: {i for i, _, c in plain_components(some) if i == c}):
+        kept = plain(left)
+        left = [x for x in left if x[0] in kept]
+    con = duckdb.connect()
+    documents = pa.table({k: [rows[i][k] for i, _ in left] for k in ("doc_id", "text", "lang", "source")})  # noqa: F841
+    mixed = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.mix_sql(0.8, 1)})").fetchall()}
+    left = [x for x in left if x[0] in mixed]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == mixed and len(mixed) < len(kept)
+    assert check_pieces(got, left) == 0 and sum(r["length"] for r in got) == sum(len(ids_of(t)) + 1 for _, t in left)
+
+
+def test_stages_on_odd_rows(spark, edge, none, sf):
+    """Every stage takes nulls, empty and long texts, repeats, clashing columns, and an empty table."""
+    for name, stage in corpus_pipeline.STAGES:
+        kept, nothing = stage(spark, edge, sf), stage(spark, none, sf)
+        assert kept.count() and not nothing.count(), name
+        if name != "packing":
+            assert kept.columns == edge.columns and nothing.columns == none.columns
+
+
 def test_mix_edges(spark, edge, none):
     assert mixing.mix(none).count() == 0
     got = mixing.mix(edge, epochs=3).collect()
