@@ -30,14 +30,17 @@ INFORMATIONAL = {"answer": r"(?i)\banswer", "correct": r"(?i)\bcorrect", "gold":
 PLACEHOLDERS = ("none", "n/a", "na", "null")
 
 # Three-letter language codes and their two-letter forms.
-ISO3 = dict(
-    pair.split(":")
-    for pair in (
-        "afr:af amh:am ara:ar arb:ar ary:ar aze:az ben:bn bul:bg ces:cs dan:da deu:de ell:el eng:en est:et fas:fa fil:tl fin:fi fra:fr guj:gu hau:ha heb:he hin:hi hun:hu hye:hy "
-        "ibo:ig ind:id isl:is ita:it jav:jv jpn:ja kan:kn kat:ka kaz:kk khm:km kir:ky kmr:ku kor:ko lav:lv lit:lt mal:ml mar:mr mlg:mg mon:mn msa:ms mya:my nep:ne nld:nl nob:nb nya:ny "
-        "orm:om pan:pa pol:pl por:pt ron:ro rus:ru sin:si slk:sk slv:sl sna:sn som:so spa:es srp:sr swa:sw swe:sv swh:sw tam:ta tel:te tgl:tl tha:th tir:ti tur:tr ukr:uk urd:ur vie:vi xho:xh yor:yo zho:zh zul:zu"
-    ).split()
-)
+ISO3 = {
+    "afr": "af", "amh": "am", "ara": "ar", "arb": "ar", "ary": "ar", "aze": "az", "ben": "bn", "bul": "bg", "ces": "cs",
+    "dan": "da", "deu": "de", "ell": "el", "eng": "en", "est": "et", "fas": "fa", "fil": "tl", "fin": "fi", "fra": "fr",
+    "guj": "gu", "hau": "ha", "heb": "he", "hin": "hi", "hun": "hu", "hye": "hy", "ibo": "ig", "ind": "id", "isl": "is",
+    "ita": "it", "jav": "jv", "jpn": "ja", "kan": "kn", "kat": "ka", "kaz": "kk", "khm": "km", "kir": "ky", "kmr": "ku",
+    "kor": "ko", "lav": "lv", "lit": "lt", "mal": "ml", "mar": "mr", "mlg": "mg", "mon": "mn", "msa": "ms", "mya": "my",
+    "nep": "ne", "nld": "nl", "nob": "nb", "nya": "ny", "orm": "om", "pan": "pa", "pol": "pl", "por": "pt", "ron": "ro",
+    "rus": "ru", "sin": "si", "slk": "sk", "slv": "sl", "sna": "sn", "som": "so", "spa": "es", "srp": "sr", "swa": "sw",
+    "swe": "sv", "swh": "sw", "tam": "ta", "tel": "te", "tgl": "tl", "tha": "th", "tir": "ti", "tur": "tr", "ukr": "uk",
+    "urd": "ur", "vie": "vi", "xho": "xh", "yor": "yo", "zho": "zh", "zul": "zu",
+}
 
 
 def clean(text: Column) -> Column:
@@ -56,11 +59,13 @@ def norm_text(text: Column) -> Column:
 
 def norm_state(state: Column) -> Column:
     """An object's fields as k=v in the order of keys, joined by ' || '; any other value as its text; then norm_text."""
-    fields = F.from_json(state, "map<string,string>")
-    listed = F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(fields, k), F.lit("None")))), " || ")
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(state)).startswith("OBJECT"), F.lit(False))
     scalar = F.coalesce(F.try_variant_get(F.try_parse_json(state), "$", "string"), state)
-    return norm_text(F.when(is_object, listed).otherwise(scalar))
+    return norm_text(F.when(is_object, listed(F.from_json(state, "map<string,string>"))).otherwise(scalar))
+
+
+def listed(fields: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(fields, k), F.lit("None")))), " || ")
 
 
 def key_of(normal: Column, length: int = 16) -> Column:

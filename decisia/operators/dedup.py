@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Of rows with one key, the first in the order. An aggregate with map-side combination, so that a hot key costs nothing."""
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    return first.select(key, "_first.*").select(*df.columns)
+    """Of rows with one key, the first in the order. Every task keeps the first of each key before the exchange, so a hot key costs nothing."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -21,9 +20,12 @@ def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def overlap(df: DataFrame, group: str, key: str, keys: DataFrame, id_col: str, examples: int = 20) -> DataFrame:
     """group, rows, overlap, examples (least ids): how many keys of each group are in the other set; a group without any has 0."""
     hit = keys.select(key).distinct().withColumn("_hit", F.lit(True))
-    found = df.join(hit, key, "left")
-    ids = F.slice(F.array_sort(F.collect_set(F.when(F.col("_hit"), F.col(id_col)))), 1, examples)
-    return found.groupBy(group).agg(F.count("*").alias("rows"), F.count("_hit").alias("overlap"), ids.alias("examples"))
+    found = df.select(group, key, F.col(id_col).alias("_id")).join(hit, key, "left")
+    counts = found.groupBy(group).agg(F.count("*").alias("rows"), F.count("_hit").alias("overlap"))
+    least = found.where("_hit").select(group, "_id").distinct().withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy("_id"))).where(F.col("_place") <= examples)
+    listed = least.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list("_id")).alias("examples"))
+    none = F.array().cast(dict(df.select(F.array(id_col).alias("a")).dtypes)["a"])
+    return counts.join(listed, F.col(group).eqNullSafe(F.col("_group")), "left").select(group, "rows", "overlap", F.coalesce("examples", none).alias("examples"))
 
 
 def across(df: DataFrame, key: str, group: str) -> DataFrame:
@@ -43,7 +45,33 @@ def duplicate_summary(df: DataFrame, key: str) -> DataFrame:
 
 
 def within_and_across(df: DataFrame, key: str, group: str, *order: str) -> DataFrame:
-    """A group's rows that repeat one of the same group, and those that repeat any earlier row: a row can count in both."""
-    inside = F.row_number().over(W.partitionBy(key, group).orderBy(*order)) > 1
-    anywhere = F.row_number().over(W.partitionBy(key).orderBy(*order)) > 1
-    return df.select(group, inside.alias("i"), anywhere.alias("a")).groupBy(group).agg(F.count_if("i").alias("dup_in_group"), F.count_if("a").alias("dup_anywhere"))
+    """A group's rows that repeat one of the same group, and those that repeat any earlier row: a row can count in both.
+
+    Counts only: each task combines rows of one key and group, so a frequent key is never ranked in one place.
+    """
+    each = df.groupBy(key, group).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    inside = each.groupBy(group).agg(F.sum(F.col("_n") - 1).alias("dup_in_group"), F.sum("_n").alias("_rows"))
+    firsts = each.groupBy(key).agg(F.min_by(F.struct(F.col(group).alias("g")), "_first").alias("_f")).groupBy(F.col("_f.g").alias("_g")).agg(F.count("*").alias("_firsts"))
+    both = inside.join(firsts, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return both.select(group, "dup_in_group", (F.col("_rows") - F.coalesce("_firsts", F.lit(0))).alias("dup_anywhere"))
+
+
+def contained(docs: DataFrame, id_col: str, text: str, passages: DataFrame, passage_id: str, passage: str, broadcast_mb: int = 64) -> DataFrame:
+    """id_col, passage_id: which documents hold which passages, both in normal form (single spaces).
+
+    A passage is looked up by its anchor, the longest of its inner words: those between its first and its last, to which a document may
+    have glued something. Words of documents meet the anchors, which are broadcast up to broadcast_mb and joined beyond it, where they
+    are; only pairs of ids come out, and only those documents are searched. Passages without an inner word are searched everywhere.
+    """
+    words = F.split(passage, " ")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    named = passages.select(passage_id, F.col(passage).alias("_passage"), longest.alias("_anchor"))
+    anchors = named.where("_anchor is not null").select(passage_id, "_anchor")
+    size = anchors.agg(F.coalesce(F.sum(F.length("_anchor") + 24), F.lit(0))).first()[0]
+    near = docs.select(id_col, F.explode(F.array_distinct(F.split(text, " "))).alias("_anchor")).join(F.broadcast(anchors) if size <= broadcast_mb << 20 else anchors, "_anchor").select(id_col, passage_id)
+    found = near.join(docs.select(id_col, text), id_col).join(named, passage_id).where(F.contains(text, "_passage")).select(id_col, passage_id)
+    bare = named.where("_anchor is null")
+    if bare.limit(1).count():
+        found = found.unionByName(docs.join(bare, F.contains(text, "_passage")).select(id_col, passage_id))
+    return found.distinct()

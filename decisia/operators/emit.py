@@ -84,9 +84,12 @@ def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
 
 def hard_negatives(labels: DataFrame, name: str = "label", most: int = 30, separator: str = "_") -> DataFrame:
     """For each label the most alike others by shared name parts of more than two characters; labels is a list of names."""
-    parts = F.filter(F.split(name, separator), lambda t: F.length(t) > 2)
-    left = labels.select(F.col(name).alias("label"), parts.alias("own"))
-    right = labels.select(F.col(name).alias("other"), parts.alias("theirs"))
-    ranked = left.join(right, F.col("label") != F.col("other")).withColumn("overlap", F.size(F.array_intersect("own", "theirs")))
+    parts = F.array_distinct(F.filter(F.split(name, separator), lambda t: F.length(t) > 2))
+    names = labels.select(F.col(name).alias("label"), parts.alias("own"))
+    each = names.select("label", F.explode("own").alias("part"))
+    alike = each.join(each.select(F.col("label").alias("other"), "part"), "part").where("label <> other").groupBy("label", "other").agg(F.count("*").alias("overlap"))
+    # labels that share nothing come last, by name: of the first 2 * most names at most most are alike or the label itself
+    first = F.broadcast(names.select(F.col("label").alias("other")).orderBy("other").limit(2 * most + 1))
+    rest = names.select("label").crossJoin(first).where("label <> other").join(alike, ["label", "other"], "left_anti").withColumn("overlap", F.lit(0).cast("long"))
     place = F.row_number().over(W.partitionBy("label").orderBy(F.col("overlap").desc(), "other"))
-    return ranked.withColumn("place", place).where(F.col("place") <= most).select("label", "other", F.col("overlap").cast("int"), "place")
+    return alike.select("label", "other", "overlap").unionByName(rest).withColumn("place", place).where(F.col("place") <= most).select("label", "other", F.col("overlap").cast("int"), "place")

@@ -17,21 +17,28 @@ def is_json(c: Column) -> Column:
     return F.try_parse_json(c).isNotNull()
 
 
-def kind_of(c: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit(""))
+def starts(c: Column, sign: str) -> Column:
+    """Whether a JSON text, known to be whole, is an object ({) or a list ([)."""
+    return F.coalesce(F.ltrim(c).startswith(sign), F.lit(False))
 
 
 def parsed(df: DataFrame) -> DataFrame:
-    """The row with its parts as columns: qid, type, criteria (keys and texts in order), gold keys and values; what can't be read is null."""
-    out = once(df, _q=F.from_json("questions", MAP), _g=F.from_json("gold", MAP), _read=is_json(F.col("state")) & is_json(F.col("questions")) & is_json(F.col("gold")))
+    """The row with its parts as columns: qid, type, criteria (keys and texts in order), gold keys and values; what can't be read is null.
+
+    Each text is checked once as a whole; parts of a whole text are whole, so their kinds show in their first sign.
+    """
+    out = once(
+        df, _q=F.from_json("questions", MAP), _g=F.from_json("gold", MAP), _s=F.from_json("state", MAP), _read=is_json(F.col("state")) & is_json(F.col("questions")) & is_json(F.col("gold")),
+        _objects=starts(F.col("questions"), "{") & starts(F.col("gold"), "{"),
+    )
     qid = F.try_element_at(F.map_keys("_q"), F.lit(1))
     out = once(out, qid=qid, _question=F.from_json(F.try_element_at("_q", qid), MAP), _probs=F.try_element_at(F.from_json(F.try_element_at("_g", qid), MAP), F.lit("probabilities")))
-    part = lambda name: F.try_element_at("_question", F.lit(name))
-    kind = kind_of(part("criteria"))
+    criteria = F.try_element_at("_question", F.lit("criteria"))
+    is_map, is_list = starts(criteria, "{"), starts(criteria, "[")
     out = once(
-        out, qtype=part("type"), instructions=part("instructions"),
-        criteria_kind=F.when(part("criteria").isNull(), "none").when(kind.startswith("OBJECT"), "map").when(kind.startswith("ARRAY"), "list").otherwise("other"),
-        _fields=F.from_json(part("criteria"), MAP), _items=F.from_json(part("criteria"), LIST), _probabilities=F.when(kind_of(F.col("_probs")).startswith("OBJECT"), F.from_json("_probs", MAP)),
+        out, qtype=F.try_element_at("_question", F.lit("type")), instructions=F.try_element_at("_question", F.lit("instructions")),
+        criteria_kind=F.when(criteria.isNull(), "none").when(is_map, "map").when(is_list, "list").otherwise("other"),
+        _fields=F.when(is_map, F.from_json(criteria, MAP)), _items=F.when(is_list, F.from_json(criteria, LIST)), _probabilities=F.when(starts(F.col("_probs"), "{"), F.from_json("_probs", MAP)),
     )
     ordinals = F.transform(F.sequence(F.lit(0), F.size("_items") - 1), lambda i: i.cast("string"))
     is_map, is_list = F.col("criteria_kind") == "map", F.col("criteria_kind") == "list"
@@ -62,13 +69,13 @@ def reason() -> Column:
     bad = F.coalesce(gold.isNull() | (F.size(gold) == 0) | F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
     return (
         F.when(~F.col("_read"), "bad_json")
-        .when(~(kind_of(F.col("questions")).startswith("OBJECT") & kind_of(F.col("gold")).startswith("OBJECT")) | (F.size("_q") != 1), "bad_shape")
+        .when(~F.col("_objects") | (F.size("_q") != 1), "bad_shape")
         .when(~F.map_contains_key("_g", F.col("qid")), "gold_qid_missing")
         .when(bad, "bad_gold")
         .when(F.exists(values, lambda v: v < 0), "negative_gold")
         .when(total(values) <= 0, "gold_zero_sum")
         .when(by_type.isNotNull(), by_type)
-        .when(text.forbidden_key(F.col("state")), "forbidden_state_key")
+        .when(F.coalesce(F.exists(F.map_keys("_s"), lambda k: k.rlike(text.FORBIDDEN_KEYS)), F.lit(False)), "forbidden_state_key")
         .when(text.has_leak(F.col("state")), "answer_marker_in_state")
         .when(F.length("norm") < TINY, "empty_state")
     )
@@ -79,7 +86,8 @@ def normalised(df: DataFrame, rescale: bool = True) -> DataFrame:
 
     Score levels come in the order of their numbers; the question is called decision whatever its name was.
     """
-    rows = once(parsed(df), norm=text.norm_state(F.col("state")))
+    scalar = F.coalesce(F.try_variant_get(F.try_parse_json("state"), "$", "string"), F.col("state"))
+    rows = once(parsed(df), norm=text.norm_text(F.when(F.col("_read") & starts(F.col("state"), "{"), text.listed(F.col("_s"))).otherwise(scalar)))
     by_number = (F.col("qtype") == "score") & (F.col("criteria_kind") == "map")
     ordinal = F.transform(F.array_sort(F.transform("keys", lambda k: k.try_cast("int"))), lambda i: i.cast("string"))
     rows = once(rows, reason=reason(), _order=F.when(by_number, ordinal).otherwise(F.coalesce("keys", "gold_keys")))
@@ -91,4 +99,4 @@ def normalised(df: DataFrame, rescale: bool = True) -> DataFrame:
     notes = F.array(F.when(by_number, "score_dict_to_list"), F.when(F.col("qid") != "decision", "qid_renamed"), F.when(off, "gold_rescaled"))
     probs = F.when(off, F.transform("_values", lambda v: v / F.col("_sum"))).otherwise(F.col("_values")) if rescale else F.col("_values")
     out = once(rows, probs=probs, notes=F.when(kept, F.filter(notes, lambda n: n.isNotNull())), keys=F.when(kept, F.col("_order")), texts=F.col("_texts"))
-    return out.drop("_q", "_g", "_read", "_question", "_probs", "_fields", "_items", "_probabilities", "_order", "_texts", "_values", "_sum", "gold_values", "gold_keys")
+    return out.drop("_q", "_g", "_s", "_objects", "_read", "_question", "_probs", "_fields", "_items", "_probabilities", "_order", "_texts", "_values", "_sum", "gold_values", "gold_keys")

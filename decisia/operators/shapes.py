@@ -27,9 +27,10 @@ NLI_LOCAL = {
 }
 # Names of the 28 emotions of the binary emotion query.
 EMOTIONS = (
-    "admiration amusement anger annoyance approval caring confusion curiosity desire disappointment disapproval disgust embarrassment excitement fear gratitude grief joy love "
-    "nervousness optimism pride realization relief remorse sadness surprise neutral"
-).split()
+    "admiration", "amusement", "anger", "annoyance", "approval", "caring", "confusion", "curiosity", "desire", "disappointment",
+    "disapproval", "disgust", "embarrassment", "excitement", "fear", "gratitude", "grief", "joy", "love", "nervousness",
+    "optimism", "pride", "realization", "relief", "remorse", "sadness", "surprise", "neutral",
+)
 
 
 def adapter(name: str):

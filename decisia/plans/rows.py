@@ -261,15 +261,29 @@ def test_rows(spark, sf_dir) -> DataFrame:
         3: '{"other":{"probabilities":' + HOT + "}}", 4: g('{"A":"x","B":0,"C":0}'), 5: g('{"A":-0.5,"B":1,"C":0.5}'), 6: g('{"A":0,"B":0,"C":0}'), 7: g('{"A":1}'), 9: g(WIDE_GOLD), 10: g('{"0":1,"2":0}'), 11: g('{"0":1,"1":0}'),
         12: g('{"0":1,"1":0}'), 17: g('{"false":0.15,"true":0.85}'), 18: g('{"0":0,"1":1,"2":0}'), 19: '{"topic":{"probabilities":' + HOT + "}}", 20: g('{"A":2,"B":1,"C":1}'), 22: '{"decision":{}}',
     }
-    base = F.to_json(F.struct(F.col("lang").alias("language"), F.concat(F.lit("document number "), F.col("doc_id").cast("string"), F.lit(" of "), F.col("source")).alias("text")))
+    base = F.to_json(F.struct(F.col("lang").alias("language"), "text"))
+    one_of_ten = F.to_json(F.struct(F.col("lang").alias("language"), F.concat(F.lit("one state of many rows, number "), F.floor(F.col("doc_id") / 240).cast("string")).alias("text")))
+    v = F.col("doc_id") % 24
     state = (
-        F.when(F.col("doc_id") % 24 == 14, F.concat(F.lit('{"Label":"x","text":"some words '), F.col("doc_id").cast("string"), F.lit('"}')))
-        .when(F.col("doc_id") % 24 == 15, F.concat(F.lit('{"text":"some words '), F.col("doc_id").cast("string"), F.lit(' Answer: B"}')))
-        .when(F.col("doc_id") % 24 == 16, '{"t":"x"}').when(F.col("doc_id") % 24 == 21, F.concat(F.lit('"a bare text, number '), F.col("doc_id").cast("string"), F.lit('"'))).when(F.col("doc_id") % 24 == 23, "not json").otherwise(base)
+        F.when(v == 14, F.to_json(F.struct(F.lit("x").alias("Label"), "text"))).when(v == 15, F.to_json(F.struct(F.concat("text", F.lit(" Answer: B")).alias("text"))))
+        .when(v == 16, '{"t":"x"}').when(v == 19, one_of_ten).when(v == 21, F.concat(F.lit('"a bare text, number '), F.col("doc_id").cast("string"), F.lit('"'))).when(v == 23, "not json").otherwise(base)
     )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("guid"), F.col("source").alias("workflow"), "doc_id", "lang", state.alias("state"), _case(questions, choice(ABC)).alias("questions"), _case(golds, g(HOT)).alias("gold"))
 
 
+#: The normal text of a row's state, in SQL.
+STATE_NORM = norm("CASE doc_id % 24 WHEN 19 THEN 'language=' || lang || ' || text=one state of many rows, number ' || (doc_id // 240) WHEN 21 THEN 'a bare text, number ' || doc_id ELSE 'language=' || lang || ' || text=' || text END")
+
+
+def held_out(spark, sf_dir) -> DataFrame:
+    """Keys of states that no mix may hold: those of labelled documents marked as toxic."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return docs.select(X.key_of(X.norm_text(F.concat(F.lit("language="), "lang", F.lit(" || text="), "text"))).alias("key"))
+
+
+HELD_OUT = f"(SELECT substr(sha256({norm("'language=' || lang || ' || text=' || text")}), 1, 16) AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+
+
 OUTCOME = "CASE doc_id % 24 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OUTCOMES)) + " END"
 
 
@@ -318,16 +332,26 @@ def reason_by_source(spark, sf_dir):
 
 @query(
     "verify_audit",
-    f"""WITH d AS (SELECT source, key, doc_id FROM (SELECT doc_id, source, substr(sha256({norm('text')}), 1, 16) AS key FROM documents)),
-    w AS (SELECT source, row_number() OVER (PARTITION BY key, source ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS a FROM d)
-    SELECT source AS file, count(*) AS rows, 0::BIGINT AS bad_gold_sum, 0::BIGINT AS bad_arity, (SELECT count(*) FROM documents x WHERE x.source = w.source AND x.doc_id % 8 IN (0, 4)) AS leak, 0::BIGINT AS forbidden_key,
-      (SELECT count(*) FROM documents x WHERE x.source = w.source AND length({norm('text')}) < 10) AS empty_state, count(*) FILTER (WHERE i > 1) AS dup_in_group, count(*) FILTER (WHERE a > 1) AS dup_anywhere FROM w GROUP BY source""",
+    f"""WITH d AS (SELECT doc_id, source, length({norm("'text=' || text")}) AS size, substr(sha256({norm("'text=' || text")}), 1, 16) AS key FROM documents),
+    w AS (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS a FROM d)
+    SELECT source AS file, count(*) AS rows, count(*) FILTER (WHERE doc_id % 11 = 0) AS bad_gold_sum, count(*) FILTER (WHERE doc_id % 13 = 0 OR doc_id % 17 = 0) AS bad_arity, count(*) FILTER (WHERE doc_id % 4 = 0 OR doc_id % 19 = 0) AS leak,
+      count(*) FILTER (WHERE doc_id % 19 = 0) AS forbidden_key, count(*) FILTER (WHERE doc_id % 23 = 0 OR size < 10) AS empty_state, count(*) FILTER (WHERE i > 1) AS dup_in_group, count(*) FILTER (WHERE a > 1) AS dup_anywhere FROM w GROUP BY source""",
 )
 def verify_audit(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    marked = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " Answer: B").otherwise(""))
-    rows = d.select(F.col("source").alias("file"), "doc_id", F.lit("choice").alias("qtype"), F.array(F.lit("A"), F.lit("B")).alias("keys"), F.array(F.lit(1.0), F.lit(0.0)).alias("probs"), marked.alias("state"), X.norm_text(F.col("text")).alias("norm"))
-    return audit.verify(rows.withColumn("key", X.key_of(F.col("norm"))), "file", "doc_id")
+    """Every counter has rows: golds that don't sum to one, one option only, noul rows without their keys, leaks, keys that give answers, empty states, copies."""
+    i = F.col("doc_id")
+    marked = F.concat("text", F.when(i % 4 == 0, " Answer: B").otherwise(""))
+    state = F.when(i % 19 == 0, F.to_json(F.struct(marked.alias("Label")))).otherwise(F.to_json(F.struct(marked.alias("text"))))
+    one, two = F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0))
+    probs = F.when(i % 13 == 0, one).otherwise(two)
+    probs = F.when(i % 11 == 0, F.transform(probs, lambda p: p * 0.5)).otherwise(probs)
+    keys = F.when(i % 13 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))
+    text = X.norm_text(F.concat(F.lit("text="), "text"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("file"), "doc_id", F.when((i % 17 == 0) & (i % 13 != 0), "noul").otherwise("choice").alias("qtype"), keys.alias("keys"), probs.alias("probs"), state.alias("state"),
+        F.when(i % 23 == 0, "short").otherwise(text).alias("norm"), X.key_of(text).alias("key"),
+    )
+    return audit.verify(rows, "file", "doc_id")
 
 
 GOLD_POS = "(SELECT doc_id, source, 2 + doc_id % 3 AS k, (doc_id * 7 // 3) % (2 + doc_id % 3) AS pos, CASE WHEN doc_id % 2 = 0 THEN 'letter' ELSE 'name' END AS ns FROM documents)"
@@ -368,10 +392,10 @@ def shortcut_metric(spark, sf_dir):
     return audit.shortcuts(rows, F.concat_ws(" ", "p_name", "p_type"), F.col("options"), F.array_position("options", F.col("p_brand")) - 1)
 
 
-@query("web_steps_two_rows", "SELECT conv_id, turn, kind, value, coalesce(history, '') AS history FROM (SELECT conv_id, turn, role, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '|') AS history, left(text, 20) AS t FROM conversations), LATERAL (SELECT 'op' AS kind, CASE WHEN role IN ('user', 'assistant') THEN upper(role) ELSE 'CLICK' END AS value UNION ALL SELECT 'element', t)")
+@query("web_steps_two_rows", f"SELECT conv_id, turn, kind, value, coalesce(history, '') AS history FROM (SELECT conv_id, turn, role, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '|') AS history, left({clean('text')}, 60) AS t FROM conversations), LATERAL (SELECT 'op' AS kind, CASE WHEN role IN ('user', 'assistant') THEN upper(role) ELSE 'CLICK' END AS value UNION ALL SELECT 'element', t)")
 def web_steps_two_rows(spark, sf_dir):
     history = F.array_join(F.collect_list("role").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)), "|")
-    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(20)).alias("t"), history.alias("history"))
+    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.left(X.clean(F.col("text")), F.lit(60)).alias("t"), history.alias("history"))
     op = F.when(F.col("role").isin("user", "assistant"), F.upper("role")).otherwise("CLICK")
     two = F.explode(F.array(F.struct(F.lit("op").alias("kind"), op.alias("value")), F.struct(F.lit("element").alias("kind"), F.col("t").alias("value"))))
     return steps.select("conv_id", "turn", "history", two.alias("r")).select("conv_id", "turn", "r.kind", "r.value", "history")
@@ -392,25 +416,45 @@ def element_pool(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(F.transform(F.slice(drawn, 1, 5), lambda x: x["o"]), ",").alias("pool"))
 
 
-@query("manifest_row", f"""SELECT (SELECT count(*) FROM documents WHERE {OUTCOME} = 'kept') AS rows, true AS verify_pass, 0::BIGINT AS overlap, true AS leak_pass,
+@query("manifest_row", f"""SELECT (SELECT count(*) FROM documents WHERE {OUTCOME} = 'kept') AS rows, (SELECT count(*) = count(DISTINCT {STATE_NORM}) FROM documents WHERE {OUTCOME} = 'kept') AS verify_pass,
+    (SELECT count(*) FROM documents WHERE {OUTCOME} = 'kept' AND substr(sha256({STATE_NORM}), 1, 16) IN (SELECT key FROM {HELD_OUT})) AS overlap,
+    (SELECT count(*) = 0 FROM documents WHERE {OUTCOME} = 'kept' AND substr(sha256({STATE_NORM}), 1, 16) IN (SELECT key FROM {HELD_OUT})) AS leak_pass,
     (SELECT round(max(far), 4) FROM (SELECT abs(n / sum(n) OVER (PARTITION BY k) - 1.0::DOUBLE / k) AS far FROM (SELECT k, pos, count(*) AS n FROM {GOLD_POS} GROUP BY ALL))) AS max_deviation,
     (SELECT round(max(far), 4) <= 0.15 FROM (SELECT abs(n / sum(n) OVER (PARTITION BY k) - 1.0::DOUBLE / k) AS far FROM (SELECT k, pos, count(*) AS n FROM {GOLD_POS} GROUP BY ALL))) AS bias_pass""")
 def manifest_row(spark, sf_dir):
+    """The gates before dedup and anti-join: they find the planted copies and held-out states."""
     from decisia.operators.dedup import overlap
 
     kept = normalised(test_rows(spark, sf_dir)).where("reason is null").withColumn("key", X.key_of(F.col("norm")))
-    bench = table(spark, sf_dir, "benchmark").select(X.key_of(X.norm_text(F.col("text"))).alias("key"))
     bias = audit.position_bias(gold_places(spark, sf_dir).withColumn("one", F.lit("all")), "one", "k", "pos")
-    return audit.gates(audit.verify(kept, "workflow", "doc_id"), overlap(kept, "workflow", "key", bench, "doc_id"), bias)
+    return audit.gates(audit.verify(kept, "workflow", "doc_id"), overlap(kept, "workflow", "key", held_out(spark, sf_dir), "doc_id"), bias)
+
+
+#: The place of a row's source in the list of sources: the priority of first-wins dedup.
+SOURCE_ORD = "(replace(source, 'src', '')::INTEGER * 7) % 10"
+KEPT = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY {SOURCE_ORD}, doc_id) AS place FROM (SELECT doc_id, source, {STATE_NORM} AS state FROM documents WHERE {OUTCOME} = 'kept')
+    WHERE substr(sha256(state), 1, 16) NOT IN (SELECT key FROM {HELD_OUT})) WHERE place = 1)"""
 
 
-@query("mix_pipeline", f"SELECT source, qtype, count(*) AS n, sum(soft::INTEGER)::BIGINT AS soft FROM (SELECT source, CASE doc_id % 24 WHEN 17 THEN 'noul' WHEN 18 THEN 'score' ELSE 'choice' END AS qtype, doc_id % 24 IN (17, 20) AS soft FROM documents WHERE {OUTCOME} = 'kept') GROUP BY ALL")
+def mix_rows(spark, sf_dir) -> DataFrame:
+    place = F.replace("workflow", F.lit("src"), F.lit("")).cast("int") * 7 % 10
+    return test_rows(spark, sf_dir).withColumn("source_ord", place)
+
+
+@query("mix_pipeline", f"SELECT source, qtype, count(*) AS n, sum(soft::INTEGER)::BIGINT AS soft, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, source, CASE doc_id % 24 WHEN 17 THEN 'noul' WHEN 18 THEN 'score' ELSE 'choice' END AS qtype, doc_id % 24 IN (17, 20) AS soft FROM {KEPT}) GROUP BY source, qtype")
 def mix_pipeline(spark, sf_dir):
     """Rows from the sources validated and repaired, first ones of equal states kept, held-out states left out, counted."""
     from decisia.plans.mix import mixed
 
-    bench = table(spark, sf_dir, "benchmark").select(X.key_of(X.norm_text(F.col("text"))).alias("key"))
-    rows = mixed(test_rows(spark, sf_dir).withColumn("source_ord", F.lit(0)), bench, "source_ord", "doc_id")
-    return rows.groupBy(F.col("workflow").alias("source"), "qtype").agg(F.count("*").alias("n"), F.count_if(audit.is_soft(F.col("probs"))).alias("soft"))
+    rows = mixed(mix_rows(spark, sf_dir), held_out(spark, sf_dir), "source_ord", "doc_id")
+    return rows.groupBy(F.col("workflow").alias("source"), "qtype").agg(F.count("*").alias("n"), F.count_if(audit.is_soft(F.col("probs"))).alias("soft"), F.min("doc_id").alias("first_id"), F.sum("doc_id").alias("ids"))
+
 
+@query("mix_outcomes", f"""WITH k AS (SELECT doc_id, source, {OUTCOME} AS reason, {STATE_NORM} AS state FROM documents),
+    h AS (SELECT *, CASE WHEN reason = 'kept' AND substr(sha256(state), 1, 16) IN (SELECT key FROM {HELD_OUT}) THEN 'held_out' ELSE reason END AS r FROM k)
+    SELECT r AS reason, count(*) AS n FROM (SELECT CASE WHEN r = 'kept' AND row_number() OVER (PARTITION BY state, r ORDER BY {SOURCE_ORD}, doc_id) > 1 THEN 'duplicate_state' ELSE r END AS r FROM h) GROUP BY r""")
+def mix_outcomes(spark, sf_dir):
+    """What became of every row: the accounting of the mix."""
+    from decisia.plans.mix import outcomes
 
+    return outcomes(mix_rows(spark, sf_dir), held_out(spark, sf_dir), "source_ord", "doc_id").groupBy("reason").agg(F.count("*").alias("n"))

@@ -186,19 +186,10 @@ def eval_leak_two_sets(spark, sf_dir):
 
 @query("eval_leak_contains", f"SELECT DISTINCT doc_id, item_id FROM documents d, (SELECT item_id, {norm('text')} AS b FROM benchmark) WHERE length(b) >= 40 AND contains({norm('d.text')}, b)")
 def eval_leak_contains(spark, sf_dir):
-    """Held-out passages inside documents: both sides are cut into runs of eight words, joined on them, and the few candidates are searched."""
-    words = lambda c: F.split(X.norm_text(c), " ")
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 8), " ")))
+    """Held-out passages inside documents, searched only in documents that hold a passage's anchor."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", X.norm_text(F.col("text")).alias("b")).where(F.length("b") >= 40)
-    # a passage inside a document shares the run that starts at its second word, whatever is glued to its first
-    long = bench.withColumn("w", words(F.col("b"))).where(F.size("w") >= 10).select("item_id", "b", F.xxhash64(F.array_join(F.slice("w", 2, 8), " ")).alias("h"))
-    short = bench.where(F.size(words(F.col("b"))) < 10)
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_text(F.col("text")).alias("t"), words(F.col("text")).alias("w"))
-    hashed = docs.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("h"))
-    near = hashed.join(long, "h").select("doc_id", "item_id", "b").distinct()
-    found = near.join(docs.select("doc_id", "t"), "doc_id").where(F.contains("t", "b")).select("doc_id", "item_id")
-    few = docs.join(short, F.contains("t", "b")).select("doc_id", "item_id") if short.limit(1).count() else None
-    return (found.unionByName(few) if few is not None else found).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_text(F.col("text")).alias("t"))
+    return dedup.contained(docs, "doc_id", "t", bench, "item_id", "b")
 
 
 @query("cross_source_dups", f"SELECT key, array_to_string(list_sort(list(DISTINCT source)), ',') AS groups FROM {KEYED} GROUP BY key HAVING count(DISTINCT source) > 1")
