@@ -157,8 +157,9 @@ class Model:
         border = np.partition(cosine, -k, axis=1)[:, -k][:, None]
         above, level = cosine > border, cosine == border
         level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)  # ties at the border: the first ones
-        weight = np.where(above | level, np.maximum(cosine, 1e-6) ** self.power, 0)
-        return np.clip((weight * self.labels).sum(axis=1, dtype=np.float64) / weight.sum(axis=1, dtype=np.float64), 0, 1)
+        row, near = np.nonzero(above | level)
+        weight = np.maximum(cosine[row, near], 1e-6).astype(np.float64) ** self.power
+        return np.clip(np.bincount(row, weight * self.labels[near], len(x)) / np.bincount(row, weight, len(x)), 0, 1)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
