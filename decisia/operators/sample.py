@@ -76,3 +76,18 @@ def weighted_choice(draws: DataFrame, key: str, weights: DataFrame, seed: int =
     upto = F.sum("weight").over(W.partitionBy(F.lit(0)).orderBy("item"))
     ranges = weights.withColumn("hi", upto / total).withColumn("lo", (upto - F.col("weight")) / total).select("item", "lo", "hi")
     return draws.withColumn("u", rand.uniform(F.col(key), seed)).join(F.broadcast(ranges), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("lo", "hi")
+
+
+def shuffled_take(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """The first n of a shuffle of all rows (a shuffle buffer would favour early ones)."""
+    return df.withColumn("_o", rand.order_key(F.col(key), seed, "take")).orderBy("_o", key).limit(n).drop("_o")
+
+
+def limited(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:
+    """At most n rows of each group, the first ones; each task keeps n before the exchange."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def in_scope(df: DataFrame, label: str, out_of_scope: tuple[str, ...]) -> DataFrame:
+    """Rows whose label isn't one of those that ask for nothing; rows without a label go too."""
+    return df.where(F.col(label).isNotNull() & ~F.col(label).isin(*out_of_scope))

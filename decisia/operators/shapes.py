@@ -33,6 +33,10 @@ EMOTIONS = (
 )
 
 
+# Sentiment names in the language of the reviews.
+SENTIMENT_LOCAL = {"positive": "ポジティブ", "negative": "ネガティブ", "neutral": "中立"}
+
+
 def adapter(name: str):
     def register(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         ADAPTERS[name] = fn
@@ -51,6 +55,8 @@ def state_of(language: Column, **fields: Column) -> Column:
 
 
 def candidates(df: DataFrame, guid: Column, workflow: Column, kind: str, instructions: str | Column, state: Column, options: Column, label: Column, p: Column | None = None, ok: Column | None = None) -> DataFrame:
+    if "_more" in df.columns:  # state fields that the source's entry adds
+        state = F.map_concat(state, F.col("_more"))
     made = df.select(
         guid.cast("string").alias("guid"),
         workflow.alias("workflow"),
@@ -72,11 +78,16 @@ def nli(df, guid, workflow, language, premise, hypothesis, label, names=NLI_NAME
 
 
 @adapter("nli_local")
-def nli_local(df, guid, workflow, language, premise, hypothesis, label, instructions="What is the relation?"):
-    """Option names in the row's language where the list has it."""
-    names = F.create_map(*(x for lang, own in NLI_LOCAL.items() for x in (F.lit(lang), texts(own))))
+def nli_local(df, guid, workflow, language, premise, hypothesis, label, names=None, fields=("premise", "hypothesis"), instructions="What is the relation?"):
+    """Option names in the row's language where the list has it. names: their order in the source, shown as 'local(name)'; fields: how the source calls the two texts."""
+    local = F.create_map(*(x for lang, own in NLI_LOCAL.items() for x in (F.lit(lang), texts(own))))
     ok = (clean(premise) != "") & (clean(hypothesis) != "")
-    return candidates(df, guid, workflow, "choice", instructions, state_of(language, premise=clean(premise), hypothesis=clean(hypothesis)), F.coalesce(F.element_at(names, language), texts(NLI_NAMES)), label, ok=ok)
+    if names is None:
+        options = F.coalesce(F.element_at(local, language), texts(NLI_NAMES))
+    else:
+        shown = lambda n: F.coalesce(F.try_element_at(F.element_at(local, language), F.array_position(texts(NLI_NAMES), n).cast("int")), n)
+        options = F.transform(texts(names), lambda n: F.concat(shown(n), F.lit("("), n, F.lit(")")))
+    return candidates(df, guid, workflow, "choice", instructions, state_of(language, **dict(zip(fields, (clean(premise), clean(hypothesis)), strict=True))), options, label, ok=ok)
 
 
 def label_place(raw: Column, names: Column) -> Column:
@@ -212,6 +223,36 @@ def emotion_query(df, guid, workflow, text, labels):
     return candidates(df, guid, workflow, "noul", says, state_of(F.lit("en"), text=t, emotion=name), options, F.lit(None), p, ok=(t != "") & (F.size(own) > 0) & name.isNotNull())
 
 
+@adapter("sentiment_local")
+def sentiment_local(df, guid, workflow, language, text, label, names=("positive", "negative"), instructions="このレビューの感情はどちらですか?"):
+    """Sentiment names in the reviews' language, others as they are."""
+    return candidates(df, guid, workflow, "choice", instructions, state_of(language, text=clean(text)), texts([SENTIMENT_LOCAL.get(n, n) for n in names]), label, ok=clean(text) != "")
+
+
+@adapter("span_pronoun")
+def span_pronoun(df, guid, workflow, language, text, first, second, label, says="文中的「%s」指的是「%s」吗?", names=("否", "是")):
+    """Whether one span of a text stands for another: both are named in the instructions and in the state."""
+    s1, s2 = clean(first), clean(second)
+    ok = (s1 != "") & (s2 != "") & (clean(text) != "")
+    return candidates(df, guid, workflow, "choice", F.format_string(says, s2, s1), state_of(language, text=clean(text), span1=s1, span2=s2), texts(names), label, ok=ok)
+
+
+@adapter("soft_pair")
+def soft_pair(df, guid, workflow, language, first, second, score, most=5.0, criteria=NOUL_CRITERIA, fields=("sentence1", "sentence2"), instructions="Do the two sentences have the same meaning? Answer with P(same)."):
+    """Two texts and how alike they are, from nothing to most."""
+    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score.cast("double") / most))
+    ok = (clean(first) != "") & (clean(second) != "") & v.isNotNull()
+    return candidates(df, guid, workflow, "noul", instructions, state_of(language, **dict(zip(fields, (clean(first), clean(second)), strict=True))), texts(criteria), F.lit(None), v, ok=ok)
+
+
+@adapter("fixed_fields")
+def fixed_fields(df, guid, workflow, language, label, state, options, instructions, filled=False):
+    """Any choice: named state fields, options that are names or columns; filled asks for no empty option."""
+    made = F.array(*(clean(o) if isinstance(o, Column) else F.lit(o) for o in options)) if isinstance(options, (list, tuple)) else F.transform(options, clean)
+    ok = ~F.array_contains(made, "") if filled else F.lit(True)
+    return candidates(df, guid, workflow, "choice", instructions, state_of(language, **{k: clean(v) for k, v in state.items()}), made, label, ok=ok)
+
+
 def suite(df: DataFrame, config: Column, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Dispatch by configuration name: each branch adapts its own rows; rows of other configurations go."""
     out = None
@@ -221,6 +262,80 @@ def suite(df: DataFrame, config: Column, branches: dict[str, Callable[[DataFrame
     return out
 
 
+Branch = Callable[..., DataFrame]
+
+
+def _choice(says: str, options, *fields: str, label: str = "label", filled: bool = False) -> Branch:
+    """fields are columns, or name=expression."""
+    pairs = dict(f.split("=", 1) if "=" in f else (f, f) for f in fields)
+
+    def branch(df: DataFrame, guid: Column, workflow: Column, language: Column) -> DataFrame:
+        made = [F.expr(o[1:]) if o.startswith("=") else o for o in options] if isinstance(options, tuple) else F.expr(options)
+        return fixed_fields(df, guid, workflow, language, F.expr(label), {k: F.expr(v) for k, v in pairs.items()}, made, says, filled)
+
+    return branch
+
+
+def _named(names: tuple[str, ...], says: str, *fields: str) -> Branch | None:
+    """None where the names of a configuration aren't known: its rows go."""
+    return _choice(says, names, *fields) if names else None
+
+
+SPANS = "span1_text", "span2_text"
+NLI_WORDS = "CASE lower(label) WHEN 'entailment' THEN 0 WHEN 'neutral' THEN 1 WHEN 'contradiction' THEN 2 END"
+
+
+def suites(names: dict[str, tuple[str, ...]] | None = None) -> dict[str, dict[str, Branch | None]]:
+    """Branches by suite and configuration; names: label names of configurations whose rows don't tell. A branch of None drops its rows."""
+    names = names or {}
+    of = lambda config: tuple(names.get(config, ()))
+    inference = "가설과 전제의 관계는?"
+
+    def similarity(df, guid, workflow, language):
+        return soft_pair(df, guid, workflow, language, F.col("sentence1"), F.col("sentence2"), F.col("label"), criteria=("두 문장은 의미가 다르다.", "두 문장은 의미가 같다."), instructions="두 문장의 의미가 같은가? P(같다)로 답하라.")
+
+    tweets: dict[str, Branch | None] = {"emoji": _named(of("emoji"), "Which emoji best matches the tweet?", "text"), "emotion": _named(of("emotion"), "Which emotion does the tweet express?", "text"), "sentiment": _named(of("sentiment"), "What is the sentiment of the tweet?", "text")}
+    tweets |= {c: _named(of(c), f"Is the tweet {c}?", "text") for c in ("offensive", "hate", "irony")}
+    for target in ("abortion", "atheism", "climate", "feminist", "hillary"):
+        tweets[f"stance_{target}"] = _named(of(f"stance_{target}"), "What is the stance toward the target?", "text", f"target='{target}'")
+    return {
+        "klue": {
+            "ynat": _named(of("ynat"), "기사의 주제 분류는 무엇인가?", "title"),
+            "nli": _choice("두 문장의 논리적 관계는 무엇인가?", ("함의(entailment)", "중립(neutral)", "모순(contradiction)"), "premise", "hypothesis", label=NLI_WORDS),
+            "sts": similarity,
+        },
+        "kobest": {
+            "boolq": _choice("지문에 근거할 때 질문의 답은?", ("아니오", "예"), "paragraph", "question"),
+            "copa": _choice("인과관계상 알맞은 대안은?", ("=alternative_1", "=alternative_2"), "premise", "question", filled=True),
+            "sentineg": _choice("문장의 감정은?", ("부정", "긍정"), "text=sentence"),
+            "hellaswag": _choice("이어질 가장 자연스러운 문장은?", "endings", "context"),
+            "wic": _choice("두 문장에서 단어의 의미가 같은가?", ("다르다", "같다"), "sentence1", "sentence2", "word"),
+        },
+        "super_glue": {
+            "boolq": _choice("지문에 근거해 질문에 답하라.", ("no", "yes"), "passage", "question"),
+            "copa": _choice("알맞은 선택지는?", ("=choice1", "=choice2"), "premise", "question"),
+            "rte": _choice(inference, ("entailment", "not_entailment"), "premise", "hypothesis"),
+            "cb": _choice(inference, ("entailment", "contradiction", "neutral"), "premise", "hypothesis"),
+            "axb": _choice(inference, ("entailment", "not_entailment"), "sentence1", "sentence2"),
+            "axg": _choice(inference, ("entailment", "not_entailment"), "premise", "hypothesis"),
+            "wic": _choice("두 문장에서 단어의 의미가 같은가?", ("different", "same"), "sentence1", "sentence2", "word"),
+            "multirc": _choice("제시된 답이 지문에 근거해 맞는가?", ("false", "true"), "paragraph", "question", "answer"),
+            "wsc.fixed": _choice("대명사가 가리키는 것은?", tuple(f"={x}" for x in SPANS), "text", "span1=span1_text", "span2=span2_text"),
+            "record": None,
+        },
+        "tweet_eval": tweets,
+    }
+
+
+@adapter("suite")
+def suite_row(df, guid, workflow, language, suite, config, names=None):
+    """The rows of one configuration of a suite; a configuration without a branch gives none."""
+    branch = suites(names).get(suite, {}).get(config)
+    if branch is None:
+        return candidates(df, guid, workflow, "choice", "", state_of(language), texts(()), F.lit(-1), ok=F.lit(False))
+    return branch(df, guid, workflow, language)
+
+
 @adapter("graded")
 def graded(df, guid, workflow, language, first, second, score, levels, instructions="How alike are the texts?"):
     """A real score to the nearest level, halves to the even one, clamped to the list."""

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import importlib.util
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,12 @@ CORRUPT = "_corrupt"
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """What to scan and how to shape it: the catalog's entry of one source."""
+    """What to scan and how to shape it: the catalog's entry of one source.
+
+    columns: the adapter's arguments as SQL over the source's columns (a tuple for a list of them); options: its other arguments;
+    fields: state fields beside the adapter's own, as SQL; language: a tag, "config", or SQL after "="; draw: how many others a choice of
+    many options shows (least, most), bucket: only such as overlap with the state as the gold option does; take: which rows a target takes.
+    """
 
     name: str
     path: str
@@ -35,8 +42,14 @@ class SourceSpec:
     options: dict[str, object] = field(default_factory=dict)
     language: str = "en"
     target: int | None = None
+    fields: dict[str, str] = field(default_factory=dict)
+    draw: tuple[int, int] | None = None
+    bucket: bool = False
+    take: str = "first"
 
     def __post_init__(self) -> None:
+        if self.take not in ("first", "reservoir", "shuffle"):
+            raise ValueError(f"{self.name}: {self.take} is no way to take rows")
         if self.target is not None and self.target <= 0:
             raise ValueError(f"{self.name}: the budget of a source is a positive number")
 
@@ -52,13 +65,67 @@ def read_rows(spark: SparkSession, paths: str | list[str], mode: str = "counted"
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
 
 
-def read_listed(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), mode: str = "counted") -> DataFrame:
-    """Rows of files in sorted order of their names with source_ord; file names in exclude are left out."""
+def placed(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """Adds file (its whole path), source_ord (its place in the list) and line_ord (the line's place in the file): the block's start in the
+    file, then the reader's order within the block, so that ties come out alike however files are split."""
+    places = rows.sparkSession.createDataFrame([(_full(rows.sparkSession, p), i) for i, p in enumerate(paths)], "_path string, source_ord int")
+    each = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("line_ord", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    return each.join(F.broadcast(places), F.regexp_replace("file", "^file:/*", "/") == F.col("_path")).drop("_path")
+
+
+def _full(spark: SparkSession, path: str) -> str:
+    p, fs = hadoop_path(spark, path)
+    found = fs.makeQualified(p).toUri().toString()
+    return "/" + found.removeprefix("file:").lstrip("/") if found.startswith("file:") else found
+
+
+def read_listed(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), extra: Iterable[str] = (), mode: str = "counted") -> DataFrame:
+    """Rows of files in sorted order, then of extra ones in theirs, with source_ord; file names in exclude are left out. No files, no rows."""
     left_out = set(exclude)
     listed = sorted({p for p in paths if p.rsplit("/", 1)[-1] not in left_out})
-    place = F.create_map(*(x for i, p in enumerate(listed) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i)))) if listed else None
-    rows = read_rows(spark, listed, mode)
-    return rows.withColumn("file", F.col("_metadata.file_name")).withColumn("line_ord", F.monotonically_increasing_id()).withColumn("source_ord", F.element_at(place, F.col("file")))
+    listed += [p for p in extra if p not in listed]
+    if not listed:
+        return spark.createDataFrame([], T.StructType([*ROW.fields, T.StructField(CORRUPT, T.StringType()), T.StructField("file", T.StringType()), T.StructField("source_ord", T.IntegerType())]))
+    return placed(read_rows(spark, listed, mode), listed)
+
+
+def manifest_files(spark: SparkSession, manifest: str, split: str, root: str = "") -> list[str]:
+    """Paths that a manifest, {"sources": {name: {"files": {split: path or paths}}}}, lists for a split, by name of the source."""
+    said = read_sidecar(spark, manifest) or {}
+    found = [s.get("files", {}).get(split) for _, s in sorted(said.get("sources", {}).items())]
+    return [f"{root}/{p}" if root else p for f in found if f for p in ([f] if isinstance(f, str) else f)]
+
+
+def line_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row a block of each file: file, source_ord, size (the file's, to tell when the index is stale), block, first_row, lines.
+
+    Blocks are what readers split files into; rows are numbered over all files in the order of the list.
+    """
+    lines = spark.read.text(paths).withColumn("size", F.col("_metadata.file_size"))
+    blocks = placed(lines, paths).groupBy("file", "source_ord", "size", F.col("line_ord.block").alias("block")).agg(F.count("*").alias("lines"))
+    before = F.sum("lines").over(W.partitionBy(F.lit(0)).orderBy("source_ord", "block")) - F.col("lines")  # a row a block
+    return blocks.withColumn("first_row", before).select("file", "source_ord", "size", "block", "first_row", "lines")
+
+
+def is_stale(spark: SparkSession, index: DataFrame) -> bool:
+    """Whether a file of the index is gone or has another size."""
+    for r in index.select("file", "size").distinct().collect():
+        p, fs = hadoop_path(spark, r["file"])
+        if not fs.exists(p) or fs.getFileStatus(p).getLen() != r["size"]:
+            return True
+    return False
+
+
+def read_range(spark: SparkSession, index: DataFrame, low: int, high: int) -> DataFrame:
+    """row, value: lines low to high (exclusive) of all files of the index; files beyond the range aren't opened, blocks beyond it aren't numbered."""
+    some = index.where((F.col("first_row") < high) & (F.col("first_row") + F.col("lines") > low))
+    files = [r["file"] for r in some.select("file", "source_ord").distinct().orderBy("source_ord").collect()]
+    if not files:
+        return spark.createDataFrame([], "row long, value string")
+    lines = placed(spark.read.text(files), files).withColumn("block", F.col("line_ord.block"))
+    near = lines.join(F.broadcast(some.select("file", "block", "first_row")), ["file", "block"])
+    row = F.col("first_row") + F.row_number().over(W.partitionBy("file", "block").orderBy("line_ord.line")) - 1
+    return near.select(row.alias("row"), "value").where((F.col("row") >= low) & (F.col("row") < high))
 
 
 def scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -100,6 +167,15 @@ def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     raise FileNotFoundError("none of the places exists")
 
 
+def first_or_build(spark: SparkSession, paths: list[str], build: Callable[[str], None]) -> str:
+    """The first of a chain of places that is there; where none is, the last one, built."""
+    try:
+        return first_existing(spark, paths)
+    except FileNotFoundError:
+        build(paths[-1])
+        return first_existing(spark, paths[-1:])
+
+
 def find(spark: SparkSession, root: str, pattern: str, format: str = "parquet") -> DataFrame:
     return spark.read.format(format).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
@@ -110,6 +186,31 @@ def probe(df: DataFrame, rows: int = 2, characters: int = 220) -> dict:
     return {"columns": dict(df.dtypes), "rows": df.count(), "sample": [r.asDict() for r in cut.collect()]}
 
 
+def peek(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """A few rows without reading the rest: partitions are opened one after another until there are enough."""
+    return df.limit(rows)
+
+
+def split_metadata(spark: SparkSession, spec: SourceSpec, label: str | None = None, most_names: int = 80) -> DataFrame:
+    """config, split, columns, rows, names of every slice that exists. Counts come from the format's footers, columns from its schema; only the label's column is read."""
+    found = []
+    for config in configurations(spark, spec) or ("",):
+        for split in spec.splits:
+            path = "/".join(p for p in (spec.path, config, split) if p)
+            if exists(spark, path):
+                df = spark.read.format(spec.format).load(path)
+                names = [str(r[0]) for r in label_universe(df, label, most_names).collect()] if label and label in df.columns else None
+                found.append((config, split, ", ".join(f"{n} {t}" for n, t in df.dtypes), df.count(), names))
+    return spark.createDataFrame(found, "config string, split string, columns string, rows long, names array<string>")
+
+
+def write_probe(spark: SparkSession, df: DataFrame, path: str) -> dict:
+    """The report of a probe as a document."""
+    found = probe(df)
+    write_sidecar(spark, path, found)
+    return found
+
+
 def label_universe(df: DataFrame, label: str, most: int = 500) -> DataFrame:
     return df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(most)
 
@@ -139,13 +240,69 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+#: A training item: token ids, marker places, the kind of question, the gold distribution and its greatest place.
+ITEM = "guid string, ids array<int>, markers array<int>, qtype tinyint, target array<double>, label int"
+
+
 def write_items(items: DataFrame, path: str, shard: str = "shard") -> None:
+    """A folder a shard, whole or not at all."""
     items.write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items with their lengths, by the items' schema and the shard of the folder."""
+    return spark.read.schema(f"{ITEM}, shard int").parquet(path).withColumn("length", F.size("ids"))
+
+
+def item_stats(items: DataFrame, shard: str = "shard") -> DataFrame:
+    """By shard: items, tokens, the longest, and counts of the kinds of questions."""
+    kinds = [F.count_if(F.col("qtype") == i).alias(n) for i, n in enumerate(("choices", "scores", "nouls"))]
+    return items.groupBy(shard).agg(F.count("*").alias("items"), F.sum(F.size("ids")).cast("long").alias("tokens"), F.max(F.size("ids")).alias("longest"), *kinds)
+
+
+def shard_number(path: str) -> int:
+    """The number in a name like shard_12; 0 without one."""
+    found = re.search(r"shard[_=](\d+)", path)
+    return int(found[1]) if found else 0
+
+
+def merge_items(spark: SparkSession, paths: Iterable[str], result: str, force: bool = False) -> dict:
+    """Items of many shards, in the order of their numbers, to one table with a sidecar of what it holds; done already if both agree with the shards."""
+    listed = sorted(paths, key=shard_number)
+    if not listed:
+        raise FileNotFoundError("no shards")
+    parts = None
+    for path in listed:
+        part = spark.read.schema(ITEM).parquet(path).withColumn("shard", F.lit(shard_number(path)))
+        parts = part if parts is None else parts.unionByName(part)
+    stats = [r.asDict() for r in item_stats(parts).orderBy("shard").collect()]
+    sidecar = f"{result}.stats.json"
+    if up_to_date(spark, result, sidecar, force) and (read_sidecar(spark, sidecar) or {}).get("shards") == stats:
+        return read_sidecar(spark, sidecar)
+    parts.write.mode("overwrite").parquet(result)
+    return write_stats(spark, result, {"shards": stats})
+
+
+def write_stats(spark: SparkSession, result: str, values: dict, format: str = "parquet") -> dict:
+    """The sidecar of a written result: the values, and the rows and the fingerprint by which a later run knows it again."""
+    row = fingerprint(spark.read.format(format).load(result)).first()
+    said = values | {"rows": row["rows"], "fingerprint": str(row["fingerprint"]), "format": format}
+    write_sidecar(spark, f"{result}.stats.json", said)
+    return said
+
+
+def copy_tree(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder to another place of any store that the session can write to."""
+    a, from_fs = hadoop_path(spark, source)
+    b, to_fs = hadoop_path(spark, target)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"can't copy {source} to {target}")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and a sum of row hashes: the same for any order and any partitioning."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("fingerprint"))
+    columns = [F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in sorted(df.dtypes)]
+    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("fingerprint"))
 
 
 def write_sidecar(spark: SparkSession, path: str, values: dict) -> None:
@@ -167,14 +324,22 @@ def read_sidecar(spark: SparkSession, path: str) -> dict | None:
 
 
 def up_to_date(spark: SparkSession, result: str, sidecar: str, force: bool = False) -> bool:
-    """Whether a result is there with the rows that its sidecar says."""
+    """Whether a result is there with the rows and the fingerprint that its sidecar says: other rows of the same number don't count as done."""
     said = None if force else read_sidecar(spark, sidecar)
-    return bool(said) and exists(spark, result) and spark.read.format(said.get("format", "parquet")).load(result).count() == said.get("rows")
-
-
-def key_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """Keys kept as Parquet: read if there, else built and written."""
-    if rebuild or not exists(spark, path):
+    if not said or not exists(spark, result):
+        return False
+    found = fingerprint(spark.read.format(said.get("format", "parquet")).load(result)).first()
+    return found["rows"] == said.get("rows") and str(found["fingerprint"]) == said.get("fingerprint")
+
+
+def key_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], mode: str = "auto") -> DataFrame:
+    """Keys kept as Parquet. auto: read if there, else built and written; rebuild: built anew; cached: read, and an error if not there."""
+    if mode not in ("auto", "rebuild", "cached"):
+        raise ValueError(f"{mode} is no mode")
+    there = exists(spark, path)
+    if mode == "cached" and not there:
+        raise FileNotFoundError(path)
+    if mode == "rebuild" or not there:
         build().select("key").distinct().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

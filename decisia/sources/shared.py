@@ -1,15 +1,33 @@
-"""Lineage cuts that survive lost executors: checkpoints in the folder that the cluster names."""
+"""What driver and executors share: the folder that the cluster names, with lineage cuts and results that survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a folder of our own only where all runs on this machine."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="decisia-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The frame as it is now, in the shared checkpoint folder; a folder of our own only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="decisia-"))
+    """The frame as it is now, in the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the session's file systems close."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{path.toString()}/{name}"

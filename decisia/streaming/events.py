@@ -33,13 +33,13 @@ def sessions(events: DataFrame, user: str, gap: str = "30 minutes", time: str =
     return _timed(events, time, late).groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
 
 
-def grow_keys(rows: DataFrame, keys_path: str, accept: Callable[[DataFrame, int], None], key: str = "key"):
+def grow_keys(rows: DataFrame, keys_path: str, accept: Callable[[DataFrame, int], None], key: str = "key", key_type: str = "string"):
     """A query that hands on rows whose keys the table lacks and then adds them: dedup against all that came before."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         df = df.dropDuplicates([key])
-        known = spark.read.schema(f"{key} string, batch long").parquet(keys_path).where(F.col("batch") < number)
+        known = spark.read.schema(f"{key} {key_type}, batch long").parquet(keys_path).where(F.col("batch") < number)
         fresh = df.join(known.select(key), key, "left_anti")
         accept(fresh, number)
         fresh.select(key, F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(keys_path)
