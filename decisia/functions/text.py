@@ -115,3 +115,24 @@ def flattened(text: Column) -> Column:
     fields = F.array_join(F.map_values(F.from_json(text, "map<string,string>")), " ")
     kind = F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit(""))
     return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), fields).otherwise(text)
+
+
+def number_in(name: Column, before: str = "shard_") -> Column:
+    """The number after a prefix in a name; null without one."""
+    return F.regexp_extract(name, f"{before}([0-9]+)", 1).try_cast("long")
+
+
+def human_bytes(n: Column) -> Column:
+    """Bytes in the largest unit of 1024 that is below them, cut to two decimals."""
+    out = F.format_string("%d B", n.cast("long"))
+    for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
+        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", F.floor(n * 100 / 1024**power) / 100)).otherwise(out)
+    return out
+
+
+def human_count(n: Column) -> Column:
+    """Counts in thousands, millions and billions, cut to two decimals."""
+    out = n.cast("long").cast("string")
+    for value, unit in ((10**3, "K"), (10**6, "M"), (10**9, "B")):
+        out = F.when(n >= value, F.format_string(f"%.2f{unit}", F.floor(n * 100 / value) / 100)).otherwise(out)
+    return out

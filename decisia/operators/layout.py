@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from decisia.functions import rand
 from decisia.functions.once import once
 from decisia.functions.vectors import total
 from decisia.operators.sample import numbered
+from decisia.sources.shared import durable
 
 #: How the place of a quantile is found among n sorted values: half-even rounding, floor of n q, floor of (n - 1) q.
 PLACES = {
@@ -19,11 +23,27 @@ PLACES = {
 }
 
 
+#: Cells of values in which a place is looked for before any value is ranked.
+VALUE_CELLS = 4096
+
+
 def percentiles(df: DataFrame, value: str, quantiles: list[float], kind: str = "nearest", *group: str) -> DataFrame:
-    """q, value: exact order statistics from counts of distinct values, so that the rows themselves are never sorted."""
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    by = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    upto = counts.withColumn("_upto", F.sum("_n").over(by.orderBy(value))).withColumn("_total", F.sum("_n").over(by))
+    """q, value: exact order statistics from counts of distinct values, so that the rows themselves are never sorted; nulls don't count.
+
+    Over all rows, values are dealt into cells of equal width first, a row a cell tells in which a place lies, and only those cells are ranked.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    if group:
+        by, near = W.partitionBy(*group), counts.withColumn("_before", F.lit(0)).withColumn("_total", F.sum("_n").over(W.partitionBy(*group)))
+    else:
+        counts = durable(counts)
+        ends = counts.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("_n").alias("_total"))  # one row
+        cell = F.least(F.lit(VALUE_CELLS - 1), F.floor((F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * VALUE_CELLS))
+        dealt = counts.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_lo", "_hi")
+        cells = dealt.groupBy("_cell", "_total").agg(F.sum("_n").alias("_held")).withColumn("_before", F.sum("_held").over(W.partitionBy(F.lit(0)).orderBy("_cell")) - F.col("_held"))
+        wanted = F.exists(F.array(*(PLACES[kind](F.lit(float(q)), F.col("_total")) for q in quantiles)), lambda at: (at >= F.col("_before")) & (at < F.col("_before") + F.col("_held")))
+        by, near = W.partitionBy("_cell"), dealt.join(F.broadcast(cells.where(wanted).select("_cell", "_before")), "_cell")
+    upto = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(by.orderBy(value)))
     asked = upto.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))))
     place = PLACES[kind](F.col("q"), F.col("_total"))
     return asked.where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(*group, "q", F.col(value).alias("value"))
@@ -69,21 +89,37 @@ def token_shards(df: DataFrame, key: str, length: str, shards: int) -> DataFrame
     return rows.withColumn("shard", F.when(turn % 2 == 0, at).otherwise(shards - 1 - at).cast("int")).drop("row_number")
 
 
-def greedy_shards(df: DataFrame, key: str, length: str, shards: int, cells: int = 256) -> DataFrame:
-    """Each row, in the order of lengths, to the lightest shard, ties to the lowest. The walk is sequential by nature: it is one fold
-    over the lengths of a cell of the key's digest, so that a cell bounds what a task holds; loads start anew in each cell."""
-    cell = F.substring(rand.order_key(F.col(key), "cell"), 1, 2) if cells == 256 else F.lit("0")
-    rows = df.select(F.struct(F.col(length).cast("long").alias("n"), F.col(key).alias("k")).alias("x"), cell.alias("cell")).groupBy("cell").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    empty = F.array_repeat(F.lit(0).cast("long"), shards)
-    start = F.struct(empty.alias("loads"), F.array().cast("array<int>").alias("to"))
+def greedy_shards(df: DataFrame, key: str, length: str, shards: int, most_lengths: int = 1_000_000) -> DataFrame:
+    """Each row, in the order of lengths and keys, to the lightest shard, ties to the lowest: the walk over all rows, without walking them.
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i == at - 1, v + x["n"]).otherwise(v))
-        return F.struct(loads.alias("loads"), F.array_append(acc["to"], at - 1).alias("to"))
-
-    placed = rows.withColumn("to", F.aggregate("xs", start, step, lambda acc: acc["to"]))
-    return placed.select("cell", F.explode(F.arrays_zip("xs", "to")).alias("z")).select("cell", F.col("z.xs.k").alias(key), F.col("z.xs.n").alias(length), F.col("z.to").alias("shard"))
+    Rows of one length L go to the shards in the order of loads, load + L, load + 2 L and so on. Lengths rise, so loads never differ by more than
+    L when its rows come, and after a first turn of the lighter shards every turn is the same. What is worked out on the driver is one
+    such turn a distinct length, of which there are as many as a token limit allows (most_lengths; more are an error).
+    """
+    rows = numbered(df.select(key, F.col(length).cast("long").alias(length)), length, key)
+    counts = [(r[0], r[1]) for r in rows.groupBy(length).count().orderBy(length).limit(most_lengths + 1).collect()]
+    if len(counts) > most_lengths:
+        raise ValueError("too many distinct lengths for one plan")
+    loads, first, plan = [0] * shards, 0, []
+    for n, count in counts:
+        least = min(loads)
+        if n <= 0:  # nothing changes: all to the lowest of the lightest
+            plan.append((n, first, 1, [loads.index(least)], [loads.index(least)]))
+            first += count
+            continue
+        turn = sorted(range(shards), key=lambda k: ((loads[k] - least) % n, k))
+        begin = [k for k in turn if loads[k] - least < n]
+        plan.append((n, first, len(begin), begin, turn))
+        first += count
+        for i, k in enumerate(begin):
+            loads[k] += n * (i < count)
+        rest = max(0, count - len(begin))
+        for i, k in enumerate(turn):
+            loads[k] += n * (rest // shards + (i < rest % shards))
+    turns = df.sparkSession.createDataFrame(plan, "_n long, _first long, _begin int, _start array<int>, _turn array<int>")
+    at = F.col("row_number") - F.col("_first")
+    shard = F.when(at < F.col("_begin"), F.get("_start", at.cast("int"))).otherwise(F.get("_turn", ((at - F.col("_begin")) % F.size("_turn")).cast("int")))
+    return rows.join(F.broadcast(turns), F.col(length) == F.col("_n")).select(key, length, shard.alias("shard"))
 
 
 def random_batches(df: DataFrame, key: str, length: str, size: int, seed: int = 7) -> DataFrame:
@@ -115,6 +151,40 @@ def length_batches(df: DataFrame, key: str, length: str, size: int, budget: int
     return placed.select("bucket", F.explode(F.arrays_zip("xs", "to")).alias("z")).select(F.col("z.xs.k").alias(key), F.col("z.xs.n").alias(length), "bucket", F.col("z.to").alias("batch"))
 
 
+def shuffled_batches(plan: DataFrame, *batch: str, seed: int = 7) -> DataFrame:
+    """Adds step: the batches' places in an order drawn from the seed, so that steps mix lengths. Only batches are sorted, not rows."""
+    drawn = plan.select(*batch).distinct().withColumn("_o", rand.order_key(F.concat_ws("/", *(F.col(b).cast("string") for b in batch)), seed, "step"))
+    steps = numbered(drawn, "_o", *batch).select(*batch, F.col("row_number").cast("long").alias("step"))
+    return plan.join(steps, list(batch))
+
+
+def epoch(df: DataFrame, key: str, length: str, size: int, budget: int | None, mode: str = "length", multiple: int = 64, seed: int = 0) -> DataFrame:
+    """key, length, step of one epoch, another for each seed: length-bucketed batches under a token budget in a drawn order, or random ones."""
+    if mode == "random":
+        return random_batches(df, key, length, size, seed).withColumnRenamed("batch", "step")
+    if mode != "length":
+        raise ValueError(f"{mode} is no mode")
+    return shuffled_batches(length_batches(df, key, length, size, budget, multiple, seed), "bucket", "batch", seed=seed).select(key, length, "step")
+
+
+def strategies(df: DataFrame, key: str, length: str, size: int, budget: int, seeds: tuple[int, ...], multiple: int = 64) -> DataFrame:
+    """Mean padded tokens of random and of bucketed batches over some seeds, and their ratio."""
+    found = None
+    for mode in ("random", "length"):
+        for seed in seeds:
+            b = epoch(df, key, length, size, budget, mode, multiple, seed).groupBy("step").agg((F.count("*") * F.max(length)).alias("padded"))
+            one = b.agg(F.sum("padded").alias("padded")).withColumn("mode", F.lit(mode))
+            found = one if found is None else found.unionByName(one)
+    means = found.groupBy().agg(F.avg(F.when(F.col("mode") == "random", F.col("padded"))).alias("random_tokens"), F.avg(F.when(F.col("mode") == "length", F.col("padded"))).alias("bucketed_tokens"))
+    return means.select("random_tokens", "bucketed_tokens", F.round(F.col("random_tokens") / F.col("bucketed_tokens"), 4).alias("ratio"))
+
+
+def padded_markers(items: DataFrame, markers: str = "markers", least: int = 16, pad: int = 0) -> DataFrame:
+    """Adds marker_pad and marker_mask, least places at least, so that shapes don't differ by the number of options."""
+    room = F.greatest(F.lit(0), F.lit(least) - F.size(markers))
+    return items.withColumn("marker_pad", F.concat(F.col(markers), F.array_repeat(F.lit(pad), room))).withColumn("marker_mask", F.concat(F.transform(markers, lambda _: F.lit(1)), F.array_repeat(F.lit(0), room)))
+
+
 def batch_summary(plan: DataFrame, length: str, budget: int | None, *batch: str) -> DataFrame:
     """Tokens real and padded, waste, batches over the budget: avoidable ones, and single rows that nothing can help."""
     b = plan.groupBy(*batch).agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.sum(length).alias("real"))
@@ -149,25 +219,67 @@ def integrity(items: DataFrame, most: int) -> DataFrame:
     )
 
 
-def training_items(rows: DataFrame, most: int = 4096, head: int = 256) -> DataFrame:
-    """Decision rows in one form to items: ids, markers, qtype, target, label. Words stand in for a tokenizer and their checksums for ids;
-    each option adds a marker before its words. Rows whose markers don't fit in head are dropped, and long states are cut to most."""
-    word_ids = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[^ \t\n\r\f]+"), 0), lambda w: (F.crc32(w) % 50000 + 3).cast("int"))
+def hashed_words(c: Column) -> Column:
+    """The tokenizer that needs no file: lower-cased words, each a digest's first 32 bits in 50,000 ids after the three special ones."""
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[^ \t\n\r\f]+"), 0), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 50000 + 3).cast("int"))
+
+
+def training_items(rows: DataFrame, most: int = 4096, head: int = 256, tokenizer: Callable[[Column], Column] = hashed_words, marker: int = 1, separator: int = 2) -> DataFrame:
+    """Decision rows in one form to items: ids, markers, qtype, target, label. tokenizer gives a text's ids as array<int>: an expression, or a
+    vectorised function (pandas_udf) of a real tokenizer. Each option adds a marker before its ids. Rows whose markers don't fit in head are
+    dropped, and long states are cut to most."""
     texts = F.transform(F.arrays_zip("keys", F.coalesce("texts", "keys").alias("texts")), lambda z: F.concat_ws(" ", z["keys"], z["texts"]))
-    options = F.transform(texts, lambda t: F.concat(F.array(F.lit(1)), word_ids(t)))
-    rows = once(rows, _options=options)
+    rows = once(rows, _texts=texts)
+    each = once(rows, _state=tokenizer(F.col("norm")))
+    if tokenizer is hashed_words:
+        each = once(each, _options=F.transform("_texts", lambda t: F.concat(F.array(F.lit(marker)), tokenizer(t))))
+    else:  # functions of Python take columns, not elements of arrays: options become rows and come back
+        keyed = each.withColumn("_row", F.struct("guid", "norm"))
+        apart = keyed.select("guid", "norm", F.posexplode("_texts").alias("_i", "_t")).withColumn("_ids", F.concat(F.array(F.lit(marker)), tokenizer(F.col("_t"))))
+        back = apart.groupBy("guid", "norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_ids"))), lambda x: x["_ids"]).alias("_options"))
+        each = keyed.drop("_row").join(back, ["guid", "norm"])
     sizes = F.transform("_options", F.size)
     markers = F.transform(F.sequence(F.lit(0), F.size("_options") - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    made = once(rows, head=F.flatten("_options"), markers=markers).where(F.size("head") <= head)
-    ids = F.slice(F.concat("head", F.array(F.lit(2)), word_ids(F.col("norm"))), 1, most)
+    made = once(each, head=F.flatten("_options"), markers=markers).where(F.size("head") <= head)
+    ids = F.slice(F.concat("head", F.array(F.lit(separator)), F.col("_state")), 1, most)
     qtype = F.when(F.col("qtype") == "choice", 0).when(F.col("qtype") == "score", 1).otherwise(2).cast("tinyint")
     return made.select("guid", ids.alias("ids"), "markers", qtype.alias("qtype"), F.col("probs").alias("target"), (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("label"))
 
 
-def synthetic_items(spark, n: int, seed: int = 7) -> DataFrame:
-    """Items of drawn lengths: a weighted bin, a place inside it, and half a per cent in a long tail."""
-    ids = spark.range(n)
-    u, v, w = (rand.uniform(F.col("id"), seed, x) for x in ("bin", "place", "tail"))
-    low = F.when(u < 0.55, 32).when(u < 0.85, 128).when(u < 0.97, 256).otherwise(512)
-    length = F.when(w < 0.005, 2048 + F.floor(v * 2048)).otherwise(low + F.floor(v * low))
-    return ids.select(F.col("id").alias("item_id"), length.cast("long").alias("length"), (2 + F.floor(rand.uniform(F.col("id"), seed, "k") * 5)).cast("int").alias("options"))
+#: Bins (low, high, weight) of drawn lengths where no histogram is given.
+BINS = ((32, 64, 0.55), (128, 256, 0.30), (256, 512, 0.12), (512, 1024, 0.03))
+
+
+def synthetic_items(spark, n: int, seed: int = 7, bins: tuple = BINS, tail: float = 0.005, longest: int = 4096) -> DataFrame:
+    """Items of drawn lengths: a weighted bin and a place inside it, a small share in a long tail; without bins a bell curve around 256.
+    bins may be a histogram (bin_lo, bin_hi, n). Each item has 2 to 6 options, as many markers, and a target that sums to one."""
+    if isinstance(bins, DataFrame):
+        bins = tuple((r["bin_lo"], r["bin_hi"], r["n"]) for r in bins.where("n > 0").orderBy("bin_lo").limit(10_000).collect())
+    draw = lambda name: rand.uniform(F.col("id"), seed, name)
+    u, v, w = draw("bin"), draw("place"), draw("tail")
+    if bins:
+        total_weight, upto, length = sum(b[2] for b in bins), 0.0, None
+        for low, high, weight in bins:
+            upto += weight / total_weight
+            one = F.lit(low) + F.floor(v * (high - low))
+            length = F.when(u < round(upto, 12), one) if length is None else length.when(u < round(upto, 12), one)
+        length = length.otherwise(F.lit(bins[-1][0]) + F.floor(v * (bins[-1][1] - bins[-1][0])))
+    else:
+        bell = F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v)
+        length = F.greatest(F.lit(8), F.least(F.lit(longest), F.floor(256 + 128 * bell)))
+    length = F.when(w < tail, F.lit(longest // 2) + F.floor(v * (longest // 2))).otherwise(length).cast("long")
+    options = (2 + F.floor(draw("k") * 5)).cast("int")
+    rows = once(spark.range(n), length=length, options=options)
+    step = F.greatest(F.lit(1), F.floor(F.col("length") / (F.col("options") * 2)))
+    weights = F.transform(F.sequence(F.lit(0), F.col("options") - 1), lambda i: 1 + F.floor(rand.uniform(F.col("id"), seed, "target", i) * 9))
+    rows = once(rows, markers=F.transform(F.sequence(F.lit(0), F.col("options") - 1), lambda i: (i * step).cast("int")), _w=F.transform(weights, lambda x: x.cast("double")))
+    return rows.select(F.col("id").alias("item_id"), "length", "options", "markers", F.transform("_w", lambda x: x / total(F.col("_w"))).alias("target"))
+
+
+def synthetic_batch(spark, rows: int, length: int, options: int = 4, vocabulary: int = 50_000, seed: int = 7) -> DataFrame:
+    """row, ids, mask, markers of a seeded batch of one shape; row k has length - k real places at least one."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (3 + F.floor(rand.uniform(F.col("id"), seed, "ids", i) * (vocabulary - 3))).cast("int"))
+    real = F.greatest(F.lit(1), F.lit(length) - F.col("id")).cast("int")
+    mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (i < real).cast("int"))
+    markers = F.transform(F.sequence(F.lit(0), F.lit(options - 1)), lambda i: F.floor(i * real / options).cast("int"))
+    return spark.range(rows).select(F.col("id").alias("row"), ids.alias("ids"), mask.alias("mask"), markers.alias("markers"))

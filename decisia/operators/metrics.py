@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,3 +125,17 @@ def prediction(v: Column) -> Column:
 
 def spread(df: DataFrame, logits: str) -> DataFrame:
     return df.where(F.size(logits) > 1).agg(F.round(F.avg(F.array_max(logits) - F.array_min(logits)), 6).alias("spread"))
+
+
+def encoder_sizes(models: DataFrame, bytes_a_parameter: int = 4) -> DataFrame:
+    """Adds parameters and bytes of encoders by their shape: vocabulary, hidden, inner, layers. Embeddings with a norm, and in each layer four
+    projections with biases, two of the inner width and two norms."""
+    h, i = F.col("hidden"), F.col("inner")
+    embeddings = F.col("vocabulary") * h + 2 * h
+    layer = 4 * (h * h + h) + (h * i + i) + (i * h + h) + 4 * h
+    return models.withColumn("parameters", (embeddings + F.col("layers") * layer).cast("long")).withColumn("bytes", F.col("parameters") * bytes_a_parameter)
+
+
+def inferred(rows: DataFrame, predict: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """The hook for a model: predict maps Arrow record batches of the rows to batches of schema, on executors; it loads its model once a task."""
+    return rows.mapInArrow(predict, schema)

@@ -6,7 +6,7 @@ import importlib
 
 from decisia.plans.registry import QUERIES, SQL
 
-for _name in ("texts", "rows", "layouts", "scores"):
+for _name in ("texts", "rows", "layouts", "scores", "origins", "built"):
     importlib.import_module(f"decisia.plans.{_name}")
 
 __all__ = ["QUERIES", "SQL"]

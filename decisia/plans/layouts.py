@@ -155,12 +155,22 @@ def equal_token_shards(spark, sf_dir):
     return layout.token_shards(lengths(spark, sf_dir), "doc_id", "length", 8).select("doc_id", "shard")
 
 
-@query("greedy_token_shards", f"""WITH RECURSIVE r AS (SELECT substr({order_key('doc_id', 'cell')}, 1, 2) AS cell, doc_id, n_chars AS n, row_number() OVER (PARTITION BY substr({order_key('doc_id', 'cell')}, 1, 2) ORDER BY n_chars, doc_id) AS i FROM documents),
-    w AS (SELECT cell, 0::BIGINT AS i, NULL::BIGINT AS doc_id, -1 AS shard, [0, 0, 0, 0]::BIGINT[] AS loads FROM (SELECT DISTINCT cell FROM r)
-      UNION ALL SELECT r.cell, r.i, r.doc_id, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN v + r.n ELSE v END) FROM w JOIN r ON r.cell = w.cell AND r.i = w.i + 1)
-    SELECT cell, doc_id, shard::INTEGER AS shard FROM w WHERE i > 0""")
+@query("greedy_token_shards", """WITH RECURSIVE r AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY n_chars, doc_id) AS i FROM documents),
+    w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, -1 AS shard, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+      UNION ALL SELECT r.i, r.doc_id, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN v + r.n ELSE v END) FROM w JOIN r ON r.i = w.i + 1)
+    SELECT doc_id, shard::INTEGER AS shard FROM w WHERE i > 0""")
 def greedy_token_shards(spark, sf_dir):
-    return layout.greedy_shards(lengths(spark, sf_dir), "doc_id", "length", 4).select("cell", "doc_id", "shard")
+    return layout.greedy_shards(lengths(spark, sf_dir), "doc_id", "length", 5).select("doc_id", "shard")
+
+
+@query("greedy_shard_loads", """WITH RECURSIVE r AS (SELECT doc_id, doc_id % 7 AS n, row_number() OVER (ORDER BY doc_id % 7, doc_id) AS i FROM documents),
+    w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, -1 AS shard, [0, 0, 0, 0]::BIGINT[] AS loads
+      UNION ALL SELECT r.i, r.doc_id, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN v + r.n ELSE v END) FROM w JOIN r ON r.i = w.i + 1)
+    SELECT shard::INTEGER AS shard, count(*) AS items, sum(doc_id % 7)::BIGINT AS tokens, sum(doc_id)::BIGINT AS ids FROM w WHERE i > 0 GROUP BY shard""")
+def greedy_shard_loads(spark, sf_dir):
+    """Few lengths, many rows of each, and rows of no length: which shard gets which rows, and its load."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("length"))
+    return layout.greedy_shards(rows, "doc_id", "length", 4).groupBy("shard").agg(F.count("*").alias("items"), F.sum("length").alias("tokens"), F.sum("doc_id").alias("ids"))
 
 
 @query("random_batches", f"SELECT doc_id, ((row_number() OVER (ORDER BY {order_key('doc_id', 7)}, doc_id) - 1) // 8)::BIGINT AS batch FROM documents")
@@ -168,13 +178,14 @@ def random_batches(spark, sf_dir):
     return layout.random_batches(lengths(spark, sf_dir), "doc_id", "length", 8).select("doc_id", "batch")
 
 
-def _batches(size: int, budget: int, multiple: int) -> str:
+def _batches(size: int, budget: int, multiple: int, seed: int = 7, names: str = "o r w") -> str:
     """The greedy walk as a recursion over the places in each bucket."""
-    return f"""WITH RECURSIVE o AS (SELECT doc_id, n_chars AS n, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // {size * multiple} AS bucket FROM documents),
-    r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {order_key('doc_id', 7)}, doc_id) AS i FROM o),
+    o, r, w = names.split()
+    return "WITH RECURSIVE " + f"""o AS (SELECT doc_id, n_chars AS n, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // {size * multiple} AS bucket FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {order_key('doc_id', seed)}, doc_id) AS i FROM o),
     w AS (SELECT bucket, i, doc_id, n, 1 AS m, n AS longest, 0 AS batch FROM r WHERE i = 1
       UNION ALL SELECT r.bucket, r.i, r.doc_id, r.n, CASE WHEN f THEN 1 ELSE m + 1 END, CASE WHEN f THEN r.n ELSE greatest(longest, r.n) END, CASE WHEN f THEN batch + 1 ELSE batch END
-      FROM w JOIN r ON r.bucket = w.bucket AND r.i = w.i + 1, LATERAL (SELECT m >= {size} OR greatest(longest, r.n) * (m + 1) > {budget} AS f))"""
+      FROM w JOIN r ON r.bucket = w.bucket AND r.i = w.i + 1, LATERAL (SELECT m >= {size} OR greatest(longest, r.n) * (m + 1) > {budget} AS f))""".replace("o AS (", f"{o} AS (").replace("FROM o)", f"FROM {o})").replace("r AS (SELECT *", f"{r} AS (SELECT *").replace("FROM r WHERE i = 1", f"FROM {r} r WHERE i = 1").replace("w AS (SELECT bucket", f"{w} AS (SELECT bucket").replace("FROM w JOIN r ON", f"FROM {w} w JOIN {r} r ON")
 
 
 PLAN = _batches(8, 16384, 4)
@@ -201,6 +212,32 @@ def batch_compare(spark, sf_dir):
     return one.crossJoin(two).withColumn("ratio", F.round(F.col("random_tokens") / F.col("bucketed_tokens"), 4))
 
 
+STEP = order_key("bucket || '/' || batch", 7, "step")
+
+
+@query("epoch_steps", f"{PLAN}, b AS (SELECT DISTINCT bucket, batch FROM w), s AS (SELECT bucket, batch, row_number() OVER (ORDER BY {STEP}, bucket, batch) - 1 AS step FROM b) SELECT doc_id, step FROM w JOIN s USING (bucket, batch)")
+def epoch_steps(spark, sf_dir):
+    """One epoch: bucketed batches in a drawn order."""
+    return layout.epoch(lengths(spark, sf_dir), "doc_id", "length", 8, 16384, "length", 4, 7).select("doc_id", "step")
+
+
+@query("epoch_random", f"SELECT doc_id, ((row_number() OVER (ORDER BY {order_key('doc_id', 3)}, doc_id) - 1) // 8)::BIGINT AS step FROM documents")
+def epoch_random(spark, sf_dir):
+    return layout.epoch(lengths(spark, sf_dir), "doc_id", "length", 8, None, "random", seed=3).select("doc_id", "step")
+
+
+SEEDS = (1, 2, 3)
+WALKS = ", ".join(_batches(8, 16384, 4, s, f"o{s} r{s} w{s}").removeprefix("WITH RECURSIVE ") for s in SEEDS)
+RANDOM = " + ".join(f"(SELECT sum(k) FROM (SELECT count(*) * max(n) AS k FROM (SELECT n_chars AS n, (row_number() OVER (ORDER BY {order_key('doc_id', s)}, doc_id) - 1) // 8 AS batch FROM documents) GROUP BY batch))" for s in SEEDS)
+BUCKETED = " + ".join(f"(SELECT sum(k) FROM (SELECT count(*) * max(n) AS k FROM w{s} GROUP BY bucket, batch))" for s in SEEDS)
+
+
+@query("batch_strategies", f"WITH RECURSIVE {WALKS}, p AS (SELECT ({RANDOM})::DOUBLE / 3 AS a, ({BUCKETED})::DOUBLE / 3 AS b) SELECT a AS random_tokens, b AS bucketed_tokens, round(a / b, 4) AS ratio FROM p")
+def batch_strategies(spark, sf_dir):
+    """Both ways over three seeds."""
+    return layout.strategies(lengths(spark, sf_dir), "doc_id", "length", 8, 16384, SEEDS, 4)
+
+
 @query("shape_quantize", f"{PLAN} SELECT count(DISTINCT l) AS shapes, count(DISTINCT (l + 15) // 16 * 16) AS quantised_shapes, sum(n * l)::BIGINT AS padded, sum(n * ((l + 15) // 16 * 16))::BIGINT AS quantised_padded FROM (SELECT count(*) AS n, max(n) AS l FROM w GROUP BY bucket, batch)")
 def shape_quantize(spark, sf_dir):
     return layout.quantised(layout.length_batches(lengths(spark, sf_dir), "doc_id", "length", 8, 16384, 4), "length", 16, "bucket", "batch")
@@ -225,15 +262,50 @@ def item_integrity(spark, sf_dir):
     return layout.integrity(rows, 5)
 
 
-@query("synth_items")
+def _draw(name: str, extra: str | None = None) -> str:
+    return uniform("id", 7, name, *([extra] if extra else []))
+
+
+LENGTH = f"""CASE WHEN {_draw('tail')} < 0.005 THEN 2048 + floor({_draw('place')} * 2048) WHEN {_draw('bin')} < 0.55 THEN 32 + floor({_draw('place')} * 32) WHEN {_draw('bin')} < 0.85 THEN 128 + floor({_draw('place')} * 128)
+    WHEN {_draw('bin')} < 0.97 THEN 256 + floor({_draw('place')} * 256) ELSE 512 + floor({_draw('place')} * 512) END"""
+
+
+@query("synth_items", f"""WITH i AS (SELECT id, ({LENGTH})::BIGINT AS length, (2 + floor({_draw('k')} * 5))::INTEGER AS options FROM range(2000) r(id)),
+    t AS (SELECT *, list_transform(range(options), lambda i: 1 + floor({_draw('target', '=i')} * 9)) AS w FROM i)
+    SELECT id AS item_id, length, options, array_to_string(list_transform(range(options), lambda i: i * greatest(1, length // (options * 2))), ',') AS markers, array_to_string(list_transform(w, lambda x: round(x / list_sum(w), 6)), ',') AS target FROM t""")
 def synth_items(spark, sf_dir):
-    return layout.synthetic_items(spark, 2000)
+    made = layout.synthetic_items(spark, 2000)
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return made.select("item_id", "length", "options", joined(F.col("markers")).alias("markers"), joined(F.transform("target", lambda x: F.round(x, 6))).alias("target"))
+
+
+@query("synth_items_like", f"""WITH h AS (SELECT n_chars // 512 * 512 AS lo, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT lo, (sum(n) OVER (ORDER BY lo) / sum(n) OVER ())::DOUBLE AS hi, ((sum(n) OVER (ORDER BY lo) - n) / sum(n) OVER ())::DOUBLE AS low FROM h)
+    SELECT lo::BIGINT AS bin_lo, count(*) AS n FROM range(3000) r(id) JOIN c ON {_draw('bin')} >= round(low, 12) AND {_draw('bin')} < CASE WHEN hi >= 1 THEN 2 ELSE round(hi, 12) END WHERE {_draw('tail')} >= 0 GROUP BY lo""")
+def synth_items_like(spark, sf_dir):
+    """Lengths drawn like those of documents, from their histogram."""
+    hist = layout.histogram(lengths(spark, sf_dir), "length", 512)
+    made = layout.synthetic_items(spark, 3000, bins=hist, tail=0.0)
+    return made.groupBy((F.floor(F.col("length") / 512) * 512).alias("bin_lo")).agg(F.count("*").alias("n"))
+
+
+def _ids(text: str) -> str:
+    return f"list_transform(regexp_extract_all(lower({text}), '[^ \\t\\n\\r\\f]+'), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 50000 + 3)"
+
+
+def _items_sql() -> str:
+    """Items of the kept rows: options by kind, each after a marker, then the state."""
+    from decisia.plans.rows import OUTCOME, STATE_NORM
+
+    options = "CASE doc_id % 24 WHEN 17 THEN ['false n', 'true y'] WHEN 18 THEN ['0 a', '1 b', '2 c'] ELSE ['A a', 'B b', 'C c'] END"
+    return f"""WITH k AS (SELECT doc_id, {options} AS o, {STATE_NORM} AS state FROM documents WHERE {OUTCOME} = 'kept'),
+    i AS (SELECT doc_id, len(o) AS n, list_concat(flatten(list_transform(o, lambda t: list_concat([1], {_ids('t')}))), [2], {_ids('state')})[1:4096] AS ids FROM k)
+    SELECT doc_id::VARCHAR AS guid, len(ids)::INTEGER AS n, md5(array_to_string(ids, ',')) AS ids, array_to_string(list_transform(range(n), lambda j: 3 * j), ',') AS markers, CASE doc_id % 24 WHEN 17 THEN 2 WHEN 18 THEN 1 ELSE 0 END::TINYINT AS qtype, CASE WHEN doc_id % 24 IN (17, 18) THEN 1 ELSE 0 END::INTEGER AS label FROM i"""
 
 
-@query("tokenized_items")
+@query("tokenized_items", _items_sql())
 def tokenized_items(spark, sf_dir):
     from decisia.operators.normalize import normalised
     from decisia.plans.rows import test_rows
 
     items = layout.training_items(normalised(test_rows(spark, sf_dir)).where("reason is null"))
-    return items.select("guid", F.size("ids").alias("n"), F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "qtype", "label")
+    return items.select("guid", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"), F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "qtype", "label")

@@ -41,10 +41,7 @@ def build(spark: SparkSession, rows: DataFrame, held_out: DataFrame, path: str,
     kept.select("guid", "workflow", "state", "questions", "gold", "qtype", "keys", "texts", "probs", "norm", "key").write.mode("overwrite").parquet(path)
     totals = {r["reason"]: r["count"] for r in judged.groupBy("reason").count().collect()}
     types = {r["qtype"]: r["count"] for r in kept.groupBy("qtype").count().collect()}
-    written = spark.read.parquet(path)
-    stats = {"rows": written.count(), "rows_in": sum(totals.values()), "outcomes": totals, "qtype": types, "format": "parquet", "fingerprint": str(files.fingerprint(written.select("guid", "state", "key")).first()["fingerprint"])}
-    files.write_sidecar(spark, sidecar, stats)
-    return stats
+    return files.write_stats(spark, path, {"rows_in": sum(totals.values()), "outcomes": totals, "qtype": types})
 
 
 def audited(mix: DataFrame, held_out: DataFrame, id_col: str = "guid") -> DataFrame:

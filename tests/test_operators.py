@@ -258,3 +258,92 @@ def test_catalog_of_sources():
     specs = catalog()
     assert len(specs) == len({s.name for s in specs}) == 99
     assert all(s.shape in shapes.ADAPTERS or s.shape == "suite" for s in specs)
+
+
+def test_emotion_query_by_checksum(spark, sf):
+    """The drawn emotion follows from the text's checksum, as plain Python has it."""
+    import zlib
+
+    from decisia.plans import catalog
+    from decisia.session import table
+
+    got = {r["guid"]: (r["emotion"], r["p"]) for r in catalog.QUERIES["crc32_binary_query"](spark, sf).collect()}
+    want = {}
+    for r in table(spark, sf, "documents").collect():
+        text = " ".join(x for x in __import__("re").split(r"[ \t\n\r\f]+", r["text"]) if x)
+        own, h = sorted({r["doc_id"] % 28, r["doc_id"] % 5}), zlib.crc32(text.encode())
+        pool = own if h % 2 == 0 else [i for i in range(28) if i not in own]
+        if text:
+            want[str(r["doc_id"])] = (shapes.EMOTIONS[pool[(h // 2) % len(pool)]], 0.85 if h % 2 == 0 else 0.15)
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_shards_are_a_walk(spark, seed):
+    """Turns of shards give what walking row by row gives, also with few rows, ties and rows of no length."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, r.choice([0, 1, 2, 2, 3, 5, 8, 13, 40][: 3 + 2 * seed])) for i in range(120)]
+    shards, loads, want = 3 + seed, [0] * (3 + seed), {}
+    for i, n in sorted(rows, key=lambda x: (x[1], x[0])):
+        k = loads.index(min(loads))
+        want[i], loads[k] = k, loads[k] + n
+    got = layout.greedy_shards(spark.createDataFrame(rows, "id long, n long"), "id", "n", shards)
+    assert {x["id"]: x["shard"] for x in got.collect()} == want
+
+
+def test_items_by_another_tokenizer(spark):
+    """A vectorised function serves as the tokenizer."""
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def letters(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [ord(c) for c in t])
+
+    rows = spark.createDataFrame([("a", "choice", ["A", "B"], ["x", "yz"], [0.0, 1.0], "st"), ("b", "noul", ["false", "true"], None, [0.5, 0.5], "u")], "guid string, qtype string, keys array<string>, texts array<string>, probs array<double>, norm string")
+    got = {r["guid"]: (r["ids"], r["markers"], r["qtype"], r["label"]) for r in layout.training_items(rows, tokenizer=letters).collect()}
+    of = lambda t: [ord(c) for c in t]
+    assert got["a"] == ([1, *of("A x"), 1, *of("B yz"), 2, *of("st")], [0, 4], 0, 1)
+    assert got["b"][0] == [1, *of("false false"), 1, *of("true true"), 2, *of("u")]
+
+
+def test_epochs_differ_by_seed(spark):
+    """Batches keep their rows' lengths together, but their order and their rows are drawn anew."""
+    rows = spark.createDataFrame([(i, 10 + i % 50) for i in range(400)], "id long, n long")
+    plans = [{(r["id"], r["step"]) for r in layout.epoch(rows, "id", "n", 4, 200, multiple=4, seed=s).collect()} for s in (1, 1, 2)]
+    assert plans[0] == plans[1] != plans[2]
+    assert len({s for _, s in plans[0]}) == 1 + max(s for _, s in plans[0])
+    with pytest.raises(ValueError):
+        layout.epoch(rows, "id", "n", 4, 200, mode="other")
+
+
+def test_listed_files_without_any(spark):
+    assert files.read_listed(spark, []).count() == 0
+
+
+def test_catalog_entries_name_known_adapters():
+    from decisia.sources.specs import catalog
+
+    found = catalog()
+    assert len(found) == 99 == len({s.name for s in found})
+    assert all(s.shape in shapes.ADAPTERS and s.target for s in found)
+    assert all(s.columns or s.shape == "suite" for s in found)
+
+
+def test_contained_passages(spark):
+    """Words glued to a passage's ends, anchors in many documents, passages of one or two words."""
+    from decisia.operators import dedup
+
+    docs = spark.createDataFrame([(1, "xthe quick brown foxes"), (2, "quick brown"), (3, "the quick brown fox"), (4, "brownish lone words")], "id long, t string")
+    passages = spark.createDataFrame([(10, "the quick brown fox"), (11, "lone"), (12, "quick brown")], "item long, b string")
+    got = {tuple(r) for r in dedup.contained(docs, "id", "t", passages, "item", "b").collect()}
+    assert got == {(1, 10), (3, 10), (4, 11), (1, 12), (2, 12), (3, 12)}
+
+
+@pytest.mark.parametrize("values", [[1, 1, 1], [5], list(range(1000)), [0] * 900 + [10**9], [-3.5, 2.25, 2.25, 7.0]])
+def test_percentiles_in_cells(spark, values):
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    got = {r["q"]: r["value"] for r in layout.percentiles(rows, "v", [0.0, 0.5, 0.999, 1.0], "floor_last").collect()}
+    ordered = sorted(map(float, values))
+    assert got == {q: ordered[int(q * (len(ordered) - 1))] for q in (0.0, 0.5, 0.999, 1.0)}
