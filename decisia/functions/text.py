@@ -72,6 +72,11 @@ def key_of(normal: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(normal, 256), 1, length)
 
 
+def row_key(normal: Column, questions: Column) -> Column:
+    """The whole digest of a state with its questions: rows that ask other things of one state differ."""
+    return F.sha2(F.concat(normal, F.lit("###"), questions), 256)
+
+
 def tokens(text: Column) -> Column:
     """Distinct words of letters and digits of more than two characters."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda t: F.length(t) > 2))

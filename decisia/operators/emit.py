@@ -16,6 +16,14 @@ from decisia.operators.shapes import LETTERS
 MOST_SHOWN, FEWEST, MOST = 6, 2, 16
 
 
+def names_of(df: DataFrame, column: str, most: int = 500) -> Column:
+    """The distinct values of a column as a literal list, in order; more than most are an error, since the list goes to every task."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} names in {column}")
+    return F.array(*(F.lit(v) for v in found))
+
+
 def overlap(option: Column, state_tokens: Column) -> Column:
     """Shared words of an option and the state, two at most: the bucket of a distractor."""
     return F.least(F.size(F.array_intersect(text.tokens(option), state_tokens)), F.lit(2))

@@ -66,14 +66,32 @@ def soft_cross_entropy(logits: Column, g: Column, temperature: Column | float =
     return -total(F.zip_with(z, g, lambda x, y: y * (x - log_sum)))
 
 
-def temperatures(df: DataFrame, group: str, grid: list[float], least: int = 10) -> DataFrame:
-    """By group the temperature of the grid with the least mean soft cross-entropy; 1 for groups of few rows. The grid is the only copy made."""
-    each = df.withColumn("t", F.explode(F.array(*(F.lit(float(t)) for t in grid)))).withColumn("loss", soft_cross_entropy(F.col("z"), F.col("g"), F.col("t")))
+def temperatures(df: DataFrame, group: str, grid: list[float], least: int = 10, bounds: tuple[float, float] = (0.1, 10.0)) -> DataFrame:
+    """By group the temperature of the grid, kept within bounds, with the least mean soft cross-entropy; 1 for groups of few rows. The grid is the only copy made."""
+    within = sorted({min(bounds[1], max(bounds[0], float(t))) for t in grid})
+    each = df.withColumn("t", F.explode(F.array(*(F.lit(t) for t in within)))).withColumn("loss", soft_cross_entropy(F.col("z"), F.col("g"), F.col("t")))
     mean = each.groupBy(group, "t").agg(F.avg("loss").alias("loss"), F.count("*").alias("rows"))
     best = mean.groupBy(group).agg(F.min_by("t", F.struct(F.round("loss", 9), "t")).alias("best"), F.max("rows").alias("rows"))
     return best.select(group, "rows", F.when(F.col("rows") < least, 1.0).otherwise(F.col("best")).alias("temperature"))
 
 
+def fitted_temperatures(df: DataFrame, group: str, least: int = 10, bounds: tuple[float, float] = (0.1, 10.0), rounds: int = 6, steps: int = 8) -> DataFrame:
+    """The same without a grid of one's own: the loss falls and rises once in the temperature, so each round looks at a few steps between the
+    neighbours of the last round's best, by group. A round is one pass over the rows; a row a group goes from one to the next."""
+    here = df.select(group).distinct().select(group, F.lit(float(bounds[0])).alias("lo"), F.lit(float(bounds[1])).alias("hi"))
+    best = None
+    for _ in range(rounds):
+        ratio = F.col("hi") / F.col("lo")
+        grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.col("lo") * F.pow(ratio, k / F.lit(float(steps))))
+        each = df.join(F.broadcast(here.select(group, F.explode(grid).alias("t"))), group).withColumn("loss", soft_cross_entropy(F.col("z"), F.col("g"), F.col("t")))
+        mean = each.groupBy(group, "t").agg(F.avg("loss").alias("loss"), F.count("*").alias("rows"))
+        best = [tuple(r) for r in mean.groupBy(group).agg(F.min_by("t", F.struct("loss", "t")).alias("t"), F.max("rows").alias("rows")).collect()]
+        ends = {r[group]: (r["hi"] / r["lo"]) ** (1 / steps) for r in here.collect()}
+        at = [(g, max(bounds[0], t / ends[g]), min(bounds[1], t * ends[g])) for g, t, _ in best]
+        here = df.sparkSession.createDataFrame(at, f"{group} {dict(df.dtypes)[group]}, lo double, hi double")
+    return df.sparkSession.createDataFrame([(g, n, 1.0 if n < least else t) for g, t, n in best], f"{group} {dict(df.dtypes)[group]}, rows long, temperature double")
+
+
 def features(p: Column) -> list[Column]:
     """The top probability, its lead, normalised entropy, and the number of options over 255."""
     best = F.sort_array(p, asc=False)

@@ -214,8 +214,7 @@ BRANDS = "(SELECT list(DISTINCT p_brand ORDER BY p_brand) AS o FROM part)"
 )
 def distractor_bucket(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    brands = p.agg(F.array_sort(F.collect_set("p_brand")).alias("options"))
-    rows = p.crossJoin(F.broadcast(brands))
+    rows = p.withColumn("options", emit.names_of(p, "p_brand"))
     label = (F.array_position("options", F.col("p_brand")) - 1).cast("int")
     places = emit.distractors(F.col("options"), label, F.concat_ws(" ", "p_name", "p_brand"), F.col("p_partkey"), 3, 5, 7)
     return rows.select("p_partkey", places.alias("places")).where("places is not null").select("p_partkey", F.array_join("places", ",").alias("places"))
@@ -313,6 +312,25 @@ def gold_rescale(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(v[0], 6).alias("p0"), F.round(v[1], 6).alias("p1"))
 
 
+@query("gold_zero_sum", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '0.25,0.25,0.25,0.25' ELSE round((doc_id % 4) / (doc_id % 4 + 6.0::DOUBLE), 6) || ',' || round(1 / (doc_id % 4 + 6.0::DOUBLE), 6) || ',' || round(2 / (doc_id % 4 + 6.0::DOUBLE), 6) || ',' || round(3 / (doc_id % 4 + 6.0::DOUBLE), 6) END AS probs FROM documents")
+def gold_zero_sum(spark, sf_dir):
+    """A target that sums to zero becomes even."""
+    from decisia.functions.vectors import normalised as unit
+
+    i = (F.col("doc_id") % 4).cast("double")
+    raw = F.when(i == 0, F.array_repeat(F.lit(0.0), 4)).otherwise(F.array(i, F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(unit(raw), lambda v: F.round(v, 6).cast("string")), ",").alias("probs"))
+
+
+@query("noul_rows", "SELECT doc_id::VARCHAR AS guid, round(1 - (doc_id % 9) / 8.0, 6)::DOUBLE AS no, round((doc_id % 9) / 8.0, 6)::DOUBLE AS yes FROM documents")
+def noul_rows(spark, sf_dir):
+    """Yes-or-no rows emitted and read back: false is one less true."""
+    d = table(spark, sf_dir, "documents")
+    flagged = shapes.soft_binary(d, F.col("doc_id"), F.col("source"), F.lit("en"), F.concat(F.lit("document number "), F.col("doc_id")), F.col("doc_id") % 9 / 8)
+    kept = normalised(emit.decision_rows(flagged)).where("reason is null")
+    return kept.select("guid", F.round(F.col("probs")[0], 6).alias("no"), F.round(F.col("probs")[1], 6).alias("yes"))
+
+
 @query("one_hot_check", "SELECT count(*) FILTER (WHERE doc_id % 24 NOT IN (17, 20)) AS one_hot, count(*) FILTER (WHERE doc_id % 24 IN (17, 20)) AS soft FROM documents WHERE doc_id % 24 IN (0, 17, 18, 19, 20, 21)")
 def one_hot_check(spark, sf_dir):
     kept = normalised(test_rows(spark, sf_dir)).where("reason is null")
@@ -388,7 +406,7 @@ def orders_per_group(spark, sf_dir):
 )
 def shortcut_metric(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    rows = p.crossJoin(F.broadcast(p.agg(F.array_sort(F.collect_set("p_brand")).alias("options"))))
+    rows = p.withColumn("options", emit.names_of(p, "p_brand"))
     return audit.shortcuts(rows, F.concat_ws(" ", "p_name", "p_type"), F.col("options"), F.array_position("options", F.col("p_brand")) - 1)
 
 
@@ -411,7 +429,7 @@ def history_window(spark, sf_dir):
 def element_pool(spark, sf_dir):
     """Candidates of a step: a drawn few of the negatives."""
     p = table(spark, sf_dir, "part")
-    rows = p.crossJoin(F.broadcast(p.agg(F.collect_set("p_brand").alias("options"))))
+    rows = p.withColumn("options", emit.names_of(p, "p_brand"))
     drawn = F.array_sort(F.transform(F.array_except("options", F.array("p_brand")), lambda o: F.struct(rand.order_key(F.col("p_partkey"), "pool", o).alias("h"), o.alias("o"))))
     return rows.select("p_partkey", F.array_join(F.transform(F.slice(drawn, 1, 5), lambda x: x["o"]), ",").alias("pool"))
 

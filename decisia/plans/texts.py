@@ -48,6 +48,13 @@ def norm_key(spark, sf_dir):
     return keyed(spark, sf_dir).select("doc_id", "key")
 
 
+@query("row_keys", f"SELECT doc_id, sha256({norm('text')} || '###' || 'q' || (doc_id % 3)) AS row_key, sha256({norm('text')}) AS whole FROM documents")
+def row_keys(spark, sf_dir):
+    """The variants of the key: whole, and with the questions."""
+    text = X.norm_text(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.row_key(text, F.concat(F.lit("q"), F.col("doc_id") % 3)).alias("row_key"), X.key_of(text, 64).alias("whole"))
+
+
 STATE_SQL = f"""SELECT doc_id, substr(sha256({norm("'lang=' || lang || ' || n=' || n_chars || ' || source=' || source")}), 1, 16) AS key FROM documents"""
 
 

@@ -347,3 +347,17 @@ def test_percentiles_in_cells(spark, values):
     got = {r["q"]: r["value"] for r in layout.percentiles(rows, "v", [0.0, 0.5, 0.999, 1.0], "floor_last").collect()}
     ordered = sorted(map(float, values))
     assert got == {q: ordered[int(q * (len(ordered) - 1))] for q in (0.0, 0.5, 0.999, 1.0)}
+
+
+def test_fitted_temperature(spark):
+    """Logits that are three times too sharp ask for a temperature of three; few rows keep one; bounds hold."""
+    import math
+
+    rows = []
+    for i in range(40):
+        true = [0.1 + 0.02 * i, 0.9 - 0.02 * i]
+        rows.append(("a", [3 * math.log(x) for x in true], true))
+    rows += [("b", [5.0, 0.0], [0.0, 1.0])] * 5 + [("c", [50.0, 0.0], [0.5, 0.5])] * 20
+    df = spark.createDataFrame(rows, "q string, z array<double>, g array<double>")
+    got = {r["q"]: r["temperature"] for r in metrics.fitted_temperatures(df, "q").collect()}
+    assert abs(got["a"] - 3) < 0.01 and got["b"] == 1.0 and abs(got["c"] - 10) < 1e-9
