@@ -92,9 +92,10 @@ def leaks(text: Column, variant: str = "wide") -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in leak_patterns(variant).items())), lambda x: x.isNotNull())
 
 
-def has_leak(text: Column, variant: str = "wide") -> Column:
-    """One alternation, so one pass of the matcher, and only over texts that hold a word which every pattern asks for one of."""
-    low = F.lower(text)
+def has_leak(text: Column, variant: str = "wide", low: Column | None = None) -> Column:
+    """One alternation, so one pass of the matcher, and only over texts that hold a word which every pattern asks for one of.
+    low: the text in lower case where there is a column of it; inside a condition the expression would be worked out for every word."""
+    low = F.lower(text) if low is None else low
     cue = functools.reduce(lambda a, b: a | b, (low.contains(w) for w in LEAK_CUES))
     return F.when(cue, text.rlike("|".join(f"(?:{p})" for p in leak_patterns(variant).values()))).otherwise(False)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decisia.functions import text
+from decisia.functions.once import once
 from decisia.functions.vectors import argmax, total
 
 
@@ -15,11 +16,12 @@ def verify(rows: DataFrame, group: str, *order: str) -> DataFrame:
     from decisia.operators.dedup import within_and_across
 
     p = F.col("probs")
-    counted = rows.groupBy(group).agg(
+    rows = once(rows, state=F.col("state"), norm=F.col("norm"), key=F.col("key"))
+    counted = once(rows, _low=F.lower("state")).groupBy(group).agg(
         F.count("*").alias("rows"),
         F.count_if(F.abs(total(p) - 1) > 1e-6).alias("bad_gold_sum"),
         F.count_if(((F.col("qtype") == "choice") & ~F.size(p).between(2, 16)) | ((F.col("qtype") == "noul") & (F.array_sort("keys") != F.array(F.lit("false"), F.lit("true"))))).alias("bad_arity"),
-        F.count_if(text.has_leak(F.col("state"), "audit")).alias("leak"),
+        F.count_if(text.has_leak(F.col("state"), "audit", F.col("_low"))).alias("leak"),
         F.count_if(text.forbidden_key(F.col("state"))).alias("forbidden_key"),
         F.count_if(F.length("norm") < 10).alias("empty_state"),
     )

@@ -86,8 +86,9 @@ def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
     pair = lambda no, yes: F.create_map(F.lit("false"), no, F.lit("true"), yes)
     criteria = pair(F.try_element_at("options", F.lit(1)), F.try_element_at("options", F.lit(2)))
     nouls = noul.select(*head, json_of(F.col("state")).alias("state"), question(F.col("kind"), F.col("instructions"), criteria).alias("questions"), answer(pair(1 - F.col("p"), F.col("p"))).alias("gold"))
-    made = once(choices.unionByName(scores).unionByName(nouls), leaky=text.has_leak(F.col("state")))
-    return made.where("not leaky").drop("leaky")
+    made = once(choices.unionByName(scores).unionByName(nouls), state=F.col("state"), questions=F.col("questions"), gold=F.col("gold"))
+    made = once(once(made, low=F.lower("state")), leaky=text.has_leak(F.col("state"), low=F.col("low")))
+    return made.where("not leaky").drop("leaky", "low")
 
 
 def hard_negatives(labels: DataFrame, name: str = "label", most: int = 30, separator: str = "_") -> DataFrame:

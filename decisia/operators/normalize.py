@@ -27,9 +27,10 @@ def parsed(df: DataFrame) -> DataFrame:
 
     Each text is checked once as a whole; parts of a whole text are whole, so their kinds show in their first sign.
     """
+    df = once(df, state=F.col("state"), questions=F.col("questions"), gold=F.col("gold"))  # whatever made them is worked out once
     out = once(
         df, _q=F.from_json("questions", MAP), _g=F.from_json("gold", MAP), _s=F.from_json("state", MAP), _read=is_json(F.col("state")) & is_json(F.col("questions")) & is_json(F.col("gold")),
-        _objects=starts(F.col("questions"), "{") & starts(F.col("gold"), "{"),
+        _objects=starts(F.col("questions"), "{") & starts(F.col("gold"), "{"), _low=F.lower("state"),
     )
     qid = F.try_element_at(F.map_keys("_q"), F.lit(1))
     out = once(out, qid=qid, _question=F.from_json(F.try_element_at("_q", qid), MAP), _probs=F.try_element_at(F.from_json(F.try_element_at("_g", qid), MAP), F.lit("probabilities")))
@@ -76,7 +77,7 @@ def reason() -> Column:
         .when(total(values) <= 0, "gold_zero_sum")
         .when(by_type.isNotNull(), by_type)
         .when(F.coalesce(F.exists(F.map_keys("_s"), lambda k: k.rlike(text.FORBIDDEN_KEYS)), F.lit(False)), "forbidden_state_key")
-        .when(text.has_leak(F.col("state")), "answer_marker_in_state")
+        .when(text.has_leak(F.col("state"), low=F.col("_low")), "answer_marker_in_state")
         .when(F.length("norm") < TINY, "empty_state")
     )
 
@@ -99,4 +100,4 @@ def normalised(df: DataFrame, rescale: bool = True) -> DataFrame:
     notes = F.array(F.when(by_number, "score_dict_to_list"), F.when(F.col("qid") != "decision", "qid_renamed"), F.when(off, "gold_rescaled"))
     probs = F.when(off, F.transform("_values", lambda v: v / F.col("_sum"))).otherwise(F.col("_values")) if rescale else F.col("_values")
     out = once(rows, probs=probs, notes=F.when(kept, F.filter(notes, lambda n: n.isNotNull())), keys=F.when(kept, F.col("_order")), texts=F.col("_texts"))
-    return out.drop("_q", "_g", "_s", "_objects", "_read", "_question", "_probs", "_fields", "_items", "_probabilities", "_order", "_texts", "_values", "_sum", "gold_values", "gold_keys")
+    return out.drop("_q", "_g", "_s", "_objects", "_low", "_read", "_question", "_probs", "_fields", "_items", "_probabilities", "_order", "_texts", "_values", "_sum", "gold_values", "gold_keys")

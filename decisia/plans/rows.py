@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from decisia.functions import rand
 from decisia.functions import text as X
+from decisia.functions.once import once
 from decisia.operators import audit, emit, shapes
 from decisia.operators.normalize import normalised
 from decisia.plans.registry import clean, norm, order_key, query, uniform
-from decisia.session import table
+from decisia.session import spread, table
 
 LANGS = ("de", "en", "es", "fr")
 EVENTS = ("click", "error", "purchase", "signup", "view")
@@ -179,7 +180,7 @@ def crc32_binary_query(spark, sf_dir):
 
 
 def lang_choices(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return shapes.label_str(d, F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text"), F.col("lang"), LANGS, instructions="Which language is it?")
 
 
@@ -267,7 +268,7 @@ def test_rows(spark, sf_dir) -> DataFrame:
         F.when(v == 14, F.to_json(F.struct(F.lit("x").alias("Label"), "text"))).when(v == 15, F.to_json(F.struct(F.concat("text", F.lit(" Answer: B")).alias("text"))))
         .when(v == 16, '{"t":"x"}').when(v == 19, one_of_ten).when(v == 21, F.concat(F.lit('"a bare text, number '), F.col("doc_id").cast("string"), F.lit('"'))).when(v == 23, "not json").otherwise(base)
     )
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("guid"), F.col("source").alias("workflow"), "doc_id", "lang", state.alias("state"), _case(questions, choice(ABC)).alias("questions"), _case(golds, g(HOT)).alias("gold"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("guid"), F.col("source").alias("workflow"), "doc_id", "lang", state.alias("state"), _case(questions, choice(ABC)).alias("questions"), _case(golds, g(HOT)).alias("gold"))
 
 
 #: The normal text of a row's state, in SQL.
@@ -364,8 +365,8 @@ def verify_audit(spark, sf_dir):
     probs = F.when(i % 13 == 0, one).otherwise(two)
     probs = F.when(i % 11 == 0, F.transform(probs, lambda p: p * 0.5)).otherwise(probs)
     keys = F.when(i % 13 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))
-    text = X.norm_text(F.concat(F.lit("text="), "text"))
-    rows = table(spark, sf_dir, "documents").select(
+    text = F.col("_norm")
+    rows = once(spread(table(spark, sf_dir, "documents")), _norm=X.norm_text(F.concat(F.lit("text="), "text"))).select(
         F.col("source").alias("file"), "doc_id", F.when((i % 17 == 0) & (i % 13 != 0), "noul").otherwise("choice").alias("qtype"), keys.alias("keys"), probs.alias("probs"), state.alias("state"),
         F.when(i % 23 == 0, "short").otherwise(text).alias("norm"), X.key_of(text).alias("key"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from decisia.functions import text as X
 from decisia.operators import audit, dedup
 from decisia.plans.registry import clean, norm, query
-from decisia.session import table
+from decisia.session import spread, table
 
 
 ANSWER_TAIL = r" '(?i)\s*\banswer\s*[:=]\s*[A-F0-9]\b\.?\s*$', ''"
@@ -16,7 +16,7 @@ ANSWER_TAIL = r" '(?i)\s*\banswer\s*[:=]\s*[A-F0-9]\b\.?\s*$', ''"
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the 16 digits of their normal text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "lang", "source", X.key_of(X.norm_text(F.col("text"))).alias("key"))
 
 
@@ -195,7 +195,7 @@ def eval_leak_two_sets(spark, sf_dir):
 def eval_leak_contains(spark, sf_dir):
     """Held-out passages inside documents, searched only in documents that hold a passage's anchor."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", X.norm_text(F.col("text")).alias("b")).where(F.length("b") >= 40)
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_text(F.col("text")).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", X.norm_text(F.col("text")).alias("t"))
     return dedup.contained(docs, "doc_id", "t", bench, "item_id", "b")
 
 

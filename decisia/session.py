@@ -27,3 +27,13 @@ def session(app: str = "decisia", master: str | None = None, shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, opened by Spark's own reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a row group that writers make by default. A smaller file is one row group, which one task reads.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input smaller than a row group dealt over all cores, for work that takes longer than dealing; any larger input as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ROW_GROUP else df
