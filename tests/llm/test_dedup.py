@@ -223,3 +223,13 @@ def test_group_windows():
         first = {}
         roots.append([first.setdefault(x, i) for i, x in enumerate(group.root.tolist())])
     assert roots[0] == roots[1] == roots[2] and len(set(roots[0])) < len(sets)
+
+
+def test_jaccard_wide_groups_fall_apart(spark, monkeypatch):
+    """Texts of one template whose common shingles the first order doesn't list: a second order by full counts tells them apart."""
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 500)
+    calls = []
+    monkeypatch.setattr(jaccard, "compared", lambda *a: calls.append(a))
+    rows = [(i, f"thank you for your recent order with us number n{i}") for i in range(4_000)]
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows) and not calls
