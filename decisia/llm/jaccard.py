@@ -18,9 +18,8 @@ nearest pivots and replicated to each cell j with d(x, p_j) <= d(x, home) + 2 r;
 are done, others are divided again, small ones are joined pair by pair, and a group whose cells don't halve its pairs is joined by prefix windows in
 the order of its own counts.
 
-Groups of too many members or shingles for a task are dealt into regions once more, by an order that counts all shingles of their
-sets, so that groups which only common shingles held together fall apart. Those still too large go another way: members are
-compared with pivots of their regions, salted over tasks; those left outside the region's main component are dealt into the Voronoi cells by a join, in bands of sizes, and compared there.
+Groups of too many members or shingles for a task go another way: members are compared with pivots of their regions, salted over
+tasks; those left outside the region's main component are dealt into the Voronoi cells by a join, in bands of sizes, and compared there.
 
 Scale: copies (equal sets) are one point. The order puts shingles of more sets than a leaf holds last, by their counts over all
 documents; the list of them is bounded (max_common, the commonest), and whatever is in it, results are the same. Regions of
@@ -40,7 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +54,8 @@ SHINGLE, CLASSES = 5, 64
 CHUNK_BYTES, BUCKET_ROWS, SALTED_SETS = 4_000_000, 100_000, 20_000
 LEAF, PIVOTS, DIVIDED, HUB_SETS, GROUP_SETS, GROUP_SHINGLES = 16, 8, 96, 2000, 20_000, 2_000_000
 FILTER_BITS = 1 << 26
+#: Shingles of a set all of which are counted.
+SHORT = 64
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -104,20 +105,6 @@ def new_points(batches: Iterator[pa.RecordBatch], clashes: frozenset) -> Iterato
         yield list(points), list(points.values())
 
 
-Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[int], list[np.ndarray]]]]
-
-
-def from_texts(clashes: frozenset) -> Reader:
-    return lambda batches: new_points(batches, clashes)
-
-
-def from_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Names and sets of rows sig, set, some thousands at a time."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0).to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
-
-
 class Order:
     """The fixed order of shingles: listed ones last, by count; others by hash."""
 
@@ -311,13 +298,16 @@ class Group:
         return self.links
 
 
-def common_shingles(rows: DataFrame, reader: Reader, per_cent: int, buckets: int, most: int, whole: bool = False) -> Order:
-    """Shingles that more sets than a leaf holds have among their first ones by hash, and a third more (whole: anywhere): counted over all rows."""
+def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int, clashes: frozenset) -> Order:
+    """Shingles that more sets than a leaf holds have among their first ones by hash, and a third more, or anywhere in a set of SHORT or fewer: counted over all documents.
+
+    Short texts are where templates are most: with all their common shingles last, their own come first and classes of place tell them apart.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, points in reader(batches):
+        for _, points in new_points(batches, clashes):
             if points:
-                s = np.concatenate([x if whole else x[: (len(x) - -(-len(x) * per_cent // 100)) * 4 // 3 + 2] for x in points])
+                s = np.concatenate([x if len(x) <= SHORT else x[: (len(x) - -(-len(x) * per_cent // 100)) * 4 // 3 + 2] for x in points])
                 yield from by_bucket((s >> np.uint64(8)) % np.uint64(buckets), s)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +324,7 @@ def common_shingles(rows: DataFrame, reader: Reader, per_cent: int, buckets: int
 PAIR, MEMBER, PIVOT, TO_PIVOT, HANGS, LOOSE = range(6)
 
 
-def region_rows(rows: DataFrame, reader: Reader, order, per_cent: int, buckets: int) -> DataFrame:
+def region_rows(rows: DataFrame, order, per_cent: int, buckets: int, clashes: frozenset) -> DataFrame:
     """Second reading: each set goes to its home and the pivots of its window. kind, x, y, z, p."""
 
     def dealt_over(s: np.ndarray) -> np.ndarray:
@@ -345,7 +335,7 @@ def region_rows(rows: DataFrame, reader: Reader, order, per_cent: int, buckets:
         return out
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, points in reader(batches):
+        for sigs, points in new_points(batches, clashes):
             if not points:
                 continue
             n = np.fromiter(map(len, points), np.int64, len(points))
@@ -503,8 +493,8 @@ def sets_of(need: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
     return rows.mapInArrow(some, "sig long, set binary").groupBy("sig").agg(F.first("set").alias("set"))
 
 
-def joined_groups(group: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """a, b: links of groups (sig, label), each solved in one task. sets: sig, set, of these at least."""
+def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int, clashes: frozenset) -> DataFrame:
+    """a, b: links of groups (sig, label), each solved in one task."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -524,8 +514,8 @@ def joined_groups(group: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame
         if held:
             yield links()
 
-    travelling = sets.join(group, "sig").select("label", "sig", "set")
-    return written(travelling.repartition(partitions(sets.sparkSession), "label").sortWithinPartitions("label", "sig").mapInArrow(solve, "a long, b long"), "links")
+    travelling = sets_of(group, rows, clashes).join(group, "sig").select("label", "sig", "set")
+    return written(travelling.repartition(partitions(rows.sparkSession), "label").sortWithinPartitions("label", "sig").mapInArrow(solve, "a long, b long"), "links")
 
 
 def compared(pairs: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
@@ -596,26 +586,13 @@ def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: Data
     return found.join(seen.select("a", "b").union(seen.select("b", "a")), ["a", "b"], "left_anti")
 
 
-def candidates(rows: DataFrame, reader: Reader, order: Order, points: DataFrame, per_cent: int, buckets: int) -> tuple[DataFrame, ...]:
-    """First level: what regions gave, pairs of small ones, groups (sig, label) of all that hangs together, and the members of groups too large for a task."""
-    found = written(region_rows(rows, reader, rows.sparkSession.sparkContext.broadcast(order), per_cent, buckets), "regions")
-    if found.where(F.col("kind") == LOOSE).limit(1).count():
-        found = written(gathered(found, per_cent), "regions")
-    pair = F.col("x").alias("a"), F.col("y").alias("b")
-    pairs = written(near_enough(found.where(F.col("kind") == PAIR).select(*pair).distinct(), points.where("sketch is not null").select("sig", "sketch"), per_cent), "pairs")
-    together = pairs.union(found.where(F.col("kind") == HANGS).select(*pair)).where("a <> b").distinct()
-    group = components(together).select(F.col("v").alias("sig"), "label")
-    size = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
-    wide = size.where((F.col("n") > GROUP_SHINGLES) | (F.col("m") > GROUP_SETS)).select("label")
-    return found, pairs, group, written(group.join(wide, "label").select("sig"), "wide")
-
-
 def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     first = written(rows.mapInArrow(narrow, "doc_id long, n long, sig long, other long, sketch binary"), "narrow")
-    buckets_for = lambda shingles, share: max(1, math.ceil((shingles or 0) * share / BUCKET_ROWS))
-    buckets = buckets_for(first.agg(F.sum("n")).first()[0], 1 - per_cent / 100)
+    shingles = first.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(shingles * (1 - per_cent / 100) / BUCKET_ROWS))
     rows = rows.where("doc_id is not null")
     merged = (F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     points = written(first.where("sig is not null").groupBy("sig").agg(*merged, (F.min("other") != F.max("other")).alias("clash")), "points")
@@ -624,20 +601,20 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000
         first = first.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("other")).otherwise(F.col("sig")))
         points = written(first.where("sig is not null").groupBy("sig").agg(*merged), "points")
     points = points.where("id is not null")
-    reader = from_texts(clashes)
-    found, pairs, group, wide = candidates(rows, reader, common_shingles(rows, reader, per_cent, buckets, max_common), points, per_cent, buckets)
+    order = spark.sparkContext.broadcast(common_shingles(rows, per_cent, buckets, max_common, clashes))
+    found = written(region_rows(rows, order, per_cent, buckets, clashes), "regions")
+    if found.where(F.col("kind") == LOOSE).limit(1).count():
+        found = written(gathered(found, per_cent), "regions")
+    sketches = points.where("sketch is not null").select("sig", "sketch")
+    pair = F.col("x").alias("a"), F.col("y").alias("b")
+    pairs = written(near_enough(found.where(F.col("kind") == PAIR).select(*pair).distinct(), sketches, per_cent), "pairs")
+    together = pairs.union(found.where(F.col("kind") == HANGS).select(*pair)).where("a <> b").distinct()
+    group = components(together).select(F.col("v").alias("sig"), "label")
+    size = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    wide = size.where((F.col("n") > GROUP_SHINGLES) | (F.col("m") > GROUP_SETS)).select("label")
+    wide = written(group.join(wide, "label").select("sig"), "wide")
     any_wide = wide.limit(1).count() > 0
-    some = group.join(wide, "sig", "left_anti") if any_wide else group
-    links = joined_groups(some, sets_of(some, rows, clashes), per_cent)
-    if any_wide:
-        # groups too large for a task are dealt into regions again, by an order that counts all their shingles: what only common shingles held together falls apart
-        held = written(sets_of(wide, rows, clashes).join(wide, "sig", "left_semi"), "sets")
-        shingles = points.join(wide, "sig", "left_semi").agg(F.sum("n")).first()[0]
-        order = common_shingles(held, from_sets, per_cent, buckets_for(shingles, 1), max_common, whole=True)
-        found, pairs, group, wide = candidates(held, from_sets, order, points, per_cent, buckets_for(shingles, 1 - per_cent / 100))
-        any_wide = wide.limit(1).count() > 0
-        some = group.join(wide, "sig", "left_anti") if any_wide else group
-        links = links.union(joined_groups(some, held, per_cent))
+    links = joined_groups(group.join(wide, "sig", "left_anti") if any_wide else group, rows, per_cent, clashes)
 
     def named_links(links: DataFrame) -> DataFrame:
         return links.join(points.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(points.select(F.col("sig").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
@@ -645,7 +622,6 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000
     links = named_links(links)
     labels = components(links)
     if any_wide:
-        sketches, pair = points.where("sketch is not null").select("sig", "sketch"), (F.col("x").alias("a"), F.col("y").alias("b"))
         near = lambda seen: named_links(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))
         pivot_pairs = near_enough(found.where(F.col("kind") == TO_PIVOT).select(*pair).distinct(), sketches, per_cent)
         seen = compared(written(pairs.union(pivot_pairs).distinct().join(wide, F.col("a") == wide["sig"], "left_semi"), "pairs"), rows, clashes)
