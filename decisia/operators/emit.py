@@ -68,8 +68,8 @@ def answer(probabilities: Column) -> Column:
     return json_of(F.create_map(F.lit("decision"), F.struct(probabilities.alias("probabilities"))))
 
 
-def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
-    """Rows that leak their answer, or whose choices aren't 2 to 16, go."""
+def decision_rows(candidates: DataFrame, seed: int = 7, kind: str | None = None, **draw) -> DataFrame:
+    """Rows that leak their answer, or whose choices aren't 2 to 16, go. Candidates known to be of one kind are read once for it, others once a kind."""
     choice = shown(candidates, seed, **draw)
     choice = once(choice, criteria=lettered(F.col("shown")))
     criteria = F.col("criteria")
@@ -86,7 +86,9 @@ def decision_rows(candidates: DataFrame, seed: int = 7, **draw) -> DataFrame:
     pair = lambda no, yes: F.create_map(F.lit("false"), no, F.lit("true"), yes)
     criteria = pair(F.try_element_at("options", F.lit(1)), F.try_element_at("options", F.lit(2)))
     nouls = noul.select(*head, json_of(F.col("state")).alias("state"), question(F.col("kind"), F.col("instructions"), criteria).alias("questions"), answer(pair(1 - F.col("p"), F.col("p"))).alias("gold"))
-    made = once(choices.unionByName(scores).unionByName(nouls), state=F.col("state"), questions=F.col("questions"), gold=F.col("gold"))
+    by_kind = {"choice": choices, "score": scores, "noul": nouls}
+    made = by_kind[kind] if kind else choices.unionByName(scores).unionByName(nouls)
+    made = once(made, state=F.col("state"), questions=F.col("questions"), gold=F.col("gold"))
     made = once(once(made, low=F.lower("state")), leaky=text.has_leak(F.col("state"), low=F.col("low")))
     return made.where("not leaky").drop("leaky", "low")
 

@@ -60,7 +60,7 @@ def candidates(df: DataFrame, guid: Column, workflow: Column, kind: str, instruc
     made = df.select(
         guid.cast("string").alias("guid"),
         workflow.alias("workflow"),
-        F.lit(kind).alias("kind"),
+        F.lit(kind).alias("kind", metadata={"kind": kind}),
         (F.lit(instructions) if isinstance(instructions, str) else instructions).alias("instructions"),
         state.alias("state"),
         options.alias("options"),
@@ -259,7 +259,7 @@ def suite(df: DataFrame, config: Column, branches: dict[str, Callable[[DataFrame
     for name, branch in branches.items():
         made = branch(df.where(config == name))
         out = made if out is None else out.unionByName(made)
-    return out
+    return out and out.withColumn("kind", F.col("kind").alias("kind", metadata={}))  # of several kinds
 
 
 Branch = Callable[..., DataFrame]

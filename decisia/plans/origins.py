@@ -291,66 +291,89 @@ def human_sizes(spark, sf_dir):
 # catalog entries -----------------------------------------------------------------------------------------------------
 
 
-def source_rows(spark, sf_dir):
-    """The test documents in the columns of some catalog entries; the slice of another can't be read."""
-    d = table(spark, sf_dir, "documents").withColumn("_row", F.col("doc_id"))
-    i = F.col("doc_id")
-    frames = {
-        "snli": d.select("_row", F.col("text").alias("premise"), F.concat(F.lit("about "), "source").alias("hypothesis"), (i % 4).alias("label")),
-        "ag_news": d.select("_row", "text", (i % 5).alias("label")),
-        "sst5": d.select("_row", "text", (i % 6).alias("label")),
-        "civil_comments": d.select("_row", "text", (i % 11 / 10).alias("toxicity")),
-        "glue_mrpc": d.select("_row", F.col("text").alias("sentence1"), F.col("source").alias("sentence2"), (i % 3).alias("label")),
-        "korean_extra": d.select("_row", F.col("text").alias("sentence1"), F.col("source").alias("sentence2"), F.col("text").alias("title"), F.col("text").alias("premise"), F.col("lang").alias("hypothesis"), F.when(i % 4 == 3, "x").otherwise(F.element_at(shapes.texts(["Entailment", "neutral", "contradiction"]), (i % 4 + 1).cast("int"))).alias("label")),
-        "mtop_domain": d.select("_row", F.col("text").alias("question"), F.element_at(shapes.texts(["alarm", "weather", "none"]), (i % 3 + 1).cast("int")).alias("domain"), F.concat("lang", F.lit("_XX")).alias("lang")),
-        "clue_wsc": d.select("_row", "text", F.struct(F.col("source").alias("span1_text"), F.when(i % 5 == 0, "").otherwise(F.col("lang")).alias("span2_text")).alias("target"), (i % 2).alias("label")),
-    }
+#: Rows of a source lie in its files in an order that no column has.
+FILED = "f AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) - 1 AS r FROM documents)"
 
-    def scan(spark, spec, config, split):
-        if spec.name not in frames:
-            raise FileNotFoundError(spec.path)
-        return frames[spec.name]
 
+def source_rows(spark, sf_dir) -> list[files.SourceSpec]:
+    """The test documents as files of some catalog entries, four files each, one of them JSON lines; the files of another entry aren't there, those of a third can't be read."""
+    root, i = scratch(spark, "sources"), F.col("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("_o", F.md5(i.cast("string")))
+    d = d.repartitionByRange(4, "_o").sortWithinPartitions("_o").drop("_o")
+    frames = {
+        "snli": d.select(F.col("text").alias("premise"), F.concat(F.lit("about "), "source").alias("hypothesis"), (i % 4).alias("label"), F.create_map("lang", "source").alias("more")),
+        "ag_news": d.select("text", (i % 5).alias("label")),
+        "sst5": d.select("text", (i % 6).alias("label")),
+        "civil_comments": d.select("text", (i % 11 / 10).alias("toxicity")),
+        "glue_mrpc/mrpc": d.select(F.col("text").alias("sentence1"), F.col("source").alias("sentence2"), (i % 3).alias("label")),
+        "korean_extra/nli": d.select(F.col("text").alias("premise"), F.col("lang").alias("hypothesis"), F.when(i % 4 == 3, "x").otherwise(F.element_at(shapes.texts(["Entailment", "neutral", "contradiction"]), (i % 4 + 1).cast("int"))).alias("label")),
+        "korean_extra/ynat": d.select(F.col("text").alias("title"), F.lit("x").alias("label")),
+        "mtop_domain": d.select(F.col("text").alias("question"), F.element_at(shapes.texts(["alarm", "weather", "none"]), (i % 3 + 1).cast("int")).alias("domain"), F.concat("lang", F.lit("_XX")).alias("lang")),
+        "yelp_polarity": d.select("text", (i % 2).alias("label")),
+        "clue_wsc/cluewsc2020": d.select("text", F.struct(F.col("source").alias("span1_text"), F.when(i % 5 == 0, "").otherwise(F.col("lang")).alias("span2_text")).alias("target"), (i % 2).alias("label")),
+    }
+    for name, frame in frames.items():
+        frame.write.format("json" if name == "sst5" else "parquet").save(f"{root}/{name}/train")
+    d.select("text").coalesce(1).write.mode("append").text(f"{root}/yelp_polarity/train")  # a broken file beside good ones
     wanted = {s.name: s for s in specs.catalog()}
-    chosen = [wanted[n] for n in ("snli", "sst5", "civil_comments", "glue_mrpc", "mtop_domain", "clue_wsc", "emotion")]
-    chosen.append(replace(wanted["ag_news"], target=100))
-    chosen.append(replace(wanted["korean_extra"], configs=("nli", "ynat")))
-    return chosen, scan
+    chosen = [wanted[n] for n in ("snli", "sst5", "civil_comments", "glue_mrpc", "mtop_domain", "clue_wsc", "emotion", "ag_news", "korean_extra", "yelp_polarity")]
+    own = {"snli": {"target": 150}, "sst5": {"format": "json", "target": 120}, "ag_news": {"target": 100}, "korean_extra": {"configs": ("nli", "ynat")}}
+    return [replace(s, path=f"{root}/{s.name}", splits=("train",), **own.get(s.name, {})) for s in chosen]
 
 
-SLICES = """SELECT 'snli' AS spec, '' AS config, n AS seen, (SELECT count(*) FROM documents WHERE doc_id % 4 = 3) AS dropped_shape, n - (SELECT count(*) FROM documents WHERE doc_id % 4 = 3) AS emitted, NULL AS score_rows, false AS failed FROM c
-    UNION ALL SELECT 'sst5', '', n, (SELECT count(*) FROM documents WHERE doc_id % 6 = 5), (SELECT count(*) FROM documents WHERE doc_id % 6 <> 5), (SELECT count(DISTINCT {t}) FROM documents WHERE doc_id % 6 <> 5), false FROM c
-    UNION ALL SELECT 'civil_comments', '', n, 0, n, (SELECT count(DISTINCT {t}) FROM documents WHERE {t} NOT IN (SELECT {t} FROM documents WHERE doc_id % 6 <> 5)), false FROM c
-    UNION ALL SELECT 'glue_mrpc', 'mrpc', n, (SELECT count(*) FROM documents WHERE doc_id % 3 = 2), (SELECT count(*) FROM documents WHERE doc_id % 3 <> 2), NULL, false FROM c
+SLICES = """SELECT 'snli' AS spec, '' AS config, count(*) AS seen, count(*) FILTER (WHERE doc_id % 4 = 3) AS dropped_shape, count(*) FILTER (WHERE doc_id % 4 < 3) AS emitted, NULL AS score_rows, false AS failed FROM f WHERE r < 150
+    UNION ALL SELECT 'sst5', '', count(*), count(*) FILTER (WHERE doc_id % 6 = 5), count(*) FILTER (WHERE doc_id % 6 <> 5), (SELECT count(DISTINCT {t}) FROM f WHERE r < 120 AND doc_id % 6 <> 5), false FROM f WHERE r < 120
+    UNION ALL SELECT 'civil_comments', '', n, 0, n, (SELECT count(DISTINCT {t}) FROM documents WHERE {t} NOT IN (SELECT {t} FROM f WHERE r < 120 AND doc_id % 6 <> 5)), false FROM c
+    UNION ALL SELECT 'glue_mrpc', 'mrpc', count(*), count(*) FILTER (WHERE doc_id % 3 = 2), count(*) FILTER (WHERE doc_id % 3 <> 2), NULL, false FROM f WHERE r < 3600
     UNION ALL SELECT 'mtop_domain', '', n, (SELECT count(*) FROM documents WHERE doc_id % 3 = 2), (SELECT count(*) FROM documents WHERE doc_id % 3 <> 2), NULL, false FROM c
-    UNION ALL SELECT 'clue_wsc', 'cluewsc2020', n, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0), (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0), NULL, false FROM c
+    UNION ALL SELECT 'clue_wsc', 'cluewsc2020', count(*), count(*) FILTER (WHERE doc_id % 5 = 0), count(*) FILTER (WHERE doc_id % 5 <> 0), NULL, false FROM f WHERE r < 1200
     UNION ALL SELECT 'emotion', '', NULL, NULL, NULL, NULL, true FROM c
-    UNION ALL SELECT 'ag_news', '', 100, (SELECT count(*) FROM a WHERE doc_id % 5 = 4), (SELECT count(*) FROM a WHERE doc_id % 5 <> 4), NULL, false FROM c
+    UNION ALL SELECT 'yelp_polarity', '', NULL, NULL, NULL, NULL, true FROM c
+    UNION ALL SELECT 'ag_news', '', count(*), count(*) FILTER (WHERE doc_id % 5 = 4), count(*) FILTER (WHERE doc_id % 5 <> 4), NULL, false FROM a
     UNION ALL SELECT 'korean_extra', 'nli', n, (SELECT count(*) FROM documents WHERE doc_id % 4 = 3), (SELECT count(*) FROM documents WHERE doc_id % 4 <> 3), NULL, false FROM c
     UNION ALL SELECT 'korean_extra', 'ynat', n, n, 0, NULL, false FROM c""".replace("{t}", norm("text"))
 
 
-@query("spec_slices", f"WITH c AS (SELECT count(*) AS n FROM documents), a AS (SELECT doc_id FROM documents ORDER BY {order_key('doc_id', 7, 'take')}, doc_id LIMIT 100) {SLICES}")
+@query("spec_slices", f"WITH {FILED}, c AS (SELECT count(*) AS n FROM documents), a AS (SELECT doc_id FROM f ORDER BY {order_key('r', 7, 'take')}, r LIMIT 100) {SLICES}")
 def spec_slices(spark, sf_dir):
-    """Catalog entries built whole: rows seen, refused by shape, emitted, kept after dedup over all entries; a slice that can't be read is named."""
-    chosen, scan = source_rows(spark, sf_dir)
-    _, stats = build.build(spark, chosen, scan=scan)
+    """Catalog entries built whole from their files: rows seen, refused by shape, emitted, kept after dedup over all entries; slices that aren't there or can't be read are named."""
+    _, stats = build.build(spark, source_rows(spark, sf_dir))
     numbers = F.when(F.col("spec").isin("sst5", "civil_comments"), F.col("rows"))
     return stats.select("spec", "config", "seen", "dropped_shape", (F.col("rows") + F.col("dropped_dup")).alias("emitted"), numbers.alias("score_rows"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("spec_rows", f"""SELECT 'sst5//train/' || doc_id AS guid, doc_id % 6 AS level, md5({norm("'language=en || text=' || text")}) AS state FROM (SELECT *, row_number() OVER (PARTITION BY {norm('text')} ORDER BY md5(concat_ws(':', 'sst5/-/train/' || doc_id, 'ord'))) AS place FROM documents WHERE doc_id % 6 <> 5) WHERE place = 1""")
+@query("spec_rows", f"""WITH {FILED} SELECT 'sst5//train/' || r AS guid, doc_id % 6 AS level, md5({norm("'language=en || text=' || text")}) AS state FROM (SELECT *, row_number() OVER (PARTITION BY {norm('text')} ORDER BY r) AS place FROM f WHERE r < 120 AND doc_id % 6 <> 5) WHERE place = 1""")
 def spec_rows(spark, sf_dir):
-    """The decision rows of one entry, read back from their JSON."""
+    """The decision rows of one entry, read back from their JSON: the first rows of its files, of equal states the first."""
     from decisia.operators.normalize import normalised
 
-    chosen, scan = source_rows(spark, sf_dir)
-    rows, _ = build.build(spark, [s for s in chosen if s.name == "sst5"], scan=scan)
+    rows, _ = build.build(spark, [s for s in source_rows(spark, sf_dir) if s.name == "sst5"])
     kept = normalised(rows).where("reason is null")
     level = F.col("keys")[(F.array_position("probs", F.array_max("probs")) - 1).cast("int")].cast("long")
     return kept.select(F.replace("guid", F.lit("/-/"), F.lit("//")).alias("guid"), level.alias("level"), F.md5("norm").alias("state"))
 
 
+@query("spec_resumed", "SELECT * FROM (VALUES ('first', 3, 1), ('again', 1, 1), ('mended', 1, 0), ('other spec', 1, 0)) v(run, scanned, failed)")
+def spec_resumed(spark, sf_dir):
+    """A run goes on where another ended: slices that are done aren't read again, one that failed is, and so is one whose spec has changed."""
+    some = {s.name: s for s in source_rows(spark, sf_dir) if s.name in ("snli", "civil_comments", "emotion")}
+    root, found, scanned = scratch(spark, "resumed"), [], []
+
+    def scan(session, spec, config, split):
+        scanned.append(spec.name)
+        return build.slice_of(session, spec, config, split)
+
+    for run in ("first", "again", "mended", "other spec"):
+        if run == "mended":
+            table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % 6).alias("label")).write.parquet(f"{some['emotion'].path}/train")
+        if run == "other spec":
+            some["snli"] = replace(some["snli"], target=9)
+        _, stats = build.build(spark, some.values(), scan=scan, path=root)
+        found.append((run, len(scanned), stats.where("error is not null").count()))
+        scanned.clear()
+    return spark.createDataFrame(found, "run string, scanned int, failed long")
+
+
 def _suite_sql(config: str, options: str, label: str, state: str, where: str = "true", p: str = "NULL") -> str:
     return f"SELECT '{config}' AS config, doc_id, {options} AS options, {label} AS label, {p} AS p, md5({state}) AS state FROM documents WHERE {where}"
 

@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from decisia.sources.shared import durable
+
 ROW = T.StructType([T.StructField(n, T.StringType()) for n in ("guid", "workflow", "state", "questions", "gold")])
 CORRUPT = "_corrupt"
 
@@ -79,6 +81,52 @@ def _full(spark: SparkSession, path: str) -> str:
     return "/" + found.removeprefix("file:").lstrip("/") if found.startswith("file:") else found
 
 
+#: Files (blocks of text files) whose places are sent to every task; beyond, rows meet them in a join.
+MOST_SENT = 50_000
+
+
+def in_order(rows: DataFrame, format: str = "parquet", most: int | None = None) -> DataFrame:
+    """What a reader gives, with _row: each row's number from 0 in the order of file names and of lines or rows in them, or the first `most` rows.
+
+    Nothing is sorted: Parquet's reader tells a row's place in its file; other readers give the lines of a block in order, from wherever the block starts. Counts of
+    files (footers alone) or blocks become places by prefix sums. Rows appended to the last file, or in files of later names, change no number.
+    """
+    spark = rows.sparkSession
+    file = F.col("_metadata.file_path").alias("_file")
+    if format == "parquet":
+        block, at, first = F.lit(0).cast("long").alias("_block"), F.col("_metadata.row_index").alias("_at"), F.lit(0).cast("long")
+    else:
+        block, at, first = F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.min("_at")
+    held = rows.select(file, block, *([] if format == "parquet" else [at])).groupBy("_file", "_block").agg(F.count("*").alias("_n"), first.alias("_first"))
+    base = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file", "_block")) - F.col("_n")  # a row a file or block
+    places = held.withColumn("_base", base)
+    if most is not None:
+        places = places.where(F.col("_base") < most)
+    places = places.select("_file", "_block", (F.col("_base") - F.col("_first")).alias("_shift"))
+    each = rows.select("*", file, block, at)
+    few = places.limit(MOST_SENT + 1).collect()
+    if len(few) > MOST_SENT:
+        places = durable(places)
+    else:
+        if most is not None and format == "parquet":  # files beyond the first rows aren't opened; blocks are numbered by readers, so no text file is left out
+            each = each.where(F.col("_file").isin([r["_file"] for r in few]))
+        places = F.broadcast(spark.createDataFrame(few, "_file string, _block long, _shift long"))
+    numbered = each.join(places, ["_file", "_block"]).withColumn("_row", F.col("_shift") + F.col("_at")).drop("_file", "_block", "_at", "_shift")
+    return numbered if most is None else numbered.where(F.col("_row") < most)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of each file at a path or below it, in order; none where nothing is."""
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    found, each = [], fs.listFiles(p, True)
+    while each.hasNext():
+        s = each.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
 def read_listed(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), extra: Iterable[str] = (), mode: str = "counted") -> DataFrame:
     """Rows of files in sorted order, then of extra ones in theirs, with source_ord; file names in exclude are left out. No files, no rows."""
     left_out = set(exclude)
@@ -130,16 +178,20 @@ def read_range(spark: SparkSession, index: DataFrame, low: int, high: int) -> Da
 
 def scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """Every configuration and split of a spec that exists, as columns config and split. ALL means the folders there are, in sorted order."""
-    found = None
+    there = {}
     for config in configurations(spark, spec) or ("",):
         for split in spec.splits:
             path = "/".join(p for p in (spec.path, config, split) if p)
             if exists(spark, path):
-                part = spark.read.format(spec.format).load(path).withColumn("config", F.lit(config)).withColumn("split", F.lit(split))
-                found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    if found is None:
+                there[path] = (config, split)
+    if not there:
         raise FileNotFoundError(spec.path)
-    return found
+    # one scan over all of them: a file's folder tells its slice, columns are those of any
+    rows = spark.read.format(spec.format).option("mergeSchema", "true").load(list(there))
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    slices = F.create_map(*(x for path, (config, split) in there.items() for x in (F.lit(_full(spark, path)), F.struct(F.lit(config).alias("config"), F.lit(split).alias("split")))))
+    of = F.coalesce(F.try_element_at(slices, F.regexp_replace(place, "/[^/]*$", "")), F.try_element_at(slices, place))
+    return rows.select("*", of["config"].alias("config"), of["split"].alias("split"))
 
 
 def hadoop_path(spark: SparkSession, path: str):
