@@ -2,9 +2,11 @@
 
 A window is 20 consecutive words. Its minimiser is the 3-word run in it with the least hash; consecutive windows that share a
 minimiser travel as one packed string (a super-k-mer, about nine windows) to the minimiser's bucket. Equal windows have equal
-minimisers and so meet in one bucket, where windows are sorted by hash, document and start; hashes are 64 bits and every
-match is compared word by word. A window that isn't the first of its run of equals covers its words; the covers go back to
-their documents by id.
+minimisers and so meet in one bucket, where windows are sorted by digest, document and start. A window that isn't the first of its run of equals covers its words;
+the covers go back to their documents by id.
+
+Windows are equal if their 128-bit digests are, in chunks, buckets and beyond alike. A digest is of the words' hashes of 64 bits; two unequal windows
+pass for equal only if they differ in words whose hashes agree, which has a probability of 2^-64 for each pair of windows that differ in one word alone, and less for others.
 
 Scale: a task works through its documents in chunks of a few megabytes. Of equal windows in a chunk only the first travels,
 the others are known to be repeats, so a passage in a third of all documents reaches its bucket once a chunk. Minimisers
@@ -12,8 +14,8 @@ that hold more than their share of windows, counted over all documents beforehan
 share, so at most two a share), have their windows dealt one by one by the hash of the whole window: no bucket gathers
 them. Strings are compressed a chunk and bucket. Buckets are as many as all text asks for.
 
-That count only spares work; no result or bound rests on it. A bucket is read as a stream: beyond HELD_BYTES of strings it goes on with
-128-bit digests of windows, keeps of equal ones the least place met so far and gives the others off as repeats, so that millions of
+That count only spares work; no result or bound rests on it. A bucket is read as a stream: beyond HELD_BYTES of strings it goes on without the strings, with
+the digests of windows alone, keeps of equal ones the least place met so far and gives the others off as repeats, so that millions of
 copies of one window take the room of one. A bucket of more than HELD_WINDOWS different windows gives them off too, as rows; they meet again
 by digest in an aggregation that combines equal ones in every task before its exchange.
 
@@ -35,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisia.llm.common import partitions, text_of, written
-from decisia.llm.words import Words, mixed, runs, sliding_min, within_texts
+from decisia.llm.words import Words, mixed, other_runs, runs, sliding_min, within_texts
 
 WINDOW, MINIMISER = 20, 3
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 5_000_000
 HELD_BYTES, HELD_WINDOWS = 20_000_000, 1_000_000
-SECOND = np.uint64(0xA0761D6478BD642F)
 NO_ID = -(2**63)
 
 
@@ -62,29 +63,25 @@ class Chunk:
 
     def earlier(self) -> np.ndarray:
         """Which windows have an equal one earlier in the chunk."""
-        return repeats(self.window, self.ids[self.doc], self.marks[self.doc], self.start, self.h, self.at)
+        return repeats(self.window, other_runs(self.h, WINDOW)[self.at], self.ids[self.doc], self.marks[self.doc], self.start)
 
 
-def repeats(window: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which windows equal one of an earlier place. Windows come in the order of their places; at is where their words stand in h."""
+def repeats(window: np.ndarray, other: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows equal one of an earlier place, by both halves of their digests. Windows come in the order of their places."""
     order = np.argsort(window, kind="stable")
-    sorted_window = window[order]
     new = np.ones(len(order), bool)
-    new[1:] = sorted_window[1:] != sorted_window[:-1]
+    new[1:] = window[order[1:]] != window[order[:-1]]
     if new.all():
         return np.zeros(len(order), bool)
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each, the first with its hash
+    if (other[head] != other[order]).any():  # first halves that are alike by chance
+        order = np.lexsort((other, window))
+        new[1:] = (window[order[1:]] != window[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = np.flatnonzero(~new)
     this, that = order[later], head[later]
-    same = np.ones(len(this), bool)
-    for j in range(WINDOW):
-        same &= h[at[this] + j] == h[at[that] + j]
-    earlier = (ids[this] != ids[that]) | (marks[this] != marks[that]) | (start[this] != start[that])
     out = np.zeros(len(order), bool)
-    out[this[same & earlier]] = True
-    for i in this[~same].tolist():  # other words with the same hash: compare them all
-        equal = [j for j in np.flatnonzero(window == window[i]).tolist() if j < i and (h[at[j] : at[j] + WINDOW] == h[at[i] : at[i] + WINDOW]).all()]
-        out[i] = any((ids[j], marks[j], start[j]) != (ids[i], marks[i], start[i]) for j in equal)
+    out[this] = (ids[this] != ids[that]) | (marks[this] != marks[that]) | (start[this] != start[that])
     return out
 
 
@@ -209,7 +206,7 @@ def repeated_covers(rows: DataFrame, buckets: int) -> DataFrame:
 
         def digested(self) -> Iterator[pa.RecordBatch]:
             doc, mark, begin, h, at = windows(self.blobs)
-            new = np.stack([doc, mark, begin, runs(h, WINDOW)[at].view(np.int64), runs(mixed(h ^ SECOND), WINDOW)[at].view(np.int64)])
+            new = np.stack([doc, mark, begin, runs(h, WINDOW)[at].view(np.int64), other_runs(h, WINDOW)[at].view(np.int64)])
             self.blobs, self.size = [], 0
             both = new if self.kept is None else np.concatenate([self.kept, new], axis=1)
             both = both[:, np.lexsort(both[[2, 1, 0, 4, 3]])]
@@ -231,7 +228,7 @@ def repeated_covers(rows: DataFrame, buckets: int) -> DataFrame:
                 yield from self.digested()
             elif self.blobs:
                 doc, mark, begin, h, at = windows(self.blobs)
-                again = repeats(runs(h, WINDOW)[at], doc, mark, begin, h, at)
+                again = repeats(runs(h, WINDOW)[at], other_runs(h, WINDOW)[at], doc, mark, begin)
                 yield found(covers(doc[again], mark[again], begin[again]))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

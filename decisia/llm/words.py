@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from decisia.llm.memory import thrifty
@@ -15,19 +17,13 @@ LOWER[65:91] += 32
 
 BLOCK_BYTES = 500_000
 
-_random = np.random.Generator(np.random.PCG64(20240607))
-LETTERS = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STEPS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-
+#: Letters of a word up to which its hash is a sum of random numbers, one for each place and letter; longer words have a digest.
+TABLED = 64
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 256), BASE)]))
-    return _powers
+_random = np.random.Generator(np.random.PCG64(20240607))
+TABLE = _random.integers(0, 1 << 64, TABLED * 256, dtype=np.uint64)
+STEPS, OTHER_STEPS = (_random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,37 +54,51 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
     def hashes(self) -> np.ndarray:
-        """Words are taken a block at a time, since eight bytes a letter are at work."""
+        """Of each word 64 bits: two different words are alike with a probability of 2^-64, whatever their letters, since what each letter adds at each place is drawn on its own.
+
+        Words are taken a block at a time, since eight bytes a letter are at work.
+        """
         out = np.empty(len(self.start), np.uint64)
         if not len(out):
             return out
         first = 0
         while first < len(out):
             last = max(first + 1, int(np.searchsorted(self.start, self.start[first] + BLOCK_BYTES)))
-            start = self.start[first:last]
-            lo, hi = int(start[0]), int(self.end[last - 1])
-            size = np.diff(np.append(start, hi))
-            within = np.arange(lo, hi, dtype=np.int32 if hi < 1 << 31 else np.int64)
-            within -= np.repeat(start.astype(within.dtype), size)
-            value = LETTERS[self.buf[lo:hi]]
-            value *= powers(int(size.max()) + 1)[within]
+            start, end = self.start[first:last], self.end[first:last]
+            lo = int(start[0])
+            hi = min(int(end[-1]), int(start[-1]) + TABLED)
+            at = np.arange(lo, hi, dtype=np.int32 if hi < 1 << 31 else np.int64)
+            at -= np.repeat(start.astype(at.dtype), np.diff(np.append(start, hi)))
+            at = np.minimum(at, TABLED - 1)
+            at *= 256
+            at += self.buf[lo:hi]
+            value = TABLE[at]
             value[self.space[lo:hi]] = 0
-            out[first:last] = mixed(np.add.reduceat(value, start - lo))
+            out[first:last] = np.add.reduceat(value, start - lo)
+            for k in np.flatnonzero(end - start > TABLED).tolist():
+                word = self.buf[start[k] : end[k]].tobytes()
+                out[first + k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            mixed(out[first:last])
             first = last
         return out
 
 
-def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+def runs(hashes: np.ndarray, n: int, steps: np.ndarray = STEPS) -> np.ndarray:
     """A hash for each n consecutive of them."""
     count = len(hashes) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = hashes[:count] * STEPS[0]
+    out = hashes[:count] * steps[0]
     for j in range(1, n):
-        out += hashes[j : j + count] * STEPS[j]
+        out += hashes[j : j + count] * steps[j]
     return mixed(out)
 
 
+def other_runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A second hash for each n consecutive, of other steps over other words' hashes: with runs() 128 bits of a sequence."""
+    return runs(mixed(hashes ^ SECOND), n, OTHER_STEPS)
+
+
 def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values, by doubling."""
     width, out = 1, values

@@ -1,9 +1,11 @@
 """Exact, near and substring dedup against plain versions, on edge cases and on the small tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from decisia.llm import exact, jaccard, substrings
@@ -233,3 +235,34 @@ def test_jaccard_many_short_templates(spark, monkeypatch):
     rows = [(i, f"thank you for your recent order with us number n{i}") for i in range(4_000)]
     got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows) and not calls
+
+
+def twins(n):
+    """Two words of 2^n letters that polynomial hashes modulo a power of two don't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_that_differ(spark):
+    """Words differ in one letter, in their order of letters, or in length, before and behind the place from which they are digested."""
+    t, u = twins(10)
+    rest = " ".join(f"w{i}" for i in range(19))
+    pairs = [(t, u), ("x" * 63 + "y", "x" * 63 + "z"), ("x" * 64 + "y", "x" * 64 + "z"), ("x" * 64, "x" * 65), ("y" + "x" * 200, "z" + "x" * 200), ("ab" * 40, "ba" * 40), ("é" * 40, "è" * 40)]
+    for k, (a, b) in enumerate(pairs):
+        docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+        assert [r["n_removed"] for r in substrings.drop_repeats(docs).orderBy("doc_id").collect()] == [0, 0, 20], k
+    short = spark.createDataFrame([(10 * k + j, f"{w} k{k} b c d") for k, two in enumerate(pairs) for j, w in enumerate((*two, two[0]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(short).collect()}
+    assert got == {10 * k + j: 10 * k + (1 if j == 1 else 0) for k in range(len(pairs)) for j in range(3)}
+
+
+def test_hashes_of_words_are_spread():
+    from decisia.llm.words import Words
+
+    r = random.Random(4)
+    words = {"".join(r.choice("ab") for _ in range(r.choice([5, 12, 63, 64, 65, 130]))) for _ in range(20_000)} | set(twins(12))
+    h = Words([" ".join(sorted(words)).encode()]).hashes()
+    assert len(np.unique(h)) == len(words) and abs(np.unpackbits(h.view(np.uint8)).mean() - 0.5) < 0.01
+    assert (Words([w.encode() for w in sorted(words)]).hashes() == h).all()
