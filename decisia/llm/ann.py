@@ -1,12 +1,12 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted on a sample of max_sample vectors at most (16,384: those with the least hash of their
-ids); every row is indexed: its list is that of the nearest centroid, its code one byte for each of 16 parts of the residual.
+Centroids and codebooks are fitted on a sample (those with the least hash of their ids) that grows with the lists, eight vectors a list, from LEAST_SAMPLE to
+max_sample vectors (131,072); every row is indexed: its list is that of the nearest centroid, its code one byte for each of 16 parts of the residual.
 A query looks into the lists of its nearest centroids, at least probes of them and as many more as it takes to hold depth
 candidates. There, codes are scored by asymmetric distance tables; the best depth of a query over all its lists are ranked
 again by exact distances of the original vectors in double precision, ties to the smaller id.
 
-Scale: lists grow as the square root of the rows. Neighbouring lists form a group, and a list of more than shard_rows is dealt into shards
+Scale: lists grow as the square root of the rows, up to max_lists (16,384, which 270 million rows have; beyond, they grow longer). Neighbouring lists form a group, and a list of more than shard_rows is dealt into shards
 by the hash of the id; a shard or group is smaller where there are fewer rows than tasks could share. The queries that ask for a
 group form blocks of block_queries, and its codes go to just those blocks, so that a task holds one group of codes and one block
 of the queries that want it. Centroids, codebooks and list sizes, broadcast to all tasks, are bounded by max_lists.
@@ -15,7 +15,8 @@ Cases: vectors that are null, all zero, hold null or non-finite parts take no pa
 commonest of the rows has no distance to them, so such rows and queries take no part either. Of a query id that repeats with other
 vectors the one of the least hash asks; of a candidate id, the nearest of its vectors counts. Ties go to the smaller id; with
 fewer candidates than k a query gets them all; an empty table gives no rows; extra columns are left out. Vectors of doubles are
-ranked as doubles (lists and codes are made of floats).
+ranked as doubles; lists and codes are made of floats, scaled by a power of two if most vectors have components beyond what squares of floats can hold, and cut
+to that in single vectors beyond it; distances whose squares no double holds are worked out from scaled components.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from decisia.llm.words import mixed
 PARTS, CODES = 16, 256
 #: A group of lists isn't made smaller than this for the sake of more tasks.
 LEAST_ROWS = 2048
+#: Vectors that are sampled where there are as many, and the largest component that is coded as it is.
+LEAST_SAMPLE, LARGE = 16_384, 1e15
 STEP = np.arange(PARTS) * CODES
 
 
@@ -43,7 +46,8 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None], 0)
 
 
-def nearest(x: np.ndarray, y: np.ndarray, block: int = 4096) -> np.ndarray:
+def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    block = max(64, min(4096, (1 << 22) // max(1, len(y))))
     return np.concatenate([distances(x[i : i + block], y).argmin(1) for i in range(0, len(x), block)]) if len(x) else np.empty(0, np.int64)
 
 
@@ -108,7 +112,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vector (as it is, for ranking) and n, its length, of the rows that may take part."""
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (F.abs(x.cast("float")) < float("inf")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("n", F.size("vector"))
 
 
@@ -116,19 +120,26 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() :][: len(column) * (len(column[0]) if len(column) else 0)].reshape(len(column), -1).astype(np.float32) if len(column) else np.empty((0, 1), np.float32)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256, recall: float = 0.98, max_sample: int = 16384, max_lists: int = 16384, shard_rows: int = 50_000, block_queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256, recall: float = 0.98, max_sample: int = 131_072, max_lists: int = 16_384, shard_rows: int = 50_000, block_queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each usable query, the k nearest found."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    sizes = rows.groupBy("n").count().orderBy(F.col("count").desc(), "n").first()
-    dims, n = (sizes["n"], sizes["count"]) if sizes else (0, 0)
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x).cast("double")))
+    sizes = rows.groupBy("n").agg(F.count("*").alias("rows"), F.max(largest).alias("largest"), F.percentile_approx(largest, 0.5).alias("common")).orderBy(F.col("rows").desc(), "n").first()
+    dims, n = (sizes["n"], sizes["rows"]) if sizes else (0, 0)
     rows = rows.where(F.col("n") == dims).drop("n")
     asked = asked.where(F.col("n") == dims).groupBy("id").agg(F.min(F.struct(F.xxhash64("vector"), "vector"))["vector"].alias("vector"))
-    floats = F.col("vector").cast("array<float>").alias("vector")
+    floats, large = F.col("vector"), bool(n) and sizes["largest"] > LARGE
+    if large:
+        scale = 2.0 ** -math.ceil(math.log2(sizes["common"])) if sizes["common"] > LARGE else 1.0
+        floats = F.transform("vector", lambda x: F.greatest(F.lit(-LARGE), F.least(F.lit(LARGE), x * F.lit(scale))))
+    floats = floats.cast("array<float>").alias("vector")
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = np.array([r["vector"] for r in rows.select("id", floats).orderBy(F.xxhash64("id"), "id").limit(max_sample).toLocalIterator()], np.float32)
-    fitted = Index(drawn, max(1, min(max_lists, len(drawn) // 8, int(math.sqrt(n)))))
+    lists = min(max_lists, math.isqrt(n))
+    sample = min(max_sample, max(LEAST_SAMPLE, 8 * lists))
+    drawn = np.array([r["vector"] for r in rows.select("id", floats).orderBy(F.xxhash64("id"), "id").limit(sample).toLocalIterator()], np.float32)
+    fitted = Index(drawn, max(1, min(lists, len(drawn) // 8)))
     probes = fitted.probes(drawn, k, recall)
     sent = spark.sparkContext.broadcast(fitted)
 
@@ -215,6 +226,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 256
     best = W.partitionBy("query_id")
     chosen = scanned.where("id <> query_id").withColumn("r", F.row_number().over(best.orderBy("near", "id"))).where(F.col("r") <= depth).select("query_id", "id").distinct()
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
+    if large:  # squares may be beyond doubles
+        less, more = F.lit(2.0**-600), F.lit(2.0**600)
+        scaled = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(a * less - b * less, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)) * more
+        exact = F.when(exact < float("inf"), exact).otherwise(scaled)
     met = chosen.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
     ranked = met.groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min(exact).alias("score"))
     return ranked.withColumn("rank", F.row_number().over(best.orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,10 +6,10 @@ is possibly repeated; only those rows shuffle, narrow (id and digest), to be cou
 groups of one.
 
 Scale: one job builds the whole filter, at cells_per_row cells a row, so that the share of false alarms is the same at every size
-(2.4 per cent). A filter above max_filter_mb is probed in slices: the narrow rows lie in the shared folder by slice, and each slice
-is one short job that broadcasts its own part, whose size is that bound, and reads its own rows (45 million rows a slice; 560 slices
-at 10^11 rows and 256 MB). What follows is one plan whatever their number. Copies are counted by partial aggregation before any
-shuffle; the join that hands a group's result to its members is one that adaptive execution splits when a group is hot.
+(2.4 per cent). A filter up to max_filter_mb is broadcast, and rows are probed where they are. A larger one is cut by the hash into slices of that size: one exchange takes
+each slice's bits and its rows (id and digest) to the tasks that probe them, bits first, rows as a stream (45 million rows a slice), in one job whatever their number; a slice
+that a hot text makes larger than others goes to several tasks, each with a copy of its bits. Copies are counted by partial aggregation before any
+shuffle; a row that repeats very often is unfolded by many tasks; the join that hands a group's result to its members is one that adaptive execution splits when a group is hot.
 
 Cases: null counts as the empty text, and empty texts are equal to each other; white space runs count as one space; very long
 texts are hashed where they are read and don't travel. Of equal rows with one doc_id, one is kept; a null doc_id loses to any
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from decisia.llm.common import SPACE, partitions, text_of, work_path, written
+from decisia.llm.common import SPACE, partitions, text_of, written
 
 BLOCK_CELLS, PROBES, HELD_CELLS = 1 << 18, 2, 4_000_000
 
@@ -134,29 +134,68 @@ def possibly_repeated(rows: DataFrame, bits: bytes) -> DataFrame:
     return rows.mapInArrow(probe, T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 12, max_filter_mb: int = 64) -> DataFrame:
+def probed_by_slice(rows: DataFrame, found: DataFrame, size: int, slices: int) -> DataFrame:
+    """The same with a filter in slices: rows (doc_id, text_sha256, h, slice) meet the bits of their slice in a task. A slice of more than twice the common number of rows has several."""
+    spark, step = rows.sparkSession, min(size, BLOCK_CELLS) // 8
+    counts = rows.groupBy("slice").agg(F.count("*").alias("n"))
+    common = (counts.agg(F.sum("n")).first()[0] or 0) / slices
+    tasks = F.broadcast(counts.select("slice", F.ceil(F.col("n") / (2 * max(1.0, common))).cast("int").alias("tasks")))  # a row a slice
+    head = ["slice", "salt", "block", "bits", "doc_id", "text_sha256", "h"]
+    bits = found.join(tasks, "slice").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    bits = bits.withColumns({"doc_id": F.lit(None).cast("long"), "text_sha256": F.lit(None).cast("string"), "h": F.lit(None).cast("long")}).select(*head)
+    salted = rows.join(tasks, "slice").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("tasks")).cast("int"))
+    salted = salted.withColumns({"block": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}).select(*head)
+    dealt = bits.unionAll(salted).repartition(max(partitions(spark), slices), "slice", "salt").sortWithinPartitions("slice", "salt", F.col("block").asc_nulls_last())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).is_null().to_numpy(zero_copy_only=False)])
+            cut = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if (place[0, a], place[1, a]) != now:
+                    now = place[0, a], place[1, a]
+                    held[:] = 0
+                some = batch.slice(a, b - a)
+                if not place[2, a]:
+                    for block, packed in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                        held[block * step : (block + 1) * step] = np.frombuffer(packed, np.uint8)
+                    continue
+                at = cells(some.column(6).to_numpy(), size)
+                hit = ((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(4), some.column(5), pa.array(hit)], names=["doc_id", "text_sha256", "maybe"])
+
+    return dealt.mapInArrow(probe, "doc_id long, text_sha256 string, maybe boolean")
+
+
+#: Repeats of one row that are unfolded in one place.
+UNFOLDED = 100_000
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """A row for each of n copies, with its number from 1 in copy."""
+    few = rows.where(F.col("n") <= UNFOLDED).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    parts = rows.where(F.col("n") > UNFOLDED).withColumn("_lo", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(UNFOLDED).cast("long")))).repartition(partitions(rows.sparkSession))
+    many = parts.withColumn("copy", F.explode(F.sequence("_lo", F.least(F.col("n"), F.col("_lo") + UNFOLDED - 1)))).drop("_lo")
+    return few.unionByName(many)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 12, max_filter_mb: float = 64) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
     rows = max(1, docs.count())
-    slices = math.ceil(rows * cells_per_row / (max_filter_mb << 23))
-    size = 1 << max(15, math.ceil(math.log2(rows * cells_per_row / slices)))
-    path, out = work_path(spark, "hashes"), work_path(spark, "marked")
+    slices = math.ceil(rows * cells_per_row / (max_filter_mb * (1 << 23)))
+    size = 1 << max(15 if slices == 1 else 3, math.ceil(math.log2(rows * cells_per_row / slices)))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(text_col), 256).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256"))
-    narrow.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(path)
-    read = spark.read.schema(T.StructType([*narrow.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
-    found = repeated_cells(read, size, slices)
-    marked = None
-    for k in range(slices):
-        marked = possibly_repeated(read.where(F.col("slice") == k).drop("slice"), filter_of(found, k, size))
-        if slices > 1:
-            marked.write.mode("append").parquet(out)
-    if slices > 1:
-        marked = spark.read.schema(marked.schema).parquet(out)
+    hashed = written(narrow.withColumn("slice", F.pmod(F.shiftright("h", 40), F.lit(slices)).cast("int")), "hashes")
+    found = repeated_cells(hashed, size, slices)
+    marked = possibly_repeated(hashed.drop("slice"), filter_of(found, 0, size)) if slices == 1 else written(probed_by_slice(hashed, found, size, slices), "marked")
     alone = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = written(marked.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "some")
     # tables, so that the join below stands on two plain exchanges and adaptive execution can split a hot group
     first = written(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "first")
-    members = some.join(first, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    members = unfolded(some.join(first, "text_sha256"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return alone.unionAll(members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from decisia.llm import exact, jaccard, substrings
 from decisia.llm.common import table
@@ -29,13 +30,26 @@ def plain_groups(rows):
     return out
 
 
-@pytest.mark.parametrize("filters", [{}, {"cells_per_row": 1 << 21, "max_filter_mb": 1}, {"cells_per_row": 1}])
-def test_exact_groups(spark, edge, sf, filters):
+@pytest.mark.parametrize("filters", [{}, {"max_filter_mb": 2**-20}, {"cells_per_row": 1}])
+def test_exact_groups(spark, edge, sf, filters, monkeypatch):
+    """The filter whole, in many slices of a few bytes, and so small that it tells little."""
+    monkeypatch.setattr(exact, "UNFOLDED", 1 if filters else exact.UNFOLDED)
     for docs in (edge, table(spark, sf, "documents") if not filters else edge):
         got = exact.exact_groups(docs, **filters).collect()
         assert Counter(tuple(r) for r in got) == plain_groups(texts_of(docs))
 
 
+def test_exact_slices(spark, sf, monkeypatch):
+    """Many slices, one of them hot: a job whatever their number, and the same groups."""
+    rows = table(spark, sf, "documents").select("doc_id", "text").unionAll(spark.range(1000, 1400).select("id", F.lit("one hot text")))
+    asked = []
+    plain = exact.probed_by_slice
+    monkeypatch.setattr(exact, "probed_by_slice", lambda *a: asked.append(a[3]) or plain(*a))
+    monkeypatch.setattr(exact, "BLOCK_CELLS", 64)
+    got = exact.exact_groups(rows, max_filter_mb=2**-14).collect()
+    assert asked[0] > 10 and Counter(tuple(r) for r in got) == plain_groups(texts_of(rows))
+
+
 def test_exact_empty_and_columns(edge, none):
     assert exact.exact_groups(none).count() == 0
     assert exact.drop_copies(none).count() == 0
