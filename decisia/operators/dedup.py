@@ -54,24 +54,3 @@ def within_and_across(df: DataFrame, key: str, group: str, *order: str) -> DataF
     firsts = each.groupBy(key).agg(F.min_by(F.struct(F.col(group).alias("g")), "_first").alias("_f")).groupBy(F.col("_f.g").alias("_g")).agg(F.count("*").alias("_firsts"))
     both = inside.join(firsts, F.col(group).eqNullSafe(F.col("_g")), "left")
     return both.select(group, "dup_in_group", (F.col("_rows") - F.coalesce("_firsts", F.lit(0))).alias("dup_anywhere"))
-
-
-def contained(docs: DataFrame, id_col: str, text: str, passages: DataFrame, passage_id: str, passage: str, broadcast_mb: int = 64) -> DataFrame:
-    """id_col, passage_id: which documents hold which passages, both in normal form (single spaces).
-
-    A passage is looked up by its anchor, the longest of its inner words: those between its first and its last, to which a document may
-    have glued something. Words of documents meet the anchors, which are broadcast up to broadcast_mb and joined beyond it, where they
-    are; only pairs of ids come out, and only those documents are searched. Passages without an inner word are searched everywhere.
-    """
-    words = F.split(passage, " ")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    named = passages.select(passage_id, F.col(passage).alias("_passage"), longest.alias("_anchor"))
-    anchors = named.where("_anchor is not null").select(passage_id, "_anchor")
-    size = anchors.agg(F.coalesce(F.sum(F.length("_anchor") + 24), F.lit(0))).first()[0]
-    near = docs.select(id_col, F.explode(F.array_distinct(F.split(text, " "))).alias("_anchor")).join(F.broadcast(anchors) if size <= broadcast_mb << 20 else anchors, "_anchor").select(id_col, passage_id)
-    found = near.join(docs.select(id_col, text), id_col).join(named, passage_id).where(F.contains(text, "_passage")).select(id_col, passage_id)
-    bare = named.where("_anchor is null")
-    if bare.limit(1).count():
-        found = found.unionByName(docs.join(bare, F.contains(text, "_passage")).select(id_col, passage_id))
-    return found.distinct()

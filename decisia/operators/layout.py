@@ -89,37 +89,17 @@ def token_shards(df: DataFrame, key: str, length: str, shards: int) -> DataFrame
     return rows.withColumn("shard", F.when(turn % 2 == 0, at).otherwise(shards - 1 - at).cast("int")).drop("row_number")
 
 
-def greedy_shards(df: DataFrame, key: str, length: str, shards: int, most_lengths: int = 1_000_000) -> DataFrame:
+def greedy_shards(df: DataFrame, key: str, length: str, shards: int) -> DataFrame:
     """Each row, in the order of lengths and keys, to the lightest shard, ties to the lowest: the walk over all rows, without walking them.
 
-    Rows of one length L go to the shards in the order of loads, load + L, load + 2 L and so on. Lengths rise, so loads never differ by more than
-    L when its rows come, and after a first turn of the lighter shards every turn is the same. What is worked out on the driver is one
-    such turn a distinct length, of which there are as many as a token limit allows (most_lengths; more are an error).
+    Lengths rise, so a shard that gets a row is the heaviest from then on: the loads of any two never differ by more than the length that is dealt, and the one that was
+    dealt to longest ago is lightest, strictly so by the first of its rows. Rows of some length therefore go round all shards in turn; rows without any length change no load and
+    all go to the first.
     """
     rows = numbered(df.select(key, F.col(length).cast("long").alias(length)), length, key)
-    counts = [(r[0], r[1]) for r in rows.groupBy(length).count().orderBy(length).limit(most_lengths + 1).collect()]
-    if len(counts) > most_lengths:
-        raise ValueError("too many distinct lengths for one plan")
-    loads, first, plan = [0] * shards, 0, []
-    for n, count in counts:
-        least = min(loads)
-        if n <= 0:  # nothing changes: all to the lowest of the lightest
-            plan.append((n, first, 1, [loads.index(least)], [loads.index(least)]))
-            first += count
-            continue
-        turn = sorted(range(shards), key=lambda k: ((loads[k] - least) % n, k))
-        begin = [k for k in turn if loads[k] - least < n]
-        plan.append((n, first, len(begin), begin, turn))
-        first += count
-        for i, k in enumerate(begin):
-            loads[k] += n * (i < count)
-        rest = max(0, count - len(begin))
-        for i, k in enumerate(turn):
-            loads[k] += n * (rest // shards + (i < rest % shards))
-    turns = df.sparkSession.createDataFrame(plan, "_n long, _first long, _begin int, _start array<int>, _turn array<int>")
-    at = F.col("row_number") - F.col("_first")
-    shard = F.when(at < F.col("_begin"), F.get("_start", at.cast("int"))).otherwise(F.get("_turn", ((at - F.col("_begin")) % F.size("_turn")).cast("int")))
-    return rows.join(F.broadcast(turns), F.col(length) == F.col("_n")).select(key, length, shard.alias("shard"))
+    none = df.agg(F.count_if(F.col(length) <= 0).alias("_none"))  # one row; rows without length come first
+    shard = F.when(F.col(length) <= 0, 0).otherwise((F.col("row_number") - F.col("_none")) % shards).cast("int")
+    return rows.crossJoin(F.broadcast(none)).select(key, length, shard.alias("shard"))
 
 
 def random_batches(df: DataFrame, key: str, length: str, size: int, seed: int = 7) -> DataFrame:
@@ -133,22 +113,25 @@ def length_batches(df: DataFrame, key: str, length: str, size: int, budget: int
 
     Rows in the order of lengths form buckets of size times multiple; in a bucket, in an order drawn from the seed, a batch is closed
     when it has size rows or when one more would pad it over the budget. The greedy walk is one fold over each bucket's array, whose
-    length that product bounds; buckets are independent.
+    length that product bounds, and notes where batches start; buckets are independent.
     """
     rows = numbered(df.select(key, F.col(length).cast("long").alias(length)), length, key).withColumn("bucket", F.floor(F.col("row_number") / (size * multiple)).cast("long"))
     each = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(rand.order_key(F.col(key), seed).alias("o"), F.col(key).alias("k"), F.col(length).alias("n")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.lit(-1).alias("batch"), F.array().cast("array<int>").alias("to"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         longest = F.greatest(acc["longest"], x["n"])
-        full = (acc["batch"] < 0) | (acc["n"] >= size)
+        full = (acc["i"] == 0) | (acc["n"] >= size)
         if budget:
             full = full | (longest * (acc["n"] + 1) > budget)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["n"]).otherwise(longest).alias("longest"), batch.alias("batch"), F.array_append(acc["to"], batch).alias("to"))
+        starts = F.when(full, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])  # an array grows by batches, not by rows
+        return F.struct(F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["n"]).otherwise(longest).alias("longest"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
 
-    placed = each.withColumn("to", F.aggregate("xs", start, step, lambda acc: acc["to"]))
-    return placed.select("bucket", F.explode(F.arrays_zip("xs", "to")).alias("z")).select(F.col("z.xs.k").alias(key), F.col("z.xs.n").alias(length), "bucket", F.col("z.to").alias("batch"))
+    walked = once(each, starts=F.aggregate("xs", start, step, lambda acc: acc["starts"]))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("xs")))
+    batches = walked.select("bucket", "xs", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("batch", "z"))
+    placed = batches.select("bucket", "batch", F.explode(F.slice("xs", F.col("z.a") + 1, F.col("z.b") - F.col("z.a"))).alias("x"))
+    return placed.select(F.col("x.k").alias(key), F.col("x.n").alias(length), "bucket", "batch")
 
 
 def shuffled_batches(plan: DataFrame, *batch: str, seed: int = 7) -> DataFrame:
@@ -234,10 +217,10 @@ def training_items(rows: DataFrame, most: int = 4096, head: int = 256, tokenizer
     if tokenizer is hashed_words:
         each = once(each, _options=F.transform("_texts", lambda t: F.concat(F.array(F.lit(marker)), tokenizer(t))))
     else:  # functions of Python take columns, not elements of arrays: options become rows and come back
-        keyed = each.withColumn("_row", F.struct("guid", "norm"))
-        apart = keyed.select("guid", "norm", F.posexplode("_texts").alias("_i", "_t")).withColumn("_ids", F.concat(F.array(F.lit(marker)), tokenizer(F.col("_t"))))
-        back = apart.groupBy("guid", "norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_ids"))), lambda x: x["_ids"]).alias("_options"))
-        each = keyed.drop("_row").join(back, ["guid", "norm"])
+        keyed = durable(each.withColumn("_key", F.monotonically_increasing_id()))  # a key of the row itself, since rows may be alike; as a table, so that it stays
+        apart = keyed.select("_key", F.posexplode("_texts").alias("_i", "_t")).withColumn("_ids", F.concat(F.array(F.lit(marker)), tokenizer(F.col("_t"))))
+        back = apart.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_ids"))), lambda x: x["_ids"]).alias("_options"))
+        each = keyed.join(back, "_key").drop("_key")
     sizes = F.transform("_options", F.size)
     markers = F.transform(F.sequence(F.lit(0), F.size("_options") - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
     made = once(each, head=F.flatten("_options"), markers=markers).where(F.size("head") <= head)

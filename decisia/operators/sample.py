@@ -70,12 +70,44 @@ def with_extremes(df: DataFrame, key: str, length: str, k: int, seed: int = 7) -
     return reservoir(df, key, k, seed).drop("u").unionByName(df.join(F.broadcast(ends), key, "left_semi")).distinct()
 
 
+#: Ranges that are sent to every task; more meet their points in a join by cells.
+MOST_RANGES = 500_000
+
+
+def in_ranges(points: DataFrame, value: Column, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """Each row of points with each of ranges such that low <= value < high, by cells as wide as a range is on average.
+
+    A range lies in as many cells as it reaches into, two a range on average, and a point looks into its own cell only; so points that are spread over the ranges' whole
+    span meet about two ranges each, however unlike the ranges' widths, and the join is one of equal cells.
+    """
+    some = ranges.where(F.col(high) > F.col(low))
+    ends = some.agg(F.min(low).cast("double").alias("a"), F.max(high).cast("double").alias("b"), F.avg(F.col(high) - F.col(low)).alias("w"), F.count("*").alias("n")).first()
+    if not ends["n"]:
+        return points.join(ranges, F.lit(False))
+    first, width = float(ends["a"]), max(float(ends["w"]), (float(ends["b"]) - float(ends["a"])) / 2**31)
+    cell = lambda c: F.floor((c.cast("double") - F.lit(first)) / F.lit(width))
+    of_range = some.withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    of_range = F.broadcast(of_range) if ends["n"] <= MOST_RANGES else of_range
+    asked = points.withColumn("_value", value)
+    inside = asked.where((F.col("_value") >= ends["a"]) & (F.col("_value") < ends["b"])).withColumn("_cell", cell(F.col("_value")))
+    return inside.join(of_range, "_cell").where((F.col("_value") >= F.col(low)) & (F.col("_value") < F.col(high))).drop("_cell", "_value")
+
+
+def running(df: DataFrame, value: str, name: str, *order: str) -> DataFrame:
+    """Adds the sum of value over the rows up to this one in an order that tells all rows apart: range partitions, the sum of each, prefix sums."""
+    ranged = durable(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))  # a row a partition
+    bases = sums.withColumn("_base", F.sum("_s").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_s")).select("_part", "_base")
+    upto = F.sum(value).over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(name, upto).join(F.broadcast(bases), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
+
+
 def weighted_choice(draws: DataFrame, key: str, weights: DataFrame, seed: int = 7) -> DataFrame:
     """With replacement: each row of draws gets the item of weights(item, weight) in whose cumulative range its draw falls."""
-    total = F.sum("weight").over(W.partitionBy(F.lit(0)))
-    upto = F.sum("weight").over(W.partitionBy(F.lit(0)).orderBy("item"))
-    ranges = weights.withColumn("hi", upto / total).withColumn("lo", (upto - F.col("weight")) / total).select("item", "lo", "hi")
-    return draws.withColumn("u", rand.uniform(F.col(key), seed)).join(F.broadcast(ranges), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("lo", "hi")
+    total = F.lit(weights.agg(F.sum("weight")).first()[0])  # one number
+    upto = running(weights, "weight", "_upto", "item")
+    ranges = upto.select("item", ((F.col("_upto") - F.col("weight")) / total).alias("lo"), (F.col("_upto") / total).alias("hi"))
+    return in_ranges(draws.withColumn("u", rand.uniform(F.col(key), seed)), F.col("u"), ranges, "lo", "hi").drop("lo", "hi")
 
 
 def shuffled_take(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:

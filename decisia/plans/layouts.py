@@ -95,6 +95,16 @@ def weighted_choice(spark, sf_dir):
     return sample.weighted_choice(table(spark, sf_dir, "events").select("event_id"), "event_id", weights).groupBy("item").agg(F.count("*").alias("n"))
 
 
+@query("range_join", "WITH b AS (SELECT s_suppkey, s_acctbal AS lo, lead(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS hi FROM supplier) SELECT s_suppkey, count(*) AS customers, min(c_custkey) AS first FROM customer JOIN b ON c_acctbal >= lo AND c_acctbal < hi GROUP BY s_suppkey")
+def range_join(spark, sf_dir):
+    """Customers by the two suppliers between whose balances theirs lies: bands as many as suppliers, as wide as it comes."""
+    s = table(spark, sf_dir, "supplier")
+    i = sample.numbered(s.select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey")
+    bands = i.select("s_suppkey", F.col("s_acctbal").alias("lo"), "row_number").join(i.select(F.col("s_acctbal").alias("hi"), (F.col("row_number") - 1).alias("row_number")), "row_number").drop("row_number")
+    met = sample.in_ranges(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("c_acctbal"), bands, "lo", "hi")
+    return met.groupBy("s_suppkey").agg(F.count("*").alias("customers"), F.min("c_custkey").alias("first"))
+
+
 @query("len_hist", "SELECT (n_chars // 32 * 32)::BIGINT AS bin_lo, (n_chars // 32 * 32 + 32)::BIGINT AS bin_hi, count(*) AS n FROM documents GROUP BY ALL")
 def len_hist(spark, sf_dir):
     return layout.histogram(lengths(spark, sf_dir), "length")

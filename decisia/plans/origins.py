@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from decisia.functions import rand
 from decisia.functions import text as X
 from decisia.operators import layout, sample, shapes
-from decisia.plans.registry import clean, norm, order_key, query
+from decisia.plans.registry import clean, norm, order_key, query, uniform
 from decisia.session import table
 from decisia.sources import build, files, specs
 from decisia.sources.shared import scratch
@@ -83,13 +83,22 @@ def part_files(spark, path: str) -> list[str]:
     return [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
 
 
-LINES = "(SELECT (row_number() OVER (ORDER BY source, doc_id) - 1)::BIGINT AS row, doc_id, source FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3'))"
+def all_sources(spark, sf_dir) -> str:
+    """A root with a folder for each source, a file in each, rows in the order of their ids."""
+    root = scratch(spark, "every")
+    rows = rows_of(spark, sf_dir).withColumn("of", F.col("workflow"))
+    rows.repartition("of").sortWithinPartitions("of", F.col("guid").cast("long")).write.option("ignoreNullFields", "false").partitionBy("of").json(root)
+    return root
+
+
+LINES = "(SELECT (row_number() OVER (ORDER BY source, doc_id) - 1)::BIGINT AS row, doc_id, source FROM documents)"
 
 
 @query("line_range", f"SELECT row, doc_id::VARCHAR AS guid FROM {LINES} WHERE row >= 5 AND row < (SELECT count(*) - 5 FROM {LINES})")
 def line_range(spark, sf_dir):
     """Lines by their numbers over several files, from an index that is written and read back."""
-    paths = sorted(p for path in by_source(spark, sf_dir) for p in part_files(spark, path))
+    root = all_sources(spark, sf_dir)
+    paths = sorted(f for f, _, _ in files.listing(spark, root) if "/part-" in f)
     at = scratch(spark, "index")
     files.line_index(spark, paths).write.parquet(at)
     index = spark.read.parquet(at)
@@ -111,20 +120,20 @@ def manifest_files(spark, sf_dir):
 def split_source(spark, sf_dir) -> files.SourceSpec:
     """Documents as a source of configurations (languages) and splits."""
     root, d = scratch(spark, "splits"), table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train"))
-    for lang in ("de", "en", "fr"):
+    for lang in [r[0] for r in files.label_universe(d, "lang").collect()]:
         for split in ("train", "test"):
             d.where((F.col("lang") == lang) & (F.col("split") == split)).drop("split").write.parquet(f"{root}/{lang}/{split}")
     return files.SourceSpec("split_docs", root, "label_str", configs="ALL", splits=("train", "test", "absent"))
 
 
-@query("split_metadata", "SELECT lang AS config, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS rows, array_to_string(list_sort(list(DISTINCT source)), ',') AS names FROM documents WHERE lang IN ('de', 'en', 'fr') GROUP BY ALL")
+@query("split_metadata", "SELECT lang AS config, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS rows, array_to_string(list_sort(list(DISTINCT source)), ',') AS names FROM documents GROUP BY ALL")
 def split_metadata(spark, sf_dir):
     """Rows, columns and label names of each slice, from footers and the label's column."""
     found = files.split_metadata(spark, split_source(spark, sf_dir), "source")
     return found.select("config", "split", "rows", F.array_join("names", ",").alias("names"))
 
 
-@query("scan_slices", "SELECT lang AS config, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents WHERE lang IN ('de', 'en', 'fr') GROUP BY ALL")
+@query("scan_slices", "SELECT lang AS config, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY ALL")
 def scan_slices(spark, sf_dir):
     """All configurations there are, and their splits."""
     return files.scan(spark, split_source(spark, sf_dir)).groupBy("config", "split").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
@@ -135,10 +144,10 @@ def peek_rows(spark, sf_dir):
     return files.peek(table(spark, sf_dir, "documents"), 50).agg(F.count("*").alias("rows"))
 
 
-@query("found_files", "SELECT count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')")
+@query("found_files", "SELECT count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents")
 def found_files(spark, sf_dir):
     """Files found by name anywhere under a root."""
-    root = by_source(spark, sf_dir)[0].rsplit("/", 2)[0]
+    root = all_sources(spark, sf_dir)
     return files.find(spark, root, "part-*.json", "json").agg(F.count("*").alias("rows"), F.sum(F.col("guid").cast("long")).alias("ids"))
 
 
@@ -215,6 +224,22 @@ def kept_keys(spark, sf_dir):
     return spark.createDataFrame([tuple(found)], "built long, cached long, rebuilt long")
 
 
+@query("prediction_rows", """WITH e AS (SELECT doc_id, generate_subscripts([0, 1], 1) - 1 AS q FROM documents)
+SELECT 'd' || doc_id AS id, 'w' || (doc_id % 3) AS workflow, CASE q WHEN 0 THEN 'topic' ELSE 'ok' END AS qid, CASE q WHEN 0 THEN 'choice' ELSE 'noul' END AS qtype,
+  CASE q WHEN 0 THEN 'A,B' ELSE 'false,true' END AS keys, CASE q WHEN 0 THEN '1.0,0.0' ELSE '0.25,0.75' END AS g,
+  CASE WHEN q = 0 THEN CASE doc_id % 3 WHEN 0 THEN '0.75,0.25' WHEN 1 THEN '0.0,0.5' END ELSE CASE WHEN doc_id % 2 = 0 THEN '0.5,0.5' END END AS p, doc_id::DOUBLE AS latency_ms FROM e""")
+def prediction_rows(spark, sf_dir):
+    """Prediction documents, a few hundred decisions each, to a row a question: probabilities, distributions and shares of true; keys that a prediction lacks are 0, and what it lacks whole is null."""
+    path, i = scratch(spark, "predictions"), F.col("doc_id")
+    said = F.when(i % 3 == 0, '"topic":{"probabilities":{"B":0.25,"A":0.75}}').when(i % 3 == 1, '"topic":{"distribution":{"B":0.5}}')
+    pred = F.concat_ws(",", said, F.when(i % 2 == 0, '"ok":{"noul":0.5}'))
+    one = F.concat(F.lit('{"id":"d'), i, F.lit('","workflow":"w'), i % 3, F.lit('","latency_ms":'), i, F.lit('.0,"questions":{"topic":{"type":"choice"},"ok":{"type":"noul"}},"pred":{'), pred, F.lit('},"gold":{"topic":{"probabilities":{"A":1.0,"B":0.0}},"ok":{"probabilities":{"false":0.25,"true":0.75}}}}'))
+    listed = table(spark, sf_dir, "documents").groupBy(F.floor(i / 300).alias("k")).agg(F.concat(F.lit('{"summary":{},"predictions":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value"))
+    listed.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return files.read_predictions(spark, path).select("id", "workflow", "qid", "qtype", joined("keys"), joined("g"), F.when(F.col("p").isNotNull(), joined("p")).alias("p"), "latency_ms")
+
+
 @query("probe_report", "SELECT count(*) AS rows, 'doc_id,text,lang,source,n_chars' AS columns, 2 AS sample FROM documents")
 def probe_report(spark, sf_dir):
     path = scratch(spark, "probe.json")
@@ -415,18 +440,42 @@ def suite_branches(spark, sf_dir):
 
 
 def drained(spark, stream: DataFrame, mode: str) -> DataFrame:
-    """What a query over all files that are there puts out until it stops."""
-    name = f"out_{scratch(spark, 'x').rsplit('scratch-', 1)[-1].split('/')[0]}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    """What a query over all files that are there puts out until it stops, as a table in the shared folder."""
+    out = scratch(spark, "out")
+    running = events.to_table(stream, out, scratch(spark, "checkpoint"), mode)
     running.awaitTermination(600)
-    return spark.table(name)
+    if running.exception():
+        raise running.exception()
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else events.latest(spark, out))
 
 
-def event_stream(spark, sf_dir) -> DataFrame:
+def event_stream(spark, sf_dir, files_a_trigger: int = 16, parts: int | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     folder = scratch(spark, "events")
-    rows.write.parquet(folder)  # a folder of files is what a stream follows
-    return events.stream(spark, folder, rows.schema)
+    (rows.repartition(parts) if parts else rows).write.parquet(folder)  # a folder of files is what a stream follows
+    return events.stream(spark, folder, rows.schema, files_a_trigger=files_a_trigger)
+
+
+def _sampled(spark, sf_dir, weight=None) -> DataFrame:
+    path = scratch(spark, "reservoir")
+    rows = event_stream(spark, sf_dir, 1, 5).select("event_id", "event_type")
+    running = events.reservoir(rows, "event_id", 50, path, weight).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    running.awaitTermination(600)
+    return spark.read.parquet(events.latest(spark, path)).select("event_id", F.round("draw", 12).alias("draw"))
+
+
+@query("stream_reservoir", f"SELECT event_id, round({uniform('event_id', 7)}, 12) AS draw FROM events ORDER BY {uniform('event_id', 7)} DESC, event_id LIMIT 50")
+def stream_reservoir(spark, sf_dir):
+    """A uniform sample of a stream of five batches: that of all rows at once."""
+    return _sampled(spark, sf_dir)
+
+
+HEAVY = "CASE event_type WHEN 'purchase' THEN 4.0 ELSE 1.0 END"
+
+
+@query("stream_weighted_reservoir", f"SELECT event_id, round(pow({uniform('event_id', 7)}, 1.0 / ({HEAVY})), 12) AS draw FROM events ORDER BY pow({uniform('event_id', 7)}, 1.0 / ({HEAVY})) DESC, event_id LIMIT 50")
+def stream_weighted_reservoir(spark, sf_dir):
+    return _sampled(spark, sf_dir, F.when(F.col("event_type") == "purchase", 4.0).otherwise(1.0))
 
 
 @query("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -465,12 +514,14 @@ def stream_new_keys(spark, sf_dir):
 def inference_hook(spark, sf_dir):
     """A model's place: a function of Arrow batches, here a formula."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     from decisia.operators.metrics import inferred
 
     def predict(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(1 - 1 / (1 + n), 9) for n in batch.column(1).to_pylist()])], names=["doc_id", "p"])
+            n = pc.cast(batch.column(1), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.round(pc.subtract(1.0, pc.divide(1.0, pc.add(1.0, n))), 9)], names=["doc_id", "p"])
 
     return inferred(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), predict, "doc_id long, p double")
 

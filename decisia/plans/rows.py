@@ -171,7 +171,16 @@ def shape_suite(spark, sf_dir):
     return made.groupBy("workflow").agg(F.count("*").alias("n"))
 
 
-@query("crc32_binary_query")
+#: The checksum of a text bit by bit: each byte, then seven marks that only shift.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: xor((CASE WHEN b >= 0 THEN xor(c, b) ELSE c END) >> 1, 3988292384 * ((CASE WHEN b >= 0 THEN xor(c, b) ELSE c END) & 1))), 4294967295)"""
+EMOTIONS_SQL = "[" + ", ".join(f"'{e}'" for e in shapes.EMOTIONS) + "]"
+
+
+@query("crc32_binary_query", f"""WITH c AS (SELECT doc_id, {clean('text')} AS t, list_sort(list_distinct([doc_id % 28, doc_id % 5])) AS own FROM documents),
+h AS (SELECT *, {CRC32} AS h FROM c WHERE t <> ''),
+p AS (SELECT *, CASE WHEN h % 2 = 0 THEN own ELSE list_filter(range(28), lambda x: NOT list_contains(own, x)) END AS pool FROM h)
+SELECT doc_id::VARCHAR AS guid, {EMOTIONS_SQL}[pool[1 + (h // 2) % len(pool)] + 1] AS emotion, CASE WHEN h % 2 = 0 THEN 0.85 ELSE 0.15 END::DOUBLE AS p FROM p""")
 def crc32_binary_query(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     labels = F.array((F.col("doc_id") % 28).cast("int"), (F.col("doc_id") % 5).cast("int"))

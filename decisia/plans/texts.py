@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decisia.functions import text as X
-from decisia.operators import audit, dedup
+from decisia.operators import audit, dedup, passages
 from decisia.plans.registry import clean, norm, query
 from decisia.session import spread, table
 
@@ -193,10 +193,10 @@ def eval_leak_two_sets(spark, sf_dir):
 
 @query("eval_leak_contains", f"SELECT DISTINCT doc_id, item_id FROM documents d, (SELECT item_id, {norm('text')} AS b FROM benchmark) WHERE length(b) >= 40 AND contains({norm('d.text')}, b)")
 def eval_leak_contains(spark, sf_dir):
-    """Held-out passages inside documents, searched only in documents that hold a passage's anchor."""
+    """Held-out passages inside documents, searched only in documents that hold a run of a passage."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", X.norm_text(F.col("text")).alias("b")).where(F.length("b") >= 40)
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", X.norm_text(F.col("text")).alias("t"))
-    return dedup.contained(docs, "doc_id", "t", bench, "item_id", "b")
+    return passages.contained(docs, "doc_id", "t", bench, "item_id", "b")
 
 
 @query("cross_source_dups", f"SELECT key, array_to_string(list_sort(list(DISTINCT source)), ',') AS groups FROM {KEYED} GROUP BY key HAVING count(DISTINCT source) > 1")

@@ -333,11 +333,11 @@ def test_catalog_entries_name_known_adapters():
 
 def test_contained_passages(spark):
     """Words glued to a passage's ends, anchors in many documents, passages of one or two words."""
-    from decisia.operators import dedup
+    from decisia.operators.passages import contained
 
     docs = spark.createDataFrame([(1, "xthe quick brown foxes"), (2, "quick brown"), (3, "the quick brown fox"), (4, "brownish lone words")], "id long, t string")
     passages = spark.createDataFrame([(10, "the quick brown fox"), (11, "lone"), (12, "quick brown")], "item long, b string")
-    got = {tuple(r) for r in dedup.contained(docs, "id", "t", passages, "item", "b").collect()}
+    got = {tuple(r) for r in contained(docs, "id", "t", passages, "item", "b").collect()}
     assert got == {(1, 10), (3, 10), (4, 11), (1, 12), (2, 12), (3, 12)}
 
 
