@@ -528,65 +528,6 @@ def test_lists_grow(spark, monkeypatch):
     plain = ann.kmeans
     monkeypatch.setattr(ann, "kmeans", lambda x, k, rounds=8: made.append((len(x), k)) or plain(x, k, rounds))
     r = np.random.Generator(np.random.PCG64(5))
-    centre = r.normal(size=(12, 8)) * 10
-    vectors = spark.createDataFrame([(i, [float(v) for v in centre[i % 12] + r.normal(size=8)]) for i in range(2400)], "vec_id long, embedding array<float>")
-    ways = [sorted(tuple(x) for x in ann.search(vectors, vectors.where("vec_id % 10 = 0"), **some).collect()) for some in ({}, {"shard_rows": 60, "block_queries": 7})]
-    assert ways[0] == ways[1]
-
-
-@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
-def test_nearest_recall(spark, folder):
-    sf_dir = f"/root/testdata/{folder}"
-    rows = table(spark, sf_dir, "embeddings").collect()
-    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
-    got = defaultdict(list)
-    for r in sorted(queries.op8_nearest(spark, sf_dir).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    hits = wanted = 0
-    for i in np.flatnonzero(ids % 100 == 0):
-        far = np.sqrt(((x - x[i]) ** 2).sum(1))
-        far[i] = np.inf
-        best = ids[np.lexsort((ids, far))[:10]]
-        found = got[ids[i]]
-        assert len(found) == len(best)
-        assert all(abs(s - far[ids == v][0]) < 1e-9 for v, s in found) and found == sorted(found, key=lambda f: (f[1], f[0]))
-        hits, wanted = hits + len({v for v, _ in found} & set(best.tolist())), wanted + len(best)
-    assert hits / wanted >= 0.9
-
-
-def test_nearest_edges(spark):
-    rows = [(i, [float(i % 3), 1.0]) for i in range(12)] + [(100, None), (200, [0.0, 0.0]), (300, [1.0, float("nan")]), (400, [1.0, None]), (500, [1.0]), (None, [1.0, 1.0]), (0, [0.0, 1.0])]
-    vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, list int, code string")
-    got = [tuple(r) for r in ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 3, 0.0), (0, 2, 6, 0.0), (0, 3, 9, 0.0), (0, 4, 1, 1.0), (0, 5, 4, 1.0)]
-    assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
-    # repeated ids with other vectors: the nearest counts, one query asks; doubles are ranked as doubles; another length takes no part
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-9]), (2, [1.0, 2e-9]), (3, [5.0, 5.0]), (3, [1.0, 0.5]), (100, [1.0, 0.0, 0.0]), (4, [1e300, 1.0])]
-    doubles = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in ann.search(doubles, doubles.where("vec_id % 100 = 0")).orderBy("rank").collect()]
-    assert got[:3] == [(0, 1, 1, 1e-9), (0, 2, 2, 2e-9), (0, 3, 3, 0.5)] and len(got) == 4 and got[3][:3] == (0, 4, 4) and got[3][3] == pytest.approx(doubles.where("vec_id = 4").first()[1][0])
-    two = vectors.where("vec_id < 2")
-    assert ann.search(two, two.where("vec_id = 0")).count() == 1
-
-
-def test_components_beyond_floats(spark):
-    """Doubles that no float holds, or whose squares none holds, take part; what is beyond doubles doesn't."""
-    r = np.random.Generator(np.random.PCG64(3))
-    for size in (1e200, 3e38, 1e30):
-        rows = [(i, [float(x) * size for x in v]) for i, v in enumerate(r.standard_normal((120, 8)))] + [(500, [float("inf")] * 8)]
-        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-        got = [tuple(x) for x in ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").select("query_id", "rank", "vec_id").collect()]
-        x = np.array([v for _, v in rows[:120]]) / size
-        want = [(q, k + 1, int(i)) for q in (0, 100) for k, i in enumerate([i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable") if i != q][:5])]
-        assert len(set(got) & set(want)) >= 9
-
-
-def test_lists_grow(spark, monkeypatch):
-    """The sample holds eight vectors a list up to its bound."""
-    made = []
-    monkeypatch.setattr(ann, "LEAST_SAMPLE", 16)
-    monkeypatch.setattr(ann, "Index", type("Index", (ann.Index,), {"__init__": lambda self, x, lists: made.append((len(x), lists)) or super(type(self), self).__init__(x, lists)}))
-    r = np.random.Generator(np.random.PCG64(5))
     vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(r.standard_normal((900, 4)))], "vec_id long, embedding array<float>")
     for most, want in ((10_000, (240, 30)), (80, (80, 10))):
         ann.search(vectors, vectors.where("vec_id = 0"), max_sample=most)
