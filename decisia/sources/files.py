@@ -9,10 +9,16 @@ from __future__ import annotations
 import importlib.util
 import json
 import re
-from collections.abc import Callable, Iterable
+import uuid
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from urllib.parse import quote, unquote
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,36 +150,116 @@ def manifest_files(spark: SparkSession, manifest: str, split: str, root: str = "
     return [f"{root}/{p}" if root else p for f in found if f for p in ([f] if isinstance(f, str) else f)]
 
 
-def line_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row a block of each file: file, source_ord, size (the file's, to tell when the index is stale), block, first_row, lines.
+#: Lines between two noted places of a file, and bytes of a file at a time.
+NOTED_LINES, PIECE_BYTES = 1000, 8 << 20
 
-    Blocks are what readers split files into; rows are numbered over all files in the order of the list.
+BLOCKS = "file string, source_ord int, size long, block long, lines long, bytes long, at array<long>"
+
+
+def line_index(spark: SparkSession, paths: list[str], every: int = NOTED_LINES) -> DataFrame:
+    """A row a block of each file: file, source_ord, size (the file's, to tell when the index is stale), block, first_row, lines, offset, at, every.
+
+    Blocks are what readers split files into; rows are numbered over all files in the order of the list. A block's lines begin at byte `offset` of the file, and at[k] bytes
+    further begins its line k * every. Each block is one pass of one task, which sees the lengths of its lines only; first rows and bytes are prefix sums over blocks. Lines end in
+    a line feed.
     """
-    lines = spark.read.text(paths).withColumn("size", F.col("_metadata.file_size"))
-    blocks = placed(lines, paths).groupBy("file", "source_ord", "size", F.col("line_ord.block").alias("block")).agg(F.count("*").alias("lines"))
+    rows = placed(spark.read.option("lineSep", "\n").text(paths).withColumn("size", F.col("_metadata.file_size")), paths)
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, held, at = None, 0, 0, []
+
+        def out() -> pa.RecordBatch:
+            file, order, size, block = now
+            return pa.RecordBatch.from_pylist([{"file": file, "source_ord": order, "size": size, "block": block, "lines": lines, "bytes": held, "at": at}], schema)
+
+        schema = pa.schema([("file", pa.string()), ("source_ord", pa.int32()), *((c, pa.int64()) for c in ("size", "block", "lines", "bytes")), ("at", pa.list_(pa.int64()))])
+        for batch in batches:
+            file, order, block = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            code = file.indices.to_numpy()
+            cut = np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1 if batch.num_rows else []
+            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                here = (file.dictionary[code[a]].as_py(), int(order[a]), batch.column(2)[int(a)].as_py(), int(block[a]))
+                if here != now:
+                    if now:
+                        yield out()
+                    now, lines, held, at = here, 0, 0, []
+                sizes = batch.column(4).to_numpy()[a:b]
+                begin = held + np.concatenate([[0], np.cumsum(sizes)])
+                at += begin[:-1][(lines + np.arange(b - a)) % every == 0].tolist()
+                lines, held = lines + int(b - a), int(begin[-1])
+        if now:
+            yield out()
+
+    size = (F.octet_length("value") + 1).cast("long")
+    blocks = durable(rows.select("file", "source_ord", "size", F.col("line_ord.block").alias("block"), size.alias("n")).mapInArrow(note, BLOCKS))
     before = F.sum("lines").over(W.partitionBy(F.lit(0)).orderBy("source_ord", "block")) - F.col("lines")  # a row a block
-    return blocks.withColumn("first_row", before).select("file", "source_ord", "size", "block", "first_row", "lines")
+    offset = F.sum("bytes").over(W.partitionBy("file").orderBy("block")) - F.col("bytes")
+    return blocks.withColumn("first_row", before).withColumn("offset", offset).select("file", "source_ord", "size", "block", "first_row", "lines", "offset", "at", "bytes", F.lit(every).alias("every"))
 
 
 def is_stale(spark: SparkSession, index: DataFrame) -> bool:
     """Whether a file of the index is gone or has another size."""
     for r in index.select("file", "size").distinct().collect():
-        p, fs = hadoop_path(spark, r["file"])
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["file"]))  # as the reader writes it, with signs escaped
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(p) or fs.getFileStatus(p).getLen() != r["size"]:
             return True
     return False
 
 
-def read_range(spark: SparkSession, index: DataFrame, low: int, high: int) -> DataFrame:
-    """row, value: lines low to high (exclusive) of all files of the index; files beyond the range aren't opened, blocks beyond it aren't numbered."""
+def pieces(index: DataFrame, low: int, high: int) -> DataFrame:
+    """file, start, length, first, lines: the parts of files, from one noted place to the next, that hold the lines low to high (exclusive)."""
     some = index.where((F.col("first_row") < high) & (F.col("first_row") + F.col("lines") > low))
-    files = [r["file"] for r in some.select("file", "source_ord").distinct().orderBy("source_ord").collect()]
-    if not files:
+    end = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array("bytes"))
+    each = some.select("file", "size", "offset", "first_row", "lines", "every", F.posexplode(F.arrays_zip(F.col("at").alias("a"), end.alias("b"))).alias("k", "z"))
+    first = F.col("first_row") + F.col("k") * F.col("every")
+    lines = F.least(F.col("every"), F.col("lines") - F.col("k") * F.col("every"))
+    start = F.col("offset") + F.col("z.a")
+    return each.select("file", start.alias("start"), (F.least("size", F.col("offset") + F.col("z.b")) - start).alias("length"), first.alias("first"), lines.alias("lines")).where((F.col("first") < high) & (F.col("first") + F.col("lines") > low))
+
+
+def reachable(path: str) -> bool:
+    """Whether tasks can open files of this store themselves; if not, only Spark's readers can."""
+    try:
+        arrow_fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def read_range(spark: SparkSession, index: DataFrame, low: int, high: int) -> DataFrame:
+    """row, value: lines low to high (exclusive) of all files of the index. Tasks open files at noted places and read what lies between them, a thousand lines more than asked at
+    most at either end; from a store that only Spark's readers open, the files with such lines are read whole."""
+    wanted = pieces(index, low, high)
+    one = wanted.select("file").limit(1).collect()
+    if not one:
         return spark.createDataFrame([], "row long, value string")
-    lines = placed(spark.read.text(files), files).withColumn("block", F.col("line_ord.block"))
-    near = lines.join(F.broadcast(some.select("file", "block", "first_row")), ["file", "block"])
+    if not reachable(one[0]["file"]):
+        return read_blocks(spark, index, low, high)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.to_pylist():
+                store, path = arrow_fs.FileSystem.from_uri(p["file"])
+                with store.open_input_file(path) as file:
+                    lines = file.read_at(p["length"], p["start"]).split(b"\n")[: p["lines"]]
+                values = [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]
+                yield pa.RecordBatch.from_arrays([pa.array(range(p["first"], p["first"] + len(values)), pa.int64()), pa.array(values, pa.string())], names=["row", "value"])
+
+    dealt = wanted.repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(read, "row long, value string").where((F.col("row") >= low) & (F.col("row") < high))
+
+
+def read_blocks(spark: SparkSession, index: DataFrame, low: int, high: int) -> DataFrame:
+    """The same through Spark's reader of lines; blocks beyond the range aren't numbered."""
+    some = index.where((F.col("first_row") < high) & (F.col("first_row") + F.col("lines") > low))
+    files = [unquote(r["file"]) for r in some.select("file", "source_ord").distinct().orderBy("source_ord").collect()]
+    lines = placed(spark.read.option("lineSep", "\n").text(files), files).withColumn("block", F.col("line_ord.block"))
+    near = lines.join(some.select("file", "block", "first_row"), ["file", "block"])
     row = F.col("first_row") + F.row_number().over(W.partitionBy("file", "block").orderBy("line_ord.line")) - 1
-    return near.select(row.alias("row"), "value").where((F.col("row") >= low) & (F.col("row") < high))
+    return near.select(row.alias("row"), F.regexp_replace("value", "\r$", "").alias("value")).where((F.col("row") >= low) & (F.col("row") < high))
 
 
 def scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -343,12 +429,55 @@ def write_stats(spark: SparkSession, result: str, values: dict, format: str = "p
     return said
 
 
-def copy_tree(spark: SparkSession, source: str, target: str) -> None:
-    """A file or folder to another place of any store that the session can write to."""
-    a, from_fs = hadoop_path(spark, source)
-    b, to_fs = hadoop_path(spark, target)
-    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, True, spark._jsc.hadoopConfiguration()):
-        raise OSError(f"can't copy {source} to {target}")
+COPIED = "source string, target string, bytes long, crc32 long"
+
+
+def copy_tree(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """A file, or all files below a folder, to another place of any store: source, target, bytes, crc32 of each, which also lie in target's table _copied.
+
+    Tasks copy a file each, a few megabytes at a time, under a name of their own that becomes the file's when it is whole, so that a task that comes again leaves one file. What has
+    gone over is compared with the list it was copied from. Where tasks can't open one of the stores, the driver copies.
+    """
+    listed = listing(spark, source)
+    if not listed:
+        raise FileNotFoundError(source)
+    root, place = hadoop_path(spark, source)[1].makeQualified(hadoop_path(spark, source)[0]).toString().rstrip("/"), hadoop_path(spark, target)
+    to = place[1].makeQualified(place[0]).toString().rstrip("/")
+    pairs = [(f, to + f[len(root) :], n) for f, n, _ in listed]
+    if not (reachable(uri(root)) and reachable(uri(to))):
+        a, from_fs = hadoop_path(spark, source)
+        if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, place[1], place[0], False, True, spark._jsc.hadoopConfiguration()):
+            raise OSError(f"can't copy {source} to {target}")
+        return spark.createDataFrame([(*p, None) for p in pairs], COPIED)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, _ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                (from_store, read), (to_store, write) = arrow_fs.FileSystem.from_uri(uri(a)), arrow_fs.FileSystem.from_uri(uri(b))
+                folder, _, name = write.rpartition("/")
+                to_store.create_dir(folder, recursive=True)
+                own, size, crc = f"{folder}/.{name}.{uuid.uuid4().hex}", 0, 0
+                with from_store.open_input_stream(read) as file, to_store.open_output_stream(own) as out:
+                    while block := file.read(PIECE_BYTES):
+                        out.write(block)
+                        size, crc = size + len(block), zlib.crc32(block, crc)
+                to_store.move(own, write)
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([size], pa.int64()), pa.array([crc], pa.int64())], names=["source", "target", "bytes", "crc32"])
+
+    files = spark.createDataFrame(pairs, "source string, target string, bytes long").repartition(min(len(pairs), spark.sparkContext.defaultParallelism * 4))
+    done = f"{to}/_copied" if root != listed[0][0] else f"{to}._copied"
+    files.mapInArrow(copy, COPIED).write.mode("overwrite").parquet(done)
+    found = spark.read.schema(COPIED).parquet(done)
+    if found.agg(F.sum("bytes")).first()[0] != sum(n for _, n, _ in listed):
+        raise OSError(f"{source} changed while it was copied")
+    return found
+
+
+def uri(path: str) -> str:
+    """A qualified Hadoop path as an address with its signs escaped."""
+    scheme, _, rest = path.partition(":")
+    rest = "//" + rest if not rest.startswith("//") else rest
+    return f"{scheme}:{quote(rest)}"
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

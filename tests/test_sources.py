@@ -141,3 +141,56 @@ def test_slices_are_one_scan(spark, tmp_path):
     assert {(r["config"], r["split"], r["count"]) for r in rows.groupBy("config", "split").count().collect()} == {(c, s, 3) for c in ("a b", "c") for s in ("train", "test")}
     assert rows.where("more = 1").count() == 6
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_lines_by_their_places(spark, tmp_path):
+    """Any range of lines over several files, blocks far smaller than files, long and empty lines, a last line without an end: read by seeking, and by Spark's reader alone."""
+    lines = [[f"{k} line {i} " + "é" * (i % 7) * (40 if i % 50 == 0 else 1) if i % 11 else "" for i in range(n)] for k, n in enumerate((700, 1, 403))]
+    paths = []
+    for k, some in enumerate(lines):
+        (tmp_path / f"f {k}.txt").write_bytes(("\n".join(some) + ("\n" if k < 2 else "")).encode())
+        paths.append(f"{tmp_path}/f {k}.txt")
+    whole = [x for some in lines for x in some]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            files.line_index(spark, paths, every=10).write.mode("overwrite").parquet(f"{tmp_path}/index")
+            index = spark.read.parquet(f"{tmp_path}/index")
+            assert not files.is_stale(spark, index) and index.agg(F.sum("lines")).first()[0] == len(whole)
+            for low, high in ((0, len(whole)), (695, 705), (0, 1), (1100, 1104), (333, 334), (5000, 6000)):
+                want = [(i, whole[i]) for i in range(low, min(high, len(whole)))]
+                assert sorted(map(tuple, files.read_range(spark, index, low, high).collect())) == want
+                if want:
+                    assert sorted(map(tuple, files.read_blocks(spark, index, low, high).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_few_lines_read_little(spark, tmp_path):
+    """Ten lines of a file of forty megabytes: a few kilobytes of it are read."""
+    (tmp_path / "big.txt").write_bytes(b"".join(b"%08d %s\n" % (i, b"x" * 391) for i in range(100_000)))
+    index = files.line_index(spark, [f"{tmp_path}/big.txt"], every=20)
+    index.write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    got = files.pieces(index, 54_321, 54_331).agg(F.sum("length").alias("bytes"), F.sum("lines").alias("lines")).first()
+    assert got["bytes"] <= 40 * 401 and got["lines"] <= 40
+    assert sorted(int(r["value"][:8]) for r in files.read_range(spark, index, 54_321, 54_331).collect()) == list(range(54_321, 54_331))
+
+
+def test_trees_are_copied_by_tasks(spark, tmp_path):
+    """Files below folders, empty ones, names with signs; a second copy leaves one of each; a single file."""
+    for name, data in (("a/b c.bin", b"x" * 9_000_000), ("a/empty", b""), ("d%20e.txt", b"hello"), ("f+g", b"1")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    for _ in range(2):
+        copied = files.copy_tree(spark, f"{tmp_path}/in", f"{tmp_path}/out/tree")
+    want = {p.relative_to(tmp_path / "in"): p.read_bytes() for p in (tmp_path / "in").rglob("*") if p.is_file()}
+    assert {p.relative_to(tmp_path / "out/tree"): p.read_bytes() for p in (tmp_path / "out/tree").rglob("*") if p.is_file() and "_copied" not in p.parts and not p.name.endswith(".crc")} == want
+    import zlib
+
+    assert sorted((r["bytes"], r["crc32"]) for r in copied.collect()) == sorted((len(x), zlib.crc32(x)) for x in want.values())
+    files.copy_tree(spark, f"{tmp_path}/in/f+g", f"{tmp_path}/one")
+    assert (tmp_path / "one").read_bytes() == b"1"
+    with pytest.raises(FileNotFoundError):
+        files.copy_tree(spark, f"{tmp_path}/nothing", f"{tmp_path}/x")
