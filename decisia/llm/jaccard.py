@@ -18,14 +18,13 @@ nearest pivots and replicated to each cell j with d(x, p_j) <= d(x, home) + 2 r;
 are done, others are divided again, small ones are joined pair by pair, and a group whose cells don't halve its pairs is joined by prefix windows in
 the order of its own counts.
 
-Groups of too many members or shingles for a task go another way: members are compared with pivots of their regions, salted over
-tasks; those left outside the region's main component are dealt into the Voronoi cells by a join, in bands of sizes, and compared there.
+Groups of too many members or shingles for a task go another way (groups.py): members are compared with references in turn, and what isn't joined then is found by prefix
+windows of their differences from one reference, which keep all distances and are small where texts come from one template.
 
 Scale: copies (equal sets) are one point. The order puts shingles of more sets than a leaf holds last, by their counts over all
 documents; the list of them is bounded (max_common, the commonest), and whatever is in it, results are the same. Regions of
 very common ones are dealt over as many buckets as their counts ask for, and their classes are worked out over all of them. Sets
-travel only for documents in some candidate pair, found by a Bloom filter of bounded size on the second reading; a set compared
-with very many is replicated, not gathered. Components are found by joins.
+travel only for documents in some candidate pair, found by a Bloom filter of bounded size on the second reading. Components are found by joins.
 
 Identity: sets are told apart by digests of 128 bits. Working names are the first 64; names that two sets share (at most a few
 hundred among 10^11 sets) are found over all documents and give way to the other 64. Shingles are told apart by 64 bits, made of 64 bits of each word whatever its letters and
@@ -47,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decisia.llm.buckets import Order, by_bucket, dealt, of_bucket
 from decisia.llm.common import partitions, text_of, written
 from decisia.llm.components import components
+from decisia.llm.groups import wide_links
 from decisia.llm.words import Words, mixed, runs
 
 SHINGLE, CLASSES = 5, 64
 CHUNK_BYTES, BUCKET_ROWS, SALTED_SETS = 4_000_000, 100_000, 20_000
-LEAF, PIVOTS, DIVIDED, HUB_SETS, GROUP_SETS, GROUP_SHINGLES = 16, 8, 96, 2000, 20_000, 2_000_000
+LEAF, PIVOTS, DIVIDED, GROUP_SETS, GROUP_SHINGLES = 16, 8, 96, 20_000, 2_000_000
 FILTER_BITS = 1 << 26
 #: Shingles of a set all of which are counted.
 SHORT = 64
@@ -106,34 +107,6 @@ def new_points(batches: Iterator[pa.RecordBatch], clashes: frozenset) -> Iterato
         yield list(points), list(points.values())
 
 
-class Order:
-    """The fixed order of shingles: listed ones last, by count; others by hash."""
-
-    def __init__(self, listed: np.ndarray, counts: np.ndarray) -> None:
-        at = np.argsort(listed)
-        self.listed, self.count = listed[at], counts[at]
-        self.place = np.argsort(np.lexsort((self.listed, self.count)))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.listed >> np.uint64(44)] = True
-
-    def which(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of those of x that are listed, and their places in the list."""
-        some = np.flatnonzero(self.maybe[x >> np.uint64(44)])
-        if not len(some) or not len(self.listed):
-            return some[:0], some[:0]
-        at = np.minimum(np.searchsorted(self.listed, x[some]), len(self.listed) - 1)
-        ok = self.listed[at] == x[some]
-        return some[ok], at[ok]
-
-    def first(self, x: np.ndarray, k: int) -> np.ndarray:
-        """The first k of a sorted set."""
-        some, at = self.which(x)
-        if not len(some):
-            return x[:k]
-        rest = np.delete(x, some)
-        return rest[:k] if len(rest) >= k else np.concatenate([rest, x[some[np.argsort(self.place[at])]][: k - len(rest)]])
-
-
 def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First reading: a row a document, with its set's size, signature and, once a batch of documents, class counts."""
     for ids, some in sets(batches):
@@ -147,34 +120,6 @@ def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in some], pa.int64()), *(pa.array([x[k] for x in sigs], pa.int64()) for k in (0, 1)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "sig", "other", "sketch"])
 
 
-def by_bucket(to: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of each bucket as one packed string."""
-    order = np.argsort(to, kind="stable")
-    to, columns = to[order].astype(np.int64), tuple(c[order] for c in columns)
-    edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
-    for lo in range(0, len(edges) - 1, 64):
-        some = list(zip(edges[lo : lo + 64], edges[lo + 1 : lo + 65], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in some], pa.int64()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in some], pa.binary())], names=["bucket", "packed"])
-
-
-def of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The packed strings of each bucket; rows come in the order of buckets."""
-    now, blobs = None, []
-    for batch in batches:
-        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if bucket != now and blobs:
-                yield blobs
-                blobs = []
-            now = bucket
-            blobs.append(packed.as_py())
-    if blobs:
-        yield blobs
-
-
-def dealt(rows: DataFrame, deal) -> DataFrame:
-    return rows.mapInArrow(deal, "bucket long, packed binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-
 def meeting(n: np.ndarray, tail: np.ndarray, count: np.ndarray, per_cent: int) -> np.ndarray:
     """Parts of classes (size of a set, how many of its shingles come from the region's on) that links may join; -1: of no part.
 
@@ -320,9 +265,8 @@ def common_shingles(rows: DataFrame, per_cent: int, buckets: int, most: int, cla
     return Order(found["shingle"].to_numpy().view(np.uint64), found["df"].to_numpy())
 
 
-#: What a region gives. PAIR: x, y may be linked. MEMBER: set y, of z shingles, p of them before the region's, in the large region x.
-#: PIVOT: y is one of x. TO_PIVOT: x, y, one of them a pivot. HANGS: y with x. LOOSE: as MEMBER, of a region dealt over several buckets.
-PAIR, MEMBER, PIVOT, TO_PIVOT, HANGS, LOOSE = range(6)
+#: What a region gives. PAIR: x, y may be linked. HANGS: y with x. LOOSE: set y, of z shingles, p of them before the region's, in the region x, which is dealt over several buckets.
+PAIR, HANGS, LOOSE = range(3)
 
 
 def region_rows(rows: DataFrame, order, per_cent: int, buckets: int, clashes: frozenset) -> DataFrame:
@@ -399,15 +343,8 @@ def region_rows(rows: DataFrame, order, per_cent: int, buckets: int, clashes: fr
             part = meeting(*kinds, count, per_cent)[of.reshape(-1)]
             for k in np.unique(part[part >= 0]).tolist():
                 some = lo + np.flatnonzero(part == k)
-                mine, n = sig[some], size[some]
-                region = int(mixed(s[lo : lo + 1] + np.uint64(k)).view(np.int64)[0])
-                chosen = np.argsort(mixed(mine.view(np.uint64).copy()), kind="stable")[:PIVOTS]  # the same ones in all regions where they meet
-                put(MEMBER, region, mine, n, place[some])
-                put(HANGS, mine[chosen[0]], mine)
-                put(PIVOT, region, mine[chosen], n[chosen])
-                for p in chosen.tolist():
-                    i = np.flatnonzero((100 * np.minimum(n, n[p]) >= per_cent * np.maximum(n, n[p])) & (mine != mine[p]))
-                    put(TO_PIVOT, np.minimum(mine[i], mine[p]), np.maximum(mine[i], mine[p]))
+                mine = sig[some]
+                put(HANGS, mine[np.argmin(mixed(mine.view(np.uint64).copy()))], mine)  # the same one in all regions where they meet
         return out
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,23 +366,12 @@ def gathered(found: DataFrame, per_cent: int) -> DataFrame:
         return pa.table([pa.array(c[part >= 0]) for c in (x, z, p, part)], names=["x", "z", "p", "part"])
 
     classes = loose.groupBy("x", "z", "p").count().groupBy("x").applyInArrow(divide, "x long, z long, p long, part long")
-    members = written(loose.join(classes, ["x", "z", "p"]).select(F.xxhash64("x", "part").alias("x"), "y", "z", "p"), "members")
-    by = F.struct(F.xxhash64("y").alias("h"), "y", "z")
-    least = members.groupBy("x", F.pmod("y", F.lit(64)).alias("salt")).agg(F.min(by).alias("m")).groupBy("x").agg(F.slice(F.array_sort(F.collect_list("m")), 1, PIVOTS).alias("pivots"))
-    pivots = written(least.select("x", F.posexplode("pivots").alias("k", "m")).select("x", "k", F.col("m.y").alias("pivot"), F.col("m.z").alias("n")), "pivots")
+    members = loose.join(classes, ["x", "z", "p"]).select(F.xxhash64("x", "part").alias("x"), "y")
+    by = F.struct(F.xxhash64("y").alias("h"), "y")
+    least = members.groupBy("x", F.pmod("y", F.lit(64)).alias("salt")).agg(F.min(by).alias("m")).groupBy("x").agg(F.min("m")["y"].alias("first"))
     zero = F.lit(0).cast("long")
-    both = members.join(pivots, "x")
-    near = 100 * F.least("z", "n") >= per_cent * F.greatest("z", "n")
-    parts = [
-        members.select(F.lit(MEMBER).alias("kind"), "x", "y", "z", "p"),
-        pivots.select(F.lit(PIVOT), "x", "pivot", "n", zero),
-        both.where((F.col("y") != F.col("pivot")) & near).select(F.lit(TO_PIVOT), F.least("y", "pivot"), F.greatest("y", "pivot"), zero, zero),
-        both.where("k = 0").select(F.lit(HANGS), "pivot", "y", zero, zero),
-    ]
-    out = found.where(F.col("kind") != LOOSE)
-    for part in parts:
-        out = out.unionAll(part)
-    return out
+    hangs = members.join(least, "x").select(F.lit(HANGS).alias("kind"), F.col("first"), "y", zero, zero)
+    return found.where(F.col("kind") != LOOSE).unionAll(hangs)
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
@@ -519,74 +445,11 @@ def joined_groups(group: DataFrame, rows: DataFrame, per_cent: int, clashes: fro
     return written(travelling.repartition(partitions(rows.sparkSession), "label").sortWithinPartitions("label", "sig").mapInArrow(solve, "a long, b long"), "links")
 
 
-def compared(pairs: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
-    """a, b, both, na, nb: sizes of the intersection and of the two sets. Each a is a place to which the sets of its pairs travel, salted by b."""
-    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).cast("int").alias("salts"))
-    placed = written(pairs.join(count, "a").select("a", "b", F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "placed")
-    need = written(placed.select(F.col("a").alias("sig"), "hub", "salt").union(placed.select("b", "hub", "salt")).distinct(), "need")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, found = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for hub, salt, a, b, packed in zip(*(batch.column(i) for i in range(5)), strict=True):
-                at, x = (hub.as_py(), salt.as_py()), a.as_py()
-                if at != place:
-                    place, found = at, {}
-                if packed.is_valid:
-                    found[x] = np.frombuffer(packed.as_py(), np.uint64)
-                    continue
-                y = b.as_py()
-                p, q = found[x], found[y]
-                less, more = (p, q) if len(p) < len(q) else (q, p)
-                at = np.minimum(np.searchsorted(more, less), len(more) - 1)
-                out.append((x, y, int((more[at] == less).sum()), len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["a", "b", "both", "na", "nb"])
-
-    travelling = sets_of(need, rows, clashes).join(need, "sig").select("hub", "salt", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    travelling = travelling.union(placed.select("hub", "salt", "a", "b", F.lit(None).cast("binary")))
-    ready = travelling.repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("b").asc_nulls_first())
-    return written(ready.mapInArrow(compare, "a long, b long, both long, na long, nb long"), "compared")
-
-
 def cells(sigs: np.ndarray) -> list[np.ndarray]:
     h = mixed(sigs.astype(np.int64).view(np.uint64).copy())
     return [((h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for shift in (0, 18, 36)]
 
 
-def leftovers(large: DataFrame, pivots: DataFrame, seen: DataFrame, points: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of large regions whose members aren't in one component: those beside the region's commonest component, with all others, by Voronoi cells."""
-    r = 1 - per_cent / 100 + 1e-9
-    member = written(large.join(points.select(F.col("sig").alias("y"), "id"), "y").join(labels, F.col("id") == labels["v"], "left").select(F.col("x").alias("s"), F.col("y").alias("sig"), F.col("z").alias("n"), (F.col("z") - F.col("p")).alias("tail"), F.coalesce("label", "id").alias("label")), "members")
-    main = member.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    member = member.join(main, "s")
-    # distances to the pivots of the region: exact ones where they were compared
-    known = seen.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    known = known.union(known.select("b", "a", "d"))
-    to = member.join(pivots.select(F.col("x").alias("s"), F.col("y").alias("p")).distinct(), "s").join(known.select(F.col("a").alias("sig"), F.col("b").alias("p"), "d"), ["sig", "p"], "left")
-    to = to.withColumn("d", F.when(F.col("sig") == F.col("p"), 0.0).otherwise(F.col("d")))
-    placed = to.groupBy("s", "sig", "n", "tail", "label", "main").agg(F.min("d").alias("near"), F.min_by("p", "d").alias("home"), F.collect_list(F.struct("p", "d")).alias("all"))
-    cell = F.when(F.col("near").isNull(), F.lit(0)).otherwise(F.col("home"))
-    homes = written(placed.select("s", "sig", "n", "tail", "label", "main", cell.alias("cell"), "near", "all"), "homes")
-    # a member without a distance to some pivot may be nearest to that: those beside at home there meet it in a second cell of the pivot (strays), unless its known home is within r
-    of = ["s", "sig", "n", "tail", "label"]
-    stray = homes.where(F.col("near") > r).withColumn("w", F.explode("all")).where("w.d is null").select(*of, F.col("w.p").alias("cell"), F.lit(True).alias("strays"))
-    # beside the main component, it goes to that pivot's cell too, and all go to the cell of the homeless
-    beside = homes.where("label <> main").withColumn("w", F.explode("all")).where(F.col("w.d").isNull() | F.col("near").isNull() | (F.col("w.d") <= F.col("near") + 2 * r))
-    beside = beside.select(*of, F.col("w.p").alias("cell")).union(homes.where("label <> main").select(*of, F.lit(0).cast("long"))).distinct()
-    beside = beside.withColumn("strays", F.lit(False)).union(homes.where("label <> main AND near is not null").select(*of, "cell", F.lit(True)))
-    # cells are cut into bands of sizes: links reach into the next ones only
-    band = lambda n: F.floor(F.log(n) / math.log(100 / per_cent))
-    beside = beside.withColumn("band", F.explode(F.sequence(band(F.col("n") * per_cent / 100.001), band(F.col("n") * 100.001 / per_cent))))
-    every = homes.select(*of, "cell", F.lit(False).alias("strays")).union(stray).withColumn("band", band(F.col("n")))
-    x, y = beside.alias("x"), every.alias("y")
-    room = (100 + per_cent) * F.least("x.tail", "y.tail") >= per_cent * (F.col("x.n") + F.col("y.n"))
-    fits = (100 * F.least("x.n", "y.n") >= per_cent * F.greatest("x.n", "y.n")) & (F.col("x.label") != F.col("y.label")) & room
-    found = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.strays") == F.col("y.strays")) & (F.col("x.band") == F.col("y.band")) & fits)
-    found = found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    return found.join(seen.select("a", "b").union(seen.select("b", "a")), ["a", "b"], "left_anti")
-
-
 def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -613,25 +476,14 @@ def near_components(docs: DataFrame, per_cent: int = 80, max_common: int = 1_000
     group = components(together).select(F.col("v").alias("sig"), "label")
     size = group.join(points.select("sig", "n"), "sig").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
     wide = size.where((F.col("n") > GROUP_SHINGLES) | (F.col("m") > GROUP_SETS)).select("label")
-    wide = written(group.join(wide, "label").select("sig"), "wide")
+    wide = written(group.join(wide, "label"), "wide")
     any_wide = wide.limit(1).count() > 0
     links = joined_groups(group.join(wide, "sig", "left_anti") if any_wide else group, rows, per_cent, clashes)
-
-    def named_links(links: DataFrame) -> DataFrame:
-        return links.join(points.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(points.select(F.col("sig").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-
-    links = named_links(links)
-    labels = components(links)
     if any_wide:
-        near = lambda seen: named_links(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))
-        pivot_pairs = near_enough(found.where(F.col("kind") == TO_PIVOT).select(*pair).distinct(), sketches, per_cent)
-        seen = compared(written(pairs.union(pivot_pairs).distinct().join(wide, F.col("a") == wide["sig"], "left_semi"), "pairs"), rows, clashes)
-        links = written(links.union(near(seen)), "links")
-        labels = components(links)
-        large = found.where(F.col("kind") == MEMBER).join(wide, F.col("y") == wide["sig"], "left_semi").select("x", "y", "z", "p").distinct()
-        more = written(near_enough(leftovers(large, found.where(F.col("kind") == PIVOT), seen, points, labels, per_cent), sketches, per_cent), "pairs")
-        if more.limit(1).count():
-            labels = components(links.union(near(compared(more, rows, clashes))))
+        members = written(sets_of(wide, rows, clashes).join(wide, "sig").select("label", "sig", "set"), "members")
+        links = links.union(wide_links(members, per_cent, max_common))
+    links = links.join(points.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(points.select(F.col("sig").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    labels = components(links)
     of = points.join(labels, points["id"] == labels["v"], "left").select("sig", F.coalesce("label", "id").alias("component"))
     with_id = first.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     return with_id.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from decisia.llm import exact, jaccard, substrings
+from decisia.llm import exact, groups, jaccard, substrings
 from decisia.llm.common import table
 from tests.llm.conftest import texts_of
 
@@ -101,16 +101,53 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.near_components(docs).collect()) == plain_components(rows)
 
 
-def test_jaccard_leftovers_of_unknown_distance(spark):
-    """Member 11 was never compared with pivot 1, the home of 10: the two meet though 11's known pivot is far from both."""
-    size = {1: 5000, 2: 4000, 10: 4500, 11: 3975, 12: 4000}
-    far = [(1, 10, 0.1), (2, 10, 0.6), (2, 11, 0.55), (2, 12, 0.1)]
-    seen = spark.createDataFrame([(a, b, round((1 - d) * (size[a] + size[b]) / (2 - d)), size[a], size[b]) for a, b, d in far], "a long, b long, both long, na long, nb long")
-    large = spark.createDataFrame([(7, y, n, 0) for y, n in size.items()], "x long, y long, z long, p long")
-    pivots = spark.createDataFrame([(7, 1), (7, 2)], "x long, y long")
-    points = spark.createDataFrame([(y, y) for y in size], "sig long, id long")
-    labels = spark.createDataFrame([(1, 1), (10, 1), (2, 2), (11, 2), (12, 2)], "v long, label long")
-    assert (10, 11) in {tuple(r) for r in jaccard.leftovers(large, pivots, seen, points, labels, 80).collect()}
+def families(r, n_families, copies, words, apart, core):
+    """Texts of one template: families of near copies, each `apart` words from the template, and single ones."""
+    base = [f"t{k}" for k in range(words)]
+    out = []
+    for f in range(n_families):
+        own = list(base)
+        for k in r.sample(range(words), apart):
+            own[k] = f"f{f}_{k}"
+        for c in range(r.choice(copies)):
+            one = list(own)
+            for k in r.sample(range(words), r.randint(0, core)):
+                one[k] = f"c{f}_{c}_{k}"
+            out.append(" ".join(one))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jaccard_wide_groups(spark, monkeypatch, seed):
+    """Groups that no task takes whole: references, rounds, differences, windows, very common elements, salted tasks; texts of several templates, chains, and sizes far apart."""
+    for name, value in (("GROUP_SETS", 5), ("LEAF", 3 + seed)):
+        monkeypatch.setattr(jaccard, name, value)
+    for name, value in (("REFERENCES", 1 + seed), ("TASK_BYTES", (400, 3000, 10**7, 10**5)[seed]), ("COMMON", 2 + seed), ("HOT", (3, 10, 1000, 5)[seed]), ("BUCKET_ELEMENTS", 50), ("BLOCK_BYTES", (8000, 10**7, 300, 10**5)[seed]), ("FAIR_SHARE", (0.05, 0.5, 0.05, 1.0)[seed])):
+        monkeypatch.setattr(groups, name, value)
+    r = random.Random(seed)
+    texts = families(r, 12, [1, 1, 2, 9], 120, 6 + seed, 2) + families(r, 30, [1], 60, 2, 0) + families(r, 5, [6], 200, 3, 4)
+    texts += [" ".join([*(f"z{j}" for j in range(3 * i)), *(f"t{k}" for k in range(3 * i, 120))]) for i in range(25)]
+    texts += [" ".join(f"t{k}" for k in range(n)) for n in range(40, 120, 3)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(x) for x in jaccard.near_components(docs).collect()) == plain_components(rows)
+
+
+def test_jaccard_long_template(spark):
+    """Thousands of long texts of one template, five words apart from it each, too much for any link: one group by what hangs together, and no link in it but the planted ones."""
+    import time
+
+    r, base, rows = random.Random(2), [f"b{k}" for k in range(200)], []
+    for i in range(6000):
+        own = list(base)
+        for k in (r.randrange(5 + 38 * j, 34 + 38 * j) for j in range(5)):
+            own[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(10_000 + i, rows[i][1] + " more") for i in range(0, 6000, 100)]
+    start = time.perf_counter()
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i if i < 10_000 else i - 10_000 for i, _ in rows} and time.perf_counter() - start < 240
 
 
 def test_jaccard_empty_and_columns(edge, none):
@@ -245,7 +282,7 @@ def test_jaccard_many_short_templates(spark, monkeypatch):
     """Short texts of one template never form a group, whichever of their common shingles come first by hash."""
     monkeypatch.setattr(jaccard, "GROUP_SETS", 500)
     calls = []
-    monkeypatch.setattr(jaccard, "compared", lambda *a: calls.append(a))
+    monkeypatch.setattr(jaccard, "wide_links", lambda *a: calls.append(a))
     rows = [(i, f"thank you for your recent order with us number n{i}") for i in range(4_000)]
     got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows) and not calls
