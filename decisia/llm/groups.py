@@ -11,29 +11,32 @@ Otherwise they share one at least, and the first one that they share lies among
 has common elements last, by their counts over all differences, so what p adds to everyone's comes last. Where the sets of an element meet, sizes and places must leave room
 for the common part that a link needs; for very common elements that is first worked out by classes of size, place and component, so that classes without a partner never
 meet. Texts of one template that differ by more than a link allows meet nowhere: T / 2 + 1 elements decide, and these are their own ones.
-Pairs that are left are compared by their differences, exactly.
+Pairs that are left are compared exactly.
 
-Scale: sets travel once a round to the references of their group; differences are a table. The list of common elements is bounded (max_common); whatever is in it, results are the same.
+Scale: the sets of these groups are a table in the shared folder; references go to its tasks, or, where they are too large for that, meet the members of their group in an exchange. Differences are worked
+out where they are needed. The list of common elements is bounded (max_common); whatever is in it, results are the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisia.llm.buckets import Order, by_bucket, dealt, of_bucket
+from decisia.llm.buckets import Order, by_bucket, of_bucket
 from decisia.llm.common import partitions, written
 from decisia.llm.components import components
 from decisia.llm.words import mixed
 
 #: References of a group in a round; bytes of sets in a task; a round goes on if it linked this share; sets of an element that is counted; of one whose classes are worked out.
 REFERENCES, TASK_BYTES, FAIR_SHARE, COMMON, HOT = 8, 16_000_000, 0.05, 16, 1000
-BUCKET_ELEMENTS, BLOCK_BYTES = 500_000, 8_000_000
+BUCKET_ELEMENTS, BLOCK_BYTES, SHORT = 500_000, 8_000_000, 64
+#: References, or ids, that are sent to every task.
+SENT_BYTES = 48_000_000
 
 
 def difference(x: np.ndarray, p: np.ndarray, label: int) -> np.ndarray:
@@ -41,60 +44,106 @@ def difference(x: np.ndarray, p: np.ndarray, label: int) -> np.ndarray:
     return np.sort(mixed(np.setxor1d(x, p, assume_unique=True) + np.array([label], np.int64).view(np.uint64)))
 
 
-def compared_to_references(left: DataFrame, references: DataFrame, per_cent: int, first: bool) -> DataFrame:
-    """sig, n, near (references it is linked with, itself if it is one), difference (from the first reference, in the first round); left: label, salt, sig, set."""
+def beside(members: DataFrame, references: DataFrame, work: Callable, schema: str, *more: str) -> DataFrame:
+    """work(label, sigs, sets, references, more) of the members of a group, some at a time. members: label, sig, set and more; references: label, k, ref, set.
 
-    def compare(members: pa.Table, given: pa.Table) -> pa.Table:
-        order = np.argsort(given["k"].to_numpy(), kind="stable")
-        refs = [(given["ref"][i].as_py(), np.frombuffer(given["set"][i].as_py(), np.uint64)) for i in order.tolist()]
-        sigs, n, near, differences = members["sig"].to_pylist(), [], [], []
-        label = members["label"][0].as_py() if sigs else 0
-        for packed in members["set"]:
-            x = np.frombuffer(packed.as_py(), np.uint64)
-            n.append(len(x))
+    References of SENT_BYTES in all go to every task, and members stay where they are; more references meet the members of their groups, dealt by their bytes, in an exchange.
+    """
+    spark = members.sparkSession
+    some = members.select("label", "sig", "set", *more)
+
+    def of(rows: pa.Table, refs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
+        return work(rows.column("label")[0].as_py(), rows.column("sig").combine_chunks(), sets, refs, *(rows.column(c).combine_chunks() for c in more))
+
+    if (references.agg(F.sum(F.length("set"))).first()[0] or 0) <= SENT_BYTES:
+        by_label: dict[int, list] = {}
+        for r in references.orderBy("label", "k").toLocalIterator():
+            by_label.setdefault(r["label"], []).append((r["ref"], bytes(r["set"])))
+        sent = spark.sparkContext.broadcast(by_label)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                labels = batch.column(0).to_numpy()
+                order = np.argsort(labels, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+                    if len(at):
+                        refs = [(ref, np.frombuffer(x, np.uint64)) for ref, x in sent.value[int(labels[at[0]])]]
+                        yield of(pa.Table.from_batches([batch]).take(pa.array(at)), refs)
+
+        return some.mapInArrow(run, schema)
+    salts = members.groupBy("label").agg(F.ceil(F.sum(F.length("set")) / TASK_BYTES).cast("int").alias("salts"))
+    left = some.join(salts, "label").withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")).drop("salts")
+    right = references.join(salts, "label").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("label").alias("l"), F.col("salt").alias("s"), "k", "ref", "set")
+
+    def meet(rows: pa.Table, given: pa.Table) -> pa.Table:
+        given = given.combine_chunks().sort_by("k")
+        refs = [(r.as_py(), np.frombuffer(x.as_py(), np.uint64)) for r, x in zip(given["ref"], given["set"], strict=True)]
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.Table.from_batches([of(rows, refs)]).select(names) if rows.num_rows else given.schema.empty_table().select([])
+
+    return left.groupBy("label", "salt").cogroup(right.groupBy("l", "s")).applyInArrow(meet, schema)
+
+
+def reached(members: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """Links with references (a, b), and the first reference of each group (label, k, ref, set); members: label, sig, set."""
+
+    def near(label: int, sigs: pa.Array, sets: list[np.ndarray], refs: list) -> pa.RecordBatch:
+        out = []
+        for x in sets:
             mine = []
             for ref, p in refs:
                 if 100 * min(len(x), len(p)) >= per_cent * max(len(x), len(p)):
                     both = int((p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x).sum())
                     if (100 + per_cent) * both >= per_cent * (len(x) + len(p)):
                         mine.append(ref)
-            near.append(mine)
-            differences.append(difference(x, refs[0][1], label).tobytes() if first else None)
-        return pa.table([pa.array(sigs, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(differences, pa.binary())], names=["sig", "n", "near", "difference"])
-
-    return left.groupBy("label", "salt").cogroup(references.groupBy("label", "salt")).applyInArrow(compare, "sig long, n long, near array<long>, difference binary")
-
+            out.append(mine)
+        return pa.RecordBatch.from_arrays([sigs, pa.array(out, pa.list_(pa.int64()))], names=["sig", "near"])
 
-def reached(members: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """Links with references (a, b), and the differences (sig, n, difference) of all members; members: label, sig, set."""
-    salts = written(members.groupBy("label").agg(F.ceil(F.sum(F.length("set")) / TASK_BYTES).cast("int").alias("salts")), "salts")
-    left = members.join(salts, "label").withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")).select("label", "salt", "sig", "set")
-    links = differences = None
+    links = first = None
+    left = members
     while True:
         drawn = left.groupBy("label", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(64)).alias("part")).agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig")).alias("m"))
-        drawn = drawn.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("m")), 1, REFERENCES).alias("ms")).select("label", F.posexplode("ms").alias("k", "m")).select("label", "k", F.col("m.sig").alias("ref"))
-        references = drawn.join(left.select(F.col("label").alias("l"), "sig", "set"), (F.col("label") == F.col("l")) & (F.col("ref") == F.col("sig"))).select("label", "k", "ref", "set")
-        references = written(references, "references").join(salts, "label").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        found = written(compared_to_references(left, references, per_cent, links is None), "reached")
-        hit = found.where(F.size("near") > 0)
-        new = hit.select(F.col("sig").alias("a"), F.explode("near").alias("b")).where("a <> b")
-        links, differences = (new, found.select("sig", "n", "difference")) if links is None else (links.unionAll(new), differences)
-        asked, joined, own = found.count(), hit.count(), drawn.count()
-        if joined - own < FAIR_SHARE * asked or joined == asked:
-            return links, differences
-        left = written(left.join(hit.select("sig"), "sig", "left_anti").select("label", "salt", "sig", "set"), "left")
-
-
-def common_elements(differences: DataFrame, most: int) -> Order:
-    """The commonest elements of more than COMMON differences."""
-    total = differences.agg(F.sum(F.length("difference"))).first()[0] or 0
+        drawn = drawn.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("m")), 1, REFERENCES).alias("ms")).select("label", F.posexplode("ms").alias("k", "m"))
+        drawn = written(drawn.select("label", "k", F.col("m.sig").alias("ref")), "drawn")
+        own = drawn.count()
+        named = drawn.select(F.col("label").alias("l"), "k", "ref")
+        references = written(members.join(F.broadcast(named) if own * 32 <= SENT_BYTES else named, (F.col("label") == F.col("l")) & (F.col("sig") == F.col("ref"))).select("label", "k", "ref", "set"), "references")
+        found = written(beside(left, references, near, "sig long, near array<long>").where(F.size("near") > 0), "reached")
+        new = found.select(F.col("sig").alias("a"), F.explode("near").alias("b")).where("a <> b")
+        links, first = (new, references.where("k = 0")) if links is None else (links.unionAll(new), first)
+        hits = found.count()
+        asked = left.count()
+        if hits - own < FAIR_SHARE * asked or hits == asked:
+            return links, first
+        lost = found.select("sig")
+        left = left.join(F.broadcast(lost) if hits * 16 <= SENT_BYTES else lost, "sig", "left_anti")
+
+
+def common_elements(members: DataFrame, references: DataFrame, per_cent: int, most: int) -> Order:
+    """The commonest elements of differences: those of more than COMMON.
+
+    Elements of references that sets lack are counted whole; of a set's own elements all count if they are few, else those that come first by hash and a third more, as many as its window
+    could hold.
+    """
+    total = members.agg(F.sum(F.length("set"))).first()[0] or 0
     buckets = max(1, total // (8 * BUCKET_ELEMENTS))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
-            if len(s):
-                yield from by_bucket((s >> np.uint64(8)) % np.uint64(buckets), s, n.astype(np.int64))
+    def elements(label: int, sigs: pa.Array, sets: list[np.ndarray], refs: list) -> pa.RecordBatch:
+        p, shift, kept = refs[0][1], np.array([label], np.int64).view(np.uint64), []
+        lacked = np.zeros(len(p), np.int64)
+        for x in sets:
+            at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+            hit = p[at] == x
+            lacked += 1
+            lacked[at[hit]] -= 1
+            own = np.sort(mixed(x[~hit] + shift))
+            kept.append(own if len(own) <= SHORT else own[: int(reach(len(x), per_cent)) * 4 // 3 + 2])
+        s, n = np.unique(np.concatenate(kept), return_counts=True)
+        s, n = np.concatenate([s, mixed(p[lacked > 0] + shift)]), np.concatenate([n, lacked[lacked > 0]])
+        rows = list(by_bucket((s >> np.uint64(8)) % np.uint64(buckets), s, n.astype(np.int64))) if len(s) else []
+        whole = pa.Table.from_batches(rows).combine_chunks().to_batches() if rows else []
+        return whole[0] if whole else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "packed"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in of_bucket(batches):
@@ -103,10 +152,16 @@ def common_elements(differences: DataFrame, most: int) -> Order:
             n = np.bincount(at, np.frombuffer(b"".join(x for _, x in halves), np.int64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s[n > COMMON].view(np.int64)), pa.array(n[n > COMMON])], names=["shingle", "df"])
 
-    found = dealt(differences.select("difference"), deal).mapInArrow(count, "shingle long, df long").orderBy(F.col("df").desc(), "shingle").limit(most).toArrow()
+    dealt_out = beside(members, references, elements, "bucket long, packed binary").repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = dealt_out.mapInArrow(count, "shingle long, df long").orderBy(F.col("df").desc(), "shingle").limit(most).toArrow()
     return Order(found["shingle"].to_numpy().view(np.uint64), found["df"].to_numpy())
 
 
+def reach(n, per_cent: int):
+    """How many elements of a difference, in the order, a partner may lack, and one more; n: the size of the set itself."""
+    return (100 - per_cent) * (n + n * 100 // per_cent + 1) // (100 + per_cent) + 1
+
+
 def room(d1, d2, tail1, tail2, n1, n2, per_cent: int, least):
     """Whether sizes and places leave room for a link: for columns and for arrays."""
     most = (100 - per_cent) * (n1 + n2)
@@ -116,29 +171,23 @@ def room(d1, d2, tail1, tail2, n1, n2, per_cent: int, least):
 ENTRY = "s long, sig long, d long, tail long, n long, own long, hot boolean"
 
 
-def entries(differences: DataFrame, order, per_cent: int) -> DataFrame:
-    """The window of each difference; differences: sig, n, difference, own (its component; null if it is alone)."""
+def entries(members: DataFrame, references: DataFrame, order, per_cent: int) -> DataFrame:
+    """The window of each difference; members: label, sig, set, own (its component; null if it is alone)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, n, own = (batch.column(i) for i in (0, 1, 3))
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
-            size = n.to_numpy()
-            reach = (100 - per_cent) * (size + size * 100 // per_cent + 1) // (100 + per_cent) + 1
-            d = np.fromiter(map(len, sets), np.int64, len(sets))
-            k = np.minimum(d, reach)
-            for lo in range(0, len(sets), 1024):
-                some = slice(lo, lo + 1024)
-                s = np.concatenate([order.value.first(x, m) for x, m in zip(sets[some], k[some].tolist(), strict=True)])
-                row = np.repeat(np.arange(lo, lo + len(k[some])), k[some])
-                tail = d[row] - (np.arange(len(s)) - np.repeat(np.cumsum(k[some]) - k[some], k[some]))
-                hot = np.zeros(len(s), bool)
-                listed, at = order.value.which(s)
-                hot[listed] = order.value.count[at] > HOT
-                columns = [pa.array(s.view(np.int64)), sigs.take(pa.array(row)), pa.array(d[row]), pa.array(tail), pa.array(size[row]), own.take(pa.array(row)), pa.array(hot)]
-                yield pa.RecordBatch.from_arrays(columns, names=["s", "sig", "d", "tail", "n", "own", "hot"])
-
-    return differences.select("sig", "n", "difference", "own").mapInArrow(run, ENTRY)
+    def window(label: int, sigs: pa.Array, sets: list[np.ndarray], refs: list, own: pa.Array) -> pa.RecordBatch:
+        apart = [difference(x, refs[0][1], label) for x in sets]
+        size, d = (np.fromiter(map(len, some), np.int64, len(some)) for some in (sets, apart))
+        k = np.minimum(d, reach(size, per_cent))
+        s = np.concatenate([order.value.first(x, m) for x, m in zip(apart, k.tolist(), strict=True)])
+        row = np.repeat(np.arange(len(k)), k)
+        tail = d[row] - (np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k))
+        hot = np.zeros(len(s), bool)
+        listed, at = order.value.which(s)
+        hot[listed] = order.value.count[at] > HOT
+        columns = [pa.array(s.view(np.int64)), sigs.take(pa.array(row)), pa.array(d[row]), pa.array(tail), pa.array(size[row]), own.take(pa.array(row)), pa.array(hot)]
+        return pa.RecordBatch.from_arrays(columns, names=["s", "sig", "d", "tail", "n", "own", "hot"])
+
+    return beside(members, references, window, ENTRY, "own")
 
 
 def classes_that_meet(hot: DataFrame, per_cent: int) -> DataFrame:
@@ -150,10 +199,10 @@ def classes_that_meet(hot: DataFrame, per_cent: int) -> DataFrame:
         own = classes["own"].fill_null(0).to_numpy()
         alone = classes["own"].is_null().to_numpy()
         ok = np.zeros(len(d), bool)
-        reach = (100 - per_cent) * (n + n * 100 // per_cent + 1) // (100 + per_cent) + 1
+        far = reach(n, per_cent)
         for lo in range(0, len(d), 256):
             some = slice(lo, lo + 256)
-            a, b = np.searchsorted(d, [(d[some] - reach[some]).min(), (d[some] + reach[some]).max() + 1])
+            a, b = np.searchsorted(d, [(d[some] - far[some]).min(), (d[some] + far[some]).max() + 1])
             fits = room(d[some, None], d[a:b], tail[some, None], tail[a:b], n[some, None], n[a:b], per_cent, np.minimum)
             fits &= (own[some, None] != own[a:b]) | (alone[some, None] != alone[a:b]) | (alone[some, None] & alone[a:b])
             same = np.arange(a, b)[None] == np.arange(lo, min(len(d), lo + 256))[:, None]
@@ -171,7 +220,7 @@ def candidates(window: DataFrame, per_cent: int) -> DataFrame:
     kept = classes_that_meet(hot, per_cent)
     by = ["s", "d", "tail", "n"]
     hot = hot.alias("h").join(kept.alias("c"), [F.col(f"h.{c}") == F.col(f"c.{c}") for c in by] + [F.col("h.own").eqNullSafe(F.col("c.own"))], "left_semi")
-    every = written(window.where("not hot").unionAll(hot), "window")
+    every = written(window.where("not hot").unionAll(hot), "window", "zstd")
     x, y = every.alias("x"), every.alias("y")
     fits = room(F.col("x.d"), F.col("y.d"), F.col("x.tail"), F.col("y.tail"), F.col("x.n"), F.col("y.n"), per_cent, F.least)
     apart = F.coalesce(F.col("x.own") != F.col("y.own"), F.lit(True))
@@ -217,16 +266,14 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def wide_links(members: DataFrame, per_cent: int = 80, max_common: int = 1_000_000) -> DataFrame:
     """a, b: links that join all members (label, sig, set) that links join."""
-    links, differences = reached(members, per_cent)
+    links, references = reached(members, per_cent)
     links = written(links, "links")
     own = components(links).select(F.col("v").alias("sig"), F.col("label").alias("own"))
-    order = members.sparkSession.sparkContext.broadcast(common_elements(differences, max_common))
-    window = entries(differences.join(own, "sig", "left"), order, per_cent)
+    own = F.broadcast(own) if own.count() * 24 <= SENT_BYTES else own
+    order = members.sparkSession.sparkContext.broadcast(common_elements(members, references, per_cent, max_common))
+    window = written(entries(members.join(own, "sig", "left"), references, order, per_cent), "entries", "zstd")
     pairs = written(candidates(window, per_cent), "pairs")
     if not pairs.limit(1).count():
         return links
-    sizes = differences.select("sig", "n")
-    seen = compared(pairs, differences.select("sig", F.col("difference").alias("set")))
-    seen = seen.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("size_a")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("size_b")), "b")
-    near = (100 + per_cent) * (F.col("na") + F.col("nb") - 2 * F.col("both")) <= (100 - per_cent) * (F.col("size_a") + F.col("size_b"))
-    return links.unionAll(seen.where(near).select("a", "b"))
+    seen = compared(pairs, members.select("sig", "set"))
+    return links.unionAll(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))

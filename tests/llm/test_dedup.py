@@ -122,7 +122,7 @@ def test_jaccard_wide_groups(spark, monkeypatch, seed):
     """Groups that no task takes whole: references, rounds, differences, windows, very common elements, salted tasks; texts of several templates, chains, and sizes far apart."""
     for name, value in (("GROUP_SETS", 5), ("LEAF", 3 + seed)):
         monkeypatch.setattr(jaccard, name, value)
-    for name, value in (("REFERENCES", 1 + seed), ("TASK_BYTES", (400, 3000, 10**7, 10**5)[seed]), ("COMMON", 2 + seed), ("HOT", (3, 10, 1000, 5)[seed]), ("BUCKET_ELEMENTS", 50), ("BLOCK_BYTES", (8000, 10**7, 300, 10**5)[seed]), ("FAIR_SHARE", (0.05, 0.5, 0.05, 1.0)[seed])):
+    for name, value in (("REFERENCES", 1 + seed), ("TASK_BYTES", (400, 3000, 10**7, 10**5)[seed]), ("COMMON", 2 + seed), ("HOT", (3, 10, 1000, 5)[seed]), ("SENT_BYTES", (groups.SENT_BYTES, 100)[seed % 2]), ("SHORT", (64, 5)[seed // 2]), ("BUCKET_ELEMENTS", 50), ("BLOCK_BYTES", (8000, 10**7, 300, 10**5)[seed]), ("FAIR_SHARE", (0.05, 0.5, 0.05, 1.0)[seed])):
         monkeypatch.setattr(groups, name, value)
     r = random.Random(seed)
     texts = families(r, 12, [1, 1, 2, 9], 120, 6 + seed, 2) + families(r, 30, [1], 60, 2, 0) + families(r, 5, [6], 200, 3, 4)
