@@ -266,3 +266,16 @@ def synthetic_batch(spark, rows: int, length: int, options: int = 4, vocabulary:
     mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (i < real).cast("int"))
     markers = F.transform(F.sequence(F.lit(0), F.lit(options - 1)), lambda i: F.floor(i * real / options).cast("int"))
     return spark.range(rows).select(F.col("id").alias("row"), ids.alias("ids"), mask.alias("mask"), markers.alias("markers"))
+
+
+def synthetic_batches(plan: DataFrame, length: str, *batch: str, options: int = 4, vocabulary: int = 50_000, seed: int = 7) -> DataFrame:
+    """Seeded batches of the shapes of a plan: for each of its batches as many rows, as long as its longest; row k has length - k real places, one at least.
+    Gives the batch, row, ids, mask, markers."""
+    shapes = plan.groupBy(*batch).agg(F.count("*").alias("_n"), F.max(length).cast("int").alias("_longest"))
+    rows = shapes.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    rows = once(rows, _key=F.concat_ws("/", *(F.col(b).cast("string") for b in batch), F.col("row").cast("string")), _real=F.greatest(F.lit(1).cast("long"), F.col("_longest") - F.col("row")).cast("int"))
+    places = F.sequence(F.lit(0), F.col("_longest") - 1)
+    ids = F.transform(places, lambda i: (3 + F.floor(rand.uniform(F.col("_key"), seed, "ids", i) * (vocabulary - 3))).cast("int"))
+    mask = F.transform(places, lambda i: (i < F.col("_real")).cast("int"))
+    markers = F.transform(F.sequence(F.lit(0), F.lit(options - 1)), lambda i: F.floor(i * F.col("_real") / options).cast("int"))
+    return rows.select(*batch, "row", ids.alias("ids"), mask.alias("mask"), markers.alias("markers"))

@@ -240,6 +240,40 @@ def prediction_rows(spark, sf_dir):
     return files.read_predictions(spark, path).select("id", "workflow", "qid", "qtype", joined("keys"), joined("g"), F.when(F.col("p").isNotNull(), joined("p")).alias("p"), "latency_ms")
 
 
+@query("fresh_keys", f"SELECT source, count(*) AS fresh FROM documents WHERE {norm('text')} NOT IN (SELECT {norm('text')} FROM documents WHERE lang = 'en') GROUP BY source")
+def fresh_keys(spark, sf_dir):
+    """Rows whose keys a kept table lacks: the keys lie in buckets, and only the rows move."""
+    path, d = scratch(spark, "bucketed"), table(spark, sf_dir, "documents").select("source", "lang", X.key_of(X.norm_text(F.col("text"))).alias("key"))
+    keys = files.bucketed_keys(spark, path, lambda: d.where("lang = 'en'"), buckets=8)
+    return d.join(keys, "key", "left_anti").groupBy("source").agg(F.count("*").alias("fresh"))
+
+
+@query("user_registry_rows", "SELECT 'mine' AS spec, count(*) AS seen, count(*) FILTER (WHERE doc_id % 3 = 2) AS dropped_shape, count(*) FILTER (WHERE doc_id % 3 <> 2) AS emitted FROM documents")
+def user_registry_rows(spark, sf_dir):
+    """A source and an adapter of a user's own file, built as those of the catalog are."""
+    import os
+    import tempfile
+
+    root = scratch(spark, "own")
+    table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % 3).alias("mark")).write.parquet(f"{root}/train")
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver's user, read by the driver alone
+        at = os.path.join(folder, "mine.py")
+        with open(at, "w", encoding="utf-8") as out:
+            out.write(f"""from decisia.operators import shapes
+from decisia.sources.files import SourceSpec
+
+def marked(df, guid, workflow, language, text, mark):
+    return shapes.candidates(df, guid, workflow, "noul", "Is it marked?", shapes.state_of(language, text=shapes.clean(text)), shapes.texts(("no", "yes")), mark * 0, mark.cast("double"), ok=mark < 2)
+
+SPECS = [SourceSpec("mine", {root!r}, "marked", "w", columns={{"text": "text", "mark": "mark"}})]
+ADAPTERS = {{"marked": marked}}
+""")
+        listed, adapters = files.registry(at)
+    own = shapes.ADAPTERS | adapters
+    _, stats = build.build(spark, listed, adapters=own)
+    return stats.select("spec", "seen", "dropped_shape", (F.col("rows") + F.col("dropped_dup")).alias("emitted"))
+
+
 @query("probe_report", "SELECT count(*) AS rows, 'doc_id,text,lang,source,n_chars' AS columns, 2 AS sample FROM documents")
 def probe_report(spark, sf_dir):
     path = scratch(spark, "probe.json")
@@ -551,6 +585,16 @@ def synth_batch(spark, sf_dir):
     return b.select("row", joined("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("real"), joined("markers"))
 
 
+@query("synth_batches_like", f"""WITH p AS (SELECT doc_id // 8 AS batch, count(*) AS n, max(ceil(n_chars / 64.0)::INTEGER + 1) AS longest FROM documents GROUP BY 1),
+r AS (SELECT batch, unnest(range(n)) AS row, longest FROM p), k AS (SELECT *, batch || '/' || row AS key FROM r), i AS (SELECT *, unnest(range(longest)) AS i FROM k)
+SELECT batch, row, md5(string_agg(3 + floor({uniform('key', 7, 'ids', '=i')} * 49997)::INTEGER, ',' ORDER BY i)) AS ids, greatest(1, longest - row)::INTEGER AS real, (greatest(1, longest - row) * 3 // 4)::INTEGER AS last_marker FROM i GROUP BY batch, row, longest""")
+def synth_batches_like(spark, sf_dir):
+    """Seeded batches of the shapes that documents have in eights."""
+    plan = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("batch"), (F.ceil(F.col("n_chars") / 64) + 1).alias("length"))
+    b = layout.synthetic_batches(plan, "length", "batch")
+    return b.select("batch", "row", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("real"), F.element_at("markers", -1).alias("last_marker"))
+
+
 @query("guid_and_workflow", "SELECT doc_id, 'docs/' || lang || '/train/' || doc_id AS guid, 'kind-' || lang || '-x' AS workflow FROM documents")
 def guid_and_workflow(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

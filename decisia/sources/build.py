@@ -47,9 +47,9 @@ def language_of(spec: SourceSpec, config: str) -> Column:
     return F.expr(spec.language[1:]) if spec.language.startswith("=") else F.lit(spec.language)
 
 
-def shaped(spec: SourceSpec, rows: DataFrame, config: str = "", split: str = "train", names: list[str] | None = None) -> DataFrame:
+def shaped(spec: SourceSpec, rows: DataFrame, config: str = "", split: str = "train", names: list[str] | None = None, adapters: dict[str, Callable] = shapes.ADAPTERS) -> DataFrame:
     """Candidates of one slice: the spec's columns and options as the adapter's arguments. rows has _row, the row's number in the slice."""
-    adapter, options = shapes.ADAPTERS[spec.shape], dict(spec.options)
+    adapter, options = adapters[spec.shape], dict(spec.options)
     if "pair" in options:  # how the source calls its two texts
         options["fields"] = options.pop("pair")
     columns = {k: argument(v) for k, v in spec.columns.items()}
@@ -150,14 +150,14 @@ def taken(rows: DataFrame, spec: SourceSpec, seed: int) -> tuple[DataFrame, Obse
     return budgeted(numbered, spec, seed=seed).observe(seen, count), seen
 
 
-def run_slice(one: Slice, rows: DataFrame, table: str, names: list[str] | None, seed: int) -> dict:
+def run_slice(one: Slice, rows: DataFrame, table: str, names: list[str] | None, seed: int, adapters: dict[str, Callable] = shapes.ADAPTERS) -> dict:
     """Writes the slice's decision rows to a table, in one pass over its rows; gives how many were seen, refused by their shape and emitted."""
     if one.spec.shape == "label_str" and "names" not in one.spec.options and names is None:  # all labels of the slice, not of the rows taken
         label = argument(one.spec.columns["label"])
         names = [r[0] for r in files.label_universe(rows.select(label.alias("label")), "label").collect()]
     some, seen = taken(rows, one.spec, seed)
     count, shape, emitted_rows = F.count(F.lit(1)).alias("n"), Observation(), Observation()
-    made = shaped(one.spec, some, one.config, one.split, names).observe(shape, count)
+    made = shaped(one.spec, some, one.config, one.split, names, adapters).observe(shape, count)
     out = emitted(one.spec, made, seed).withColumn("key", text.key_of(text.norm_state(F.col("state"))))
     head = dict(spec=F.lit(one.spec.name), config=F.lit(one.config), split=F.lit(one.split))
     row = F.regexp_extract("guid", r"^(?:[^/]*/){3}([0-9]+)", 1).cast("long")
@@ -181,7 +181,8 @@ STATS = "spec string, config string, split string, seen long, dropped_shape long
 
 
 def build(
-    spark: SparkSession, specs: Iterable[SourceSpec], held_keys: DataFrame | None = None, scan: Scan = slice_of, names: dict[str, list[str]] | None = None, path: str | None = None, workers: int = 4, seed: int = 7
+    spark: SparkSession, specs: Iterable[SourceSpec], held_keys: DataFrame | None = None, scan: Scan = slice_of, names: dict[str, list[str]] | None = None, path: str | None = None, workers: int = 4, seed: int = 7,
+    adapters: dict[str, Callable] = shapes.ADAPTERS,
 ) -> tuple[DataFrame, DataFrame]:
     """Decision rows of all specs, the first of equal states in the order of specs, configurations, splits and source rows, none whose state is held; and the
     slices' accounting: spec, config, split, seen, dropped_shape, dropped_pool, dropped_dup, rows, error.
@@ -213,7 +214,7 @@ def build(
                 if done:
                     return done | head
             table = f"{root}/slices/{digest(head)[:16]}-{uuid.uuid4().hex}"
-            record = head | {"fingerprint": mark, "table": table} | run_slice(one, rows, table, own, seed)
+            record = head | {"fingerprint": mark, "table": table} | run_slice(one, rows, table, own, seed, adapters)
             if mark:
                 ledger.commit(record)
             return record

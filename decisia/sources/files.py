@@ -6,6 +6,7 @@ in a column. Several files come with their place in the list, which is the prior
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 import json
 import re
@@ -525,6 +526,27 @@ def key_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], mo
     return spark.read.parquet(path)
 
 
+def bucketed_keys(spark: SparkSession, path: str, build: Callable[[], DataFrame], mode: str = "auto", buckets: int = 64) -> DataFrame:
+    """As key_table, in buckets by key: whatever meets these keys in a join is dealt by key to as many places, and the keys, however many, stay where they are.
+
+    A document beside the keys says how many buckets there are, by which another session reads them as such.
+    """
+    if mode not in ("auto", "rebuild", "cached"):
+        raise ValueError(f"{mode} is no mode")
+    name, there = f"keys_{hashlib.md5(path.encode()).hexdigest()}", exists(spark, f"{path}.buckets.json")
+    if mode == "cached" and not there:
+        raise FileNotFoundError(path)
+    if mode == "rebuild" or not there:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        keys = build().select("key").distinct()
+        keys.repartition(buckets, "key").write.mode("overwrite").format("parquet").bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        write_sidecar(spark, f"{path}.buckets.json", {"buckets": buckets, "type": keys.schema["key"].dataType.simpleString()})
+    elif not spark.catalog.tableExists(name):
+        said = read_sidecar(spark, f"{path}.buckets.json")
+        spark.sql(f"CREATE TABLE {name} (key {said['type']}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {said['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def spec_json(specs: list[SourceSpec]) -> str:
     return json.dumps([asdict(s) for s in specs], ensure_ascii=False)
 

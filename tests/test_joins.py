@@ -1,5 +1,6 @@
 """Range joins, passages inside documents, greedy walks and reservoirs over streams, against plain versions."""
 
+import hashlib
 import random
 import time
 
@@ -144,3 +145,36 @@ def test_reservoir_of_a_stream(spark, tmp_path, files_a_trigger):
     more = spark.range(700, 1500).select("id", (F.col("id") % 5 + 1).cast("double").alias("w"))
     more.repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == {r["id"] for r in sample.weighted_reservoir(rows.unionAll(more), "id", weight, 25).collect()}
+
+
+def test_keys_in_buckets_stay_where_they_are(spark, tmp_path):
+    """An anti join deals rows to the keys' buckets and leaves the keys; another session reads them as buckets too."""
+    from decisia.sources import files
+
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("key"))
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.lit(1).alias("x"))
+    path, before = f"{tmp_path}/keys", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for known in (files.bucketed_keys(spark, path, lambda: keys, buckets=4), files.bucketed_keys(spark, path, lambda: None), files.bucketed_keys(spark, path, lambda: None, "cached")):
+            left = rows.join(known, "key", "left_anti")
+            plan = plan_of(left)
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and left.count() == 2000 and known.count() == 1000
+        spark.sql(f"DROP TABLE keys_{hashlib.md5(path.encode()).hexdigest()}")
+        again = files.bucketed_keys(spark, path, lambda: None)  # as a session that hasn't made them
+        assert again.count() == 1000 and "Bucketed: true" in plan_of(rows.join(again, "key", "left_anti"))
+        assert files.bucketed_keys(spark, path, lambda: keys.limit(10), "rebuild", buckets=2).count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(FileNotFoundError):
+        files.bucketed_keys(spark, f"{tmp_path}/none", lambda: keys, "cached")
+    with pytest.raises(ValueError):
+        files.bucketed_keys(spark, path, lambda: keys, "other")
+
+
+def test_synthetic_batches_have_the_plans_shapes(spark):
+    plan = spark.createDataFrame([(0, "a", 5), (0, "a", 9), (1, "a", 3), (1, "b", 1)], "k int, s string, n int")
+    made = layout.synthetic_batches(plan, "n", "k", "s", options=2, vocabulary=100).collect()
+    assert sorted((r["k"], r["s"], r["row"], len(r["ids"]), sum(r["mask"])) for r in made) == [(0, "a", 0, 9, 9), (0, "a", 1, 9, 8), (1, "a", 0, 3, 3), (1, "b", 0, 1, 1)]
+    assert all(3 <= i < 100 for r in made for i in r["ids"]) and all(r["markers"] == [0, sum(r["mask"]) // 2] for r in made)
+    assert made == layout.synthetic_batches(plan, "n", "k", "s", options=2, vocabulary=100).collect()
