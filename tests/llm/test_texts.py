@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -533,3 +534,20 @@ def test_lists_grow(spark, monkeypatch):
         ann.search(vectors, vectors.where("vec_id = 0"), max_sample=most)
         assert made[0] == want
         made.clear()
+
+
+@pytest.mark.parametrize("kind", ["many dimensions", "far from zero", "many scales"])
+def test_nearest_recall_on_other_rows(spark, kind):
+    """Bounds are measured on the rows there are: vectors of many dimensions without clusters, offsets that floats can't take squares of, vectors of a thousand lengths."""
+    r = np.random.Generator(np.random.PCG64(11))
+    x = {"many dimensions": lambda: r.standard_normal((4000, 512)), "far from zero": lambda: 1e7 + r.standard_normal((4000, 32)), "many scales": lambda: r.standard_normal((4000, 64)) * np.exp(3 * r.standard_normal((4000, 1)))}[kind]()
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = defaultdict(set)
+    for row in ann.search(vectors, vectors.where("vec_id % 100 = 0")).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    hits = 0
+    for i in range(0, len(x), 100):
+        far = ((x - x[i]) ** 2).sum(1)
+        far[i] = np.inf
+        hits += len(got[i] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 400
