@@ -44,3 +44,18 @@ def test_emit_rows_reads_whole_texts(spark, tmp_path):
     texts = ["some words " * 20, "some words " * 20 + "Answer: B"]
     spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sum(r["n"] for r in catalog.QUERIES["emit_rows"](spark, str(tmp_path)).collect()) == 1
+
+
+def test_sources_are_written_once(spark, sf, tmp_path, monkeypatch):
+    """Texts lie once in the files of all entries of Parquet, once in the JSON lines; an entry alone has its own files alone, and a run without a path no copy of its slices' rows."""
+    from decisia.plans import origins
+
+    folders = iter(("every", "one", "run", "repeats"))
+    monkeypatch.setattr(origins, "scratch", lambda spark, name: f"{tmp_path}/{next(folders)}")
+    monkeypatch.setattr(origins.build, "scratch", lambda spark, name: f"{tmp_path}/{next(folders)}")
+    origins.write_sources(spark, sf, origins.ENTRIES)
+    assert sorted(p.name for p in (tmp_path / "every").iterdir()) == ["all", "sst5", "yelp_polarity"]
+    entries, scan = origins.write_sources(spark, sf, ("sst5",))
+    assert [p.name for p in (tmp_path / "one").iterdir()] == ["sst5"]
+    rows, stats = origins.build.build(spark, entries, scan=scan)
+    assert rows.count() == stats.first()["rows"] > 0 and not (tmp_path / "run" / "rows").exists()
