@@ -46,6 +46,18 @@ def test_emit_rows_reads_whole_texts(spark, tmp_path):
     assert sum(r["n"] for r in catalog.QUERIES["emit_rows"](spark, str(tmp_path)).collect()) == 1
 
 
+def test_spec_slices_beyond_targets(spark, tmp_path):
+    """More documents than the catalog's targets: entries that take all of their files do."""
+    d = spark.range(32_000).selectExpr("id AS doc_id", "concat('text ', id % 29000) AS text", "if(id % 2 = 0, 'en', 'de') AS lang", "concat('src', id % 7) AS source")
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = own.execute(catalog.SQL["spec_slices"])
+    columns = [c[0] for c in found.description]
+    rows = catalog.QUERIES["spec_slices"](spark, str(tmp_path)).collect()
+    assert Counter(tuple(r[c] for c in columns) for r in rows) == Counter(found.fetchall())
+
+
 def test_sources_are_written_once(spark, sf, tmp_path, monkeypatch):
     """Texts lie once in the files of all entries of Parquet, once in the JSON lines; an entry alone has its own files alone, and a run without a path no copy of its slices' rows."""
     from decisia.plans import origins
