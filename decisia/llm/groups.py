@@ -11,7 +11,7 @@ Otherwise they share one at least, and the first one that they share lies among
 has common elements last, by their counts over all differences, so what p adds to everyone's comes last. Where the sets of an element meet, sizes and places must leave room
 for the common part that a link needs; for very common elements that is first worked out by classes of size, place and component, so that classes without a partner never
 meet. Texts of one template that differ by more than a link allows meet nowhere: T / 2 + 1 elements decide, and these are their own ones.
-Pairs that are left are compared exactly.
+Pairs that are left, and that sketches of their sets don't exclude, are compared exactly.
 
 Scale: the sets of these groups are a table in the shared folder; references go to its tasks, or, where they are too large for that, meet the members of their group in an exchange. Differences are worked
 out where they are needed. The list of common elements is bounded (max_common); whatever is in it, results are the same.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from decisia.llm.buckets import Order, by_bucket, of_bucket
 from decisia.llm.common import partitions, written
 from decisia.llm.components import components
+from decisia.llm.sketches import may_link, sketch
 from decisia.llm.words import mixed
 
 #: References of a group in a round; bytes of sets in a task; a round goes on if it linked this share; sets of an element that is counted; of one whose classes are worked out.
@@ -227,12 +228,17 @@ def candidates(window: DataFrame, per_cent: int) -> DataFrame:
     return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & apart & fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, na, nb: sizes of the intersection and of the two sets. Sets are dealt into blocks; a pair of blocks is a place to which just the sets of its pairs travel, each once."""
-    blocks = max(-(-(sets.agg(F.sum(F.length("set"))).first()[0] or 0) // BLOCK_BYTES), math.isqrt(2 * partitions(sets.sparkSession)) + 1)
+def side_by_side(pairs: DataFrame, held: DataFrame, kind: str, judge: Callable, schema: str) -> DataFrame:
+    """a, b, and judge(x, others) of the pairs; held: sig and an array as bytes, of numbers of this kind.
+
+    What is held is dealt into blocks; a pair of blocks is a place to which just what its pairs need travels, each once.
+    """
+    data = held.columns[1]
+    blocks = max(-(-(held.agg(F.sum(F.length(data))).first()[0] or 0) // BLOCK_BYTES), math.isqrt(2 * partitions(held.sparkSession)) + 1)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     placed = pairs.select("a", "b", (F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("place"))
     need = placed.select(F.col("a").alias("sig"), "place").union(placed.select("b", "place")).distinct()
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, {}
@@ -243,25 +249,51 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if places[i] != now:
                     now, found = places[i], {}
                 if second[i] is None:
-                    found[int(first[i])] = np.frombuffer(packed[i].as_py(), np.uint64)
+                    found[int(first[i])] = np.frombuffer(packed[i].as_py(), kind)
                     i += 1
                     continue
                 j, x, size = i + 1, found[int(first[i])], len(found[second[i]])
                 while j < batch.num_rows and first[j] == first[i] and places[j] == now and second[j] is not None and size < 1 << 17:
                     size += len(found[second[j]])
                     j += 1
-                others = [found[y] for y in second[i:j]]
-                n, flat = np.fromiter(map(len, others), np.int64, j - i), np.concatenate(others)
-                hit = (x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat).astype(np.int64)
-                out.append(np.stack([first[i:j], np.array(second[i:j], np.int64), np.add.reduceat(hit, np.cumsum(n) - n), np.full(j - i, len(x)), n]))
+                out.append(np.stack([first[i:j], np.array(second[i:j], np.int64), *judge(x, [found[y] for y in second[i:j]])]))
                 i = j
-            columns = np.concatenate(out, axis=1) if out else np.empty((5, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "both", "na", "nb"])
+            columns = np.concatenate(out, axis=1) if out else np.empty((len(names), 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    travelling = sets.join(need, "sig").select("place", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    travelling = held.join(need, "sig").select("place", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), data)
     travelling = travelling.union(placed.select("place", "a", "b", F.lit(None).cast("binary")))
-    ready = travelling.repartition(partitions(sets.sparkSession), "place").sortWithinPartitions("place", F.col("b").isNotNull(), "a")
-    return written(ready.mapInArrow(compare, "a long, b long, both long, na long, nb long"), "compared")
+    ready = travelling.repartition(partitions(held.sparkSession), "place").sortWithinPartitions("place", F.col("b").isNotNull(), "a")
+    return ready.mapInArrow(compare, schema)
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs that sketches of their sets (sketches.py) don't exclude, so that sets travel for no others."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(1)], pa.binary())], names=["sig", "sketch"])
+
+    def judge(x: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+        width, near = np.fromiter(map(len, others), np.int64, len(others)), np.empty(len(others), np.int64)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            near[at] = may_link(x[None], np.stack([others[k] for k in at.tolist()]), per_cent)
+        return [near]
+
+    sketches = written(sets.select("sig", "set").mapInArrow(made, "sig long, sketch binary"), "sketches")
+    return side_by_side(pairs, sketches, "u1", judge, "a long, b long, near long").where("near = 1").select("a", "b")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, na, nb: sizes of the intersection and of the two sets."""
+
+    def judge(x: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+        n, flat = np.fromiter(map(len, others), np.int64, len(others)), np.concatenate(others)
+        hit = (x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat).astype(np.int64)
+        return [np.add.reduceat(hit, np.cumsum(n) - n), np.full(len(n), len(x)), n]
+
+    return written(side_by_side(pairs, sets, "u8", judge, "a long, b long, both long, na long, nb long"), "compared")
 
 
 def wide_links(members: DataFrame, per_cent: int = 80, max_common: int = 1_000_000) -> DataFrame:
@@ -275,5 +307,6 @@ def wide_links(members: DataFrame, per_cent: int = 80, max_common: int = 1_000_0
     pairs = written(candidates(window, per_cent), "pairs")
     if not pairs.limit(1).count():
         return links
+    pairs = written(sketched(pairs, members, per_cent), "pairs")
     seen = compared(pairs, members.select("sig", "set"))
     return links.unionAll(seen.where((100 + per_cent) * F.col("both") >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b"))

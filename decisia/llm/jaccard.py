@@ -7,8 +7,8 @@ First level, prefix windows: the pivots are single shingles, in one fixed order
 shingle; a set within r of it misses at most n - ceil(0.8 n) of its shingles and so has its home among the next ones, and the set is
 replicated to just so many regions after its home. In a region, two sets can be linked only if their sizes and the places of the
 region's shingle in them leave room for the common share that a link needs (their first common shingle is the region where this
-holds). Pairs of a small region pass that test one by one, and then counts of shingles in 64 classes (a mapping that shrinks the
-symmetric difference, so what it puts beyond r is beyond r). A large region is divided into classes of size and place; classes that
+holds). Pairs of a small region pass that test one by one, and then counts of shingles in classes (a mapping that shrinks the
+symmetric difference, so what it puts beyond r is beyond r; sketches.py), more classes for longer texts. A large region is divided into classes of size and place; classes that
 can hold linked sets, directly or by others, stay together, all others fall apart. So texts from one template that differ
 by too much don't meet, however many they are.
 
@@ -50,6 +50,7 @@ from decisia.llm.buckets import Order, by_bucket, dealt, of_bucket
 from decisia.llm.common import partitions, text_of, written
 from decisia.llm.components import components
 from decisia.llm.groups import wide_links
+from decisia.llm.sketches import near_enough, sketch
 from decisia.llm.words import Words, mixed, runs
 
 SHINGLE, CLASSES = 5, 64
@@ -116,7 +117,7 @@ def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(None)
             if len(x) and sigs[-1] not in seen:
                 seen.add(sigs[-1])
-                sketches[-1] = np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES), 65535).astype("<u2").tobytes()
+                sketches[-1] = sketch(x)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in some], pa.int64()), *(pa.array([x[k] for x in sigs], pa.int64()) for k in (0, 1)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "sig", "other", "sketch"])
 
 
@@ -374,21 +375,6 @@ def gathered(found: DataFrame, per_cent: int) -> DataFrame:
     return found.where(F.col("kind") != LOOSE).unionAll(hangs)
 
 
-def near_enough(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs a, b that class counts don't exclude; sketches: sig, sketch."""
-    both = pairs.join(sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for i in (2, 3))
-            # counts at the limit say too little of the whole, so the sum of both is a lower bound of the sizes only below it
-            whole = (x.max(axis=1, initial=0) < 65535) & (y.max(axis=1, initial=0) < 65535)
-            ok = ~whole | ((100 + per_cent) * np.abs(x - y).sum(1) <= (100 - per_cent) * (x.sum(1) + y.sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def sets_of(need: DataFrame, rows: DataFrame, clashes: frozenset) -> DataFrame:
     """sig, set of the signatures in need, and of a few others: by a Bloom filter of bounded size."""
     spark = rows.sparkSession
